@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ann, chat, packing, quality, sharding, substring
+from . import ann, chat, decontaminate, packing, quality, sharding, substring
 
-QUERIES = {"op2_quality": quality.op2_quality, "op3_chat": chat.op3_chat, "op5_shards": sharding.op5_shards, "op7_pack": packing.op7_pack, "op8_ann": ann.op8_ann, "op9_substring": substring.op9_substring}
+QUERIES = {"op6_decontaminate": decontaminate.op6_decontaminate, "op2_quality": quality.op2_quality, "op3_chat": chat.op3_chat, "op5_shards": sharding.op5_shards, "op7_pack": packing.op7_pack, "op8_ann": ann.op8_ann, "op9_substring": substring.op9_substring}
 
 SQL = {"op3_chat": chat.OP3_SQL}
