@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 GROUP_ROWS = 2048
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -41,22 +41,50 @@ class WordEncoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def fill(self, words: list[bytes]) -> None:
+    def fill(self, words: set[bytes]) -> None:
+        """Encode words not kept yet. Words of letters alone go as lines of many: each is one pre-token, whose last id ends a
+        word. A final full stop or comma behind a letter is a pre-token of its own."""
         if len(self.kept) + len(words) > CACHE_WORDS:
             self.kept.clear()
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+        ended = [w for w in words if w[-1:] in (b".", b",") and b"a" <= w[-2:-1] <= b"z" and w[:1] != b"<"]
+        bare = words.difference(ended) | {w[:-1] for w in ended} | {b".", b","}
+        plain, other = [], []
+        for w in bare.difference(self.kept):
+            try:
+                t = w.decode()
+                (plain if t.lower().isalpha() else other).append((w, t))
+            except UnicodeDecodeError:
+                other.append((w, w.decode("utf-8", "replace")))
+        encode = self.tokenizer.encode_batch_fast
+        for i in range(0, len(plain), 400):
+            part = plain[i : i + 400]
+            ids = np.asarray(encode([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) != len(part):
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _), e in zip(part, ends.tolist(), strict=True):
+                self.kept[w] = raw[at:e]
+                at = e
+        for i in range(0, len(other), 5_000):
+            part = other[i : i + 5_000]
+            for (w, _), e in zip(part, encode([t for _, t in part], add_special_tokens=False), strict=True):
                 self.kept[w] = np.asarray(e.ids, "<u4").tobytes()
+        for w in ended:
+            self.kept[w] = self.kept[w[:-1]] + self.kept[w[-1:]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         if new := {w for words in split for w in words}.difference(self.kept):
-            self.fill(list(new))
-            if any(w not in self.kept for words in split for w in words):  # the store was emptied in between
-                self.fill(list({w for words in split for w in words}.difference(self.kept)))
+            self.fill(new)
+            if gone := {w for words in split for w in words}.difference(self.kept):  # the store was emptied in between
+                self.fill(gone)
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
