@@ -32,10 +32,13 @@ def bucket_count(elements: float) -> int:
     return max(BUCKETS, int(elements // BUCKET_ELEMENTS) + 1)
 
 
-def row_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def row_ids(docs: DataFrame, key: str = "doc_id", ordered: bool = False) -> DataFrame:
     """docs plus `row`, a long that tells rows apart and is the same whenever docs is read: the key where it is unique and
-    never null, else a running number that is written down with the rows."""
+    never null, else a running number that is written down with the rows. ordered: it grows with the key, then the text, and
+    null keys come last."""
     if docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
+        if ordered:
+            docs = docs.orderBy(F.col(key).asc_nulls_last(), "text")
         return materialize(docs.withColumn("row", F.monotonically_increasing_id()))[0]
     return docs.withColumn("row", F.col(key).cast("long"))
 
@@ -96,8 +99,21 @@ def runs(hashes: np.ndarray, offs: np.ndarray, seed_length: int, length: int) ->
 
 
 # ------------------------------------------------------------------ the exchange
-def element_rows(keys: np.ndarray, route: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """One batch's elements as rows of ELEMENTS. route decides the bucket: equal keys have equal routes."""
+def short(keys: np.ndarray) -> bytes:
+    """The upper 40 bits of each key. Buckets take the lower bits, so two keys of one bucket seldom look alike: enough for a
+    filter, whose answer the next level checks."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def unshort(b: bytes) -> np.ndarray:
+    x = np.zeros((len(b) // 5, 8), np.uint8)
+    x[:, 3:] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return x.view(np.uint64).ravel()
+
+
+def element_rows(keys: np.ndarray, route: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, buckets: int, brief: bool = False) -> Iterator[tuple]:
+    """One batch's elements as rows of ELEMENTS. route decides the bucket: equal keys have equal routes. brief: see short()."""
+    put = short if brief else np.ndarray.tobytes
     if not len(keys):
         return
     uniq, inv, count = np.unique(keys, return_inverse=True, return_counts=True)
@@ -114,7 +130,7 @@ def element_rows(keys: np.ndarray, route: np.ndarray, row: np.ndarray, start: np
             continue
         i = order[edges[b] : edges[b + 1]]
         solo, known, done = i[~twice[i]], i[twice[i] & lead[i]], i[twice[i]]
-        yield b, keys[solo].tobytes(), keys[known].tobytes(), deflate(_columns(address[solo])), deflate(_columns(address[done]))
+        yield b, put(keys[solo]), put(keys[known]), deflate(_columns(address[solo])), deflate(_columns(address[done]))
 
 
 def _columns(a: np.ndarray) -> bytes:
@@ -140,12 +156,13 @@ def merge_ranges(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pd.DataFr
     return pd.DataFrame({"row": row[i], "start": start[i].astype(np.int32), "n": (end[np.append(i[1:], len(row)) - 1] - start[i]).astype(np.int32)})
 
 
-def repeated(elements: DataFrame) -> DataFrame:
+def repeated(elements: DataFrame, brief: bool = False) -> DataFrame:
     """RANGES of the elements whose key occurs at least twice anywhere."""
+    take = unshort if brief else (lambda b: np.frombuffer(b, np.uint64))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        solo = [np.frombuffer(x, np.uint64) for x in pdf["solo"]]
-        known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["known"]]))
+        solo = [take(x) for x in pdf["solo"]]
+        known = np.unique(np.concatenate([take(x) for x in pdf["known"]]))
         uniq, inv, count = np.unique(np.concatenate(solo), return_inverse=True, return_counts=True)
         hit = ((count > 1) | np.isin(uniq, known, assume_unique=True))[inv]
         out, at = [], 0

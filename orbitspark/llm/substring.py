@@ -27,9 +27,9 @@ def _word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return range_hash(buf, s, e), wo
 
 
-def _rows(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+def _rows(parts: list[tuple], buckets: int, brief: bool = False) -> Iterator[pa.RecordBatch]:
     if parts:
-        out = list(zip(*element_rows(*(np.concatenate(c) for c in zip(*parts, strict=True)), buckets), strict=True))
+        out = list(zip(*element_rows(*(np.concatenate(c) for c in zip(*parts, strict=True)), buckets, brief), strict=True))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "solo", "known", "address", "settled"])
 
@@ -46,7 +46,7 @@ def seed_elements(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 h, wo = _word_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 doc, first, n, key = runs(ngram_hash(h, half), wo, half, window)
                 parts.append((key, key, ids[a + doc], first - wo[doc], n))
-            yield from _rows(parts, buckets)
+            yield from _rows(parts, buckets, brief=True)
 
     return docs.select("row", "text").mapInArrow(run, ELEMENTS)
 
@@ -87,7 +87,7 @@ def window_elements(docs: DataFrame, window: int, shift: int, buckets: int) -> D
 
 def repeated_windows(docs: DataFrame, packed: DataFrame, window: int, total_bytes: int) -> DataFrame:
     """RANGES of the starts of all windows whose word sequence also starts anywhere else. docs(row, text), packed(row, z)."""
-    seeds = repeated(seed_elements(docs, window, bucket_count(total_bytes * SEEDS_PER_BYTE)))
+    seeds = repeated(seed_elements(docs, window, bucket_count(total_bytes * SEEDS_PER_BYTE)), brief=True)
     return repeated(window_elements(with_ranges(packed, seeds), window, 0, bucket_count(total_bytes / 24)))
 
 
