@@ -4,8 +4,9 @@ Documents with equal shingle sets are one class first, so exact copies cost noth
 classes by the signature read from another place on; those that share a prefix of DEPTH values form a region. In a region the
 neighbours in the tree's order, which have the longest common prefixes, are candidates: a small region's all, a large one's
 next few, however deep their prefix must be to tell them apart. Candidates whose signatures agree enough are verified on full
-shingle sets: the two best of each document first, then all whose components still differ. Regions too large for neighbours
-alone, in which components still differ, are compared in blocks, so that no link is lost to their size.
+shingle sets: the two best of each document first, then all whose components still differ. In a large region each member is
+also verified against the one with the fewest shingles of its own; members that can still have a link, by counts that rule out
+the others exactly, are compared in blocks where components differ, so that no link is lost to a region's size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, chunks, drop, materialize, mix, ngram_hash, range_hash, word_spans
+from .common import SPACE, buffers, chunks, materialize, mix, ngram_hash, range_hash, word_spans
 from .components import components
 from .repeats import row_ids
 
@@ -148,9 +149,14 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(pairs)[0], members.where(F.col("n") > SMALL)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach percent of their union."""
-    ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+def unpack(b: bytes) -> np.ndarray:
+    x = np.zeros((len(b) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return x.view(np.uint64).ravel()
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(row, set) of the documents named in ids: all their shingles' hashes, 48 bits each. Written, as several joins read it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,12 +166,11 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
                 sets = [x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in shingle_sets(buf, offs, shingle)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.binary())], ["row", "set"])
 
-    sets, _ = materialize(docs.select("row", "text").join(ids, "row").mapInArrow(run, "row long, set binary"))
+    return materialize(docs.select("row", "text").join(ids, "row").mapInArrow(run, "row long, set binary"))[0]
+
 
-    def unpack(b: bytes) -> np.ndarray:
-        x = np.zeros((len(b) // 6, 8), np.uint8)
-        x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-        return x.view(np.uint64).ravel()
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets reach percent of their union."""
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,31 +187,62 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     return joined.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(hold, "u long, v long")
 
 
-def remaining(large: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Candidate pairs (a, b) between different components of one large region, or None if every such region is one component.
+def own_shingles(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """large(key, rep) → (key, rep, size, own, least): the sizes of the members' sets, how many of their shingles no other member
+    of any large region has, and the region's fewest.
+
+    Members x and y have at most size_x - own_x shingles in common and at least size_x + own_y together, so no link is
+    possible where the first is below `percent` of the second, in either direction.
+    """
+    members = large.select("rep").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [unpack(x.as_py()) for x in batch.column("set")]
+            rows = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), [len(x) for x in sets_])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets_ or [np.zeros(0, np.uint64)]).view(np.int64)), pa.array(rows)], ["shingle", "rep"])
+
+    held = members.join(sets.withColumnRenamed("row", "rep"), "rep")
+    alone = held.select("set", "rep").mapInArrow(run, "shingle long, rep long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    sizes, _ = materialize(held.select("rep", (F.octet_length("set") / 6).cast("long").alias("size")).join(own, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")))
+    rows = large.select("key", "rep").join(sizes, "rep")
+    return materialize(rows.join(rows.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("centre")), "key"))[0]
+
+
+def possible(size: str, own: str, other: str, percent: int):
+    return F.lit(100) * (F.col(size) - F.col(own)) >= F.lit(percent) * (F.col(size) + F.col(other))
+
+
+def remaining(placed: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+    """Candidate pairs (a, b) between different components of one large region, or None if there can be none.
 
-    The largest component's members are compared with the others' only; both sides go in blocks, and only pairs whose
-    signatures agree leave a block."""
-    placed, _ = materialize(large.join(comps.withColumnRenamed("u", "rep"), "rep", "left").select("key", "rep", F.coalesce("v", "rep").alias("comp")))
-    per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    Members whose own shingles rule out a link with the region's most ordinary member have no link there at all. Of the
+    others, the largest component's are compared with the rest only; both sides go in blocks, and only pairs whose
+    signatures agree and whose own shingles allow a link leave a block."""
+    open_ = placed.where(possible("size", "own", "centre.own", percent))
+    open_ = open_.join(comps.withColumnRenamed("u", "rep"), "rep", "left").select("key", "rep", "size", "own", F.coalesce("v", "rep").alias("comp"))
+    per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("top")).where("all > top")
-    rows = placed.join(mixed, "key").join(classes.select("rep", "sig"), "rep").withColumn("mb", F.ceil(F.col("all") / BLOCK)).withColumn("qb", F.ceil((F.col("all") - F.col("top")) / BLOCK))
+    rows = open_.join(mixed, "key").join(classes.select("rep", "sig"), "rep").withColumn("mb", F.ceil(F.col("all") / BLOCK)).withColumn("qb", F.ceil((F.col("all") - F.col("top")) / BLOCK))
     rows, _ = materialize(rows)
     if not rows.limit(1).count():
         return None
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["key", "rep", "comp", "sig"]
-    member = rows.select(*cols, own("mb").alias("m"), every("qb").alias("q"))
-    asked = rows.where("comp <> main").select(*cols, own("qb").alias("q"), every("mb").alias("m"))
+    cols = ["key", "rep", "comp", "sig", "size", "own"]
+    member = rows.select(*cols, at("mb").alias("m"), every("qb").alias("q"))
+    asked = rows.where("comp <> main").select(*cols, at("qb").alias("q"), every("mb").alias("m"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
         if len(left) and len(right):
             x, y = (np.frombuffer(b"".join(p["sig"]), np.uint16).reshape(len(p), VALUES) for p in (left, right))
-            cx, cy, rx, ry = left["comp"].to_numpy(), right["comp"].to_numpy(), left["rep"].to_numpy(), right["rep"].to_numpy()
+            (cx, rx, sx, ox), (cy, ry, sy, oy) = ([p[c].to_numpy() for c in ("comp", "rep", "size", "own")] for p in (left, right))
             for i in range(len(x)):
-                j = np.flatnonzero(((y == x[i]).sum(1) >= AGREE) & (cy != cx[i]))
+                may = (cy != cx[i]) & (100 * (sx[i] - ox[i]) >= percent * (sx[i] + oy)) & (100 * (sy - oy) >= percent * (sy + ox[i]))
+                j = np.flatnonzero(may)
+                j = j[(y[j] == x[i]).sum(1) >= AGREE]
                 out.append(np.stack([np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])], 1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
@@ -222,27 +258,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     place of the largest. Columns beyond these two are not read; an empty table gives an empty one.
     """
     base = row_ids(docs)
-    own = "row" if base.count() and not base.where(~F.col("row").eqNullSafe(F.col("doc_id"))).limit(1).count() else None
-    signed, signed_path = materialize(signatures(base, shingle))
+    plain = not base.where(~F.col("row").eqNullSafe(F.col("doc_id"))).limit(1).count()
+    signed, _ = materialize(signatures(base, shingle))
     classes, _ = materialize(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"), F.first("sig").alias("sig")))
     pairs, large = candidates(classes)
+    ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(large.select("rep")).distinct()
+    sets = full_sets(base, ids, shingle)
+    placed = own_shingles(large, sets)
+    # first each document's two best neighbours, and the most ordinary member of its large regions
     ways = pairs.union(pairs.select("b", "a", "agree"))
-    best = ways.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))).where("k <= 2")
-    first, _ = materialize(verify(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), base, shingle, percent))
+    best = ways.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))).where("k <= 2").select("a", "b")
+    centre = placed.where("rep <> centre.rep").where(possible("size", "own", "centre.own", percent)).groupBy("rep").agg(F.min("centre").alias("c")).select(F.col("rep").alias("a"), F.col("c.rep").alias("b"))
+    tried, _ = materialize(best.union(centre).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first, _ = materialize(verify(tried, sets, percent))
     comps = components(first)
     c = lambda x: comps.select(F.col("u").alias(x), F.col("v").alias(f"c{x}"))
     open_pairs = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_pairs = open_pairs.join(tried, ["a", "b"], "left_anti")
-    rest = remaining(large, comps, classes)
-    open_pairs, _ = materialize(open_pairs.union(rest.join(tried, ["a", "b"], "left_anti")).distinct() if rest is not None else open_pairs)
+    rest = remaining(placed, comps, classes, percent)
+    open_pairs = (open_pairs.union(rest).distinct() if rest is not None else open_pairs).join(tried, ["a", "b"], "left_anti")
+    open_pairs, _ = materialize(open_pairs)
     if open_pairs.limit(1).count():
-        comps = components(first.union(verify(open_pairs, base, shingle, percent)))
+        comps = components(first.union(verify(open_pairs, sets, percent)))
     roots = classes.select("s1", "s2", "n", "rep").join(comps.withColumnRenamed("u", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("v", "rep").alias("root"))
-    placed = signed.where("n > 0").select("row", "n", "s1", "s2").join(roots, ["s1", "s2", "n"]).select("row", "n", "root").union(signed.where("n = 0").select("row", "n", F.col("row").alias("root")))
-    if own:
-        return placed.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("row") == F.col("root")).alias("kept"))
-    named, _ = materialize(placed.join(base.select("row", "doc_id"), "row"))
+    named = signed.where("n > 0").select("row", "n", "s1", "s2").join(roots, ["s1", "s2", "n"]).select("row", "n", "root").union(signed.where("n = 0").select("row", "n", F.col("row").alias("root")))
+    if plain:
+        return named.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("row") == F.col("root")).alias("kept"))
+    named, _ = materialize(named.join(base.select("row", "doc_id"), "row"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
