@@ -151,6 +151,33 @@ class Benchmark:
         return out
 
 
+def slices(benchmark: DataFrame, item: str, text: str) -> Iterator:
+    """The benchmark as broadcasts of about SLICE_BYTES of text each."""
+    items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("i").isNotNull())
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = -(-size // SLICE_BYTES)
+    for k in range(n):
+        got = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().orderBy("i", "t").toArrow()
+        if got.num_rows:
+            yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(got.column("i").to_numpy(), got.column("t").combine_chunks()))
+
+
+def found(bench: Benchmark, texts: pa.Array, least: float) -> Iterator[tuple]:
+    """(index of the text, item, similarity, distance, first word, words) of all items found."""
+    low = pc.utf8_lower(texts)
+    _, offs = buffers(low)
+    for a, b in chunks(offs):
+        h, wo = words_of(low.slice(a, b - a))
+        # documents without any shingle of an item are passed over together
+        near = np.zeros(b - a, bool)
+        for length in bench.lengths:
+            at = np.flatnonzero(bench.vocabulary(ngram_hash(h, length)) >= 0)
+            near[np.searchsorted(wo, at, "right") - 1] = True
+        for i in np.flatnonzero(near).tolist():
+            for x in bench.hits(h[wo[i] : wo[i + 1]], least):
+                yield (a + i, *x)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, item: str = "item_id", text: str = "text") -> DataFrame:
     """A row per document and benchmark item found in it: doc_id, item_id, similarity, distance, start_word, n_words.
 
@@ -158,38 +185,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, item
     without words, or without an id, is never found. Null and empty texts hold nothing. Repeated rows each count; an empty
     table on either side gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("i").isNotNull())
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    slices = -(-size // SLICE_BYTES)
     passes = []
-    for k in range(slices):
-        got = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).distinct().orderBy("i", "t").toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast(Benchmark(got.column("i").to_numpy(), got.column("t").combine_chunks()))
+    for shared in slices(benchmark, item, text):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = shared.value
             for batch in batches:
-                rows, out = batch.column(0).to_pylist(), []
-                low = pc.utf8_lower(batch.column("text"))
-                _, offs = buffers(low)
-                for a, b in chunks(offs):
-                    h, wo = words_of(low.slice(a, b - a))
-                    # documents without any shingle of an item are passed over together
-                    near = np.zeros(b - a, bool)
-                    for length in bench.lengths:
-                        at = np.flatnonzero(bench.vocabulary(ngram_hash(h, length)) >= 0)
-                        near[np.searchsorted(wo, at, "right") - 1] = True
-                    for i in np.flatnonzero(near):
-                        out += [(rows[a + i], *x) for x in bench.hits(h[wo[i] : wo[i + 1]], least)]
-                cols = list(zip(*out, strict=True)) or [()] * 6
+                ids = batch.column(0).to_pylist()
+                cols = list(zip(*((ids[i], *x) for i, *x in found(shared.value, batch.column(1), least)), strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in HITS.split(", ")])
 
-        passes.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, HITS))
-    if not passes:
-        return spark.createDataFrame([], HITS)
-    return reduce(DataFrame.unionByName, passes)
+        passes.append(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, HITS))
+    return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], HITS)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, item: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in which no item is found; nothing is shuffled."""
+    at = docs.columns.index(text)
+    for shared in slices(benchmark, item, text):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[i for i, *_ in found(shared.value, batch.column(at), least)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

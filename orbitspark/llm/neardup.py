@@ -249,16 +249,8 @@ def remaining(placed: DataFrame, comps: DataFrame, classes: DataFrame, percent:
     return asked.groupBy("key", "q", "m").cogroup(member.groupBy("key", "q", "m")).applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text, ...).
-
-    Two documents are linked if their distinct `shingle`-word shingles reach `percent` of their union; component_id is the
-    smallest doc_id reachable by links, and kept marks the rows that bear it. Null, empty and blank texts have no shingles
-    and no links. Repeated rows are copies of each other: rows that share the smallest id are all kept. A null id takes the
-    place of the largest. Columns beyond these two are not read; an empty table gives an empty one.
-    """
-    base = row_ids(docs)
-    plain = not base.where(~F.col("row").eqNullSafe(F.col("doc_id"))).limit(1).count()
+def groups(base: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """base(row, text) → (row, n, root): set size, and the smallest row of the component."""
     signed, _ = materialize(signatures(base, shingle))
     classes, _ = materialize(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"), F.first("sig").alias("sig")))
     pairs, large = candidates(classes)
@@ -280,14 +272,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if open_pairs.limit(1).count():
         comps = components(first.union(verify(open_pairs, sets, percent)))
     roots = classes.select("s1", "s2", "n", "rep").join(comps.withColumnRenamed("u", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("v", "rep").alias("root"))
-    named = signed.where("n > 0").select("row", "n", "s1", "s2").join(roots, ["s1", "s2", "n"]).select("row", "n", "root").union(signed.where("n = 0").select("row", "n", F.col("row").alias("root")))
-    if plain:
+    return signed.where("n > 0").select("row", "n", "s1", "s2").join(roots, ["s1", "s2", "n"]).select("row", "n", "root").union(signed.where("n = 0").select("row", "n", F.col("row").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text, ...).
+
+    Two documents are linked if their distinct `shingle`-word shingles reach `percent` of their union; component_id is the
+    smallest doc_id reachable by links, and kept marks the rows that bear it. Null, empty and blank texts have no shingles
+    and no links. Repeated rows are copies of each other: rows that share the smallest id are all kept. A null id takes the
+    place of the largest. Columns beyond these two are not read; an empty table gives an empty one.
+    """
+    base = row_ids(docs, ordered=True)
+    named = groups(base, shingle, percent)
+    if not base.where(~F.col("row").eqNullSafe(F.col("doc_id"))).limit(1).count():
         return named.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("row") == F.col("root")).alias("kept"))
     named, _ = materialize(named.join(base.select("row", "doc_id"), "row"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those whose component has a row of a smaller id (or text, where ids are equal).
+    Documents without words have no links and stay."""
+    base = row_ids(docs.drop("row"), ordered=True)
+    first = groups(base, shingle, percent).where("row = root").select("row")
+    return base.join(first, "row", "left_semi").select(*docs.drop("row").columns)
+
+
 def op4_neardup(spark, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate component on 4-word shingles at 80 per cent."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 80)

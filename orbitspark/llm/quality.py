@@ -137,14 +137,15 @@ def score(docs: DataFrame, model: Network, keep: list[str], text: str = "text")
     """keep plus `score`, the probability that the whole text is of good quality; a null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 80 kB
     kinds = dict(docs.dtypes)
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = buffers(batch.column(batch.num_columns - 1))
+            buf, offs = buffers(batch.column(at))
             s = [shared.value.score(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in chunks(offs, 1 << 18)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(np.concatenate(s or [np.zeros(0)]))], [*keep, "score"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, neardup, packing, quality, sharding, substring, suffix
+from . import ann, chat, decontaminate, neardup, packing, quality, sharding, substring, suffix, tokens
 
-QUERIES = {"op10_suffix": suffix.op10_suffix, "op4_neardup": neardup.op4_neardup, "op6_decontaminate": decontaminate.op6_decontaminate, "op2_quality": quality.op2_quality, "op3_chat": chat.op3_chat, "op5_shards": sharding.op5_shards, "op7_pack": packing.op7_pack, "op8_ann": ann.op8_ann, "op9_substring": substring.op9_substring}
+QUERIES = {"op1_tokens": tokens.op1_tokens, "op10_suffix": suffix.op10_suffix, "op4_neardup": neardup.op4_neardup, "op6_decontaminate": decontaminate.op6_decontaminate, "op2_quality": quality.op2_quality, "op3_chat": chat.op3_chat, "op5_shards": sharding.op5_shards, "op7_pack": packing.op7_pack, "op8_ann": ann.op8_ann, "op9_substring": substring.op9_substring}
 
 SQL = {"op3_chat": chat.OP3_SQL}
