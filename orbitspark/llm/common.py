@@ -76,6 +76,13 @@ def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES):
         a = b
 
 
+def parts_of(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+    """The batch in slices whose texts have about `limit` bytes together: what is gathered from a slice is sent before the next."""
+    offs = buffers(batch.column(column))[1]
+    for a, b in chunks(offs, limit):
+        yield batch.slice(a, b - a)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -99,11 +106,15 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) ->
 # ------------------------------------------------------------------ hashes
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit (splitmix finalizer)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * _MIX1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _MIX2
-    return x ^ (x >> np.uint64(31))
+    t = x >> np.uint64(30)
+    x = x ^ t
+    x *= _MIX1
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
+    x *= _MIX2
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
+    return x
 
 
 class Powers:
@@ -147,7 +158,13 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
 
 
 def ngram_hash(values: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """Hashes of all n-item windows of values."""
+    """Hashes of all n-item windows of values; the same as range_hash's of those ranges."""
     k = max(0, len(values) - n + 1)
-    s = np.arange(k)
-    return range_hash(values, s, s + n, seed)
+    p = powers(seed)
+    up, down = p.get(len(values) + 1)
+    acc = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((p.table[values] if values.dtype == np.uint8 else values) * up[:-1], out=acc[1:])
+    h = acc[len(values) - k + 1 :] - acc[:k] if k else acc[:0]
+    h *= down[:k]
+    h += np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
+    return mix(h)

@@ -79,23 +79,29 @@ def runs(hashes: np.ndarray, offs: np.ndarray, seed_length: int, length: int) ->
         return none, none, none, np.zeros(0, np.uint64)
     bits = np.uint64(max(20, n.bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    m = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    m = hashes & ~low
+    m |= np.arange(len(hashes), dtype=np.uint64)
     cover = 1
     while cover < w:
         step = min(cover, w - cover)
         m = np.minimum(m[:-step], m[step:])
         cover += step
-    at = (m & low).astype(np.int64)
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(m)]
-    valid = np.arange(len(m)) + length <= offs[doc + 1]
+    # windows that end within their document
+    size = np.diff(offs)
+    edge = np.zeros(len(m) + 1, np.int8)
+    full = size >= length
+    np.add.at(edge, offs[:-1][full], 1)
+    np.add.at(edge, (offs[1:] - length + 1)[full], -1)
+    valid = np.cumsum(edge[:-1], dtype=np.int8) > 0
     new = valid.copy()
-    new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
+    new[1:] &= (m[1:] != m[:-1]) | ~valid[:-1]
     first = np.flatnonzero(new)
+    at = (m[first] & low).astype(np.int64)
     # a run ends where the next begins or where windows stop being valid
     stop = np.flatnonzero(valid & ~np.append(valid[1:], False)) + 1
     nxt = np.append(first[1:], len(m))
     last = stop[np.searchsorted(stop, first, "right")] if len(first) else none
-    return doc[first], first, np.minimum(nxt, last) - first, hashes[at[first]]
+    return np.searchsorted(offs, first, "right") - 1, first, np.minimum(nxt, last) - first, hashes[at]
 
 
 # ------------------------------------------------------------------ the exchange

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, ngram_hash, range_hash, totals, word_spans
+from .common import buffers, chunks, ngram_hash, parts_of, range_hash, totals, word_spans
 from .repeats import ELEMENTS, bucket_count, element_rows, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
 #: Seeds per byte of text, for the number of buckets: about 2 in 19 words start a run, and a word has 6 bytes.
@@ -55,7 +55,7 @@ def window_elements(docs: DataFrame, window: int, shift: int, buckets: int) -> D
     """docs(row, z, ranges) → ELEMENTS of the windows at p where p, and p + shift unless that is 0, lie in the ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole, "z")):
             ids, parts = batch.column("row").to_numpy(zero_copy_only=False), []
             count, start, n = range_arrays(batch.column("ranges"))
             bounds = np.concatenate([[0], np.cumsum(count)])
@@ -111,7 +111,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = False, keep:
     ranges = repeated_windows(base, packed.select("row", "z"), window, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole, "z")):
             count, start, n = range_arrays(batch.column("ranges"))
             bounds = np.concatenate([[0], np.cumsum(count)])
             buf, offs = buffers(unpack_text(batch.column("z")))

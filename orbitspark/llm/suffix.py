@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, materialize, ngram_hash, range_hash, totals
+from .common import buffers, chunks, materialize, ngram_hash, parts_of, range_hash, totals
 from .gsaca import _spans, suffix_arrays
 from .repeats import ELEMENTS, bucket_count, deflate, element_rows, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
+#: Bytes hashed or marked at once: a byte takes some dozens of bytes of working memory.
+CHUNK = 384 << 10
 #: Symbols of one string that is suffix-sorted, about.
 STRING = 1_536
 #: Bytes whose strings are sorted together; bounds a worker's memory.
-TOGETHER = 1 << 20
+TOGETHER = 512 << 10
 
 
 def seed_of(window: int) -> int:
@@ -41,10 +43,10 @@ def _elements(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
 
 def seeds(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole, "text")):
             ids, parts = batch.column("row").to_numpy(zero_copy_only=False), []
             buf, offs = buffers(batch.column("text"))
-            for a, b in chunks(offs):
+            for a, b in chunks(offs, CHUNK):
                 o = offs[a : b + 1] - offs[a]
                 doc, first, n, key = runs(ngram_hash(buf[offs[a] : offs[b]], seed_of(window), seed=6), o, seed_of(window), window)
                 parts.append((key, key, ids[a + doc], first - o[doc], n))
@@ -61,12 +63,12 @@ def candidate_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     in a batch only its smallest row's travel; the others' ranges are settled (gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole, "z", 4 << 20)):
             ids, parts = batch.column("row").to_numpy(zero_copy_only=False), []
             count, start, n = range_arrays(batch.column("ranges"))
             bounds = np.concatenate([[0], np.cumsum(count)])
             buf, offs = buffers(unpack_text(batch.column("z")))
-            for a, b in chunks(offs):
+            for a, b in chunks(offs, CHUNK):
                 x, o = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
                 doc, first, m, key = runs(ngram_hash(x, seed_of(window), seed=6), o, seed_of(window), window)
                 r = slice(bounds[a], bounds[b])
@@ -133,7 +135,7 @@ def asked_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """docs(row, z, asks) → STRINGS: the bytes of the runs that are to be sorted, by bucket of their seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole, "z", 4 << 20)):
             ids = batch.column("row").to_numpy(zero_copy_only=False)
             count, start, n = range_arrays(batch.column("asks"))
             import pyarrow.compute as pc
@@ -244,19 +246,27 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
     ranges = settled.where("seed = 0").select("row", "start", "n").union(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole, "z", 4 << 20)):
             count, start, n = range_arrays(batch.column("ranges"))
             buf, offs = buffers(unpack_text(batch.column("z")))
-            gone = spread(len(buf), np.repeat(offs[:-1], count) + start, n + window - 1)
-            lost = np.concatenate([[0], np.cumsum(gone)])
-            head = gone.copy()
-            head[1:] &= ~gone[:-1]
-            head[offs[:-1][offs[:-1] < len(buf)]] |= gone[offs[:-1][offs[:-1] < len(buf)]]
-            spans = np.concatenate([[0], np.cumsum(head)])
-            kept = buf[~gone].tobytes()
-            to = offs - lost[offs]
-            parts = [kept[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
-            cols = [batch.column("doc_id"), *(pa.array(np.diff(x).astype(np.int64)) for x in (offs, lost[offs], spans[offs])), pa.array([hashlib.sha256(p).hexdigest() for p in parts])]
+            bounds = np.concatenate([[0], np.cumsum(count)])
+            figures, parts, sha = [], [], []
+            for a, b in chunks(offs, CHUNK):
+                x, o, r = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], slice(bounds[a], bounds[b])
+                gone = spread(len(x), np.repeat(o[:-1], count[a:b]) + start[r], n[r] + window - 1)
+                lost = np.concatenate([[0], np.cumsum(gone)])
+                head = gone.copy()
+                head[1:] &= ~gone[:-1]
+                inner = o[:-1][o[:-1] < len(x)]
+                head[inner] |= gone[inner]
+                spans = np.concatenate([[0], np.cumsum(head)])
+                kept, to = x[~gone].tobytes(), o - lost[o]
+                mine = [kept[i:j] for i, j in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+                sha += [hashlib.sha256(p).hexdigest() for p in mine]
+                parts += mine if texts else []
+                figures.append(np.stack([np.diff(o), np.diff(lost[o]), np.diff(spans[o])]))
+            three = np.concatenate(figures, 1) if figures else np.zeros((3, 0), np.int64)
+            cols = [batch.column("doc_id"), *(pa.array(f.astype(np.int64)) for f in three), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(parts, pa.binary())] if texts else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
 
     kind = dict(docs.dtypes)["doc_id"]
