@@ -26,9 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Rows of one Arrow batch. Texts of thousands of bytes make Spark's default of 10,000 rows tens of megabytes, held by the
+#: executor, the worker and the result at once.
+ARROW_ROWS = 1_024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ARROW_ROWS, unless they have been set lower."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     """Cut the lineage: write df as Parquet in the shared folder and read it back; also returns the path, for drop()."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/orbitspark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -44,6 +57,7 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text of all documents, in one native pass."""
+    bound_batches(docs.sparkSession)
     r = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
     return int(r["n"]), int(r["b"] or 0)
 
