@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 16_384
 #: Rows of a cell that one task holds, about.
@@ -114,7 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             cell = _near(u, m.cells)
             yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in m.encode(u, cell)]})
 
-    indexed = rows.mapInPandas(assign, "id long, v array<double>, cell int, code binary")
+    indexed = rows.mapInPandas(tidy(assign), "id long, v array<double>, cell int, code binary")
     sizes = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per centroid
     blocks = {c: -(-s // BLOCK_ROWS) for c, s in sizes.items()}
     per_cell = F.create_map(*(F.lit(x) for c, b in sorted(blocks.items()) for x in (int(c), int(b))))
@@ -132,7 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 i, c, b = map(list, zip(*out, strict=True))
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "cell": np.array(c, np.int32), "block": np.array(b, np.int32)})
 
-    asked = valid(queries, id_col, vec_col, dim).mapInPandas(probe, "id long, v array<double>, cell int, block int")
+    asked = valid(queries, id_col, vec_col, dim).mapInPandas(tidy(probe), "id long, v array<double>, cell int, block int")
 
     def scan(key, index: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         m, out = shared.value, []

@@ -62,6 +62,42 @@ def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(r["n"]), int(r["b"] or 0)
 
 
+# ------------------------------------------------------------------ workers' memory
+def trim() -> None:
+    """Give freed memory back to the system: idle workers of other stages stay alive beside the busy ones."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+def tidy(run):
+    """A batch function that trims at the end of its partition."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def tidy_group(settle):
+    """The same for a function of one group."""
+
+    def tidied(pdf):
+        try:
+            return settle(pdf)
+        finally:
+            trim()
+
+    return tidied
+
+
 # ------------------------------------------------------------------ text buffers
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and n + 1 offsets. A null is an empty text. No Python string is made."""

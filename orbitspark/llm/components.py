@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize
+from .common import drop, materialize, tidy
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def _sums(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """links(u, v: long) → (u, v): every node but each component's smallest, with that smallest. Loops and repeats are allowed."""
     spark = links.sparkSession
-    edges, path = materialize(links.select("u", "v").where("u <> v").mapInArrow(_contract, "u long, v long"))
+    edges, path = materialize(links.select("u", "v").where("u <> v").mapInArrow(tidy(_contract), "u long, v long"))
     before = None
     while (now := _sums(edges)) != before and now[0]:
         both = edges.union(edges.select("v", "u"))

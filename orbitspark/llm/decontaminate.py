@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, mix, ngram_hash, range_hash, word_spans
+from .common import buffers, chunks, mix, ngram_hash, range_hash, tidy, word_spans
 
 SHINGLE, BITS, BLOCKS, RADIUS = 5, 128, 16, 40
 #: Bytes of benchmark text that go to the executors at once; a larger benchmark is taken in slices, a pass for each.
@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, item
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in HITS.split(", ")])
 
-        passes.append(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, HITS))
+        passes.append(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(tidy(run), HITS))
     return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], HITS)
 
 
@@ -210,7 +210,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8,
                 keep[[i for i, *_ in found(shared.value, batch.column(at), least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

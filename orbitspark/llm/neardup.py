@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, chunks, materialize, mix, ngram_hash, range_hash, word_spans
+from .common import SPACE, buffers, chunks, materialize, mix, ngram_hash, range_hash, tidy, word_spans
 from .components import components
-from .repeats import row_ids
+from .repeats import packed_text, row_ids, unpack_text
 
 #: A pair of similarity 0.8 shares no region with probability (1 - 0.8**4)**20 = 3e-5, and has AGREE values in common but for 1e-5.
 TREES, DEPTH = 20, 4
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             cat = lambda x: pa.array(np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("row"), cat(n), cat(s1), cat(s2), pa.array(sig, pa.binary())], ["row", "n", "s1", "s2", "sig"])
 
-    return docs.select("row", "text").mapInArrow(run, SIGNED)
+    return docs.select("row", "text").mapInArrow(tidy(run), SIGNED)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -98,7 +98,7 @@ def regions(classes: DataFrame) -> DataFrame:
             rep = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), TREES)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep)], ["key", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "sig").mapInArrow(tidy(run), "key long, rep long")
 
 
 def neighbours(members: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def neighbours(members: DataFrame) -> DataFrame:
                 a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["a", "b", "agree"])
 
-    return members.select("key", "n", "rep", "sig").mapInArrow(run, "a long, b long, agree int")
+    return members.select("key", "n", "rep", "sig").mapInArrow(tidy(run), "a long, b long, agree int")
 
 
 def tree_order(key, sig):
@@ -162,11 +162,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                buf, offs = buffers(part.column("text"))
+                buf, offs = buffers(unpack_text(part.column("z")))
                 sets = [x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in shingle_sets(buf, offs, shingle)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.binary())], ["row", "set"])
 
-    return materialize(docs.select("row", "text").join(ids, "row").mapInArrow(run, "row long, set binary"))[0]
+    return materialize(packed_text(docs, ["row"]).join(ids, "row").mapInArrow(tidy(run), "row long, set binary"))[0]
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +184,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
     joined = pairs.select("a", "b").join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    return joined.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(hold, "u long, v long")
+    return joined.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(tidy(hold), "u long, v long")
 
 
 def own_shingles(large: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def own_shingles(large: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets_ or [np.zeros(0, np.uint64)]).view(np.int64)), pa.array(rows)], ["shingle", "rep"])
 
     held = members.join(sets.withColumnRenamed("row", "rep"), "rep")
-    alone = held.select("set", "rep").mapInArrow(run, "shingle long, rep long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    alone = held.select("set", "rep").mapInArrow(tidy(run), "shingle long, rep long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
     own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     sizes, _ = materialize(held.select("rep", (F.octet_length("set") / 6).cast("long").alias("size")).join(own, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")))
     rows = large.select("key", "rep").join(sizes, "rep")

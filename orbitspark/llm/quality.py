@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks
+from .common import buffers, chunks, tidy
 
 WIDTH, FILTERS, BLOCK = 5, 16, 64
 #: Labelled documents that the network is fitted on, at most, and the chunks taken from one of them, evenly spaced.
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Network, keep: list[str], text: str = "text")
             s = [shared.value.score(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in chunks(offs, 1 << 18)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(np.concatenate(s or [np.zeros(0)]))], [*keep, "score"])
 
-    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(tidy(run), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

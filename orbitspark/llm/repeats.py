@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy, tidy_group
 
 #: Elements that a bucket holds, about, and the fewest buckets.
 BUCKET_ELEMENTS, BUCKETS = 256_000, 48
@@ -61,7 +61,7 @@ def packed_text(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(z, pa.binary())], [*keep, "z"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", z binary")
+    return docs.select(*keep, "text").mapInArrow(tidy(run), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", z binary")
 
 
 def unpack_text(z: pa.Array) -> pa.Array:
@@ -181,7 +181,7 @@ def repeated(elements: DataFrame, brief: bool = False) -> DataFrame:
             out.append(merge_ranges(row[o], start[o], n[o]))
         return pd.concat(out, ignore_index=True)
 
-    return elements.groupBy("bucket").applyInPandas(settle, RANGES)
+    return elements.groupBy("bucket").applyInPandas(tidy_group(settle), RANGES)
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, ngram_hash, parts_of, range_hash, totals, word_spans
+from .common import buffers, chunks, ngram_hash, parts_of, range_hash, tidy, totals, word_spans
 from .repeats import ELEMENTS, bucket_count, element_rows, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
 #: Seeds per byte of text, for the number of buckets: about 2 in 19 words start a run, and a word has 6 bytes.
@@ -48,7 +48,7 @@ def seed_elements(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 parts.append((key, key, ids[a + doc], first - wo[doc], n))
             yield from _rows(parts, buckets, brief=True)
 
-    return docs.select("row", "text").mapInArrow(run, ELEMENTS)
+    return docs.select("row", "text").mapInArrow(tidy(run), ELEMENTS)
 
 
 def window_elements(docs: DataFrame, window: int, shift: int, buckets: int) -> DataFrame:
@@ -82,7 +82,7 @@ def window_elements(docs: DataFrame, window: int, shift: int, buckets: int) -> D
                 parts.append((key, route, ids[a + doc[p]], p - wo[doc[p]], np.ones(len(p), np.int64)))
             yield from _rows(parts, buckets)
 
-    return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(run, ELEMENTS)
+    return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(tidy(run), ELEMENTS)
 
 
 def repeated_windows(docs: DataFrame, packed: DataFrame, window: int, total_bytes: int) -> DataFrame:
@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = False, keep:
 
     kinds = dict(packed.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return with_ranges(packed, ranges).mapInArrow(run, schema)
+    return with_ranges(packed, ranges).mapInArrow(tidy(run), schema)
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:

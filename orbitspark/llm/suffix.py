@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, materialize, ngram_hash, parts_of, range_hash, totals
+from .common import buffers, chunks, materialize, ngram_hash, parts_of, range_hash, tidy, tidy_group, totals
 from .gsaca import _spans, suffix_arrays
 from .repeats import ELEMENTS, bucket_count, deflate, element_rows, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
@@ -52,7 +52,7 @@ def seeds(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 parts.append((key, key, ids[a + doc], first - o[doc], n))
             yield from _elements(parts, buckets)
 
-    return docs.select("row", "text").mapInArrow(run, ELEMENTS)
+    return docs.select("row", "text").mapInArrow(tidy(run), ELEMENTS)
 
 
 RUNS = "bucket int, seed binary, content binary, row binary, start binary, n binary, gone binary"
@@ -97,7 +97,7 @@ def candidate_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [c.split()[0] for c in RUNS.split(", ")])
 
-    return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(run, RUNS)
+    return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(tidy(run), RUNS)
 
 
 ASKED = "row long, start int, n int, seed long"
@@ -156,7 +156,7 @@ def asked_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [c.split()[0] for c in STRINGS.split(", ")])
 
-    return docs.where(F.col("asks").isNotNull()).select("row", "z", "asks").mapInArrow(run, STRINGS)
+    return docs.where(F.col("asks").isNotNull()).select("row", "z", "asks").mapInArrow(tidy(run), STRINGS)
 
 
 def sorted_windows(text: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,10 +239,10 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
     packed = packed_text(base, ["row", "doc_id"])
     found = repeated(seeds(base, window, bucket_count(total * 0.06)), brief=True)
     runs_ = candidate_runs(with_ranges(packed.select("row", "z"), found), window, bucket_count(total * 0.02))
-    settled, _ = materialize(runs_.groupBy("bucket").applyInPandas(_settle_runs, ASKED))
+    settled, _ = materialize(runs_.groupBy("bucket").applyInPandas(tidy_group(_settle_runs), ASKED))
     asks = settled.where("seed <> 0").groupBy("row").agg(F.collect_list(F.struct("start", "n", "seed")).alias("asks"))
     strings = asked_strings(packed.select("row", "z").join(asks, "row"), window, max(48, total // (8 << 20)))
-    last = strings.groupBy("bucket").applyInPandas(_settle_strings(window), "row long, start int, n int")
+    last = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window)), "row long, start int, n int")
     ranges = settled.where("seed = 0").select("row", "start", "n").union(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(parts, pa.binary())] if texts else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return with_ranges(packed, ranges).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return with_ranges(packed, ranges).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def op10_suffix(spark, sf_dir: str) -> DataFrame:
