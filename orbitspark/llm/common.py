@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once; bounds a worker's memory whatever the Arrow batch holds. One longer document goes alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -167,42 +167,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """B**i and B**-i modulo 2**64, extended on demand."""
+#: The odd base of all polynomial hashes; seeds change the bytes' values only, so that one table of powers serves a worker.
+BASE = 0x9E6C63D0676A9A99
+_UP = _DOWN = np.ones(1, np.uint64)
+_TABLES: dict[int, np.ndarray] = {}
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1, 1 << 62)) * 4 + 3
-        self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = 1 << max(16, (n - 1).bit_length())
-            out = []
-            for b in (self.base, pow(self.base, -1, 1 << 64)):
-                p = np.full(m, np.uint64(b & (2**64 - 1)))
-                p[0] = 1
-                out.append(np.multiply.accumulate(p))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i below n."""
+    global _UP, _DOWN
+    if len(_UP) < n:
+        m = 1 << max(16, (n - 1).bit_length())
+        out = []
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(m, np.uint64(b))
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _UP, _DOWN = out
+    return _UP[:n], _DOWN[:n]
 
 
-_POWERS: dict[int, Powers] = {}
-
-
-def powers(seed: int) -> Powers:
-    if seed not in _POWERS:
-        _POWERS[seed] = Powers(seed)
-    return _POWERS[seed]
+def byte_values(seed: int) -> np.ndarray:
+    if seed not in _TABLES:
+        _TABLES[seed] = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _TABLES[seed]
 
 
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """64-bit hashes of values[s:e]; equal ranges have equal hashes wherever they lie. values: bytes or mixed 64-bit items."""
-    p = powers(seed)
-    up, down = p.get(len(values) + 1)
+    up, down = powers(len(values) + 1)
     acc = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((p.table[values] if values.dtype == np.uint8 else values) * up[:-1], out=acc[1:])
+    np.cumsum((byte_values(seed)[values] if values.dtype == np.uint8 else values) * up[:-1], out=acc[1:])
     h = (acc[ends] - acc[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -210,10 +205,9 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
 def ngram_hash(values: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """Hashes of all n-item windows of values; the same as range_hash's of those ranges."""
     k = max(0, len(values) - n + 1)
-    p = powers(seed)
-    up, down = p.get(len(values) + 1)
+    up, down = powers(len(values) + 1)
     acc = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((p.table[values] if values.dtype == np.uint8 else values) * up[:-1], out=acc[1:])
+    np.cumsum((byte_values(seed)[values] if values.dtype == np.uint8 else values) * up[:-1], out=acc[1:])
     h = acc[len(values) - k + 1 :] - acc[:k] if k else acc[:0]
     h *= down[:k]
     h += np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)

@@ -59,7 +59,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             buf, offs = buffers(batch.column("text"))
             n, s1, s2, sig = [], [], [], []
-            for a, b in chunks(offs, 1 << 20):
+            for a, b in chunks(offs):
                 sets = shingle_sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle)
                 size = np.array([len(x) for x in sets])
                 full = np.flatnonzero(size)
@@ -270,7 +270,7 @@ def groups(base: DataFrame, shingle: int, percent: int) -> DataFrame:
     open_pairs = (open_pairs.union(rest).distinct() if rest is not None else open_pairs).join(tried, ["a", "b"], "left_anti")
     open_pairs, _ = materialize(open_pairs)
     if open_pairs.limit(1).count():
-        comps = components(first.union(verify(open_pairs, sets, percent)))
+        comps = components(first.union(materialize(verify(open_pairs, sets, percent))[0]))
     roots = classes.select("s1", "s2", "n", "rep").join(comps.withColumnRenamed("u", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("v", "rep").alias("root"))
     return signed.where("n > 0").select("row", "n", "s1", "s2").join(roots, ["s1", "s2", "n"]).select("row", "n", "root").union(signed.where("n = 0").select("row", "n", F.col("row").alias("root")))
 
