@@ -5,8 +5,9 @@ classes by the signature read from another place on; those that share a prefix o
 neighbours in the tree's order, which have the longest common prefixes, are candidates: a small region's all, a large one's
 next few, however deep their prefix must be to tell them apart. Candidates whose signatures agree enough are verified on full
 shingle sets: the two best of each document first, then all whose components still differ. In a large region each member is
-also verified against the one with the fewest shingles of its own; members that can still have a link, by counts that rule out
-the others exactly, are compared in blocks where components differ, so that no link is lost to a region's size.
+also verified against the one with the fewest scarce shingles; pairs that share a scarce shingle are listed by it, and other
+pairs of different components are compared in blocks where counts of scarce shingles do not rule a link out exactly. So no
+link is lost to a region's size.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ TREES, DEPTH = 20, 4
 VALUES, AGREE = TREES * DEPTH, 48
 #: Members of a small region, next neighbours taken in a larger one, and rows of a block where regions are compared whole.
 SMALL, NEXT, BLOCK = 8, 3, 2_048
+#: A shingle that at most so many members of large regions have is scarce.
+SCARCE = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -187,12 +190,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(tidy(hold), "u long, v long")
 
 
-def own_shingles(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """large(key, rep) → (key, rep, size, own, least): the sizes of the members' sets, how many of their shingles no other member
-    of any large region has, and the region's fewest.
+def scarce_shingles(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """large(key, rep) → (key, rep, size, own, centre) and (a, b).
 
-    Members x and y have at most size_x - own_x shingles in common and at least size_x + own_y together, so no link is
-    possible where the first is below `percent` of the second, in either direction.
+    A shingle is scarce if at most SCARCE members of large regions have it; own counts a member's. centre is the region's member
+    with the fewest. Two members without a scarce shingle in common share at most the smaller of their size - own. Those that have
+    one in common are listed, at most SCARCE**2 / 2 a shingle, and returned where the same bound plus their number allows a link.
     """
     members = large.select("rep").distinct()
 
@@ -203,11 +206,19 @@ def own_shingles(large: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets_ or [np.zeros(0, np.uint64)]).view(np.int64)), pa.array(rows)], ["shingle", "rep"])
 
     held = members.join(sets.withColumnRenamed("row", "rep"), "rep")
-    alone = held.select("set", "rep").mapInArrow(tidy(run), "shingle long, rep long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
-    own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    rows = held.select("set", "rep").mapInArrow(tidy(run), "shingle long, rep long")
+    few = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= SCARCE)
+    scarce, _ = materialize(rows.join(few, "shingle"))
+    own = scarce.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     sizes, _ = materialize(held.select("rep", (F.octet_length("set") / 6).cast("long").alias("size")).join(own, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")))
-    rows = large.select("key", "rep").join(sizes, "rep")
-    return materialize(rows.join(rows.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("centre")), "key"))[0]
+    lists = scarce.where("c > 1").groupBy("shingle").agg(F.sort_array(F.collect_list("rep")).alias("l"))
+    pair = F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
+    pairs = lists.select(pair.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("k"))
+    side = lambda x: sizes.select(F.col("rep").alias(x), F.col("size").alias(f"s{x}"), (F.col("size") - F.col("own")).alias(f"c{x}"))
+    both = F.least("ca", "cb") + F.col("k")
+    linked = pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(100) * both >= F.lit(percent) * (F.col("sa") + F.col("sb") - both)).select("a", "b")
+    placed = large.select("key", "rep").join(sizes, "rep")
+    return materialize(placed.join(placed.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("centre")), "key"))[0], linked
 
 
 def possible(size: str, own: str, other: str, percent: int):
@@ -217,9 +228,10 @@ def possible(size: str, own: str, other: str, percent: int):
 def remaining(placed: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """Candidate pairs (a, b) between different components of one large region, or None if there can be none.
 
-    Members whose own shingles rule out a link with the region's most ordinary member have no link there at all. Of the
-    others, the largest component's are compared with the rest only; both sides go in blocks, and only pairs whose
-    signatures agree and whose own shingles allow a link leave a block."""
+    Only pairs without a scarce shingle in common are asked for (see scarce_shingles). Members whose own scarce shingles rule out
+    a link with the region's most ordinary member have none there. Of the others, the largest component's are compared with the
+    rest only; both sides go in blocks, and a pair leaves a block if its signatures agree, the bound allows a link, and no
+    earlier tree has the pair in a region."""
     open_ = placed.where(possible("size", "own", "centre.own", percent))
     open_ = open_.join(comps.withColumnRenamed("u", "rep"), "rep", "left").select("key", "rep", "size", "own", F.coalesce("v", "rep").alias("comp"))
     per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -238,11 +250,13 @@ def remaining(placed: DataFrame, comps: DataFrame, classes: DataFrame, percent:
         out = [np.zeros((0, 2), np.int64)]
         if len(left) and len(right):
             x, y = (np.frombuffer(b"".join(p["sig"]), np.uint16).reshape(len(p), VALUES) for p in (left, right))
+            tree = int(left["key"].iloc[0]) & 31
+            px, py = x.view(np.uint64)[:, :tree], y.view(np.uint64)[:, :tree]
             (cx, rx, sx, ox), (cy, ry, sy, oy) = ([p[c].to_numpy() for c in ("comp", "rep", "size", "own")] for p in (left, right))
             for i in range(len(x)):
-                may = (cy != cx[i]) & (100 * (sx[i] - ox[i]) >= percent * (sx[i] + oy)) & (100 * (sy - oy) >= percent * (sy + ox[i]))
-                j = np.flatnonzero(may)
-                j = j[(y[j] == x[i]).sum(1) >= AGREE]
+                both = np.minimum(sx[i] - ox[i], sy - oy)
+                j = np.flatnonzero((cy != cx[i]) & (100 * both >= percent * (sx[i] + sy - both)))
+                j = j[((y[j] == x[i]).sum(1) >= AGREE) & ~(py[j] == px[i]).any(1)]
                 out.append(np.stack([np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])], 1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
@@ -256,7 +270,7 @@ def groups(base: DataFrame, shingle: int, percent: int) -> DataFrame:
     pairs, large = candidates(classes)
     ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(large.select("rep")).distinct()
     sets = full_sets(base, ids, shingle)
-    placed = own_shingles(large, sets)
+    placed, scarce = scarce_shingles(large, sets, percent)
     # first each document's two best neighbours, and the most ordinary member of its large regions
     ways = pairs.union(pairs.select("b", "a", "agree"))
     best = ways.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))).where("k <= 2").select("a", "b")
@@ -265,7 +279,7 @@ def groups(base: DataFrame, shingle: int, percent: int) -> DataFrame:
     first, _ = materialize(verify(tried, sets, percent))
     comps = components(first)
     c = lambda x: comps.select(F.col("u").alias(x), F.col("v").alias(f"c{x}"))
-    open_pairs = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    open_pairs = pairs.select("a", "b").union(scarce).distinct().join(c("a"), "a", "left").join(c("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     rest = remaining(placed, comps, classes, percent)
     open_pairs = (open_pairs.union(rest).distinct() if rest is not None else open_pairs).join(tried, ["a", "b"], "left_anti")
     open_pairs, _ = materialize(open_pairs)
