@@ -6,7 +6,7 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitspark.llm import decontaminate, neardup, packing, quality, substring
@@ -16,10 +16,16 @@ from orbitspark.llm.common import materialize
 LEAST_SCORE = 0.5
 
 
+def _others(docs: DataFrame) -> Column:
+    """All columns but the text as one struct, whose names then clash with none."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality network rejects."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= LEAST_SCORE).drop("score")
+    scored = quality.score(docs.select(_others(docs), "text"), model, ["others", "text"])
+    return scored.where(F.col("score") >= LEAST_SCORE).select(*(F.col("text" if c == "text" else f"others.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its repeated 35-word windows; n_chars follows. A document of which nothing is left keeps its row."""
-    kept = substring.remove_repeats(docs, 35, texts=True, keep=[c for c in docs.columns if c != "text"])
-    out = kept.withColumnRenamed("kept_text", "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    """Every document without its repeated 35-word windows; n_chars follows. A document of which nothing is left keeps
+    its row; a null text becomes empty."""
+    out = substring.removed(docs, 35, True, [c for c in docs.columns if c != "text"])
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text")}
+    return out.select(*((new[c].cast(t) if c in new else F.col(f"kept.`{c}`")).alias(c) for c, t in docs.dtypes))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

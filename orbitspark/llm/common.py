@@ -204,6 +204,7 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
 
 def ngram_hash(values: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """Hashes of all n-item windows of values; the same as range_hash's of those ranges."""
+    n = int(n)
     k = max(0, len(values) - n + 1)
     up, down = powers(len(values) + 1)
     acc = np.zeros(len(values) + 1, np.uint64)

@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     and no links. Repeated rows are copies of each other: rows that share the smallest id are all kept. A null id takes the
     place of the largest. Columns beyond these two are not read; an empty table gives an empty one.
     """
-    base = row_ids(docs, ordered=True)
+    base = row_ids(docs.select("doc_id", "text"), ordered=True)
     named = groups(base, shingle, percent)
     if not base.where(~F.col("row").eqNullSafe(F.col("doc_id"))).limit(1).count():
         return named.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("row") == F.col("root")).alias("kept"))
@@ -309,9 +309,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, without those whose component has a row of a smaller id (or text, where ids are equal).
     Documents without words have no links and stay."""
-    base = row_ids(docs.drop("row"), ordered=True)
+    base = row_ids(docs.select(F.struct("*").alias("whole"), "doc_id", "text"), ordered=True)
     first = groups(base, shingle, percent).where("row = root").select("row")
-    return base.join(first, "row", "left_semi").select(*docs.drop("row").columns)
+    return base.join(first, "row", "left_semi").select("whole.*")
 
 
 def op4_neardup(spark, sf_dir: str) -> DataFrame:

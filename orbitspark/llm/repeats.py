@@ -33,10 +33,11 @@ def bucket_count(elements: float) -> int:
 
 
 def row_ids(docs: DataFrame, key: str = "doc_id", ordered: bool = False) -> DataFrame:
-    """docs plus `row`, a long that tells rows apart and is the same whenever docs is read: the key where it is unique and
-    never null, else a running number that is written down with the rows. ordered: it grows with the key, then the text, and
+    """docs plus `row`, a long that tells rows apart and is the same whenever docs is read: the key where it is a unique whole
+    number and never null, else a running number that is written down with the rows. ordered: it grows with the key, then the text, and
     null keys come last."""
-    if docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
+    whole = dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
+    if not whole or docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
         if ordered:
             docs = docs.orderBy(F.col(key).asc_nulls_last(), "text")
         return materialize(docs.withColumn("row", F.monotonically_increasing_id()))[0]

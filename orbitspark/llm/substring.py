@@ -102,12 +102,19 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = False, keep:
 
     A word goes if some window over it occurs anywhere else, in another document or the same one. A null or empty text has
     no words; a text shorter than the window keeps all. Repeated rows are rows like others, so they remove each other.
-    Columns beyond `keep` are not read; an empty table gives an empty one.
+    Columns beyond `keep` are not read; columns of `keep` that bear a result's name give way to it. An empty table gives an
+    empty one.
     """
-    keep = keep or ["doc_id"]
+    names = ["n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else [])]
+    out = removed(docs, window, texts, keep or ["doc_id"])
+    return out.select(*(F.col(f"kept.`{c}`") for c in keep or ["doc_id"] if c not in names), *names)
+
+
+def removed(docs: DataFrame, window: int, texts: bool, keep: list[str]) -> DataFrame:
+    """remove_repeats with the columns of keep as one struct, `kept`, so that their names are free."""
     _, total = totals(docs)
-    base = row_ids(docs)
-    packed = packed_text(base, list(dict.fromkeys(["row", *keep])))
+    base = row_ids(docs.select(F.struct(*keep).alias("kept"), "doc_id", "text"))
+    packed = packed_text(base, ["row", "kept"])
     ranges = repeated_windows(base, packed.select("row", "z"), window, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +141,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = False, keep:
                     sha.append(hashlib.sha256(mine).hexdigest())
                     if texts:
                         kept_texts.append((mine if removed[-1] else part[po[i] : po[i + 1]].tobytes()).decode("utf-8", "replace"))
-            cols = [*(batch.column(c) for c in keep), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), *([pa.array(kept_texts)] if texts else [])]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else [])])
+            cols = [batch.column("kept"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), *([pa.array(kept_texts)] if texts else [])]
+            yield pa.RecordBatch.from_arrays(cols, ["kept", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else [])])
 
     kinds = dict(packed.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+    schema = f"kept {kinds['kept']}" + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
     return with_ranges(packed, ranges).mapInArrow(tidy(run), schema)
 
 

@@ -235,7 +235,7 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
     documents of their own; a null id counts as the largest. Other columns are not read; an empty table gives an empty one.
     """
     _, total = totals(docs)
-    base = row_ids(docs, ordered=True)
+    base = row_ids(docs.select("doc_id", "text"), ordered=True)
     packed = packed_text(base, ["row", "doc_id"])
     found = repeated(seeds(base, window, bucket_count(total * 0.06)), brief=True)
     runs_ = candidate_runs(with_ranges(packed.select("row", "z"), found), window, bucket_count(total * 0.02))
