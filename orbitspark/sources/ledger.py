@@ -73,17 +73,17 @@ def publish(df: DataFrame, path: str) -> str:
     df.write.parquet(version)
     Path = jvm.org.apache.hadoop.fs.Path
     fs = Path(path).getFileSystem(conf)
-    new = Path(f"{path}/_CURRENT.{uuid.uuid4().hex}")
+    new = Path(f"{path}/current.pointer.{uuid.uuid4().hex}")
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(Path(f"{path}/_CURRENT"), False)
-    fs.rename(new, Path(f"{path}/_CURRENT"))
+    fs.delete(Path(f"{path}/current.pointer"), False)
+    fs.rename(new, Path(f"{path}/current.pointer"))
     return version
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.text(f"{path}/_CURRENT").first()[0]
+    version = spark.read.text(f"{path}/current.pointer").first()[0]
     return spark.read.parquet(version)
 
 
