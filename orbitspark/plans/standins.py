@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, names, orbit
+from ..functions import dates, names, orbit, propagate, text
 from ..operators import compare, fuzzy, mutations, relational
-from . import metrics
+from ..sources import delimited, documents, ledger
+from ..streaming import rollup
+from . import identity, metrics, reports
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -214,14 +216,14 @@ def v15_fleet_drag(spark, d):
 
 
 def _weather(spark, d) -> DataFrame:
-    """A row of indices a day, made from the orders of 2001."""
-    o = table(spark, d, "orders").where("o_orderdate >= timestamp '2001-01-01'").select("o_orderkey", F.to_date("o_orderdate").alias("sw_date"), (F.floor("o_totalprice") % 91).cast("int").alias("k"))
+    """A row of indices a day, made from its orders."""
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("sw_date"), (F.floor("o_totalprice") % 91).cast("int").alias("k"))
     x = [((F.col("k") * i) % 91).cast("int").alias(f"kp{i}") for i in range(1, 9)] + [((F.col("k") + i) % 400).cast("int").alias(f"ap{i}") for i in range(1, 9)]
     n = F.lit(None).cast("double")
     return o.select("sw_date", F.col("o_orderkey").cast("int").alias("bsrn"), *x, F.col("k").alias("kp_sum"), F.col("k").alias("ap_avg"), F.col("k").alias("isn"), n.alias("f107_obs"), n.alias("f107_adj"), n.alias("f107_obs_center81"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("f107_data_type"))
 
 
-@query("""with o as (select o_orderkey, cast(o_orderdate as date) as sw, cast(floor(o_totalprice) % 91 as integer) as k from orders where o_orderdate >= timestamp '2001-01-01'),
+@query("""with o as (select o_orderkey, cast(o_orderdate as date) as sw, cast(floor(o_totalprice) % 91 as integer) as k from orders),
 f as (select * from (select *, row_number() over (partition by sw order by lpad(o_orderkey::varchar, 12, '0')) as rn from o) where rn = 1),
 g as (select *, greatest(k % 91, (k*2) % 91, (k*3) % 91, (k*4) % 91, (k*5) % 91, (k*6) % 91, (k*7) % 91, (k*8) % 91) as kp from f)
 select sw as "day", o_orderkey::integer as bsrn, kp / 10.0::double as kp_max, k as kp_sum, k as ap_avg, ((k + 8) % 400)::integer as ap_max, case when kp >= 90 then 'G5' when kp >= 80 then 'G4' when kp >= 70 then 'G3' when kp >= 60 then 'G2' when kp >= 50 then 'G1' end as storm_level from g""")
@@ -282,34 +284,37 @@ def v22_rule_cascade(spark, d):
     return relational.first_rule_wins([t1, t2, t3], ["c_custkey"])
 
 
+def _launched(df: DataFrame, key: str, name: str, step: int) -> DataFrame:
+    day = F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col(key) * step % 3000).cast("int"))
+    return df.select(F.col(key), F.lower(name).alias("name"), day.alias("launch_date"), F.lit("UNKNOWN").alias("regime"), F.lit(None).cast("string").alias("country"))
+
+
 @query(None)
 def v23_fuzzy_match(spark, d):
-    """Parts' names as probes of other parts' names, launched on made-up days: scored, gated, decided. Gestalt similarity has no SQL."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand")
-    day = F.date_add(F.lit(dt.date(2000, 1, 1)), F.col("p_partkey").cast("int") % 3000)
-    base = p.select("p_partkey", F.col("p_name").alias("name"), day.alias("launch_date"), F.when(F.col("p_size") > 25, "LEO").when(F.col("p_size") > 10, "GEO").otherwise("UNKNOWN").alias("regime"), F.lit(None).cast("string").alias("country"))
-    probes = base.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "probe_key")
-    return fuzzy.best_match(fuzzy.score(fuzzy.candidate_pairs(probes, base.where("p_partkey % 10 <> 0").withColumnRenamed("p_partkey", "satellite_id")))).select("probe_key", "satellite_id", "name_sim", "launch_days", "score", "decision")
-
-
-@query("""with p as (select p_partkey, lower(p_name) as n, date '2000-01-01' + cast(p_partkey % 3000 as integer) as l from part),
-j as (select a.p_partkey as probe_key, b.p_partkey as satellite_id, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) as sim, abs(a.l - b.l) as dd from p a join p b on a.p_partkey % 10 = 0 and b.p_partkey % 10 <> 0 and abs(a.l - b.l) <= 30),
-s as (select *, (0.6 * sim + 0.25 * (1.0 - dd / 30)) / 0.85 as score from j)
-select probe_key, satellite_id, round(score, 9) as score, case when score >= 0.92 then 'auto' when score >= 0.75 then 'review' else 'unmatched' end as decision from (select *, row_number() over (partition by probe_key order by round(score, 9) desc, satellite_id) as rn from s) where rn = 1""")
+    """Customers as probes of suppliers, launched on made-up days: scored, gated, decided. Gestalt similarity has no SQL."""
+    probes = _launched(table(spark, d, "customer"), "c_custkey", "c_name", 7).withColumnRenamed("c_custkey", "probe_key")
+    cands = _launched(table(spark, d, "supplier"), "s_suppkey", "s_name", 31).withColumnRenamed("s_suppkey", "satellite_id")
+    return fuzzy.best_match(fuzzy.score(fuzzy.candidate_pairs(probes, cands))).select("probe_key", "satellite_id", "name_sim", "launch_days", "score", "decision")
+
+
+@query("""with a as (select c_custkey as k, lower(c_name) as n, date '2000-01-01' + cast(c_custkey * 7 % 3000 as integer) as l from customer), b as (select s_suppkey as k, lower(s_name) as n, date '2000-01-01' + cast(s_suppkey * 31 % 3000 as integer) as l from supplier),
+j as (select a.k as probe_key, b.k as satellite_id, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) as sim, abs(a.l - b.l) as dd from a join b on abs(a.l - b.l) <= 30),
+s as (select *, round((0.6 * sim + 0.25 * (1.0 - dd / 30)) / 0.85, 9) as score from j)
+select probe_key, satellite_id, score, case when score >= 0.92 then 'auto' when score >= 0.75 then 'review' else 'unmatched' end as decision from (select *, row_number() over (partition by probe_key order by score desc, satellite_id) as rn from s) where rn = 1""")
 def v23_fuzzy_match_edit(spark, d):
     """The same program with edit distance for the name signal, which both engines have."""
-    p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"), F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("p_partkey") % 3000).cast("int")).alias("launch_date"), F.lit("UNKNOWN").alias("regime"), F.lit(None).cast("string").alias("country"))
-    pairs = fuzzy.candidate_pairs(p.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "probe_key"), p.where("p_partkey % 10 <> 0").withColumnRenamed("p_partkey", "satellite_id"))
+    probes = _launched(table(spark, d, "customer"), "c_custkey", "c_name", 7).withColumnRenamed("c_custkey", "probe_key")
+    cands = _launched(table(spark, d, "supplier"), "s_suppkey", "s_name", 31).withColumnRenamed("s_suppkey", "satellite_id")
     edit = lambda a, b: 1 - F.levenshtein(F.col("probe_name"), F.col("candidate_name")) / F.greatest(F.length("probe_name"), F.length("candidate_name"))
-    scored = fuzzy.score(pairs, name_similarity=edit).withColumn("score", F.round("score", 9))
+    scored = fuzzy.score(fuzzy.candidate_pairs(probes, cands), name_similarity=edit).withColumn("score", F.round("score", 9))
     return fuzzy.best_match(scored).select("probe_key", "satellite_id", "score", "decision")
 
 
-@query("""with p as (select c_custkey as k, c_nationkey as n, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')) as nm from customer where c_custkey % 7 = 0), a as (select s_suppkey as k, s_nationkey as n from supplier)
+@query("""with p as (select c_custkey as k, c_nationkey as n, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')) as nm from customer), a as (select s_suppkey as k, s_nationkey as n from supplier)
 select p.k as provisional_id, min(a.k) as anchored_id, (min(a.k) % 2 = 0) as merged from p join a on a.n = p.n group by p.k having count(distinct a.k) = 1""")
 def v24_promotion(spark, d):
     """Provisional entities that share a designator with exactly one anchored one, and the gate's decision."""
-    p = table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("provisional_id"), F.col("c_nationkey").alias("n"), F.col("c_name").alias("pn"))
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("provisional_id"), F.col("c_nationkey").alias("n"), F.col("c_name").alias("pn"))
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("anchored_id"), F.col("s_nationkey").alias("n"))
     one = p.join(a, "n").groupBy("provisional_id").agg(F.min("anchored_id").alias("anchored_id"), F.count_distinct("anchored_id").alias("c"), F.first("pn").alias("pn")).where("c = 1")
     placeholder = F.when(F.col("anchored_id") % 2 == 0, F.lit("X OBJECT A")).otherwise(F.lit("other"))
@@ -398,13 +403,14 @@ def v31_display_mode(spark, d):
     return p.groupBy("slug").agg(F.expr("mode() within group (order by p_name)").alias("display"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""with e as (select c_mktsegment as nm, min(c_custkey) as id, count(*) as c from customer where c_custkey < 200 group by c_mktsegment, c_nationkey), u as (select nm, min(id) as id from (select c_name as nm, c_custkey as id from customer union all select c_name, c_custkey from customer where c_custkey % 5 = 0) group by nm having count(*) = 1)
+@query("""with u as (select nm, min(id) as id from (select c_name as nm, c_custkey as id from customer union all select c_name, c_custkey from customer where c_acctbal < 0) group by nm having count(*) = 1)
 select c_custkey, u.id as satellite_id from customer join u on u.nm = c_name""")
 def v33_unique_name(spark, d):
     """Grants whose name is that of exactly one entity."""
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("nm"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("nm"), "c_acctbal")
     right = c.select("nm", F.col("c_custkey").alias("satellite_id"))
-    return relational.unique_matches(c, right.unionByName(right.where("satellite_id % 5 = 0")), "nm", "satellite_id").select("c_custkey", "satellite_id")
+    twins = c.where("c_acctbal < 0").select("nm", F.col("c_custkey").alias("satellite_id"))
+    return relational.unique_matches(c, right.unionByName(twins), "nm", "satellite_id").select("c_custkey", "satellite_id")
 
 
 # ------------------------------------------------------------------ joins, windows, sorts, sets
@@ -510,13 +516,13 @@ def f10_three_valued(spark, d):
     return table(spark, d, "lineitem").select(c.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.count_if("c").alias("yes"), F.count_if(~F.col("c")).alias("no_"), F.count_if(F.col("c").isNull()).alias("open_"))
 
 
-@query("""with a as (select c_mktsegment as slug, count(*)::varchar as n, max(c_nationkey)::varchar as top from customer where c_custkey % 2 = 0 and c_mktsegment <> 'MACHINERY' group by 1), b as (select c_mktsegment as slug, count(*)::varchar as n, max(c_nationkey)::varchar as top from customer where c_custkey % 3 = 0 and c_mktsegment <> 'BUILDING' group by 1)
+@query("""with a as (select c_mktsegment as slug, count(*)::varchar as n, max(c_nationkey)::varchar as top from customer where c_acctbal > 3000 and c_mktsegment <> 'MACHINERY' group by 1), b as (select c_mktsegment as slug, count(*)::varchar as n, max(c_nationkey)::varchar as top from customer where c_acctbal < 6000 and c_mktsegment <> 'BUILDING' group by 1)
 select slug, 'vanished' as change, null::varchar as metric, null::varchar as before, null::varchar as after from a where slug not in (select slug from b) union all select slug, 'appeared', null, null, null from b where slug not in (select slug from a)
 union all select slug, 'changed', 'n', a.n, b.n from a join b using (slug) where a.n is distinct from b.n union all select slug, 'changed', 'top', a.top, b.top from a join b using (slug) where a.top is distinct from b.top""")
 def x3_diff(spark, d):
     c = table(spark, d, "customer")
     board = lambda df: df.groupBy(F.col("c_mktsegment").alias("slug")).agg(F.count(F.lit(1)).alias("n"), F.max("c_nationkey").alias("top"))
-    return compare.diff(board(c.where("c_custkey % 2 = 0 and c_mktsegment <> 'MACHINERY'")), board(c.where("c_custkey % 3 = 0 and c_mktsegment <> 'BUILDING'")), "slug", ["n", "top"])
+    return compare.diff(board(c.where("c_acctbal > 3000 and c_mktsegment <> 'MACHINERY'")), board(c.where("c_acctbal < 6000 and c_mktsegment <> 'BUILDING'")), "slug", ["n", "top"])
 
 
 @query("select 'k' as kind, n_name as slug from nation where n_nationkey % 3 <> 0 and n_nationkey % 4 <> 1")
@@ -585,13 +591,13 @@ def w_ranks(spark, d):
 
 
 # ------------------------------------------------------------------ mutations
-_HALVES = "old as (select o_custkey as k, max(o_totalprice) as price, min(o_orderkey) as ref from orders where o_orderdate < timestamp '1998-06-01' group by 1), new as (select o_custkey as k, max(o_totalprice) as price, min(o_orderkey) as ref from orders where o_orderdate >= timestamp '1998-06-01' and o_custkey % 3 <> 0 group by 1)"
+_HALVES = "old as (select o_custkey as k, max(o_totalprice) as price, min(o_orderkey) as ref from orders where o_orderdate < timestamp '1998-06-01' group by 1), new as (select o_custkey as k, max(o_totalprice) as price, min(o_orderkey) as ref from orders where o_orderdate >= timestamp '1998-06-01' and o_orderstatus <> 'F' group by 1)"
 
 
 def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
     o = table(spark, d, "orders")
     agg = lambda df: df.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("price"), F.min("o_orderkey").alias("ref"))
-    return agg(o.where("o_orderdate < timestamp_ntz '1998-06-01'")), agg(o.where("o_orderdate >= timestamp_ntz '1998-06-01' and o_custkey % 3 <> 0"))
+    return agg(o.where("o_orderdate < timestamp_ntz '1998-06-01'")), agg(o.where("o_orderdate >= timestamp_ntz '1998-06-01' and o_orderstatus <> 'F'"))
 
 
 @query(f"with {_HALVES} select * from old union all select * from new where k not in (select k from old)")
@@ -676,3 +682,251 @@ def v44_overview(spark, d):
     o = table(spark, d, "orders")
     n = F.count(F.lit(1))
     return o.agg(n.alias("rows_n"), F.count_distinct("o_custkey").alias("customers"), orbit.percent(F.count_if(F.col("o_orderstatus") == "O"), n).alias("open_pct"), F.max(F.to_date("o_orderdate")).alias("newest"))
+
+
+# ------------------------------------------------------------------ more programs
+@query("""with own as (select o_custkey as satellite_id, min(o_orderkey) as sk from orders group by 1), st as (select o_custkey as satellite_id, o_orderstatus as s from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders) where rn = 1),
+life as (select o_custkey as satellite_id, min(cast(o_orderdate as date)) as l, max(cast(o_orderdate as date)) as d from orders group by 1)
+select c_custkey as satellite_id, c_mktsegment as product, n_name as maker, case s when 'O' then 'ACTIVE' when 'F' then 'DECAYED' else 'UNKNOWN' end as canonical_status, case when s = 'F' and d >= l then (d - l)::integer end as lifetime_days, sk is not null as has_source
+from customer left join nation on n_nationkey = c_nationkey left join own on own.satellite_id = c_custkey left join st on st.satellite_id = c_custkey left join life on life.satellite_id = c_custkey""")
+def v13_entity_products(spark, d):
+    """One row per entity: product, maker, newest status and the lifetime of what has decayed."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("on"), "o_orderdate")
+    st = relational.latest_per_key(o, ["k"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).select("k", F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "F", "DECAYED").otherwise("UNKNOWN").alias("s"))
+    life = o.groupBy("k").agg(F.min("on").alias("l"), F.max("on").alias("d"), F.min("o_orderkey").alias("sk"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("product"), F.col("c_nationkey").alias("n_nationkey"))
+    j = c.join(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("maker")), "n_nationkey", "left").join(st, "k", "left").join(life, "k", "left")
+    return j.select(F.col("k").alias("satellite_id"), "product", "maker", F.coalesce("s", F.lit("UNKNOWN")).alias("canonical_status"), dates.lifetime_days(F.col("s"), F.col("l"), F.col("d")).alias("lifetime_days"), F.col("sk").isNotNull().alias("has_source"))
+
+
+@query("""with e as (select c_custkey as k, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '-', 'g')) as base, c_mktsegment as code from customer), n as (select *, row_number() over (partition by code order by k) as rn from e)
+select code as name, count(*)::bigint as n, min(k) as first_k from n group by 1""")
+def v30_groups(spark, d):
+    c = table(spark, d, "customer")
+    return c.groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_k"))
+
+
+@query("""with p as (select item_id, string_split(text, ' ') as w from benchmark) select item_id, len(w)::integer as words, regexp_matches(' ' || array_to_string(w, ' ') || ' ', '[^0-9.]' || '12' || '[^0-9.]') as supported from p""")
+def v34_support(spark, d):
+    """Whether a number stands on a page as a token of its own."""
+    b = table(spark, d, "benchmark")
+    return b.select("item_id", F.size(F.split("text", " ")).alias("words"), text.page_supports_text(F.col("text"), F.lit("12")).alias("supported"))
+
+
+@query(None)
+def v34_form_blocks(spark, d):
+    """Repeated labelled blocks of paged reports, each field with its page: reports made from order lines, three pages each."""
+    line = F.concat(F.lit("Inclination Angle "), F.col("l_discount") * 100, F.lit("\nApogee "), F.col("l_quantity"))
+    pages = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("t")).groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "t"))), lambda s: s["t"]).alias("pages"))
+    return documents.labelled_groups(pages, "l_orderkey", r"(Inclination Angle|Apogee) ([\d.]+)", {"Inclination Angle": "inclination_deg", "Apogee": "apogee_km"})
+
+
+@query("""select stratum, c_custkey, c_acctbal from (select case when c_acctbal < 0 then 'negative' when c_acctbal > 9000 then 'high' else 'plain' end as stratum, c_custkey, c_acctbal, row_number() over (partition by case when c_acctbal < 0 then 'negative' when c_acctbal > 9000 then 'high' else 'plain' end order by c_acctbal, c_custkey) as rn from customer) where rn <= 12""")
+def v35_strata(spark, d):
+    """The first cases of each stratum, in a total order."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_acctbal") < 0, "negative").when(F.col("c_acctbal") > 9000, "high").otherwise("plain").alias("stratum"))
+    w = Window.partitionBy("stratum").orderBy("c_acctbal", "c_custkey")
+    return c.withColumn("rn", F.row_number().over(w)).where("rn <= 12").select("stratum", "c_custkey", "c_acctbal")
+
+
+@query("""select count(*)::bigint as entities, round(100.0 * count(o.k) / count(*), 1)::double as owner_pct, round(100.0 * count(s.k) / count(*), 1)::double as status_pct, 100.0::double as launch_pct from customer left join (select distinct o_custkey as k from orders where o_orderstatus = 'O') o on o.k = c_custkey left join (select distinct o_custkey as k from orders) s on s.k = c_custkey""")
+def v37_coverage(spark, d):
+    o = table(spark, d, "orders")
+    sat = table(spark, d, "customer").select(F.col("c_custkey").alias("satellite_id"), F.lit(_AS_OF).alias("launch_date"))
+    own = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("satellite_id"), F.lit(None).cast("date").alias("valid_to"))
+    return reports.coverage(sat, own, o.select(F.col("o_custkey").alias("satellite_id"))).select("entities", *(F.round(c, 1).alias(c) for c in ("owner_pct", "status_pct", "launch_pct")))
+
+
+@query("""with c as (select o_custkey as satellite_id, o_orderpriority as source, strftime(o_orderdate, '%Y-%m-%d') as v from orders), p as (select satellite_id, source || '=' || v as s, v from c) select satellite_id, count(distinct v)::bigint as values_n, string_agg(distinct s, '; ' order by s) as claims from p group by 1 having count(distinct v) > 1""")
+def v37_date_conflicts(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("satellite_id"), F.col("o_orderpriority").alias("source"), F.lit("decay_date").alias("attribute"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value"))
+    return reports.date_conflicts(o)
+
+
+@query(f"""with {_DAILY}, m as (select *, max("day") over (partition by user_id) as mx from daily), p as (select user_id, avg(value_avg) filter (where "day" > mx - 14) as ra, avg(value_avg) filter (where "day" <= mx - 14 and "day" > mx - 28) as ba from m group by 1)
+select case when user_id % 7 = 0 then 'deorbited' when ra between 45 and 55 then 'at_shell' when ra > ba then 'raising' else 'other' end as state, count(*)::bigint as n from p group by 1""")
+def v39_milestone(spark, d):
+    """Where a fleet stands against its shell, in parts that add up."""
+    days = events_daily(spark, d)
+    m = metrics.milestone(days, "user_id", 45.0, 55.0)
+    state = F.when(F.col("user_id") % 7 == 0, "deorbited").otherwise(F.col("state"))
+    return m.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {_DAILY}, m as (select *, max("day") over (partition by user_id) as mx from daily), p as (select user_id, avg(value_avg) filter (where "day" > mx - 14) as ra, avg(value_avg) filter (where "day" <= mx - 14 and "day" > mx - 28) as ba from m group by 1),
+s as (select case when user_id % 7 = 0 then 'deorbited' when ra between 45 and 55 then 'at_shell' when ra > ba then 'raising' else 'other' end as state from p)
+select count(*)::bigint as deployed, count(*) filter (where state = 'at_shell')::bigint as at_shell, count(*) filter (where state = 'raising')::bigint as raising, count(*) filter (where state = 'other')::bigint as other, count(*) filter (where state = 'deorbited')::bigint as deorbited from s""")
+def v38_deployment(spark, d):
+    m = metrics.milestone(events_daily(spark, d), "user_id", 45.0, 55.0)
+    status = m.select(F.col("user_id").alias("satellite_id"), F.when(F.col("user_id") % 7 == 0, "DECAYED").otherwise("ACTIVE").alias("canonical_status"))
+    return reports.deployment_partition(m, status, "user_id")
+
+
+@query("""with l as (select user_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id) as rn from events) where rn = 1) select 'op' || (user_id % 5) as operator, count(*)::bigint as n, round(avg(value), 9) as avg_alt_km from l where value < 60 and user_id % 2 = 0 group by 1""")
+def v38_lingering(spark, d):
+    last = metrics.latest_elements(table(spark, d, "events"), "user_id", "ts", "event_id").select(F.col("user_id").alias("norad_id"), F.col("value").alias("perigee_km"), F.col("value").alias("apogee_km"))
+    status = last.where("norad_id % 2 = 0").select("norad_id", F.lit("INACTIVE").alias("canonical_status"), F.concat(F.lit("op"), (F.col("norad_id") % 5).cast("string")).alias("operator"))
+    return r9(reports.lingering(last, status, below=60.0), "avg_alt_km")
+
+
+def _elements(spark, d) -> DataFrame:
+    """Element sets made from the newest event of each user."""
+    e = metrics.latest_elements(table(spark, d, "events"), "user_id", "ts", "event_id")
+    k = F.col("user_id")
+    return e.select(k.alias("norad_id"), F.lit(dt.datetime(2024, 1, 30)).alias("epoch"), (F.lit(15.0) + (k % 10) / 20).alias("mean_motion"), ((k % 7) / 1000.0).alias("eccentricity"), (F.lit(40.0) + k % 60).cast("double").alias("inclination"), (k * 37 % 360).cast("double").alias("ra_of_asc_node"), (k * 11 % 360).cast("double").alias("arg_of_pericenter"), (k * 73 % 360).cast("double").alias("mean_anomaly"))
+
+
+@query(None)
+def v40_visible(spark, d):
+    """Objects above ten degrees over a place. Propagation has no SQL."""
+    return propagate.visible_now(_elements(spark, d), dt.datetime(2024, 1, 30, 6), 52.0, 13.0)
+
+
+@query(None)
+def v40_passes(spark, d):
+    return propagate.passes(_elements(spark, d), dt.datetime(2024, 1, 30), 6, 52.0, 13.0, step_s=60)
+
+
+@query("""select n_nationkey::bigint as operator_id, n_name as canonical_name, count(*)::bigint as fleet_total, count(*) filter (where s <> 'F' or s is null)::bigint as fleet_on_orbit, count(*) filter (where s = 'O')::bigint as fleet_active from customer join nation on n_nationkey = c_nationkey
+left join (select o_custkey, o_orderstatus as s from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderpriority, o_orderkey) as rn from orders) where rn = 1) on o_custkey = c_custkey group by 1, 2 order by fleet_total desc, operator_id limit 10""")
+def v42_league(spark, d):
+    from .api import Engine
+
+    own = table(spark, d, "customer").select(F.col("c_custkey").alias("satellite_id"), F.col("c_nationkey").cast("long").alias("operator_id"), F.lit(None).cast("date").alias("valid_to"))
+    status = table(spark, d, "orders").select(F.col("o_custkey").alias("satellite_id"), F.when(F.col("o_orderstatus") == "F", "DECAYED").when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("INACTIVE").alias("canonical_status"), F.col("o_orderdate").alias("observed_at"), F.concat("o_orderpriority", F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("source"))
+    ops = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("operator_id"), F.col("n_name").alias("canonical_name"), F.lit(None).cast("long").alias("parent_id"))
+    return Engine({"satellite_operator": own, "status": status, "operator": ops, "elements": own}).query("operators", limit=10).select("operator_id", "canonical_name", "fleet_total", "fleet_on_orbit", "fleet_active")
+
+
+@query("select case_type, count(*)::bigint as labelled, count(*) filter (where verdict in ('correct', 'partial', 'wrong'))::bigint as gradable, round((count(*) filter (where verdict = 'correct') + 0.5 * count(*) filter (where verdict = 'partial'))::double / nullif(count(*) filter (where verdict in ('correct', 'partial', 'wrong')), 0), 9) as accuracy from (select o_orderpriority as case_type, case o_orderstatus when 'O' then 'correct' when 'F' then 'wrong' else 'partial' end as verdict from orders) group by rollup (case_type)".replace("select case_type,", "select coalesce(case_type, 'all') as case_type,"))
+def v45_verdicts(spark, d):
+    from .api import Engine
+
+    cases = table(spark, d, "orders").select(F.col("o_orderpriority").alias("case_type"), F.when(F.col("o_orderstatus") == "O", "correct").when(F.col("o_orderstatus") == "F", "wrong").otherwise("partial").alias("verdict"))
+    return r9(Engine({"gold_case": cases, "elements": cases}).query("verdicts"), "accuracy")
+
+
+@query(f"""with {_DAILY}, r as (select *, row_number() over (partition by user_id order by "day") as r from daily), b as (select user_id, quantile_cont(value_avg, 0.5) - 1 * greatest(stddev_pop(value_avg), 0.02) as lim from r where r <= 8 group by 1),
+j as (select r.*, lim, sum(case when value_avg < lim then 1 else 0 end) over (partition by user_id order by "day" rows between current row and 2 following) as low from r join b using (user_id)) select user_id, min("day") as departed from j where r > 8 and low >= 2 and value_avg < lim group by 1""")
+def v47_departures(spark, d):
+    """First day that a series leaves its early level for good."""
+    return reports.departures(events_daily(spark, d), "user_id", "day", "value_avg", base=8, sigmas=1.0, of=3, least=2)
+
+
+@query("""with s as (select o_custkey as k, strftime(o_orderdate, '%Y-%m') as ym, o_totalprice as p from orders) select ym as "month", 'orders' as kind, k::varchar as slug, count(*)::bigint as n from s where ym = '1998-03' group by all""")
+def u9_freeze(spark, d):
+    live = table(spark, d, "orders").where(dates.month_key(F.col("o_orderdate")) == "1998-03").groupBy(F.col("o_custkey").cast("string").alias("slug")).agg(F.count(F.lit(1)).alias("n"))
+    none = spark.createDataFrame([], "month string, kind string, slug string, payload string")
+    out = mutations.freeze_month(none, live, "1998-03", "orders")
+    return out.select("month", "kind", "slug", F.get_json_object("payload", "$.n").cast("long").alias("n"))
+
+
+@query("""select l_orderkey as file, l_linenumber::bigint as idx, l_quantity as value from lineitem""")
+def p6_unpivot(spark, d):
+    """Wide rows to long claims and back to one attribute."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    long = relational.unpivot(li, ["l_orderkey", "l_linenumber"], {"quantity": "l_quantity", "tax": "l_tax"})
+    return long.where("attribute = 'quantity'").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+
+
+@query("select p_partkey, pos::integer as pos, tok from (select p_partkey, unnest(string_split(p_name, ' ')) as tok, generate_subscripts(string_split(p_name, ' '), 1) as pos from part)")
+def p8_ordinal(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("p", "tok")).select("p_partkey", (F.col("p") + 1).alias("pos"), "tok")
+
+
+@query("select c_custkey, case when c_acctbal < 0 then 'low' when c_acctbal < 5000 then 'mid' else 'high' end as band, coalesce(nullif(c_mktsegment, 'MACHINERY'), 'other') as segment, c_acctbal between 0 and 100 as near_zero from customer")
+def p3_p5_case(spark, d):
+    b = F.col("c_acctbal")
+    return table(spark, d, "customer").select("c_custkey", F.when(b < 0, "low").when(b < 5000, "mid").otherwise("high").alias("band"), F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("MACHINERY")), F.lit("other")).alias("segment"), b.between(0, 100).alias("near_zero"))
+
+
+@query("select c_custkey from customer where c_nationkey in (1, 5, 7) and c_acctbal between 0 and 5000 and not (c_mktsegment is not distinct from 'BUILDING') and regexp_matches(c_name, '[02468]$')")
+def f3_f7_filters(spark, d):
+    c = table(spark, d, "customer")
+    return c.where(F.col("c_nationkey").isin(1, 5, 7) & F.col("c_acctbal").between(0, 5000) & ~F.col("c_mktsegment").eqNullSafe("BUILDING") & F.col("c_name").rlike("[02468]$")).select("c_custkey")
+
+
+@query("select user_id, count(*)::bigint as n from events where ts >= timestamp '2024-01-20' group by 1 having count(*) > 20")
+def f11_having(spark, d):
+    return table(spark, d, "events").where("ts >= timestamp_ntz '2024-01-20'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
+
+
+@query("with o as (select c_nationkey as parent, s_suppkey as child from customer join supplier on s_suppkey = c_custkey), e as (select distinct parent as org from o where parent < 5 union select child from o where parent < 5) select org::bigint as org from e")
+def j17_expanded_orgs(spark, d):
+    """An organisation and its children, one step down."""
+    o = table(spark, d, "customer").join(table(spark, d, "supplier").select("s_suppkey"), F.col("s_suppkey") == F.col("c_custkey")).where("c_nationkey < 5")
+    return o.select(F.col("c_nationkey").cast("long").alias("org")).union(o.select("s_suppkey")).distinct()
+
+
+@query("with a as (select o_custkey as k, o_orderstatus as v from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) rn from orders where o_orderkey % 2 = 0) where rn = 1), b as (select o_custkey as k, o_orderstatus as v from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) rn from orders where o_orderkey % 2 = 1) where rn = 1) select k, a.v as a_value, b.v as b_value from a join b using (k) where a.v <> b.v")
+def j18_two_sources(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"), "o_orderdate", "o_orderkey")
+    last = lambda df: relational.latest_per_key(df, ["k"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).select("k", "v")
+    return compare.two_source_conflicts(last(o.where("o_orderkey % 2 = 0")), last(o.where("o_orderkey % 2 = 1")), "k", "v")
+
+
+@query(f"""with {_DAILY}, d as (select user_id, "day", value_avg - lag(value_avg) over w as delta, lag("day") over w as pd from daily window w as (partition by user_id order by "day")) select user_id, "day", round(delta, 9) as delta from d where pd = "day" - 1""")
+def w2_consecutive(spark, d):
+    return r9(relational.consecutive_delta(events_daily(spark, d), "user_id", "day", "value_avg").select("user_id", "day", "delta"), "delta")
+
+
+@query("""with g as (select user_id, extract(hour from ts)::integer as h, max(value) as v from events group by 1, 2), u as (select *, h - row_number() over (partition by user_id order by h) as isl from g where v > 60) select user_id, min(h)::integer as rise, max(h)::integer as set_, max(v) as peak, count(*)::bigint as n from u group by user_id, isl""")
+def w10_segments(spark, d):
+    """Contiguous stretches of a grid where a value is high: rise, set and peak."""
+    g = table(spark, d, "events").groupBy("user_id", F.hour("ts").alias("h")).agg(F.max("value").alias("v")).where("v > 60")
+    isl = g.withColumn("isl", F.col("h") - F.row_number().over(Window.partitionBy("user_id").orderBy("h")))
+    return isl.groupBy("user_id", "isl").agg(F.min("h").alias("rise"), F.max("h").alias("set_"), F.max("v").alias("peak"), F.count(F.lit(1)).alias("n")).drop("isl")
+
+
+@query(None)
+def s15_page_facts(spark, d):
+    """Links, table cells and visible characters of raw pages."""
+    return documents.page_facts(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("select s_suppkey, case when s_suppkey % 4 = 0 then null else s_suppkey::varchar end as cell, try_cast(case when s_suppkey % 3 = 0 then 'x' || s_suppkey else ' ' || s_suppkey || ' ' end as bigint) as number from supplier")
+def s1_s3_cells(spark, d):
+    """Missing markers and tolerant casts of text cells."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, " - ").otherwise(F.col("s_suppkey").cast("string")).alias("c"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("x"), "s_suppkey")).otherwise(F.concat(F.lit(" "), "s_suppkey", F.lit(" "))).alias("n"))
+    return s.select("s_suppkey", delimited.missing(F.col("c")).alias("cell"), delimited.typed(F.col("n"), "long").alias("number"))
+
+
+@query("select o_custkey as ingest_run_id, o_orderkey, o_orderstatus as status from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) rn from orders) where rn = 1")
+def dm1_ledger_collapse(spark, d):
+    """One row per run from the events appended for it."""
+    o = table(spark, d, "orders")
+    return relational.latest_per_key(o, ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).select(F.col("o_custkey").alias("ingest_run_id"), "o_orderkey", F.col("o_orderstatus").alias("status"))
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderdate = (select max(o_orderdate) from orders where o_orderstatus = 'O') and o_orderstatus = 'O'")
+def f1_latest_run(spark, d):
+    """Rows of the newest finished run: a scalar first, then a filter by a literal, which prunes."""
+    o = table(spark, d, "orders")
+    newest = o.where("o_orderstatus = 'O'").agg(F.max("o_orderdate")).first()[0]
+    return o.where((F.col("o_orderdate") == F.lit(newest)) & (F.col("o_orderstatus") == "O")).select("o_orderkey", "o_custkey")
+
+
+@query(f"with {_DAILY} select user_id, \"day\", round(value_avg, 9) as value_avg, n from daily")
+def st1_stream_daily(spark, d):
+    """The daily rollup as a stream over the same files, run to its end in complete mode: the batch answer."""
+    import uuid
+
+    e = table(spark, d, "events")
+    stream = rollup.timed(spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*"), "ts", "60 days")
+    name = f"st1_{uuid.uuid4().hex}"
+    q = rollup.daily(stream, "user_id", "ts", "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return r9(spark.table(name).select("user_id", "day", "value_avg", "n"), "value_avg")
+
+
+@query("select user_id, ts, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id) as rn from events) where rn = 1")
+def st4_stream_latest(spark, d):
+    """Latest row per key as a stream, one row of state per key."""
+    import uuid
+
+    e = table(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*")
+    name = f"st4_{uuid.uuid4().hex}"
+    q = rollup.latest(stream, "user_id", "ts", "event_id", ["value"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -172,24 +173,38 @@ def scalars(reports: DataFrame, key: str, patterns: dict[str, str]) -> DataFrame
 
 
 def labelled_groups(reports: DataFrame, key: str, line: str, fields: dict[str, str]) -> DataFrame:
-    """Repeated blocks of labelled numbers: a label seen again opens the next block. key, block, then each field and its page.
+    """Repeated blocks of labelled numbers: a block closes when any of its labels comes again. key, block, source_page, then each
+    field and its page.
 
-    line: a pattern with the label and the number as groups, applied to every line of every page.
+    line: a pattern with the label and the number as groups. The state that closes a block is no window function's; a report is one
+    row, so it is read in one pass where it lies. Labels not in fields, and numbers that do not parse, are passed over.
     """
-    lines = reports.select(key, F.posexplode("pages").alias("_p", "_t")).select(key, "_p", F.posexplode(F.split("_t", "\n")).alias("_l", "_x"))
-    known = F.create_map(*(F.lit(x) for kv in fields.items() for x in kv))
-    got = lines.where(F.regexp_like("_x", F.lit(line))).select(key, "_p", "_l", F.try_element_at(known, F.trim(F.regexp_extract("_x", line, 1))).alias("field"), F.regexp_extract("_x", line, 2).try_cast("double").alias("v")).where("field is not null")
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A block closes when any of its labels comes again: a state that no window function keeps. A report is a few pages."""
-        pdf = pdf.sort_values(["_p", "_l"], ignore_index=True)
-        block, seen, out = 0, set(), []
-        for f in pdf["field"]:
-            if f in seen:
-                block, seen = block + 1, set()
-            seen.add(f)
-            out.append(block)
-        return pdf.assign(block=out)
-
-    rows = got.groupBy(key).applyInPandas(number, f"{key} {dict(got.dtypes)[key]}, _p int, _l int, field string, v double, block int")
-    cols = [c for f in fields.values() for c in (F.max(F.when(F.col("field") == f, F.col("v"))).alias(f), F.max(F.when(F.col("field") == f, F.col("_p") + 1)).alias(f"{f}_page"))]
-    return rows.groupBy(key, "block").agg(*cols, (F.min("_p") + 1).alias("source_page"))
+    names = list(fields.values())
+    columns = [key, "block", "source_page", *(c for f in names for c in (f, f"{f}_page"))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rx = re.compile(line)
+        for pdf in batches:
+            out = []
+            for k, pages in zip(pdf[key], pdf["pages"], strict=True):
+                block, now = 0, {}
+                for n, page in enumerate(pages if pages is not None else [], 1):
+                    for label, value in rx.findall(page or ""):
+                        f = fields.get(label.strip())
+                        try:
+                            v = float(value)
+                        except ValueError:
+                            continue
+                        if f is None:
+                            continue
+                        if f in now:
+                            out.append((k, block, now))
+                            block, now = block + 1, {}
+                        now[f] = (v, n)
+                if now:
+                    out.append((k, block, now))
+            rows = [(k, b, min(p for _, p in g.values()), *(x for f in names for x in g.get(f, (None, None)))) for k, b, g in out]
+            yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in columns if c.endswith("_page")} | {f: "float64" for f in names})
+
+    kinds = ", ".join(f"{f} double, {f}_page int" for f in names)
+    return reports.select(key, "pages").mapInPandas(run, f"{key} {dict(reports.dtypes)[key]}, block int, source_page int, {kinds}")
