@@ -1,8 +1,8 @@
 """Scored matching of probes to candidates behind hard gates.
 
 Pairs come from blocks, never from a cross join: a probe whose launch is known meets candidates of its own 30-day bucket and
-the two beside it; one whose launch is unknown meets those that share a token of its name (the reference compares it with all;
-such a pair without a common token cannot reach the review threshold unless its letters agree, so this is a stated deviation).
+the two beside it; where either launch is unknown, a pair needs a token of its names in common. Comparing all would find more:
+this is a stated difference.
 """
 
 from __future__ import annotations
