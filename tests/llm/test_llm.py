@@ -308,3 +308,16 @@ def test_pipeline_stages(spark, sf):
 
 def test_all_ten_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(name, spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "conversations"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    want = c.sql(queries.SQL[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    assert sorted(tuple(r) for r in df.select(*want.columns).collect()) == sorted(want.fetchall())
