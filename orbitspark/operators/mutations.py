@@ -117,3 +117,28 @@ def with_ids(existing: DataFrame, new_keys: DataFrame, id_col: str, order: list[
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offset = ranged.groupBy("_p").agg(F.max("_i").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     return ranged.join(offset, "_p").withColumn(id_col, (F.col("_i") + F.col("_o") + F.lit(top)).cast("long")).drop("_p", "_i", "_o")
+
+
+def rebuild_resolved(owners: DataFrame, versions: DataFrame, source: str = "resolve") -> DataFrame:
+    """owners with the rows that `source` wrote replaced by versions; what others wrote stays, and its keys are not doubled."""
+    keep = owners.where(F.col("source") != source)
+    new = versions.select("satellite_id", "operator_id", F.lit("owner").alias("role"), "valid_from", "valid_to", F.lit(source).alias("source"), F.lit(1).cast("decimal(3,2)").alias("confidence"))
+    return insert_ignore(keep, new.select(*owners.columns), ["satellite_id", "operator_id", "role", "valid_from"])
+
+
+def refresh_anchors(satellites: DataFrame) -> DataFrame:
+    """An entity with a catalogue id is anchored."""
+    return satellites.withColumn("anchor_state", F.when(F.col("norad_id").isNotNull(), "anchored").otherwise(F.col("anchor_state")))
+
+
+def restore_verdicts(cases: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """cases with exported verdicts put back by natural key; one that has a verdict keeps it, keys that are gone are passed over."""
+    v = _once(verdicts.select("case_type", "subject_ref", "verdict"), ["case_type", "subject_ref"], None).withColumnRenamed("verdict", "_v")
+    return cases.join(v, ["case_type", "subject_ref"], "left").withColumn("verdict", F.coalesce("verdict", "_v")).select(*cases.columns)
+
+
+def refresh_window(materialised: DataFrame, facts: DataFrame, rollup, ts: str, now: dt.datetime, start: dt.timedelta = dt.timedelta(days=7), end: dt.timedelta = dt.timedelta(hours=1), day: str = "day") -> DataFrame:
+    """The days between now - start and now - end computed anew from facts; older and newer days are as they were."""
+    low, high = (now - start).date(), (now - end).date()
+    new = rollup(facts.where((F.to_date(ts) >= F.lit(low)) & (F.to_date(ts) < F.lit(high))))
+    return materialised.where((F.col(day) < F.lit(low)) | (F.col(day) >= F.lit(high))).unionByName(new.select(*materialised.columns))

@@ -112,6 +112,14 @@ def drag_environment(weather: DataFrame, drag: DataFrame) -> DataFrame:
     return weather.join(drag, "day", "full")
 
 
+def drag_selection(environment: DataFrame, as_of: Column, past: int = 90, ahead: int = 0) -> dict[str, DataFrame]:
+    """From one frame: the days asked for (7 to 730 back, 0 to 45 ahead), the newest measured day, and the five worst."""
+    past, ahead = max(7, min(730, past)), max(0, min(45, ahead))
+    window = environment.where(F.col("day").between(F.date_sub(as_of, past), F.date_add(as_of, ahead)))
+    measured = window.where("median_d is not null")
+    return {"days": window.orderBy("day"), "latest_observed": measured.orderBy(F.desc("day")).limit(1), "worst_drag": measured.orderBy(F.asc("median_d"), F.asc("day")).limit(5)}
+
+
 def space_weather(rows: DataFrame) -> DataFrame:
     """One row per day of the rows' (latest run's) three-hour indices: maxima and the storm level."""
     last = latest_per_key(rows, ["sw_date"], [F.col("f107_data_type").asc_nulls_last()])

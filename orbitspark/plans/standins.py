@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, names, orbit, propagate, text
+from ..functions import sql as sql_functions
 from ..operators import compare, fuzzy, mutations, relational
 from ..sources import delimited, documents, ledger
 from ..streaming import rollup
@@ -930,3 +931,39 @@ def st4_stream_latest(spark, d):
     q = rollup.latest(stream, "user_id", "ts", "event_id", ["value"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("select p_partkey, nullif(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), '') as k from part")
+def ud1_sql_function(spark, d):
+    """A name key by a temporary SQL function, from SQL text."""
+    sql_functions.register(spark)
+    table(spark, d, "part").createOrReplaceTempView("_ud1_part")
+    return spark.sql("select p_partkey, name_key(p_name) as k from _ud1_part")
+
+
+@query("""with r as (select c_custkey as satellite_id, c_nationkey::bigint as operator_id, 'owner' as role, date '2000-01-01' as valid_from, 'seed' as source from customer where c_acctbal > 5000),
+n as (select c_custkey as satellite_id, c_nationkey::bigint as operator_id, 'owner' as role, case when c_acctbal > 9000 then date '2000-01-01' else date '2001-01-01' end as valid_from, 'resolve' as source from customer)
+select * from r union all select * from n where not exists (select 1 from r where r.satellite_id = n.satellite_id and r.operator_id = n.operator_id and r.valid_from = n.valid_from)""")
+def u10_rebuild_owners(spark, d):
+    """Ownership with the resolver's rows replaced, curated rows kept."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("satellite_id"), F.col("c_nationkey").cast("long").alias("operator_id"), "c_acctbal")
+    row = lambda df, day, source: df.select("satellite_id", "operator_id", F.lit("owner").alias("role"), day.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(source).alias("source"), F.lit(1).cast("decimal(3,2)").alias("confidence"))
+    seed = row(c.where("c_acctbal > 5000"), F.lit(dt.date(2000, 1, 1)), "seed")
+    old = seed.unionByName(row(c, F.lit(dt.date(1999, 1, 1)), "resolve"))
+    new = c.select("satellite_id", "operator_id", F.when(F.col("c_acctbal") > 9000, F.lit(dt.date(2000, 1, 1))).otherwise(F.lit(dt.date(2001, 1, 1))).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    return mutations.rebuild_resolved(old, new).select("satellite_id", "operator_id", "role", "valid_from", "source")
+
+
+@query(f"with {_DAILY} select user_id, \"day\", round(case when \"day\" >= date '2024-01-23' and \"day\" < date '2024-01-29' then value_avg else 0 end, 9) as value_avg from daily")
+def st2_refresh_window(spark, d):
+    """Days inside the refresh window computed anew over a stale table, the others left."""
+    e = table(spark, d, "events")
+    roll = lambda x: metrics.daily(x, "user_id", "ts", "value").select("user_id", "day", "value_avg")
+    stale = roll(e).withColumn("value_avg", F.lit(0.0))
+    return r9(mutations.refresh_window(stale, e, roll, "ts", dt.datetime(2024, 1, 30, 0, 30)), "value_avg")
+
+
+@query(f"""with {_DRAG} select "day", median_d from drag where "day" between date '2024-01-30' - 20 and date '2024-01-30' and median_d is not null order by median_d, "day" limit 5""")
+def v17_worst_drag(spark, d):
+    env = metrics.fleet_drag(events_daily(spark, d), "user_id", 5, 200.0)
+    return r9(metrics.drag_selection(env, F.lit(dt.date(2024, 1, 30)), 20)["worst_drag"].select("day", "median_d"), "median_d")

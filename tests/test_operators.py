@@ -135,3 +135,19 @@ def test_authorisations(spark):
     e = spark.createDataFrame([(1, "STARLINK-1"), (2, "LONESAT"), (3, "Twin"), (4, "TWIN")], "satellite_id long, name string")
     p = spark.createDataFrame([("space exploration", "starlink")], "grant_like string, entity_prefix string")
     assert rows(identity.authorisations(g, e, p).select("satellite_id", "call_sign", "match_tier")) == [(1, "S1", "pattern"), (2, "S2", "name")]
+
+
+def test_anchors_and_verdicts(spark):
+    s = spark.createDataFrame([(1, 5, "provisional"), (2, None, "provisional")], "satellite_id long, norad_id long, anchor_state string")
+    assert [r[2] for r in rows(mutations.refresh_anchors(s))] == ["anchored", "provisional"]
+    c = spark.createDataFrame([("a", "x", None), ("a", "y", "wrong")], "case_type string, subject_ref string, verdict string")
+    v = spark.createDataFrame([("a", "x", "correct"), ("a", "y", "correct"), ("a", "z", "correct")], "case_type string, subject_ref string, verdict string")
+    assert rows(mutations.restore_verdicts(c, v)) == [("a", "x", "correct"), ("a", "y", "wrong")]
+
+
+def test_sql_functions(spark):
+    from orbitspark.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("select name_key('STARLINK-30042 (v2)') a, name_key('--') b, launch_key('2023-54A') c, launch_key('junk') d").first()
+    assert tuple(r) == ("starlink 30042", None, "2023-054", None)
