@@ -74,10 +74,27 @@ def trim() -> None:
         pass
 
 
-def tidy(run):
-    """A batch function that trims at the end of its partition."""
+_KEPT: dict[str, dict] = {}
+
+
+def keep(name: str, store: dict) -> dict:
+    """Register what an operator keeps in a worker from task to task."""
+    _KEPT[name] = store
+    return store
+
+
+def release(but: str | None) -> None:
+    """Drop what other operators have kept in this worker."""
+    for name, store in _KEPT.items():
+        if name != but:
+            store.clear()
+
+
+def tidy(run, keeps: str | None = None):
+    """A batch function that trims at the end of its partition, and of what is kept leaves only its own."""
 
     def tidied(batches):
+        release(keeps)
         try:
             yield from run(batches)
         finally:

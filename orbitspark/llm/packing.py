@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import keep, tidy
 
 GROUP_ROWS = 2048
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a worker keeps in each of two generations: a word not met for a whole generation goes.
+CACHE_WORDS = 900_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -42,7 +42,7 @@ class WordEncoder:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.tokenizer, self.kept, self.old = Tokenizer.from_file(path), {}, {}
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -50,8 +50,6 @@ class WordEncoder:
     def fill(self, words: set[bytes]) -> None:
         """Encode words not kept yet. Words of letters alone go as lines of many: each is one pre-token, whose last id ends a
         word. A final full stop or comma behind a letter is a pre-token of its own."""
-        if len(self.kept) + len(words) > CACHE_WORDS:
-            self.kept.clear()
         ended = [w for w in words if w[-1:] in (b".", b",") and b"a" <= w[-2:-1] <= b"z" and w[:1] != b"<"]
         bare = words.difference(ended) | {w[:-1] for w in ended} | {b".", b","}
         plain, other = [], []
@@ -80,18 +78,20 @@ class WordEncoder:
         for w in ended:
             self.kept[w] = self.kept[w[:-1]] + self.kept[w[-1:]]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes], keep_words: int = CACHE_WORDS) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
+        if len(self.kept) > keep_words:
+            self.kept, self.old = {}, self.kept
         if new := {w for words in split for w in words}.difference(self.kept):
-            self.fill(new)
-            if gone := {w for words in split for w in words}.difference(self.kept):  # the store was emptied in between
-                self.fill(gone)
+            again = new.intersection(self.old)
+            self.kept.update((w, self.old[w]) for w in again)
+            self.fill(new - again)
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-_ENCODERS: dict[str | None, WordEncoder] = {}
+_ENCODERS: dict[str | None, WordEncoder] = keep("words", {})
 
 
 def encoder(path: str | None) -> WordEncoder:
@@ -106,7 +106,7 @@ def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
     return [(i // 4, min(step, len(ids) - i) // 4, zlib.crc32(ids[i : i + step])) for i in range(0, len(ids), step)]
 
 
-def cut(docs: DataFrame, capacity: int, eos: int | None, path: str | None) -> DataFrame:
+def cut(docs: DataFrame, capacity: int, eos: int | None, path: str | None, keep_words: int = CACHE_WORDS) -> DataFrame:
     """A row per piece (PIECES). A null text is empty; a null doc_id stays null; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +115,12 @@ def cut(docs: DataFrame, capacity: int, eos: int | None, path: str | None) -> Da
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids = [x + end for x in enc.encode([t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()])]
+                ids = [x + end for x in enc.encode([t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()], keep_words)]
                 rows = [(d, *p, len(x) // 4) for d, x in zip(part.column(0).to_pylist(), ids, strict=True) for p in pieces_of(x, capacity)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "words"), PIECES)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +148,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pack(docs: DataFrame, capacity: int = 4096, eos: int | None = 2, path: str | None = None, seed: int = 7, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, eos: int | None = 2, path: str | None = None, seed: int = 7, group_rows: int = GROUP_ROWS, keep_words: int = CACHE_WORDS) -> DataFrame:
     """docs(doc_id, text) as PACKED: each piece's sequence and its offset there, gapless from 0.
 
-    path: the tokenizer's file on the executors (the public word-level vocabulary by default). Repeated rows are packed
+    path: the tokenizer's file on the executors (the public word-level vocabulary by default). keep_words: words of which a worker
+    keeps the ids, in each of two generations. Repeated rows are packed
     once each. An empty text is its end token alone; with eos None it gives no row. An empty table gives an empty one.
     """
     groups = max(1, -(-docs.count() // group_rows))
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, capacity: int = 4096, eos: int | None = 2, path: str |
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
         return pdf.drop(columns="g").assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 
-    dealt = cut(docs, capacity, eos, path).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = cut(docs, capacity, eos, path, keep_words).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(pack_group, PACKED)
 
 

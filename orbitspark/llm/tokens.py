@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import keep, tidy
 
 #: Pieces whose tokens a worker keeps.
 CACHE_PIECES = 1_000_000
@@ -81,7 +81,7 @@ class SpanEncoder:
         return out
 
 
-_ENCODERS: dict[str | None, SpanEncoder] = {}
+_ENCODERS: dict[str | None, SpanEncoder] = keep("spans", {})
 
 
 def attribute(sizes: np.ndarray, ends: np.ndarray, rule: str = "start") -> tuple[np.ndarray, int]:
@@ -138,7 +138,7 @@ def token_counts(docs: DataFrame, fields: list[str] | None = None, rule: str = "
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sections)]), pa.int32()), pa.array(np.concatenate(counts or [np.zeros(0)]), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(sections, pa.int64()), lists, pa.array(crossing, pa.int64())], ["doc_id", "n_tokens", "n_sections", "section_tokens", "crossing"])
 
-    return docs.select(doc_id, *names).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, n_sections long, section_tokens array<int>, crossing long")
+    return docs.select(doc_id, *names).mapInArrow(tidy(run, "spans"), f"doc_id {kind}, n_tokens long, n_sections long, section_tokens array<int>, crossing long")
 
 
 def op1_tokens(spark, sf_dir: str) -> DataFrame:
