@@ -3,8 +3,9 @@
 A window of `length` items has one seed: the sub-window of `seed_length` items with the smallest hash (leftmost on ties).
 Equal windows have equal seeds, so a window can repeat only if its seed does; consecutive windows that share a seed
 occurrence form a run, which travels as one element. Elements go to hash buckets as packed arrays with a return address;
-an element seen twice in one batch is settled there and sends its key alone, so a key that a third of the documents hold
-costs a bucket one entry a batch. What comes back is ranges of window starts by document.
+an element seen twice in one batch is settled there and sends its key once, with its count and the places, so a key that a
+third of the documents hold costs a bucket one key a batch. What comes back is ranges of window starts by document, and
+whether their key is hot.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from .common import materialize, tidy, tidy_group
 
 #: Elements that a bucket holds, about, and the fewest buckets.
 BUCKET_ELEMENTS, BUCKETS = 256_000, 48
+#: A seed that occurs more often is hot: what shares it is dealt out by finer keys at the next level.
+HOT = 4_096
 
-ELEMENTS = "bucket int, solo binary, known binary, address binary, settled binary"
-RANGES = "row long, start int, n int"
+ELEMENTS = "bucket int, solo binary, known binary, times binary, address binary, settled binary"
+RANGES = "row long, start int, n int, hot boolean"
 _ADDRESS = np.dtype([("row", "<i8"), ("start", "<u4"), ("n", "<u4")])
 
 
@@ -137,7 +140,8 @@ def element_rows(keys: np.ndarray, route: np.ndarray, row: np.ndarray, start: np
             continue
         i = order[edges[b] : edges[b + 1]]
         solo, known, done = i[~twice[i]], i[twice[i] & lead[i]], i[twice[i]]
-        yield b, put(keys[solo]), put(keys[known]), deflate(_columns(address[solo])), deflate(_columns(address[done]))
+        known, done = known[np.argsort(inv[known])], done[np.argsort(inv[done], kind="stable")]  # places by key, as known lists them
+        yield b, put(keys[solo]), put(keys[known]), count[inv[known]].astype("<u4").tobytes(), deflate(_columns(address[solo])), deflate(_columns(address[done]))
 
 
 def _columns(a: np.ndarray) -> bytes:
@@ -151,16 +155,16 @@ def _uncolumn(b: bytes) -> dict[str, np.ndarray]:
     return {"row": np.frombuffer(raw, "<i8", n), "start": np.frombuffer(raw, "<u4", n, 8 * n), "n": np.frombuffer(raw, "<u4", n, 12 * n)}
 
 
-def merge_ranges(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    """Ranges that follow one another in the order given become one."""
+def merge_ranges(row: np.ndarray, start: np.ndarray, n: np.ndarray, hot: np.ndarray | None = None) -> pd.DataFrame:
+    """Ranges that follow one another in the order given, and are as hot, become one. RANGES."""
     row, start, n = row.astype(np.int64), start.astype(np.int64), n.astype(np.int64)
-    if not len(row):
-        return pd.DataFrame({"row": row, "start": start.astype(np.int32), "n": n.astype(np.int32)})
+    hot = np.zeros(len(row), bool) if hot is None else hot
     end = start + n
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (start[1:] != end[:-1])
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != end[:-1]) | (hot[1:] != hot[:-1])
     i = np.flatnonzero(new)
-    return pd.DataFrame({"row": row[i], "start": start[i].astype(np.int32), "n": (end[np.append(i[1:], len(row)) - 1] - start[i]).astype(np.int32)})
+    last = end[np.append(i[1:], len(row)) - 1] if len(row) else end
+    return pd.DataFrame({"row": row[i], "start": start[i].astype(np.int32), "n": (last - start[i]).astype(np.int32), "hot": hot[i]})
 
 
 def repeated(elements: DataFrame, brief: bool = False) -> DataFrame:
@@ -168,26 +172,29 @@ def repeated(elements: DataFrame, brief: bool = False) -> DataFrame:
     take = unshort if brief else (lambda b: np.frombuffer(b, np.uint64))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        solo = [take(x) for x in pdf["solo"]]
-        known = np.unique(np.concatenate([take(x) for x in pdf["known"]]))
-        uniq, inv, count = np.unique(np.concatenate(solo), return_inverse=True, return_counts=True)
-        hit = ((count > 1) | np.isin(uniq, known, assume_unique=True))[inv]
-        out, at = [], 0
-        for keys, address, settled in zip(solo, pdf["address"], pdf["settled"], strict=True):
-            mine = hit[at : at + len(keys)]
-            at += len(keys)
+        solo, known = ([take(x) for x in pdf[c]] for c in ("solo", "known"))
+        times = [np.frombuffer(x, "<u4") for x in pdf["times"]]
+        keys = np.concatenate([*solo, *known])
+        uniq, inv = np.unique(keys, return_inverse=True)
+        count = np.bincount(inv, weights=np.concatenate([np.ones(sum(map(len, solo)), np.uint32), *times]), minlength=len(uniq))[inv]
+        out, at, behind = [], 0, sum(map(len, solo))
+        for mine, theirs, address, settled in zip(solo, times, pdf["address"], pdf["settled"], strict=True):
+            c, k = count[at : at + len(mine)], count[behind : behind + len(theirs)]
+            at, behind = at + len(mine), behind + len(theirs)
+            hit = c > 1
             a, s = _uncolumn(address), _uncolumn(settled)
-            row, start, n = (np.concatenate([a[c][mine], s[c]]) for c in _ADDRESS.names)
+            row, start, n = (np.concatenate([a[x][hit], s[x]]) for x in _ADDRESS.names)
+            hot = np.concatenate([c[hit], np.repeat(k, theirs)]) > HOT
             o = np.lexsort((start, row))
-            out.append(merge_ranges(row[o], start[o], n[o]))
+            out.append(merge_ranges(row[o], start[o], n[o], hot[o]))
         return pd.concat(out, ignore_index=True)
 
     return elements.groupBy("bucket").applyInPandas(tidy_group(settle), RANGES)
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """docs (with row) plus `ranges`, array<struct<start, n>>, null where there are none."""
-    lists = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    """docs (with row) plus `ranges`, array<struct<start, n, hot>>, null where there are none."""
+    lists = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "n", "hot")).alias("ranges"))
     return docs.join(lists, "row", "left")
 
 
@@ -208,3 +215,15 @@ def spread(size: int, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     np.add.at(d, np.minimum(starts, size), 1)
     np.add.at(d, np.minimum(starts + n, size), -1)
     return np.cumsum(d[:-1]) > 0
+
+
+def hot_items(col: pa.Array, size: int, base: np.ndarray, part: slice) -> np.ndarray:
+    """Mask over a chunk's items: starts of windows in hot ranges. base: where the documents of these ranges begin."""
+    import pyarrow.compute as pc
+
+    if col.null_count == len(col):
+        return np.zeros(size, bool)
+    flat = pc.list_flatten(col)
+    hot = flat.field("hot").to_numpy(zero_copy_only=False)[part]
+    start, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[part] for c in ("start", "n"))
+    return spread(size, (base + start)[hot], n[hot]) if hot.any() else np.zeros(size, bool)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, ngram_hash, parts_of, range_hash, tidy, totals, word_spans
-from .repeats import ELEMENTS, bucket_count, element_rows, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
+from .repeats import ELEMENTS, bucket_count, element_rows, hot_items, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
 #: Seeds per byte of text, for the number of buckets: about 2 in 19 words start a run, and a word has 6 bytes.
 SEEDS_PER_BYTE = 0.018
@@ -31,7 +31,7 @@ def _rows(parts: list[tuple], buckets: int, brief: bool = False) -> Iterator[pa.
     if parts:
         out = list(zip(*element_rows(*(np.concatenate(c) for c in zip(*parts, strict=True)), buckets, brief), strict=True))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "solo", "known", "address", "settled"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "solo", "known", "times", "address", "settled"])
 
 
 def seed_elements(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -75,10 +75,10 @@ def window_elements(docs: DataFrame, window: int, shift: int, buckets: int) -> D
                 if not len(p):
                     continue
                 key = range_hash(h, p, p + window, seed=2)
-                # windows in a row travel together, so that their addresses stay ranges: the seed is their route
+                # windows in a row travel together, so that their addresses stay ranges: the seed is their route unless it is hot
                 half = -(-window // 2)
                 rd, rf, rn, rk = runs(ngram_hash(h, half), wo, half, window)
-                route = rk[np.searchsorted(rf, p, "right") - 1]
+                route = np.where(hot_items(batch.column("ranges"), len(h), base, r)[p], key, rk[np.searchsorted(rf, p, "right") - 1])
                 parts.append((key, route, ids[a + doc[p]], p - wo[doc[p]], np.ones(len(p), np.int64)))
             yield from _rows(parts, buckets)
 

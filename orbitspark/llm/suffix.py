@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, chunks, materialize, ngram_hash, parts_of, range_hash, tidy, tidy_group, totals
 from .gsaca import _spans, suffix_arrays
-from .repeats import ELEMENTS, bucket_count, deflate, element_rows, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
+from .repeats import ELEMENTS, RANGES, bucket_count, deflate, element_rows, hot_items, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
 #: Bytes hashed or marked at once: a byte takes some dozens of bytes of working memory.
 CHUNK = 384 << 10
@@ -38,7 +38,7 @@ def _elements(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     if parts:
         out = list(zip(*element_rows(*(np.concatenate(c) for c in zip(*parts, strict=True)), buckets, brief=True), strict=True))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "solo", "known", "address", "settled"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "solo", "known", "times", "address", "settled"])
 
 
 def seeds(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -74,17 +74,19 @@ def candidate_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 r = slice(bounds[a], bounds[b])
                 mine = spread(len(x), np.repeat(o[:-1], count[a:b]) + start[r], n[r])[first] if len(first) else np.zeros(0, bool)
                 doc, first, m, key = doc[mine], first[mine], m[mine], key[mine]
-                parts.append((key, range_hash(x, first, first + m + window - 1, seed=7), ids[a + doc], first - o[doc], m))
+                hot = hot_items(batch.column("ranges"), len(x), np.repeat(o[:-1], count[a:b]), r)[first]
+                parts.append((key, range_hash(x, first, first + m + window - 1, seed=7), ids[a + doc], first - o[doc], m, hot))
             if not parts:
                 continue
-            key, content, row, start, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            key, content, row, start, n, hot = (np.concatenate(c) for c in zip(*parts, strict=True))
             if not len(key):
                 continue
             _, inv = np.unique(content, return_inverse=True)
             least = np.full(inv.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, inv, row)
             lost = row > least[inv]
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            key = np.where(hot, key & ~np.uint64(1), key | np.uint64(1))
+            bucket = (np.where(hot, content, key >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((row, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
@@ -100,11 +102,13 @@ def candidate_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(tidy(run), RUNS)
 
 
+#: seed: 0 says that the windows go; odd, that the run is to be sorted with those of its seed; even, that its windows are to be
+#: sorted each with its equals, as the seed is hot.
 ASKED = "row long, start int, n int, seed long"
 
 
 def _settle_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """ASKED: a seed of 0 says that the windows go, another that the run is to be sorted with those of its seed."""
+    """ASKED, from RUNS of one bucket. The other contents of a hot seed are in other buckets, so it counts as having several."""
     seed, content = (np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("seed", "content"))
     row = np.concatenate([inflate(b, "<i8") for b in pdf["row"]])
     start, n = (np.concatenate([inflate(b, "<i4") for b in pdf[c]]) for c in ("start", "n"))
@@ -112,7 +116,7 @@ def _settle_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     for b in pdf["gone"]:
         x = inflate(b, np.uint8)
         k = len(x) // 16
-        out.append(merge_ranges(*(np.frombuffer(x[i * k : j * k].tobytes(), t) for i, j, t in ((0, 8, "<i8"), (8, 12, "<i4"), (12, 16, "<i4")))).assign(seed=0))
+        out.append(merge_ranges(*(np.frombuffer(x[i * k : j * k].tobytes(), t) for i, j, t in ((0, 8, "<i8"), (8, 12, "<i4"), (12, 16, "<i4")))).drop(columns="hot").assign(seed=0))
     if len(seed):
         order = np.lexsort((row, content, seed))
         s, c, r = seed[order], content[order], row[order]
@@ -120,11 +124,11 @@ def _settle_runs(pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.flatnonzero(new)
         lost = r > np.repeat(r[at], np.diff(np.append(at, len(r))))
         kinds = np.bincount(np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1, weights=new)  # contents by seed
-        several = kinds[np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1] > 1
+        several = (kinds[np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1] > 1) | (s & np.uint64(1) == 0)
         go, ask = order[lost], order[~lost & several]
         go = go[np.lexsort((start[go], row[go]))]
-        out.append(merge_ranges(row[go], start[go], n[go]).assign(seed=0))
-        out.append(pd.DataFrame({"row": row[ask], "start": start[ask], "n": n[ask], "seed": (seed[ask] | np.uint64(1)).view(np.int64)}))
+        out.append(merge_ranges(row[go], start[go], n[go]).drop(columns="hot").assign(seed=0))
+        out.append(pd.DataFrame({"row": row[ask], "start": start[ask], "n": n[ask], "seed": np.maximum(seed[ask], np.uint64(1)).view(np.int64)}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -143,6 +147,16 @@ def asked_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             seed = pc.list_flatten(batch.column("asks")).field("seed").to_numpy(zero_copy_only=False)
             buf, offs = buffers(unpack_text(batch.column("z")))
             doc = np.repeat(np.arange(len(ids)), count)
+            each = np.where(seed & 1 == 0, n, 1)  # a hot run goes window by window
+            if (each != 1).any():
+                inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                hot, doc, seed = np.repeat(seed & 1 == 0, each), np.repeat(doc, each), np.repeat(seed, each)
+                start, n = np.repeat(start, each) + inner, np.where(hot, 1, np.repeat(n, each))
+                at = offs[doc[hot]] + start[hot]
+                for lo in range(0, len(at), 200_000):
+                    i, p = np.flatnonzero(hot)[lo : lo + 200_000], at[lo : lo + 200_000]
+                    raw = buf[_spans(p, np.full(len(p), window))]
+                    seed[i] = range_hash(raw, np.arange(len(p)) * window, (np.arange(len(p)) + 1) * window, seed=9).view(np.int64) | 1
             bucket = (seed.view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -215,7 +229,7 @@ def _settle_strings(window: int):
                 rows.append(row[i[c]])
                 starts.append(start[i[c]] + w - (np.cumsum(size) - size)[c])
         if not keys:
-            return pd.DataFrame({"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int32), "n": np.zeros(0, np.int32)})
+            return merge_ranges(*(np.zeros(0, np.int64) for _ in range(3)))
         keys, rows, starts = map(np.concatenate, (keys, rows, starts))
         _, inv = np.unique(keys, return_inverse=True)
         least = np.full(inv.max() + 1, np.iinfo(np.int64).max)
@@ -242,8 +256,8 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
     settled, _ = materialize(runs_.groupBy("bucket").applyInPandas(tidy_group(_settle_runs), ASKED))
     asks = settled.where("seed <> 0").groupBy("row").agg(F.collect_list(F.struct("start", "n", "seed")).alias("asks"))
     strings = asked_strings(packed.select("row", "z").join(asks, "row"), window, max(48, total // (8 << 20)))
-    last = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window)), "row long, start int, n int")
-    ranges = settled.where("seed = 0").select("row", "start", "n").union(last)
+    last = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window)), RANGES)
+    ranges = settled.where("seed = 0").select("row", "start", "n", F.lit(False).alias("hot")).union(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in parts_of(whole, "z", 4 << 20)):

@@ -120,6 +120,23 @@ def test_substrings(spark, texts):
     assert got == sorted(plain.without_repeats(texts, 35))
 
 
+def test_hot_seeds(spark, texts, monkeypatch):
+    """A seed that very many windows share is dealt out by finer keys; results are the same."""
+    from orbitspark.llm import repeats
+
+    rows = texts[-45:]
+    settle = repeats.repeated
+
+    def eager(elements, brief=False):  # the threshold as workers see it
+        out = settle(elements, brief)
+        return out.withColumn("hot", F.lit(True))
+
+    monkeypatch.setattr(substring, "repeated", eager)
+    monkeypatch.setattr(suffix, "repeated", eager)
+    assert sorted(tuple(r) for r in substring.remove_repeats(frame(spark, rows).repartition(5), 35).collect()) == sorted(plain.without_repeats(rows, 35))
+    assert sorted(tuple(r) for r in suffix.remove_seen(frame(spark, rows).repartition(5), 50).collect()) == plain.without_seen(rows, 50)
+
+
 def test_longer_levels_end(spark):
     rng = random.Random(2)
     shared = words(rng, 100, 10**6)
