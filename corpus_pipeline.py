@@ -48,7 +48,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of 4096 tokens. Workers that have run the other stages keep fewer words."""
-    return packing.pack(docs, keep_words=200_000)
+    return packing.pack(docs, keep_words=60_000)
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("no_benchmark", no_benchmark), ("packed", packed)]
