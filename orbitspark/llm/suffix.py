@@ -3,8 +3,8 @@
 1. The seed of every window (repeats.py) is looked up across all documents; windows whose seed is unique are done.
 2. A run of windows with one seed occurrence is compared whole: of equal runs only the smallest document's goes on, and it only
    if its seed also stands in another run.
-3. What is left is sorted by suffix arrays (gsaca.py): strings of runs with equal seeds; equal windows are neighbours in a
-   suffix array, and are compared byte by byte. Every window but those of the smallest document is removed.
+3. What is left, but for windows whose hash is unique in its bucket, is sorted by suffix arrays (gsaca.py): strings of runs with
+   equal seeds; equal windows are neighbours in a suffix array, and are compared byte by byte. Every window but those of the smallest document is removed.
 """
 
 from __future__ import annotations
@@ -203,6 +203,26 @@ def sorted_windows(text: np.ndarray, size: np.ndarray, window: int) -> tuple[np.
     return starts, same
 
 
+def repeated_parts(text: np.ndarray, at: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows (place `at`, n of them) cut down to the parts whose windows' hashes occur at least twice here: number of the
+    run, first window in it, number of windows. A window whose hash is unique has no equal, so it needs no sorting."""
+    hashes, size, lo = [], n + window - 1, 0
+    ends = np.cumsum(size)
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + CHUNK, "right")))
+        p = _spans(at[lo:hi], n[lo:hi]) - at[lo]
+        hashes.append(range_hash(text[at[lo] : at[hi - 1] + size[hi - 1]], p, p + window, seed=8))
+        lo = hi
+    _, inv, count = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    again = count[inv] > 1
+    run = np.repeat(np.arange(len(n)), n)
+    new = again.copy()
+    new[1:] &= ~again[:-1] | (run[1:] != run[:-1])
+    first = np.flatnonzero(new)
+    stop = np.flatnonzero(again & ~np.append(again[1:] & (run[1:] == run[:-1]), False)) + 1
+    return run[first], first - (np.cumsum(n) - n)[run[first]], stop - first
+
+
 def _settle_strings(window: int):
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         seed = np.frombuffer(b"".join(pdf["seed"]), np.int64)
@@ -210,6 +230,8 @@ def _settle_strings(window: int):
         start, n = (np.concatenate([inflate(b, "<i4") for b in pdf[c]]).astype(np.int64) for c in ("start", "n"))
         text = np.concatenate([inflate(b, np.uint8) for b in pdf["bytes"]])
         at = np.concatenate([[0], np.cumsum(n + window - 1)])[:-1]
+        i, inner, n = repeated_parts(text, at, n, window)
+        seed, row, start, at = seed[i], row[i], start[i] + inner, at[i] + inner
         order = np.argsort(seed, kind="stable")
         keys, rows, starts = [], [], []
         lo = 0
