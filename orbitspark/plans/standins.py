@@ -779,8 +779,8 @@ def _elements(spark, d) -> DataFrame:
 
 @query(None)
 def v40_visible(spark, d):
-    """Objects above ten degrees over a place. Propagation has no SQL."""
-    return propagate.visible_now(_elements(spark, d), dt.datetime(2024, 1, 30, 6), 52.0, 13.0)
+    """Where every object stands over a place, below the horizon too. Propagation has no SQL."""
+    return propagate.visible_now(_elements(spark, d), dt.datetime(2024, 1, 30, 6), 52.0, 13.0, min_elevation=-90.0)
 
 
 @query(None)
