@@ -1,8 +1,8 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
-Tokens never cross a shuffle: a document is cut where it is encoded, at every `capacity` tokens from its start, and only
-the pieces' sizes and checksums are dealt out. Each group of about GROUP_ROWS pieces, chosen by a seeded hash, is packed on
-its own; its open last bins are the only padding that grouping adds.
+A document is cut where it is encoded, at every `capacity` tokens from its start, and the pieces are dealt out with their
+ids, two bytes an id where all of a piece's ids fit. Each group of about GROUP_ROWS pieces, chosen by a seeded hash, is packed
+on its own; its open last bins are the only padding that grouping adds.
 """
 
 from __future__ import annotations
@@ -11,19 +11,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, tidy
+from .common import bound_batches, keep, parts_of, tidy
 
 GROUP_ROWS = 2048
 #: Words whose ids a worker keeps in each of two generations: a word not met for a whole generation goes.
 CACHE_WORDS = 900_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PACKED = PIECES + ", sequence_id long, offset long"
+#: Bytes of text encoded at once: their ids are sent before the next are made.
+PART_BYTES = 2 << 20
+
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
 class WordEncoder:
@@ -100,10 +103,24 @@ def encoder(path: str | None) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
-    """(start, length, crc32 of the ids) of the pieces; an empty document has none."""
-    step = 4 * capacity
-    return [(i // 4, min(step, len(ids) - i) // 4, zlib.crc32(ids[i : i + step])) for i in range(0, len(ids), step)]
+def narrow(ids: bytes) -> bytes:
+    """The ids in two bytes each, if all fit."""
+    x = np.frombuffer(ids, "<u4")
+    return x.astype("<u2").tobytes() if len(x) and x.max() < 1 << 16 else ids
+
+
+def widened(ids: bytes, length: int) -> bytes:
+    """narrow() undone: `length` ids of four bytes."""
+    return ids if len(ids) == 4 * length else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
+def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(start, length, crc32 of the ids, tokens of the document, narrowed ids) of the pieces; an empty document has none."""
+    step, parts = 4 * capacity, []
+    for i in range(0, len(ids), step):
+        piece = ids[i : i + step]
+        parts.append((i // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, narrow(piece)))
+    return parts
 
 
 def cut(docs: DataFrame, capacity: int, eos: int | None, path: str | None, keep_words: int = CACHE_WORDS) -> DataFrame:
@@ -113,12 +130,11 @@ def cut(docs: DataFrame, capacity: int, eos: int | None, path: str | None, keep_
         enc = encoder(path)
         end = b"" if eos is None else int(eos).to_bytes(4, "little")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = [x + end for x in enc.encode([t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()], keep_words)]
-                rows = [(d, *p, len(x) // 4) for d, x in zip(part.column(0).to_pylist(), ids, strict=True) for p in pieces_of(x, capacity)]
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for part in parts_of(batch, "text", PART_BYTES):
+                ids = enc.encode([t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()], keep_words)
+                rows = [(d, *p) for d, x in zip(part.column(0).to_pylist(), ids, strict=True) for p in pieces_of(x + end, capacity)]
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run, "words"), PIECES)
 
@@ -149,23 +165,35 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(docs: DataFrame, capacity: int = 4096, eos: int | None = 2, path: str | None = None, seed: int = 7, group_rows: int = GROUP_ROWS, keep_words: int = CACHE_WORDS) -> DataFrame:
-    """docs(doc_id, text) as PACKED: each piece's sequence and its offset there, gapless from 0.
+    """docs(doc_id, text) as PACKED: each piece's sequence and its offset there, gapless from 0, and its ids as little-endian
+    unsigned 32-bit integers; ids_crc32 is taken of these.
 
     path: the tokenizer's file on the executors (the public word-level vocabulary by default). keep_words: words of which a worker
     keeps the ids, in each of two generations. Repeated rows are packed
     once each. An empty text is its end token alone; with eos None it gives no row. An empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_rows))
 
-    def pack_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        return pdf.drop(columns="g").assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
+    def pack_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
+        length = table.column("length").to_numpy()
+        bins, offsets = first_fit_decreasing(length, capacity)
+        ids = [widened(x, n) for x, n in zip(table.column("ids").to_pylist(), length.tolist(), strict=True)]
+        columns = [*(table.column(c) for c in ("doc_id", "start", "length", "doc_tokens")), pa.array(bins + (key[0].as_py() << 32)), pa.array(offsets), pa.array(ids, pa.binary())]
+        return pa.table(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     dealt = cut(docs, capacity, eos, path, keep_words).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(pack_group, PACKED)
+    return dealt.groupBy("g").applyInArrow(pack_group, PLACED).withColumn("ids_crc32", F.crc32("ids")).select(*PACKED)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """What pack() returns as whole sequences: sequence_id, n_tokens and the ids of all its pieces end to end."""
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda done, part: F.concat(done, part["ids"]))
+    return parts.select("sequence_id", ids.alias("ids")).select("sequence_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def op7_pack(spark, sf_dir: str) -> DataFrame:
-    """All documents, each followed by id 2, in sequences of at most 4096 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents, each followed by id 2, in sequences of at most 4096 tokens; of the ids, their digest."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

@@ -237,6 +237,23 @@ def test_packing(spark):
         assert at <= 512
 
 
+def test_packed_sequences_hold_every_token(spark):
+    """The pieces carry their ids, and sequences() puts them end to end; ids beyond 16 bits stay whole."""
+    rng = random.Random(8)
+    docs = [(i, words(rng, rng.choice([0, 5, 400, 3000]))) for i in range(20)] + [(None, None)]
+    tokenizer = packing.encoder(None).tokenizer
+    for eos in (2, 1 << 20):
+        want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, eos] for i, t in docs}
+        packed = packing.pack(frame(spark, docs), 512, eos, group_rows=8)
+        rows = packed.collect()
+        ids = [np.frombuffer(r["ids"], "<u4").tolist() for r in rows]
+        assert all(x == want[r["doc_id"]][r["start"] : r["start"] + r["length"]] and r["ids_crc32"] == zlib.crc32(r["ids"]) for r, x in zip(rows, ids))
+        assert sum(map(len, ids)) == sum(map(len, want.values()))
+        whole = {s["sequence_id"]: np.frombuffer(s["ids"], "<u4").tolist() for s in packing.sequences(packed).collect()}
+        assert max(map(len, whole.values())) <= 512 and sum(map(len, whole.values())) == sum(map(len, ids))
+        assert all(whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == x for r, x in zip(rows, ids))
+
+
 def test_token_counts(spark, texts):
     rows = texts[-30:] + [(900, "a\n\nb  c\n"), (901, " lead"), (902, "tab\there é\n'll"), (903, "<|endoftext|> x"), (904, None), (905, "x y")]
     enc = tokens.SpanEncoder()
