@@ -48,9 +48,10 @@ def write_shards(df: DataFrame, path: str, key: list[str], shards: int = 16, **k
 
 
 def op5_shards(spark, sf_dir: str) -> DataFrame:
-    """Every document's place in 16 shards under the law `rows`; size is the text's UTF-8 bytes (null: none) plus 1."""
+    """Every document's place in 16 shards under the law `rows`; size is the text's UTF-8 bytes (null: none) plus 1. Whole
+    records are shuffled and written; size and checksum are those of the text read back from the shuffled buckets."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
-    recs = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "text")
-    out = assign_shards(recs, ["doc_id", "text_crc32"], columns=["doc_id", "size", "text_crc32"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    out = assign_shards(docs.withColumn("text_crc32", crc), ["doc_id", "text_crc32"], columns=docs.columns)
+    return out.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -216,6 +216,19 @@ def test_shards_are_written(spark, tmp_path):
     assert back.count() == 100 and sorted(p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("shard=")) == [f"shard={i}" for i in range(4)]
 
 
+def test_shard_query_shuffles_whole_records(spark, sf, monkeypatch):
+    """The buckets that op5 writes hold the documents as they are, and its digests are those of the texts."""
+    written = []
+    monkeypatch.setattr(sharding, "materialize", lambda df, write=sharding.materialize: written.append(write(df)) or written[-1])
+    out = sharding.op5_shards(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    (buckets, _), want = written[0], sorted(map(repr, docs.collect()))
+    assert sorted(map(repr, buckets.select("record.*").select(*docs.columns).collect())) == want
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    rows = out.collect()
+    assert len(rows) == len(want) and all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]])) for r in rows)
+
+
 def test_packing(spark):
     rng = random.Random(6)
     docs = [(i, words(rng, rng.choice([0, 5, 400, 3000]))) for i in range(40)] + [(90, None), (90, None), (None, "İs. ΣΑΣ don't, 3.5 <|endoftext|> é́")]
