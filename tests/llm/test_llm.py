@@ -169,6 +169,52 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, docs), frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def similarities(items, docs):
+    """Brute force: the greatest similarity of each document and item over all windows of the item's size, where the document
+    as a whole holds enough of the item."""
+    from collections import Counter
+
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    held = {i: grams(t.split()) for i, t in items}
+    df = Counter(g for x in held.values() for g in x)
+    out = {}
+    for d, t in docs:
+        w = t.split()
+        whole = grams(w)
+        for i, x in held.items():
+            n, weight = sum(x.values()) + 4, {g: np.log1p(len(items) / df[g]) for g in x}
+            share = lambda y: sum(weight[g] * min(c, y[g]) for g, c in x.items() if g in y) / sum(weight[g] * c for g, c in x.items())  # noqa: B023, E731
+            if share(whole) >= 0.8:
+                out[d, i] = max(share(grams(w[a : a + n])) for a in range(max(1, len(w) - n + 1)))
+    return out
+
+
+def boilerplate(rng, n, shared, own):
+    """Items of which half share boilerplate before a few words of their own, and documents that hold one with a word changed."""
+    common = words(rng, shared + 4, 10**5)
+    items = [(i, f"{common} {words(rng, own, 10**6)}" if i % 2 else words(rng, 30, 10**6)) for i in range(n)]
+    docs = []
+    for d in range(30):
+        w = items[2 * rng.randrange(n // 2) + 1][1].split()
+        w[rng.choice([rng.randrange(shared - 40, shared), shared + 2, len(w) - 1])] = f"changed{d}"
+        for k in rng.sample(range(0, shared - 60, 6), rng.randrange(0, 3)):
+            w[k] = f"also{d}"
+        docs.append((d, f"{words(rng, 3, 10**6)} {' '.join(w)} {'la ' * rng.choice([0, 40])}".strip()))
+    return items, docs
+
+
+@pytest.mark.parametrize(("n", "shared", "own"), [(1000, 100, 12), (200, 120, 6)])
+def test_decontamination_with_shared_boilerplate(n, shared, own):
+    """Every pair of similarity 0.8 is found, however little the shared part weighs."""
+    import pyarrow as pa
+
+    items, docs = boilerplate(random.Random(n), n, shared, own)
+    bench = decontaminate.Benchmark(np.arange(n), pa.array([t for _, t in items]), 0.8)
+    got = {(docs[d][0], i): s for d, i, s, *_ in decontaminate.found(bench, pa.array([t for _, t in docs]))}
+    want = {k: s for k, s in similarities(items, docs).items() if s >= 0.8}
+    assert len(want) > 10 and set(got) == set(want) and all(abs(got[k] - s) < 1e-9 for k, s in want.items())
+
+
 def test_quality_learns(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.fit(docs, labels)
