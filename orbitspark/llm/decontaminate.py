@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, mix, ngram_hash, range_hash, tidy, word_spans
+from .common import buffers, chunks, materialize, mix, ngram_hash, range_hash, tidy, word_spans
 
 SHINGLE, BITS, BLOCKS, RADIUS, MARGIN = 5, 128, 16, 40, 4
 #: Bytes of benchmark text that go to the executors at once; a larger benchmark is taken in slices, a pass for each.
@@ -45,6 +45,12 @@ def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return range_hash(buf, s, e, seed=3), wo
 
 
+def shingles_of(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words of each item and the hashes of its shingles."""
+    h, wo = words_of(pc.utf8_lower(col))
+    return np.diff(wo), [ngram_hash(h[a:b], min(SHINGLE, b - a)) for a, b in zip(wo[:-1], wo[1:], strict=True)]
+
+
 def bits_of(shingles: np.ndarray) -> np.ndarray:
     """(n, BITS) int32: 1 or -1 by the bits of each shingle's hash."""
     h = np.stack([mix(shingles), mix(shingles ^ np.uint64(0x5851F42D4C957F2D))], 1)
@@ -119,14 +125,21 @@ class MultiIndex:
 
 class Benchmark:
     """The items of one slice: shingles with weights and the items that hold them, and an index of fingerprints per size.
-    least: the similarity from which an item is found."""
+    least: the similarity from which an item is found. whole: of a benchmark in slices the number of items, and the shingles
+    that more than one item holds, sorted, with the number of these; weights are those of the whole benchmark."""
 
-    def __init__(self, ids: np.ndarray, col: pa.Array, least: float):
-        h, wo = words_of(pc.utf8_lower(col))
-        self.ids, self.size, self.least = ids, np.diff(wo), least
-        per = [ngram_hash(h[a:b], min(SHINGLE, b - a)) for a, b in zip(wo[:-1], wo[1:], strict=True)]
+    def __init__(self, ids: np.ndarray, col: pa.Array, least: float, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
+        self.size, per = shingles_of(col)
+        self.ids, self.least = ids, least
         self.shingles, df = np.unique(np.concatenate([np.unique(p) for p in per if len(p)] or [np.zeros(0, np.uint64)]), return_counts=True)
-        self.weights = np.log1p(len(ids) / df)
+        n_items = len(ids)
+        if whole:
+            n_items, often, counts = whole
+            at = np.searchsorted(self.shingles, often)
+            here = at < len(self.shingles)
+            here[here] = self.shingles[at[here]] == often[here]
+            df[at[here]] = counts[here]
+        self.weights = np.log1p(n_items / df)
         self.lengths = sorted({int(min(SHINGLE, n)) for n in self.size if n})
         held = [np.unique(np.searchsorted(self.shingles, p), return_counts=True) if len(p) else (np.zeros(0, int), np.zeros(0, int)) for p in per]
         self.counts = [dict(zip(k.tolist(), c.tolist(), strict=True)) for k, c in held]
@@ -206,15 +219,35 @@ class Benchmark:
         return out
 
 
+def shared_shingles(items: DataFrame) -> DataFrame:
+    """Of items(k, t): each shingle that more than one item holds, how many hold it, and their slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            per = [np.unique(p) for p in shingles_of(batch.column(1))[1]]
+            held = np.concatenate([*per, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(p) for p in per])), pa.array(held)], ["k", "h"])
+
+    return items.select("k", "t").mapInArrow(tidy(run), "k long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.collect_set("k").alias("ks")).where("n > 1")
+
+
 def slices(benchmark: DataFrame, item: str, text: str, least: float) -> Iterator:
-    """The benchmark as broadcasts of about SLICE_BYTES of text each."""
+    """The benchmark as broadcasts of about SLICE_BYTES of text each; weights are those of the whole benchmark."""
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("i").isNotNull())
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // SLICE_BYTES)
+    items = items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, n))).cast("long")).distinct()
+    if n > 1:
+        total, (often, _) = items.count(), materialize(shared_shingles(items))
     for k in range(n):
-        got = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().orderBy("i", "t").toArrow()
+        got, whole = items.where(F.col("k") == k).orderBy("i", "t").toArrow(), None
+        if n > 1:
+            counts = often.where(F.array_contains("ks", F.lit(k).cast("long"))).select("h", "n").toArrow()
+            h, c = counts.column("h").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+            order = np.argsort(h)
+            whole = total, h[order], c[order]
         if got.num_rows:
-            yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(got.column("i").to_numpy(), got.column("t").combine_chunks(), least))
+            yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(got.column("i").to_numpy(), got.column("t").combine_chunks(), least, whole))
 
 
 def found(bench: Benchmark, texts: pa.Array) -> Iterator[tuple]:

@@ -215,6 +215,17 @@ def test_decontamination_with_shared_boilerplate(n, shared, own):
     assert len(want) > 10 and set(got) == set(want) and all(abs(got[k] - s) < 1e-9 for k, s in want.items())
 
 
+def test_decontamination_does_not_depend_on_slices(spark, monkeypatch):
+    """The same items with the same similarities, fingerprints and places in one slice and in several."""
+    items, docs = boilerplate(random.Random(5), 40, 120, 6)
+    tables = frame(spark, docs), frame(spark, [*items, (99, ""), items[3]], "item_id long, text string")
+    one = sorted(tuple(r) for r in decontaminate.contaminated(*tables).collect())
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 4_000)
+    many = sorted(tuple(r) for r in decontaminate.contaminated(*tables).collect())
+    assert len(one) > 10 and [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in many]
+    assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(one, many))
+
+
 def test_quality_learns(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.fit(docs, labels)
