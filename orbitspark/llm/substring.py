@@ -1,8 +1,9 @@
 """Substring deduplication by level-wise doubling.
 
 Level one looks at windows of half the length that counts (only each window's seed, see repeats.py). Where those repeat
-anywhere, the windows of twice the length are hashed and compared; with `longest`, doubling goes on, each level asking only
-about windows both of whose halves repeat, until no candidate survives.
+anywhere, the windows of twice the length are hashed and compared. This one step is all that the operator runs, and its result
+for that length is exact. longer_windows() is a further level, which asks only about windows both of whose halves repeat;
+nothing here calls it.
 """
 
 from __future__ import annotations
