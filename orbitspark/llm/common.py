@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,12 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 # ------------------------------------------------------------------ written tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session gets a folder of its
+    own; a cluster gets an error, as its executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="orbitspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -44,13 +48,33 @@ def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/orbitspark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Tables that materialize() has written and nothing has dropped yet, oldest first.
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """A mark for drop_since()."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int, *but: str) -> None:
+    """Delete what materialize() has written since the mark, for a caller that has written its result down. Not for threads
+    that share a session."""
+    gone = [p for p in _WRITTEN[mark:] if p not in but]
+    _WRITTEN[mark:] = [p for p in _WRITTEN[mark:] if p in but]
+    drop(spark, *gone)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that nothing reads any more."""
     jvm = spark._jvm
     for p in paths:
+        if p in _WRITTEN:
+            _WRITTEN.remove(p)
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -184,49 +208,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: The odd base of all polynomial hashes; seeds change the bytes' values only, so that one table of powers serves a worker.
-BASE = 0x9E6C63D0676A9A99
-_UP = _DOWN = np.ones(1, np.uint64)
-_TABLES: dict[int, np.ndarray] = {}
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+#: What tells the two halves of a 128-bit key apart.
+_OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
+#: Words of more bytes are hashed one by one: a loop over eights must not be as long as the longest word.
+LONG_WORD = 64
+
+
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of the words buf[s:e]: eight bytes at a time, each step a bijection of what came before, so that words of at
+    most eight bytes and one length never collide and no pattern of letters makes longer ones collide."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * _LENGTH + np.uint64(seed * 0x1000193 + 0x2545F4914F6CDD1D))
+    if not len(h):
+        return h
+    eights = np.ndarray(len(buf), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    todo = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(todo):
+        part = eights[starts[todo] + at]
+        left = size[todo] - at
+        part &= ~np.uint64(0) >> ((8 - np.clip(left, 1, 8)) * 8).astype(np.uint64)
+        h[todo] = mix(h[todo] ^ part)
+        at += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed))
+    return mix(h)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n."""
-    global _UP, _DOWN
-    if len(_UP) < n:
-        m = 1 << max(16, (n - 1).bit_length())
-        out = []
-        for b in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(m, np.uint64(b))
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _UP, _DOWN = out
-    return _UP[:n], _DOWN[:n]
+def _window_parts(values: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hashes of windows of a power of two of items that together cover each n-item window."""
+    k = len(values) - n + 1
+    if k <= 0:
+        return [np.zeros(0, np.uint64)]
+    cover, g = 1, values
+    while 2 * cover <= n:
+        x = mix(g)
+        g = x[:-cover] * _MIX1 + g[cover:]
+        cover *= 2
+    return [g[:k]] if cover == n else [g[:k], g[n - cover : n - cover + k]]
 
 
-def byte_values(seed: int) -> np.ndarray:
-    if seed not in _TABLES:
-        _TABLES[seed] = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return _TABLES[seed]
+def ngram_hash(values: np.ndarray, n: int, other: bool = False) -> np.ndarray:
+    """64-bit hashes of all n-item windows of 64-bit items, by doubling: a window's hash mixes those of its halves. other: a second
+    hash that is independent of the first; the two make a 128-bit key."""
+    parts = _window_parts(values, int(n))
+    h = mix(parts[0] ^ _OTHER if other else parts[0])
+    for p in parts[1:]:
+        h = mix(h + mix(p ^ _OTHER if other else p) * _MIX2)
+    return mix(h + np.uint64(int(n) * int(_LENGTH) % 2**64))
 
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of values[s:e]; equal ranges have equal hashes wherever they lie. values: bytes or mixed 64-bit items."""
-    up, down = powers(len(values) + 1)
-    acc = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((byte_values(seed)[values] if values.dtype == np.uint8 else values) * up[:-1], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def byte_ngram_hash(buf: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all n-byte windows: a filter whose answer is checked on the bytes."""
+    n = int(n)
+    if len(buf) < n:
+        return np.zeros(0, np.uint64)
+    if n < 8:
+        return short_byte_hash(buf, n)
+    k = len(buf) - n + 1
+    eights = np.ndarray(len(buf) - 7, "<u8", np.ascontiguousarray(buf), strides=(1,)).copy()
+    places = [*range(0, n - 8, 8), n - 8]
+    h = eights[places[0] : places[0] + k] * _MIX1
+    t = np.empty_like(h)
+    for p in places[1:]:
+        np.right_shift(h, np.uint64(29), out=t)
+        h ^= t
+        h += eights[p : p + k]
+        h *= _MIX2
+    return mix(h)
 
 
-def ngram_hash(values: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """Hashes of all n-item windows of values; the same as range_hash's of those ranges."""
-    n = int(n)
-    k = max(0, len(values) - n + 1)
-    up, down = powers(len(values) + 1)
-    acc = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((byte_values(seed)[values] if values.dtype == np.uint8 else values) * up[:-1], out=acc[1:])
-    h = acc[len(values) - k + 1 :] - acc[:k] if k else acc[:0]
-    h *= down[:k]
-    h += np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
+def short_byte_hash(buf: np.ndarray, n: int) -> np.ndarray:
+    """The same for windows shorter than eight bytes, which are hashed without loss."""
+    k = len(buf) - n + 1
+    h = np.zeros(k, np.uint64)
+    for j in range(n):
+        h = h << np.uint64(8) | buf[j : j + k].astype(np.uint64)
     return mix(h)

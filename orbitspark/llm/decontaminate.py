@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, materialize, mix, ngram_hash, range_hash, tidy, word_spans
+from .common import buffers, chunks, materialize, mix, ngram_hash, tidy, word_hash, word_spans
 
 SHINGLE, BITS, BLOCKS, RADIUS, MARGIN = 5, 128, 16, 40, 4
 #: Bytes of benchmark text that go to the executors at once; a larger benchmark is taken in slices, a pass for each.
@@ -35,14 +35,14 @@ SLICE_BYTES = 16 << 20
 BREAK = np.zeros(256, bool)
 BREAK[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
-HITS = "doc_id long, item_id long, similarity double, distance int, start_word int, n_words int"
+HITS = "item_id long, similarity double, distance int, start_word int, n_words int"
 
 
 def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of lower-cased texts, and each text's offsets."""
     buf, offs = buffers(col)
     s, e, wo = word_spans(buf, offs, BREAK)
-    return range_hash(buf, s, e, seed=3), wo
+    return word_hash(buf, s, e, seed=3), wo
 
 
 def shingles_of(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -54,7 +54,7 @@ def shingles_of(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 def bits_of(shingles: np.ndarray) -> np.ndarray:
     """(n, BITS) int32: 1 or -1 by the bits of each shingle's hash."""
     h = np.stack([mix(shingles), mix(shingles ^ np.uint64(0x5851F42D4C957F2D))], 1)
-    sign = np.unpackbits(h.view(np.uint8).reshape(len(shingles), -1), axis=1)
+    sign = np.unpackbits(h.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
     return 2 * sign.astype(np.int32) - 1
 
 
@@ -273,18 +273,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, item
     without words, or without an id, is never found. Null and empty texts hold nothing. Repeated rows each count; an empty
     table on either side gives an empty result. Other columns are not read.
     """
-    passes = []
+    passes, kind = [], f"doc_id {dict(docs.dtypes)['doc_id']}, "
     for shared in slices(benchmark, item, text, least):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                cols = list(zip(*((ids[i], *x) for i, *x in found(shared.value, batch.column(1))), strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in HITS.split(", ")])
+                at, *cols = list(zip(*found(shared.value, batch.column(1)), strict=True)) or [()] * 6
+                kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *(x.split()[0] for x in HITS.split(", "))])
 
-        passes.append(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(tidy(run), HITS))
-    return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], HITS)
+        passes.append(docs.select("doc_id", text).mapInArrow(tidy(run), kind + HITS))
+    return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], kind + HITS)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, item: str = "item_id", text: str = "text") -> DataFrame:

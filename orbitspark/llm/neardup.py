@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, chunks, materialize, mix, ngram_hash, range_hash, tidy, word_spans
+from .common import SPACE, buffers, chunks, materialize, mix, ngram_hash, tidy, word_hash, word_spans
 from .components import components
-from .repeats import packed_text, row_ids, unpack_text
+from .repeats import WHOLE, packed_text, row_ids, unpack_text
 
 #: A pair of similarity 0.8 shares no region with probability (1 - 0.8**4)**20 = 3e-5, and has AGREE values in common but for 1e-5.
 TREES, DEPTH = 20, 4
@@ -44,14 +44,14 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, shingle: int) -> list[np.nda
     """Sorted distinct shingle hashes of each document: A-Z lowered, words between blanks; a text of fewer words is one shingle."""
     buf = _LOWER[buf]
     s, e, wo = word_spans(buf, offs, SPACE)
-    h = range_hash(buf, s, e, seed=4)
-    g = ngram_hash(h, shingle, seed=5)
+    h = word_hash(buf, s, e, seed=4)
+    g = ngram_hash(h, shingle)
     out = []
     for a, b in zip(wo[:-1].tolist(), wo[1:].tolist(), strict=True):
         if b - a >= shingle:
             out.append(np.unique(g[a : b - shingle + 1]))
         else:
-            out.append(range_hash(h[a:b], np.zeros(1, np.int64), np.full(1, b - a), seed=5) if b > a else np.zeros(0, np.uint64))
+            out.append(ngram_hash(h[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out
 
 
@@ -141,7 +141,8 @@ def tree_order(key, sig):
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs (a, b, agree), and (key, n, rep) of the members of regions too large for neighbours alone."""
     keys = regions(classes)
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that adaptive execution may split the other side of the join where one region holds most rows
+    sizes, _ = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members, _ = materialize(keys.join(sizes, "key"))
     signed = members.join(classes.select("rep", "sig"), "rep").withColumn("o", tree_order(F.col("key"), F.col("sig")))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -153,20 +154,18 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unpack(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return x.view(np.uint64).ravel()
+    return np.frombuffer(b, np.uint64)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(row, set) of the documents named in ids: all their shingles' hashes, 48 bits each. Written, as several joins read it."""
+    """(row, set) of the documents named in ids: the hashes of all their shingles. Written, as several joins read it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 buf, offs = buffers(unpack_text(part.column("z")))
-                sets = [x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in shingle_sets(buf, offs, shingle)]
+                sets = [x.tobytes() for x in shingle_sets(buf, offs, shingle)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.binary())], ["row", "set"])
 
     return materialize(packed_text(docs, ["row"]).join(ids, "row").mapInArrow(tidy(run), "row long, set binary"))[0]
@@ -210,7 +209,7 @@ def scarce_shingles(large: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     few = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= SCARCE)
     scarce, _ = materialize(rows.join(few, "shingle"))
     own = scarce.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    sizes, _ = materialize(held.select("rep", (F.octet_length("set") / 6).cast("long").alias("size")).join(own, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")))
+    sizes, _ = materialize(held.select("rep", (F.octet_length("set") / 8).cast("long").alias("size")).join(own, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")))
     lists = scarce.where("c > 1").groupBy("shingle").agg(F.sort_array(F.collect_list("rep")).alias("l"))
     pair = F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
     pairs = lists.select(pair.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("k"))
@@ -218,7 +217,8 @@ def scarce_shingles(large: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     both = F.least("ca", "cb") + F.col("k")
     linked = pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(100) * both >= F.lit(percent) * (F.col("sa") + F.col("sb") - both)).select("a", "b")
     placed = large.select("key", "rep").join(sizes, "rep")
-    return materialize(placed.join(placed.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("centre")), "key"))[0], linked
+    centres, _ = materialize(placed.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("centre")))
+    return materialize(placed.join(centres, "key"))[0], linked
 
 
 def possible(size: str, own: str, other: str, percent: int):
@@ -236,6 +236,7 @@ def remaining(placed: DataFrame, comps: DataFrame, classes: DataFrame, percent:
     open_ = open_.join(comps.withColumnRenamed("u", "rep"), "rep", "left").select("key", "rep", "size", "own", F.coalesce("v", "rep").alias("comp"))
     per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("top")).where("all > top")
+    mixed, _ = materialize(mixed)
     rows = open_.join(mixed, "key").join(classes.select("rep", "sig"), "rep").withColumn("mb", F.ceil(F.col("all") / BLOCK)).withColumn("qb", F.ceil((F.col("all") - F.col("top")) / BLOCK))
     rows, _ = materialize(rows)
     if not rows.limit(1).count():
@@ -295,11 +296,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Two documents are linked if their distinct `shingle`-word shingles reach `percent` of their union; component_id is the
     smallest doc_id reachable by links, and kept marks the rows that bear it. Null, empty and blank texts have no shingles
     and no links. Repeated rows are copies of each other: rows that share the smallest id are all kept. A null id takes the
-    place of the largest. Columns beyond these two are not read; an empty table gives an empty one.
+    place of the largest; ids may be of any type that has an order. Columns beyond these two are not read; an empty table gives
+    an empty one.
     """
     base = row_ids(docs.select("doc_id", "text"), ordered=True)
     named = groups(base, shingle, percent)
-    if not base.where(~F.col("row").eqNullSafe(F.col("doc_id"))).limit(1).count():
+    whole = dict(docs.dtypes)["doc_id"] in WHOLE
+    if whole and not base.where(~F.col("row").eqNullSafe(F.col("doc_id"))).limit(1).count():
         return named.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("row") == F.col("root")).alias("kept"))
     named, _ = materialize(named.join(base.select("row", "doc_id"), "row"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -24,8 +24,8 @@ CACHE_WORDS = 900_000
 #: Bytes of text encoded at once: their ids are sent before the next are made.
 PART_BYTES = 2 << 20
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PLACED = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
@@ -124,7 +124,7 @@ def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int, int, bytes
 
 
 def cut(docs: DataFrame, capacity: int, eos: int | None, path: str | None, keep_words: int = CACHE_WORDS) -> DataFrame:
-    """A row per piece (PIECES). A null text is empty; a null doc_id stays null; other columns are not read."""
+    """A row per piece (doc_id and PIECES). A null text is empty; a null doc_id stays null; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -132,11 +132,11 @@ def cut(docs: DataFrame, capacity: int, eos: int | None, path: str | None, keep_
         for batch in batches:
             for part in parts_of(batch, "text", PART_BYTES):
                 ids = enc.encode([t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()], keep_words)
-                rows = [(d, *p) for d, x in zip(part.column(0).to_pylist(), ids, strict=True) for p in pieces_of(x + end, capacity)]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                at, *cols = list(zip(*((i, *p) for i, x in enumerate(ids) for p in pieces_of(x + end, capacity)), strict=True)) or [()] * 6
+                columns = [part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run, "words"), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "words"), f"doc_id {dict(docs.dtypes)['doc_id']}, {PIECES}")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, capacity: int = 4096, eos: int | None = 2, path: str |
         return pa.table(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     dealt = cut(docs, capacity, eos, path, keep_words).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("g").applyInArrow(pack_group, PLACED).withColumn("ids_crc32", F.crc32("ids")).select(*PACKED)
+    return dealt.groupBy("g").applyInArrow(pack_group, f"doc_id {dict(docs.dtypes)['doc_id']}, {PLACED}").withColumn("ids_crc32", F.crc32("ids")).select(*PACKED)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 A window of `length` items has one seed: the sub-window of `seed_length` items with the smallest hash (leftmost on ties).
 Equal windows have equal seeds, so a window can repeat only if its seed does; consecutive windows that share a seed
-occurrence form a run, which travels as one element. Elements go to hash buckets as packed arrays with a return address;
-an element seen twice in one batch is settled there and sends its key once, with its count and the places, so a key that a
-third of the documents hold costs a bucket one key a batch. What comes back is ranges of window starts by document, and
-whether their key is hot.
+occurrence form a run, which travels as one element. Elements go to hash buckets as packed arrays with a return address.
+A batch writes one record for each bucket that it has elements for, so the work grows with the input, whatever the number of
+buckets. An element seen twice in one batch is settled there and sends its key once, with its count and the places; one seen
+DENSE times keeps its places at home and sends key and count alone, so a key that a third of the documents hold costs its
+bucket some bytes a batch. What comes back is ranges of window starts by document, and whether their key is hot.
 """
 
 from __future__ import annotations
@@ -19,14 +20,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy, tidy_group
+from .common import materialize, mix, tidy, tidy_group
 
 #: Elements that a bucket holds, about, and the fewest buckets.
 BUCKET_ELEMENTS, BUCKETS = 256_000, 48
 #: A seed that occurs more often is hot: what shares it is dealt out by finer keys at the next level.
 HOT = 4_096
+#: A key that one batch holds so often is hot as well, and its places in that batch do not travel to its bucket.
+DENSE = 16
 
-ELEMENTS = "bucket int, solo binary, known binary, times binary, address binary, settled binary"
+ELEMENTS = "bucket int, solo binary, known binary, times binary, address binary, settled binary, home binary"
+NAMES = [c.split()[0] for c in ELEMENTS.split(", ")]
+#: Types of ids that are whole numbers.
+WHOLE = ("bigint", "int", "smallint", "tinyint")
 RANGES = "row long, start int, n int, hot boolean"
 _ADDRESS = np.dtype([("row", "<i8"), ("start", "<u4"), ("n", "<u4")])
 
@@ -39,8 +45,7 @@ def row_ids(docs: DataFrame, key: str = "doc_id", ordered: bool = False) -> Data
     """docs plus `row`, a long that tells rows apart and is the same whenever docs is read: the key where it is a unique whole
     number and never null, else a running number that is written down with the rows. ordered: it grows with the key, then the text, and
     null keys come last."""
-    whole = dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
-    if not whole or docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
+    if dict(docs.dtypes)[key] not in WHOLE or docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
         if ordered:
             docs = docs.orderBy(F.col(key).asc_nulls_last(), "text")
         return materialize(docs.withColumn("row", F.monotonically_increasing_id()))[0]
@@ -81,7 +86,7 @@ def runs(hashes: np.ndarray, offs: np.ndarray, seed_length: int, length: int) ->
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, np.zeros(0, np.uint64)
-    bits = np.uint64(max(20, n.bit_length()))
+    bits = np.uint64(max(28, n.bit_length()))  # the same for all chunks: equal windows must choose equal seeds
     low = (np.uint64(1) << bits) - np.uint64(1)
     m = hashes & ~low
     m |= np.arange(len(hashes), dtype=np.uint64)
@@ -121,27 +126,56 @@ def unshort(b: bytes) -> np.ndarray:
     return x.view(np.uint64).ravel()
 
 
+def classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of 64-bit keys (n,) or 128-bit ones (n, 2): the number of each one's class, the classes' sizes, their first members."""
+    one = keys if keys.ndim == 1 else keys[:, 0]
+    order = np.argsort(one, kind="stable")
+    new = np.ones(len(one), bool)
+    new[1:] = one[order][1:] != one[order][:-1]
+    if keys.ndim == 2:
+        two = keys[:, 1][order]
+        if (~new[1:] & (two[1:] != two[:-1])).any():
+            order = np.lexsort((keys[:, 1], one))
+            two = keys[:, 1][order]
+            new[1:] = one[order][1:] != one[order][:-1]
+            new[1:] |= two[1:] != two[:-1]
+    first = np.flatnonzero(new)
+    number = np.empty(len(one), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, np.diff(np.append(first, len(one))), order[first]
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, and where."""
+    order = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else order
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
 def element_rows(keys: np.ndarray, route: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, buckets: int, brief: bool = False) -> Iterator[tuple]:
     """One batch's elements as rows of ELEMENTS. route decides the bucket: equal keys have equal routes. brief: see short()."""
-    put = short if brief else np.ndarray.tobytes
+    put = short if brief else (lambda k: np.ascontiguousarray(k).tobytes())
     if not len(keys):
         return
-    uniq, inv, count = np.unique(keys, return_inverse=True, return_counts=True)
-    twice = count[inv] > 1
+    inv, count, first = classes(keys)
+    dense, twice = count[inv] >= DENSE, count[inv] > 1
     bucket = (route % np.uint64(buckets)).astype(np.int64)
     address = np.empty(len(keys), _ADDRESS)
     address["row"], address["start"], address["n"] = row, start, n
     lead = np.zeros(len(keys), bool)
-    lead[np.unique(inv, return_index=True)[1]] = True
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if edges[b] == edges[b + 1]:
-            continue
-        i = order[edges[b] : edges[b + 1]]
-        solo, known, done = i[~twice[i]], i[twice[i] & lead[i]], i[twice[i]]
+    lead[first] = True
+    go = np.flatnonzero(~dense | lead)
+    for b, i in by_bucket(bucket[go]):
+        i = go[i]
+        solo, known, done = i[~twice[i]], i[twice[i] & lead[i]], i[twice[i] & ~dense[i]]
         known, done = known[np.argsort(inv[known])], done[np.argsort(inv[done], kind="stable")]  # places by key, as known lists them
-        yield b, put(keys[solo]), put(keys[known]), count[inv[known]].astype("<u4").tobytes(), deflate(_columns(address[solo])), deflate(_columns(address[done]))
+        times = count[inv[known]].astype("<u4") | (dense[known].astype("<u4") << np.uint32(31))
+        yield b, put(keys[solo]), put(keys[known]), times.tobytes(), deflate(_columns(address[solo])), deflate(_columns(address[done])), None
+    if dense.any():
+        home = np.flatnonzero(dense)
+        home = home[np.lexsort((start[home], row[home]))]
+        yield int(mix(np.array([row[0] + len(row)], np.uint64))[0] % np.uint64(buckets)), b"", b"", b"", _NOWHERE, _NOWHERE, deflate(_columns(address[home]))
 
 
 def _columns(a: np.ndarray) -> bytes:
@@ -155,6 +189,17 @@ def _uncolumn(b: bytes) -> dict[str, np.ndarray]:
     return {"row": np.frombuffer(raw, "<i8", n), "start": np.frombuffer(raw, "<u4", n, 8 * n), "n": np.frombuffer(raw, "<u4", n, 12 * n)}
 
 
+_NOWHERE = deflate(b"")
+
+
+def element_batch(parts: list[tuple], buckets: int, brief: bool = False) -> Iterator[pa.RecordBatch]:
+    """The elements (keys, route, row, start, n) of one batch's chunks as a batch of ELEMENTS."""
+    rows = list(element_rows(*(np.concatenate(c) for c in zip(*parts, strict=True)), buckets, brief)) if parts else []
+    if rows:
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], NAMES)
+
+
 def merge_ranges(row: np.ndarray, start: np.ndarray, n: np.ndarray, hot: np.ndarray | None = None) -> pd.DataFrame:
     """Ranges that follow one another in the order given, and are as hot, become one. RANGES."""
     row, start, n = row.astype(np.int64), start.astype(np.int64), n.astype(np.int64)
@@ -167,26 +212,34 @@ def merge_ranges(row: np.ndarray, start: np.ndarray, n: np.ndarray, hot: np.ndar
     return pd.DataFrame({"row": row[i], "start": start[i].astype(np.int32), "n": (last - start[i]).astype(np.int32), "hot": hot[i]})
 
 
-def repeated(elements: DataFrame, brief: bool = False) -> DataFrame:
-    """RANGES of the elements whose key occurs at least twice anywhere."""
-    take = unshort if brief else (lambda b: np.frombuffer(b, np.uint64))
+def repeated(elements: DataFrame, brief: bool = False, wide: bool = False) -> DataFrame:
+    """RANGES of the elements whose key occurs at least twice anywhere. brief: see short(); wide: keys have 128 bits."""
+
+    def take(b: bytes) -> np.ndarray:
+        return unshort(b) if brief else np.frombuffer(b, np.uint64).reshape(-1, 2) if wide else np.frombuffer(b, np.uint64)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         solo, known = ([take(x) for x in pdf[c]] for c in ("solo", "known"))
         times = [np.frombuffer(x, "<u4") for x in pdf["times"]]
-        keys = np.concatenate([*solo, *known])
-        uniq, inv = np.unique(keys, return_inverse=True)
-        count = np.bincount(inv, weights=np.concatenate([np.ones(sum(map(len, solo)), np.uint32), *times]), minlength=len(uniq))[inv]
-        out, at, behind = [], 0, sum(map(len, solo))
-        for mine, theirs, address, settled in zip(solo, times, pdf["address"], pdf["settled"], strict=True):
-            c, k = count[at : at + len(mine)], count[behind : behind + len(theirs)]
-            at, behind = at + len(mine), behind + len(theirs)
-            hit = c > 1
+        inv, size, _ = classes(np.concatenate([*solo, *known]))
+        alone, each = sum(map(len, solo)), np.concatenate(times)
+        held, dense = each & np.uint32((1 << 31) - 1), each >> np.uint32(31)
+        count = np.bincount(inv, weights=np.concatenate([np.ones(alone), held]), minlength=len(size))[inv]
+        hot = (np.bincount(inv, weights=np.concatenate([np.zeros(alone), dense]), minlength=len(size))[inv] > 0) | (count > HOT)
+        out, at, behind = [], 0, alone
+        for mine, theirs, address, settled, home in zip(solo, times, pdf["address"], pdf["settled"], pdf["home"], strict=True):
+            if home is not None:
+                h = _uncolumn(home)
+                out.append(merge_ranges(h["row"], h["start"], h["n"], np.ones(len(h["row"]), bool)))
+                continue
+            i, k = slice(at, at + len(mine)), slice(behind, behind + len(theirs))
+            at, behind = i.stop, k.stop
+            hit, stay = count[i] > 1, np.where(theirs >> np.uint32(31), 0, theirs)
             a, s = _uncolumn(address), _uncolumn(settled)
             row, start, n = (np.concatenate([a[x][hit], s[x]]) for x in _ADDRESS.names)
-            hot = np.concatenate([c[hit], np.repeat(k, theirs)]) > HOT
+            warm = np.concatenate([hot[i][hit], np.repeat(hot[k], stay)])
             o = np.lexsort((start, row))
-            out.append(merge_ranges(row[o], start[o], n[o], hot[o]))
+            out.append(merge_ranges(row[o], start[o], n[o], warm[o]))
         return pd.concat(out, ignore_index=True)
 
     return elements.groupBy("bucket").applyInPandas(tidy_group(settle), RANGES)

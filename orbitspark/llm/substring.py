@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, ngram_hash, parts_of, range_hash, tidy, totals, word_spans
-from .repeats import ELEMENTS, bucket_count, element_rows, hot_items, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
+from .common import buffers, chunks, materialize, ngram_hash, parts_of, tidy, totals, word_hash, word_spans
+from .repeats import ELEMENTS, bucket_count, element_batch, hot_items, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
 #: Seeds per byte of text, for the number of buckets: about 2 in 19 words start a run, and a word has 6 bytes.
 SEEDS_PER_BYTE = 0.018
@@ -25,14 +25,7 @@ SEEDS_PER_BYTE = 0.018
 
 def _word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s, e, wo = word_spans(buf, offs)
-    return range_hash(buf, s, e), wo
-
-
-def _rows(parts: list[tuple], buckets: int, brief: bool = False) -> Iterator[pa.RecordBatch]:
-    if parts:
-        out = list(zip(*element_rows(*(np.concatenate(c) for c in zip(*parts, strict=True)), buckets, brief), strict=True))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "solo", "known", "times", "address", "settled"])
+    return word_hash(buf, s, e), wo
 
 
 def seed_elements(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -47,7 +40,7 @@ def seed_elements(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 h, wo = _word_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 doc, first, n, key = runs(ngram_hash(h, half), wo, half, window)
                 parts.append((key, key, ids[a + doc], first - wo[doc], n))
-            yield from _rows(parts, buckets, brief=True)
+            yield from element_batch(parts, buckets, brief=True)
 
     return docs.select("row", "text").mapInArrow(tidy(run), ELEMENTS)
 
@@ -75,13 +68,13 @@ def window_elements(docs: DataFrame, window: int, shift: int, buckets: int) -> D
                 p = p[p + window <= wo[doc[p] + 1]]
                 if not len(p):
                     continue
-                key = range_hash(h, p, p + window, seed=2)
+                key = np.stack([ngram_hash(h, window)[p], ngram_hash(h, window, other=True)[p]], 1)
                 # windows in a row travel together, so that their addresses stay ranges: the seed is their route unless it is hot
                 half = -(-window // 2)
                 rd, rf, rn, rk = runs(ngram_hash(h, half), wo, half, window)
-                route = np.where(hot_items(batch.column("ranges"), len(h), base, r)[p], key, rk[np.searchsorted(rf, p, "right") - 1])
+                route = np.where(hot_items(batch.column("ranges"), len(h), base, r)[p], key[:, 0], rk[np.searchsorted(rf, p, "right") - 1])
                 parts.append((key, route, ids[a + doc[p]], p - wo[doc[p]], np.ones(len(p), np.int64)))
-            yield from _rows(parts, buckets)
+            yield from element_batch(parts, buckets)
 
     return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(tidy(run), ELEMENTS)
 
@@ -89,12 +82,12 @@ def window_elements(docs: DataFrame, window: int, shift: int, buckets: int) -> D
 def repeated_windows(docs: DataFrame, packed: DataFrame, window: int, total_bytes: int) -> DataFrame:
     """RANGES of the starts of all windows whose word sequence also starts anywhere else. docs(row, text), packed(row, z)."""
     seeds = repeated(seed_elements(docs, window, bucket_count(total_bytes * SEEDS_PER_BYTE)), brief=True)
-    return repeated(window_elements(with_ranges(packed, seeds), window, 0, bucket_count(total_bytes / 24)))
+    return repeated(window_elements(with_ranges(packed, seeds), window, 0, bucket_count(total_bytes / 24)), wide=True)
 
 
 def longer_windows(packed: DataFrame, ranges: DataFrame, window: int, total_bytes: int) -> DataFrame:
     """From the ranges at `window` words to those at twice as many."""
-    return repeated(window_elements(with_ranges(packed, ranges), 2 * window, window, bucket_count(total_bytes / 48)))
+    return repeated(window_elements(with_ranges(packed, ranges), 2 * window, window, bucket_count(total_bytes / 48)), wide=True)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = False, keep: list[str] | None = None) -> DataFrame:

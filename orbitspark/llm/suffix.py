@@ -1,10 +1,14 @@
 """Suffix-array deduplication of bytes: what a document shares with one of a smaller id goes.
 
 1. The seed of every window (repeats.py) is looked up across all documents; windows whose seed is unique are done.
-2. A run of windows with one seed occurrence is compared whole: of equal runs only the smallest document's goes on, and it only
-   if its seed also stands in another run.
-3. What is left, but for windows whose hash is unique in its bucket, is sorted by suffix arrays (gsaca.py): strings of runs with
-   equal seeds; equal windows are neighbours in a suffix array, and are compared byte by byte. Every window but those of the smallest document is removed.
+2. The bytes of the runs that are left go to the buckets of their seeds. Of runs that a batch holds several times, byte for
+   byte, only the smallest row's goes. Windows of a hot seed go one by one, dealt out by their own hash.
+3. In a bucket, the runs of one seed are put end to end and sorted as one string by its suffix array (gsaca.py). Equal windows
+   are neighbours there: neighbours are compared byte by byte, and every window but those of the smallest row is removed. A
+   seed's runs that make a very long string are sorted in several, whose sorted windows are merged.
+
+Hashes only say where to look (seeds, and windows whose hash is unique in their bucket, which have no equal); what is removed
+follows from the order of the suffixes and their bytes.
 """
 
 from __future__ import annotations
@@ -15,32 +19,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, materialize, ngram_hash, parts_of, range_hash, tidy, tidy_group, totals
+from .common import buffers, byte_ngram_hash, chunks, mix, parts_of, tidy, tidy_group, totals
 from .gsaca import _spans, suffix_arrays
-from .repeats import ELEMENTS, RANGES, bucket_count, deflate, element_rows, hot_items, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
+from .repeats import ELEMENTS, RANGES, bucket_count, by_bucket, deflate, element_batch, hot_items, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
 #: Bytes hashed or marked at once: a byte takes some dozens of bytes of working memory.
 CHUNK = 384 << 10
-#: Symbols of one string that is suffix-sorted, about.
-STRING = 1_536
+#: Bytes of one string that is suffix-sorted, about, and at most for the runs of one seed.
+STRING, LONG = 1_536, 6_144
 #: Bytes whose strings are sorted together; bounds a worker's memory.
 TOGETHER = 512 << 10
+#: Bytes of text a bucket, about.
+BUCKET_BYTES = 6 << 20
 
 
 def seed_of(window: int) -> int:
     return max(1, min(22, window // 2))
 
 
-def _elements(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
-    if parts:
-        out = list(zip(*element_rows(*(np.concatenate(c) for c in zip(*parts, strict=True)), buckets, brief=True), strict=True))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "solo", "known", "times", "address", "settled"])
-
-
 def seeds(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in parts_of(whole, "text")):
@@ -48,151 +48,110 @@ def seeds(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             buf, offs = buffers(batch.column("text"))
             for a, b in chunks(offs, CHUNK):
                 o = offs[a : b + 1] - offs[a]
-                doc, first, n, key = runs(ngram_hash(buf[offs[a] : offs[b]], seed_of(window), seed=6), o, seed_of(window), window)
+                doc, first, n, key = runs(byte_ngram_hash(buf[offs[a] : offs[b]], seed_of(window)), o, seed_of(window), window)
                 parts.append((key, key, ids[a + doc], first - o[doc], n))
-            yield from _elements(parts, buckets)
+            yield from element_batch(parts, buckets, brief=True)
 
     return docs.select("row", "text").mapInArrow(tidy(run), ELEMENTS)
 
 
-RUNS = "bucket int, seed binary, content binary, row binary, start binary, n binary, gone binary"
+STRINGS = "bucket int, seed binary, row binary, start binary, n binary, bytes binary, gone binary"
+
+
+def eights(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number from the first and last eight bytes of each stretch buf[at:at + size]; equal stretches have equal ones."""
+    view = np.ndarray(len(buf), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    some = ~np.uint64(0) >> ((8 - np.minimum(size, 8)) * 8).astype(np.uint64)
+    return mix(view[at] & some) + (view[at + np.maximum(size - 8, 0)] & some)
+
+
+def copies(buf: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Mask of the stretches that equal, byte for byte, one with the same key of a smaller row."""
+    guess = mix(key ^ eights(buf, at, size)) + size.astype(np.uint64)
+    order = np.lexsort((row, guess))
+    new = np.ones(len(order), bool)
+    new[1:] = guess[order][1:] != guess[order][:-1]
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    ask, lead = order[row[order] > row[lead]], lead[row[order] > row[lead]]
+    same = (key[ask] == key[lead]) & (size[ask] == size[lead])
+    ask, lead = ask[same], lead[same]
+    out = np.zeros(len(at), bool)
+    step = 65_536
+    for lo in range(0, len(ask), step):
+        x, y = ask[lo : lo + step], lead[lo : lo + step]
+        differ = buf[_spans(at[x], size[x])] != buf[_spans(at[y], size[y])]
+        out[x] = ~np.logical_or.reduceat(differ, np.cumsum(size[x]) - size[x])
+    return out
 
 
-def candidate_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """docs(row, z, ranges) → RUNS: hashes of seed and content of each run in the ranges, and where it is. Of runs that are equal
-    in a batch only its smallest row's travel; the others' ranges are settled (gone)."""
+def candidate_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """docs(row, z, ranges) → STRINGS: the bytes of each run of windows in the ranges, in the bucket of its seed, or of each window
+    by itself where the seed is hot. Runs that equal one of a smaller row in their batch are settled (gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for whole in batches for p in parts_of(whole, "z", 4 << 20)):
+        for batch in (p for whole in batches for p in parts_of(whole, "z", 2 << 20)):
             ids, parts = batch.column("row").to_numpy(zero_copy_only=False), []
             count, start, n = range_arrays(batch.column("ranges"))
             bounds = np.concatenate([[0], np.cumsum(count)])
             buf, offs = buffers(unpack_text(batch.column("z")))
             for a, b in chunks(offs, CHUNK):
                 x, o = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-                doc, first, m, key = runs(ngram_hash(x, seed_of(window), seed=6), o, seed_of(window), window)
+                hashes = byte_ngram_hash(x, seed_of(window))
+                doc, first, m, key = runs(hashes, o, seed_of(window), window)
+                if not len(first):
+                    continue
                 r = slice(bounds[a], bounds[b])
-                mine = spread(len(x), np.repeat(o[:-1], count[a:b]) + start[r], n[r])[first] if len(first) else np.zeros(0, bool)
+                base = np.repeat(o[:-1], count[a:b]) + start[r]
+                mine = spread(len(x), base, n[r])[first]
                 doc, first, m, key = doc[mine], first[mine], m[mine], key[mine]
                 hot = hot_items(batch.column("ranges"), len(x), np.repeat(o[:-1], count[a:b]), r)[first]
-                parts.append((key, range_hash(x, first, first + m + window - 1, seed=7), ids[a + doc], first - o[doc], m, hot))
+                if hot.any():
+                    each = np.where(hot, m, 1)
+                    inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    doc, key, hot = np.repeat(doc, each), np.repeat(key, each), np.repeat(hot, each)
+                    first, m = np.repeat(first, each) + inner, np.where(hot, 1, np.repeat(m, each))
+                    own = byte_ngram_hash(x, window)
+                    key = np.where(hot, mix(own[first] + np.uint64(1)), key)
+                parts.append((key, ids[a + doc], first - o[doc], m, first + offs[a]))
             if not parts:
                 continue
-            key, content, row, start, n, hot = (np.concatenate(c) for c in zip(*parts, strict=True))
-            if not len(key):
-                continue
-            _, inv = np.unique(content, return_inverse=True)
-            least = np.full(inv.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, inv, row)
-            lost = row > least[inv]
-            key = np.where(hot, key & ~np.uint64(1), key | np.uint64(1))
-            bucket = (np.where(hot, content, key >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((row, bucket))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
-            for k in range(buckets):
-                i = order[edges[k] : edges[k + 1]]
-                if len(i):
-                    go, i = i[lost[i]], i[~lost[i]]
-                    gone = deflate(row[go].astype("<i8").tobytes() + start[go].astype("<i4").tobytes() + n[go].astype("<i4").tobytes())
-                    out.append((k, key[i].tobytes(), content[i].tobytes(), deflate(row[i].astype("<i8")), deflate(start[i].astype("<i4")), deflate(n[i].astype("<i4")), gone))
+            key, row, start, n, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+            size = n + window - 1
+            lost = copies(buf, at, size, key, row)
+            out, go = [], np.flatnonzero(~lost)
+            for k, i in by_bucket(((key[go] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)):
+                i = go[i]
+                out.append((k, key[i].tobytes(), deflate(row[i].astype("<i8")), deflate(start[i].astype("<i4")), deflate(n[i].astype("<i4")), deflate(buf[_spans(at[i], size[i])]), None))
+            if lost.any():
+                i = np.flatnonzero(lost)
+                i = i[np.lexsort((start[i], row[i]))]
+                gone = row[i].astype("<i8").tobytes() + start[i].astype("<i4").tobytes() + n[i].astype("<i4").tobytes()
+                out.append((int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(buckets)), b"", *[deflate(b"")] * 4, deflate(gone)))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [c.split()[0] for c in RUNS.split(", ")])
-
-    return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(tidy(run), RUNS)
-
-
-#: seed: 0 says that the windows go; odd, that the run is to be sorted with those of its seed; even, that its windows are to be
-#: sorted each with its equals, as the seed is hot.
-ASKED = "row long, start int, n int, seed long"
-
-
-def _settle_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """ASKED, from RUNS of one bucket. The other contents of a hot seed are in other buckets, so it counts as having several."""
-    seed, content = (np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("seed", "content"))
-    row = np.concatenate([inflate(b, "<i8") for b in pdf["row"]])
-    start, n = (np.concatenate([inflate(b, "<i4") for b in pdf[c]]) for c in ("start", "n"))
-    out = []
-    for b in pdf["gone"]:
-        x = inflate(b, np.uint8)
-        k = len(x) // 16
-        out.append(merge_ranges(*(np.frombuffer(x[i * k : j * k].tobytes(), t) for i, j, t in ((0, 8, "<i8"), (8, 12, "<i4"), (12, 16, "<i4")))).drop(columns="hot").assign(seed=0))
-    if len(seed):
-        order = np.lexsort((row, content, seed))
-        s, c, r = seed[order], content[order], row[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
-        at = np.flatnonzero(new)
-        lost = r > np.repeat(r[at], np.diff(np.append(at, len(r))))
-        kinds = np.bincount(np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1, weights=new)  # contents by seed
-        several = (kinds[np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1] > 1) | (s & np.uint64(1) == 0)
-        go, ask = order[lost], order[~lost & several]
-        go = go[np.lexsort((start[go], row[go]))]
-        out.append(merge_ranges(row[go], start[go], n[go]).drop(columns="hot").assign(seed=0))
-        out.append(pd.DataFrame({"row": row[ask], "start": start[ask], "n": n[ask], "seed": np.maximum(seed[ask], np.uint64(1)).view(np.int64)}))
-    return pd.concat(out, ignore_index=True)
-
-
-STRINGS = "bucket int, seed binary, row binary, start binary, n binary, bytes binary"
-
-
-def asked_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """docs(row, z, asks) → STRINGS: the bytes of the runs that are to be sorted, by bucket of their seed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for whole in batches for p in parts_of(whole, "z", 4 << 20)):
-            ids = batch.column("row").to_numpy(zero_copy_only=False)
-            count, start, n = range_arrays(batch.column("asks"))
-            import pyarrow.compute as pc
-
-            seed = pc.list_flatten(batch.column("asks")).field("seed").to_numpy(zero_copy_only=False)
-            buf, offs = buffers(unpack_text(batch.column("z")))
-            doc = np.repeat(np.arange(len(ids)), count)
-            each = np.where(seed & 1 == 0, n, 1)  # a hot run goes window by window
-            if (each != 1).any():
-                inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                hot, doc, seed = np.repeat(seed & 1 == 0, each), np.repeat(doc, each), np.repeat(seed, each)
-                start, n = np.repeat(start, each) + inner, np.where(hot, 1, np.repeat(n, each))
-                at = offs[doc[hot]] + start[hot]
-                for lo in range(0, len(at), 200_000):
-                    i, p = np.flatnonzero(hot)[lo : lo + 200_000], at[lo : lo + 200_000]
-                    raw = buf[_spans(p, np.full(len(p), window))]
-                    seed[i] = range_hash(raw, np.arange(len(p)) * window, (np.arange(len(p)) + 1) * window, seed=9).view(np.int64) | 1
-            bucket = (seed.view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
-            for k in range(buckets):
-                i = order[edges[k] : edges[k + 1]]
-                if len(i):
-                    size = n[i] + window - 1
-                    raw = buf[_spans(offs[doc[i]] + start[i], size)]
-                    out.append((k, seed[i].tobytes(), deflate(ids[doc[i]].astype("<i8")), deflate(start[i].astype("<i4")), deflate(n[i].astype("<i4")), deflate(raw)))
-            cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [c.split()[0] for c in STRINGS.split(", ")])
 
-    return docs.where(F.col("asks").isNotNull()).select("row", "z", "asks").mapInArrow(tidy(run), STRINGS)
+    return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(tidy(run), STRINGS)
 
 
-def sorted_windows(text: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """text: contexts of `size` bytes end to end. Returns the starts of all windows in suffix order, string by string, and
-    whether each equals the one before it."""
-    at = np.concatenate([[0], np.cumsum(size)])
-    # strings of whole contexts: each context is followed by a 1, each string's last symbol is the only 0
-    string = np.zeros(len(size), np.int64)
-    string[:] = (at[:-1] + np.arange(len(size))) // STRING
-    new_at = at[:-1] + np.arange(len(size))
-    sym = np.ones(int(at[-1]) + len(size), np.int64)
+def sorted_windows(text: np.ndarray, size: np.ndarray, string: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """text: contexts of `size` bytes end to end; string: the number of the string that each belongs to, in order. Returns the starts
+    of all windows in suffix order, string by string, and whether each equals the one before it."""
+    at = np.cumsum(size) - size
+    # each context is followed by a 1, each string's last symbol is the only 0
+    new_at = at + np.arange(len(size))
+    sym = np.ones(len(text) + len(size), np.int64)
     where = _spans(new_at, size)
     sym[where] = text.astype(np.int64) + 2
     last = np.flatnonzero(np.append(string[1:] != string[:-1], True))
     ends = new_at[last] + size[last] + 1
     sym[ends - 1] = 0
-    sa = suffix_arrays(sym, np.concatenate([[0], ends]))
+    bounds = np.concatenate([[0], ends])
+    sa = suffix_arrays(sym, bounds)
     origin = np.full(len(sym), -1, np.int64)
-    ok = np.arange(len(where)) - np.repeat(at[:-1], size) <= np.repeat(size - window, size)
+    ok = np.arange(len(where)) - np.repeat(at, size) <= np.repeat(size - window, size)
     origin[where[ok]] = np.flatnonzero(ok)
     starts = origin[sa]
-    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))[starts >= 0]
+    owner = np.repeat(np.arange(len(ends)), np.diff(bounds))[starts >= 0]
     starts = starts[starts >= 0]
     same = np.zeros(len(starts), bool)
     view = np.lib.stride_tricks.sliding_window_view(text, window)
@@ -206,14 +165,13 @@ def sorted_windows(text: np.ndarray, size: np.ndarray, window: int) -> tuple[np.
 def repeated_parts(text: np.ndarray, at: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows (place `at`, n of them) cut down to the parts whose windows' hashes occur at least twice here: number of the
     run, first window in it, number of windows. A window whose hash is unique has no equal, so it needs no sorting."""
-    hashes, size, lo = [], n + window - 1, 0
+    hashes, size, lo = [np.zeros(0, np.uint64)], n + window - 1, 0
     ends = np.cumsum(size)
     while lo < len(n):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + CHUNK, "right")))
-        p = _spans(at[lo:hi], n[lo:hi]) - at[lo]
-        hashes.append(range_hash(text[at[lo] : at[hi - 1] + size[hi - 1]], p, p + window, seed=8))
+        hashes.append(byte_ngram_hash(text[at[lo] : at[hi - 1] + size[hi - 1]], window)[_spans(at[lo:hi], n[lo:hi]) - at[lo]])
         lo = hi
-    _, inv, count = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    _, inv, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     again = count[inv] > 1
     run = np.repeat(np.arange(len(n)), n)
     new = again.copy()
@@ -223,42 +181,73 @@ def repeated_parts(text: np.ndarray, at: np.ndarray, n: np.ndarray, window: int)
     return run[first], first - (np.cumsum(n) - n)[run[first]], stop - first
 
 
+def strings_of(seed: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the runs, the string that each lies in, by that order, and whether that is one of several of its seed. Seeds whose
+    runs are shorter together come first, so that strings sorted together are about as long."""
+    _, inv = np.unique(seed, return_inverse=True)
+    total = np.bincount(inv, weights=size).astype(np.int64)
+    order = np.lexsort((inv, total[inv]))
+    inv, size = inv[order], size[order]
+    start = np.cumsum(size) - size
+    new = np.ones(len(inv), bool)
+    new[1:] = inv[1:] != inv[:-1]
+    long = total[inv] > LONG
+    group = start[np.flatnonzero(new)][np.cumsum(new) - 1]  # where the seed's first run starts
+    return order, np.where(long, (1 << 50) + start // LONG, group // STRING), long
+
+
 def _settle_strings(window: int):
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = np.frombuffer(b"".join(pdf["seed"]), np.int64)
+        out = []
+        for b in pdf["gone"].dropna():
+            x = inflate(b, np.uint8)
+            k = len(x) // 16
+            out.append(merge_ranges(*(np.frombuffer(x[i * k : j * k].tobytes(), t) for i, j, t in ((0, 8, "<i8"), (8, 12, "<i4"), (12, 16, "<i4")))))
+        seed = np.frombuffer(b"".join(pdf["seed"]), np.uint64)
         row = np.concatenate([inflate(b, "<i8") for b in pdf["row"]])
         start, n = (np.concatenate([inflate(b, "<i4") for b in pdf[c]]).astype(np.int64) for c in ("start", "n"))
         text = np.concatenate([inflate(b, np.uint8) for b in pdf["bytes"]])
-        at = np.concatenate([[0], np.cumsum(n + window - 1)])[:-1]
+        at = np.cumsum(n + window - 1) - (n + window - 1)
         i, inner, n = repeated_parts(text, at, n, window)
         seed, row, start, at = seed[i], row[i], start[i] + inner, at[i] + inner
-        order = np.argsort(seed, kind="stable")
-        keys, rows, starts = [], [], []
-        lo = 0
+        size = n + window - 1
+        order, string, long = strings_of(seed, size)
+        ends = np.cumsum(size[order])
+        edge = np.flatnonzero(np.append(string[1:] != string[:-1], True)) + 1 if len(order) else order  # where strings end
+        number, rows, starts, many, lo, made = [], [], [], [], 0, 0
         while lo < len(order):
-            cum = np.cumsum((n + window - 1)[order[lo : lo + 65_536]])
-            i = order[lo : lo + max(1, int(np.searchsorted(cum, TOGETHER)))]
-            lo += len(i)
-            size = n[i] + window - 1
-            part = text[_spans(at[i], size)]
-            w, same = sorted_windows(part, size, window)
-            if len(w):
-                # one name for a class of equal windows: classes of other strings of this bucket meet it by their hash
-                lead = np.flatnonzero(~same)
-                h = range_hash(part, w[lead], w[lead] + window, seed=8)
-                keys.append(np.repeat(h, np.diff(np.append(lead, len(w)))))
-                c = np.searchsorted(np.cumsum(size), w, "right")
-                rows.append(row[i[c]])
-                starts.append(start[i[c]] + w - (np.cumsum(size) - size)[c])
-        if not keys:
-            return merge_ranges(*(np.zeros(0, np.int64) for _ in range(3)))
-        keys, rows, starts = map(np.concatenate, (keys, rows, starts))
-        _, inv = np.unique(keys, return_inverse=True)
-        least = np.full(inv.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, inv, rows)
-        lost = np.flatnonzero(rows > least[inv])
-        lost = lost[np.lexsort((starts[lost], rows[lost]))]
-        return merge_ranges(rows[lost], starts[lost], np.ones(len(lost), np.int64))
+            hi = edge[min(len(edge) - 1, max(np.searchsorted(edge, lo, "right"), np.searchsorted(ends[edge - 1], (ends[lo - 1] if lo else 0) + TOGETHER, "right") - 1))]
+            i = order[lo:hi]
+            part = text[_spans(at[i], size[i])]
+            w, same = sorted_windows(part, size[i], string[lo:hi], window)
+            c = np.searchsorted(np.cumsum(size[i]), w, "right")
+            mine = made + np.cumsum(~same) - 1
+            made = mine[-1] + 1
+            lead = np.flatnonzero(~same & long[lo:hi][c])  # to be merged with the other strings of their seed
+            if len(lead):
+                view = np.lib.stride_tricks.sliding_window_view(part, window)
+                many.append((mine[lead], np.ascontiguousarray(view[w[lead]])))
+            number.append(mine)
+            rows.append(row[i[c]])
+            starts.append(start[i[c]] + w - (np.cumsum(size[i]) - size[i])[c])
+            lo = hi
+        if number:
+            number, rows, starts = map(np.concatenate, (number, rows, starts))
+            if many:
+                name, raw = (np.concatenate(x) for x in zip(*many, strict=True))
+                raw = raw.view(f"V{window}").ravel()
+                by = np.argsort(raw, kind="stable")  # a merge of sorted runs
+                new = np.ones(len(by), bool)
+                new[1:] = raw[by][1:] != raw[by][:-1]
+                same_as = np.arange(made)
+                same_as[name[by]] = name[by[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+                number = same_as[number]
+            least = np.full(made, np.iinfo(np.int64).max)
+            np.minimum.at(least, number, rows)
+            lost = np.flatnonzero(rows > least[number])
+            lost = lost[np.lexsort((starts[lost], rows[lost]))]
+            out.append(merge_ranges(rows[lost], starts[lost], np.ones(len(lost), np.int64)))
+        return pd.concat(out, ignore_index=True) if out else merge_ranges(*(np.zeros(0, np.int64) for _ in range(3)))
 
     return settle
 
@@ -274,12 +263,8 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
     base = row_ids(docs.select("doc_id", "text"), ordered=True)
     packed = packed_text(base, ["row", "doc_id"])
     found = repeated(seeds(base, window, bucket_count(total * 0.06)), brief=True)
-    runs_ = candidate_runs(with_ranges(packed.select("row", "z"), found), window, bucket_count(total * 0.02))
-    settled, _ = materialize(runs_.groupBy("bucket").applyInPandas(tidy_group(_settle_runs), ASKED))
-    asks = settled.where("seed <> 0").groupBy("row").agg(F.collect_list(F.struct("start", "n", "seed")).alias("asks"))
-    strings = asked_strings(packed.select("row", "z").join(asks, "row"), window, max(48, total // (8 << 20)))
-    last = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window)), RANGES)
-    ranges = settled.where("seed = 0").select("row", "start", "n", F.lit(False).alias("hot")).union(last)
+    strings = candidate_strings(with_ranges(packed.select("row", "z"), found), window, max(48, total // BUCKET_BYTES))
+    ranges = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window)), RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in parts_of(whole, "z", 4 << 20)):

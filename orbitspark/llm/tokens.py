@@ -50,10 +50,12 @@ class SpanEncoder:
         return self.size[np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)]
 
     def fill(self, pieces: set[bytes]) -> None:
-        if len(self.kept) + len(pieces) > CACHE_PIECES:
-            self.kept.clear()
+        """Encode the pieces that are not kept; where there is no room for them, only these pieces stay."""
+        new = pieces.difference(self.kept)
+        if len(self.kept) + len(new) > CACHE_PIECES:
+            self.kept = {p: self.kept[p] for p in pieces.intersection(self.kept)}
         todo = []
-        for p in pieces:
+        for p in new:
             t = p.decode("utf-8", "replace")
             if len(t) < 2 or t[1].isspace() or t[-1].isspace() or "�" in t:
                 self.kept[p] = None
@@ -67,9 +69,7 @@ class SpanEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Byte lengths of each text's tokens, in order. A blank is put before each text for the look-up and taken off again."""
         split = [[b" " + p for p in t.split(b" ")] for t in texts]
-        for _ in range(2):
-            if new := {p for ps in split for p in ps[1:]}.difference(self.kept):
-                self.fill(new)
+        self.fill({p for ps in split for p in ps[1:]})
         out = []
         for t, ps in zip(texts, split, strict=True):
             rest = [self.kept[p] for p in ps[1:]]

@@ -127,8 +127,8 @@ def test_hot_seeds(spark, texts, monkeypatch):
     rows = texts[-45:]
     settle = repeats.repeated
 
-    def eager(elements, brief=False):  # the threshold as workers see it
-        out = settle(elements, brief)
+    def eager(elements, **how):  # the threshold as workers see it
+        out = settle(elements, **how)
         return out.withColumn("hot", F.lit(True))
 
     monkeypatch.setattr(substring, "repeated", eager)
