@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, tidy
 
 WIDTH, FILTERS, BLOCK = 5, 16, 64
-#: Labelled documents that the network is fitted on, at most, and the chunks taken from one of them, evenly spaced.
-TRAIN_ROWS, TRAIN_CHUNKS = 3_000, 96
+#: Labelled documents that the network is fitted on, at most, and bytes of text that they have together. Each is learnt from whole.
+TRAIN_ROWS, TRAIN_BYTES = 3_000, 16 << 20
 EPOCHS, BATCH, RATE = 8, 48, 0.02
 
 
@@ -64,6 +64,12 @@ class Network:
         doc = np.concatenate([np.add.reduceat(u, co[:-1], axis=0) / chunk[:, None], np.maximum.reduceat(u, co[:-1], axis=0)], 1)
         return 1 / (1 + np.exp(-(doc.astype(np.float64) @ self.out + self.shift[0])))
 
+    def silent(self) -> Network:
+        """The network that knows nothing: every score is 0.5."""
+        self.out[:] = 0
+        self.shift[:] = 0
+        return self
+
     # -------------------------------------------------------------- training
     def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 6) -> Network:
         rng = np.random.default_rng(seed)
@@ -72,10 +78,9 @@ class Network:
         for t in texts:
             x = np.frombuffer(t or b"\0", np.uint8)
             k = max(1, -(-(-(-len(x) // BLOCK) - 1) // 3))
-            pick = np.arange(k) if k <= TRAIN_CHUNKS else np.unique(np.linspace(0, k - 1, TRAIN_CHUNKS).astype(int))
             padded = np.concatenate([x, np.zeros(span + WIDTH, np.uint8)])
-            mats.append(padded[(pick * stride)[:, None] + np.arange(span + WIDTH - 1)])
-            valid.append(np.minimum(span, len(x) - pick * stride))
+            mats.append(np.lib.stride_tricks.sliding_window_view(padded, span + WIDTH - 1)[: k * stride : stride])
+            valid.append(np.minimum(span, len(x) - np.arange(k) * stride))
         params = [self.table, self.bias, self.out, self.shift]
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         rate = labels.mean() if len(labels) else 0.5
@@ -87,12 +92,16 @@ class Network:
                 size = np.array([len(mats[k]) for k in i])
                 co = np.concatenate([[0], np.cumsum(size)])
                 x, n = np.concatenate([mats[k] for k in i]), np.concatenate([valid[k] for k in i])
-                z = self.table[0][x[:, :span]]
-                for j in range(1, WIDTH):
-                    z += self.table[j][x[:, j : j + span]]
-                z[np.arange(span)[None, :] >= n[:, None]] = -np.inf
-                p = z.argmax(1)
-                u = np.maximum(np.take_along_axis(z, p[:, None], 1)[:, 0] + self.bias, 0)
+                p, best = np.zeros((len(x), FILTERS), np.int64), np.zeros((len(x), FILTERS), np.float32)
+                for lo in range(0, len(x), 256):  # chunks at once: bounds memory where documents are very long
+                    y = x[lo : lo + 256]
+                    z = self.table[0][y[:, :span]]
+                    for j in range(1, WIDTH):
+                        z += self.table[j][y[:, j : j + span]]
+                    z[np.arange(span)[None, :] >= n[lo : lo + 256, None]] = -np.inf
+                    p[lo : lo + 256] = z.argmax(1)
+                    best[lo : lo + 256] = np.take_along_axis(z, p[lo : lo + 256, None], 1)[:, 0]
+                u = np.maximum(best + self.bias, 0)
                 mean, high = np.add.reduceat(u, co[:-1], axis=0) / size[:, None], np.maximum.reduceat(u, co[:-1], axis=0)
                 d = np.concatenate([mean, high], 1)
                 g = (1 / (1 + np.exp(-(d @ self.out + self.shift[0]))) - labels[i]).astype(np.float32) / len(i)
@@ -119,24 +128,29 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
-    """A network fitted on at most `rows` labelled documents outside the held-out third, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
+    """A network fitted on labelled documents outside the held-out third: by a hash of the id, at most `rows` of them, and of these as
+    many as have `size` bytes of text together. A document that is learnt from is learnt from whole.
 
-    Rows with a null id or label are left out. Without any label the network scores by its prior.
+    Rows with a null id or label are left out; of repeated ids the smallest text and the largest label count. Without any labelled
+    document every score is 0.5, so nothing is rejected.
     """
     picked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).alias("y")).orderBy(F.xxhash64(doc_id), doc_id).limit(rows)
     got = docs.select(doc_id, text).join(F.broadcast(picked), doc_id)  # a broadcast of `rows` pairs of numbers at most
-    got = got.groupBy(doc_id).agg(F.min(text).alias("t"), F.max("y").alias("y")).orderBy(doc_id)
-    t = got.select("t", "y").toArrow()
+    got = got.groupBy(doc_id).agg(F.min(text).alias("t"), F.max("y").alias("y"))
+    before = Window.orderBy(F.xxhash64(doc_id), doc_id).rowsBetween(Window.unboundedPreceding, 0)  # over `rows` rows at most
+    ids = got.select(doc_id, F.coalesce(F.octet_length("t"), F.lit(0)).alias("b")).withColumn("b", F.sum("b").over(before)).where(F.col("b") <= size)
+    t = got.join(F.broadcast(ids), doc_id).orderBy(doc_id).select("t", "y").toArrow()
     y = t.column("y").to_numpy().astype(np.float32)
     texts = [x or b"" for x in t.column("t").cast(pa.large_binary()).to_pylist()]
-    return Network().fit(texts, y) if len(y) else Network()
+    return Network().fit(texts, y) if len(y) else Network().silent()
 
 
 def score(docs: DataFrame, model: Network, keep: list[str], text: str = "text") -> DataFrame:
-    """keep plus `score`, the probability that the whole text is of good quality; a null text counts as empty."""
+    """keep plus `score`, the probability that the whole text is of good quality; a null text counts as empty. A column of keep that is
+    called score gives way to it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 80 kB
-    kinds = dict(docs.dtypes)
+    kinds, keep = dict(docs.dtypes), [c for c in keep if c != "score"]
     at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +159,7 @@ def score(docs: DataFrame, model: Network, keep: list[str], text: str = "text")
             s = [shared.value.score(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in chunks(offs, 1 << 18)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(np.concatenate(s or [np.zeros(0)]))], [*keep, "score"])
 
-    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(tidy(run), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return docs.select(*(F.col(f"`{c}`") for c in keep), *([] if text in keep else [text])).mapInArrow(tidy(run), "".join(f"`{c}` {kinds[c]}, " for c in keep) + "score double")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
