@@ -1,7 +1,7 @@
 """Chat formatting in Spark expressions only.
 
-A conversation's rows are collected as structs and sorted; adjacent turns of one role share one header; everything is
-one string:
+A conversation's rows are collected as structs and sorted. Adjacent turns of one role are merged: the array of turns is cut where
+the role changes, and each slice becomes one block under one header. The blocks make one string:
 
     <|ROLE|>\\n TEXT [<|next|> TEXT]... <|end|>\\n
 
@@ -46,18 +46,13 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     A null role or text is empty. A null id is a conversation of its own. An empty table gives an empty one.
     """
     rows = turns.select(F.col(conv).alias("_c"), F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x")).alias("_s"))
-    lists = rows.groupBy("_c").agg(F.sort_array(F.collect_list("_s")).alias("a")).withColumn("n", F.size("a"))
-    role_at = lambda i: F.get(F.col("a"), i)["r"]
-    pieces = F.transform(
-        "a",
-        lambda s, i: F.concat(
-            F.when((i > 0) & (role_at(i - 1) == s["r"]), F.lit(NEXT)).otherwise(F.concat(F.lit("<|"), _put(s["r"], _ROLE), F.lit("|>\n"))),
-            escape(s["x"]),
-            F.when((i < F.col("n") - 1) & (role_at(i + 1) == s["r"]), F.lit("")).otherwise(F.lit(END)),
-        ),
-    )
-    blocks = F.aggregate("a", F.struct(F.lit(None).cast("string").alias("r"), F.lit(0).alias("k")), lambda acc, s: F.struct(s["r"].alias("r"), (acc["k"] + F.when(acc["r"].eqNullSafe(s["r"]), 0).otherwise(1)).alias("k")))["k"]
-    return lists.select(F.col("_c").alias(conv), F.col("n").cast("long").alias("n_turns"), blocks.cast("long").alias("n_blocks"), F.array_join(pieces, "").alias("formatted"))
+    lists = rows.groupBy("_c").agg(F.sort_array(F.collect_list("_s")).alias("a"))
+    # where runs of one role start; a run is one slice, so the work grows with the turns
+    begins = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: (i == 0) | (F.get("a", i - 1)["r"] != F.get("a", i)["r"]))
+    lists = lists.withColumn("b", begins)
+    merged = F.transform("b", lambda at, k: F.struct(F.get("a", at)["r"].alias("role"), F.slice("a", at + 1, F.coalesce(F.get("b", k + 1), F.size("a")) - at).alias("turns")))
+    block = lambda m: F.concat(F.lit("<|"), _put(m["role"], _ROLE), F.lit("|>\n"), F.array_join(F.transform(m["turns"], lambda s: escape(s["x"])), NEXT), F.lit(END))
+    return lists.select(F.col("_c").alias(conv), F.size("a").cast("long").alias("n_turns"), F.size("b").cast("long").alias("n_blocks"), F.array_join(F.transform(merged, block), "").alias("formatted"))
 
 
 def read_back(formatted: Column) -> Column:
