@@ -156,6 +156,52 @@ def test_suffixes(spark, texts, window):
     assert got == plain.without_seen(texts[-40:], window)
 
 
+def test_suffix_order_decides(monkeypatch):
+    """Equal windows of different runs are found through the suffix arrays alone: without the sorting they are missed."""
+    import pandas as pd
+
+    from orbitspark.llm.repeats import deflate
+
+    rng = np.random.default_rng(3)
+    core = rng.integers(97, 123, 50)
+    runs = [np.concatenate([np.full(a, 40 + k), core, np.full(b, 60 + k)]).astype(np.uint8) for k, (a, b) in enumerate([(3, 0), (0, 4), (2, 2), (5, 1), (1, 6)])]
+    n = np.array([len(r) - 49 for r in runs])
+    pdf = pd.DataFrame([(0, np.full(5, 7, np.uint32).tobytes(), deflate(np.arange(5, dtype="<i8")), deflate(np.zeros(5, "<i4")), deflate(n.astype("<i4")), deflate(np.concatenate(runs)), None)], columns=["bucket", "seed", "row", "start", "n", "bytes", "gone"])
+    want = [(row, start, 1) for row, start in ((1, 0), (2, 2), (3, 5), (4, 1))]
+    got = lambda: sorted(suffix._settle_strings(50)(pdf)[["row", "start", "n"]].itertuples(index=False, name=None))
+    assert got() == want
+    monkeypatch.setattr(suffix, "suffix_arrays", lambda text, bounds: np.arange(len(text)))
+    assert got() != want
+
+
+def test_long_groups_of_one_seed(monkeypatch):
+    """A seed with so many runs that they are sorted in several strings: equal windows meet across them."""
+    import pandas as pd
+
+    from orbitspark.llm.repeats import deflate
+
+    monkeypatch.setattr(suffix, "LONG", 300)
+    rng = np.random.default_rng(4)
+    core = rng.integers(97, 123, 50)
+    runs = [np.concatenate([np.full(3, k), core, np.full(3, 40 + k)]).astype(np.uint8) for k in range(40)]
+    pdf = pd.DataFrame([(0, np.full(40, 7, np.uint32).tobytes(), deflate(np.arange(40, dtype="<i8")), deflate(np.zeros(40, "<i4")), deflate(np.full(40, 7, "<i4")), deflate(np.concatenate(runs)), None)], columns=["bucket", "seed", "row", "start", "n", "bytes", "gone"])
+    got = sorted(suffix._settle_strings(50)(pdf)[["row", "start", "n"]].itertuples(index=False, name=None))
+    assert got == [(r, 3, 1) for r in range(1, 40)]
+
+
+def test_hashes_of_structured_text(spark):
+    """Thue-Morse words, which collide under any polynomial modulo a power of two, are told apart."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: "b", 98: "a"})
+    b = a.translate({97: "b", 98: "a"})
+    rows = [(1, a), (2, b)]
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, rows), 4, 80).collect()} == {(1, 1), (2, 2)}
+    common = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([*common, a])), (2, " ".join([*common, b]))]
+    assert sorted(tuple(r) for r in substring.remove_repeats(frame(spark, rows), 35).collect()) == plain.without_repeats(rows, 35)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, words(rng, n, 10**5)) for i, n in enumerate([16, 30, 59, 40, 3])] + [(9, ""), (None, "no id at all here it is")]
@@ -324,6 +370,17 @@ def test_packed_sequences_hold_every_token(spark):
         assert all(whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == x for r, x in zip(rows, ids))
 
 
+def test_token_cache_overflows(spark, monkeypatch):
+    """A worker that cannot keep all pieces of its rows gives the same tokens."""
+    rng = random.Random(12)
+    enc = tokens.SpanEncoder()
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 10)
+    for _ in range(3):
+        texts = [words(rng, 40).encode() for _ in range(5)]
+        assert all(a.tolist() == enc.sizes(t.decode()).tolist() for a, t in zip(enc.encode(texts), texts))
+        assert len(enc.kept) <= 250
+
+
 def test_token_counts(spark, texts):
     rows = texts[-30:] + [(900, "a\n\nb  c\n"), (901, " lead"), (902, "tab\there é\n'll"), (903, "<|endoftext|> x"), (904, None), (905, "x y")]
     enc = tokens.SpanEncoder()
@@ -341,31 +398,63 @@ def test_token_counts(spark, texts):
     assert [list(x) for x, _ in (tokens.attribute(np.array([2, 4, 1]), np.array([3, 7]), r) for r in ("start", "overlap"))] == [[2, 1], [1, 2]]
 
 
-def test_search(spark):
+def nearest(x, queries, k=5):
+    """Brute force: of each query its k nearest rows, ties to the smaller number, and their cosines."""
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    out = {}
+    for q in queries:
+        s = np.round(u @ u[q], 12)
+        s[q] = -2
+        out[q] = np.lexsort((np.arange(len(s)), -s))[:k]
+    return out
+
+
+def test_search(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))
     x[100:400] = x[7]  # a crowd of equal vectors, and one of another length
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None] + [1.0] * 15), (9004, (2 * x[7]).tolist()), (9005, [1.0])]
     df = frame(spark, rows, "vec_id long, embedding array<double>")
-    ann.BLOCK_ROWS, before = 100, ann.BLOCK_ROWS
-    try:
-        got = {}
-        for r in ann.search(df, df.where("vec_id % 50 = 0"), 5).collect():
-            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    finally:
-        ann.BLOCK_ROWS = before
-    u = x / np.sqrt((x * x).sum(1))[:, None]
-    hit = n = 0
-    for q, rs in got.items():
-        rs.sort()
-        s = u @ u[q]
-        s[q] = -2
-        want = np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5]
-        hit, n = hit + len(set(want.tolist()) & {v for _, v, _ in rs}), n + 5
-        assert [r for r, _, _ in rs] == [1, 2, 3, 4, 5]
-    assert hit / n >= 0.9 and len(got) == 60
-    assert [v for _, v, _ in got[300]] == [7, 100, 101, 102, 103]
-    assert ann.search(df.where("false"), df).count() == 0
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 25)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = nearest(x, [q for q in got if q < 3000])
+    hit = sum(len(set(want[q].tolist()) & {v for _, v, _ in rs}) for q, rs in got.items())
+    assert hit / (5 * len(got)) >= 0.9 and len(got) == 60 and all([r for r, _, _ in sorted(rs)] == [1, 2, 3, 4, 5] for rs in got.values())
+    assert all(abs(s - x[q] @ x[v] / np.sqrt((x[q] @ x[q]) * (x[v] @ x[v]))) < 1e-12 for q, rs in got.items() for _, v, s in rs if v < 3000)
+    assert [v for _, v, _ in sorted(got[300])][0] in (7, *range(100, 400)) and all(s > 1 - 1e-9 for _, _, s in got[300])
+    assert ann.search(df.where("false"), F.col("vec_id") == 0).count() == 0
+    foreign = ann.search(df, frame(spark, [(1, x[500].tolist()), (2, None)], "vec_id long, embedding array<double>"), 1).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in foreign] == [(1, 500)]
+
+
+def test_search_takes_repeated_ids_by_row(spark):
+    x = np.random.default_rng(1).normal(size=(40, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (10, x[3].tolist())]
+    got = ann.search(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 2).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(r for r, _ in by[0]) == sorted(r for r, _ in by[10]) == [1, 1, 2, 2] and len(by[20]) == 2
+    assert by[0].count((1, 0)) == 2 and (1, 3) in by[10]
+
+
+def test_search_prunes(spark):
+    """A cloud with structure: most of the nearest are found in a small share of the rows."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(300, 32))[rng.integers(0, 300, 20_000)] + 0.4 * rng.normal(size=(20_000, 32))).astype(float)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 200 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = nearest(x, list(got))
+    u = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+    model = ann.Model(u, len(u), 5, 0.95)
+    size = np.bincount(ann._near(u, model.cells), minlength=len(model.cells))
+    assert sum(len(got[q] & set(w.tolist())) for q, w in want.items()) / (5 * len(want)) >= 0.95
+    assert np.mean(size[model.probed(u[::200])].sum(1)) < len(u) / 3
 
 
 def test_odd_cases(spark):
