@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitspark.llm import decontaminate, neardup, packing, quality, substring
-from orbitspark.llm.common import materialize
+from orbitspark.llm.common import drop_since, materialize, written
 
 #: Documents below this score go.
 LEAST_SCORE = 0.5
@@ -22,7 +22,7 @@ def _others(docs: DataFrame) -> Column:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality network rejects."""
+    """Without the documents that the quality network rejects; all stay where no document is labelled."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs.select(_others(docs), "text"), model, ["others", "text"])
     return scored.where(F.col("score") >= LEAST_SCORE).select(*(F.col("text" if c == "text" else f"others.`{c}`") for c in docs.columns))
@@ -58,9 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents. What a stage has written on its way is deleted once its own rows are written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs, _ = materialize(docs)
+            docs, path = materialize(docs)
+            drop_since(spark, mark, path)
     return docs
