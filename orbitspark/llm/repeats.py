@@ -24,10 +24,11 @@ from .common import materialize, mix, tidy, tidy_group
 
 #: Elements that a bucket holds, about, and the fewest buckets.
 BUCKET_ELEMENTS, BUCKETS = 256_000, 48
-#: A seed that occurs more often is hot: what shares it is dealt out by finer keys at the next level.
-HOT = 4_096
+#: A seed that occurs more often is hot: what shares it is dealt out by finer keys at the next level. Up to here its windows, some
+#: dozens of bytes each, fit in a task.
+HOT = 65_536
 #: A key that one batch holds so often is hot as well, and its places in that batch do not travel to its bucket.
-DENSE = 16
+DENSE = 64
 
 ELEMENTS = "bucket int, solo binary, known binary, times binary, address binary, settled binary, home binary"
 NAMES = [c.split()[0] for c in ELEMENTS.split(", ")]

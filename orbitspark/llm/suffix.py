@@ -1,14 +1,15 @@
 """Suffix-array deduplication of bytes: what a document shares with one of a smaller id goes.
 
 1. The seed of every window (repeats.py) is looked up across all documents; windows whose seed is unique are done.
-2. The bytes of the runs that are left go to the buckets of their seeds. Of runs that a batch holds several times, byte for
-   byte, only the smallest row's goes. Windows of a hot seed go one by one, dealt out by their own hash.
-3. In a bucket, the runs of one seed are put end to end and sorted as one string by its suffix array (gsaca.py). Equal windows
-   are neighbours there: neighbours are compared byte by byte, and every window but those of the smallest row is removed. A
-   seed's runs that make a very long string are sorted in several, whose sorted windows are merged.
-
-Hashes only say where to look (seeds, and windows whose hash is unique in their bucket, which have no equal); what is removed
-follows from the order of the suffixes and their bytes.
+2. The bytes of the runs that are left go to the buckets of their seeds, those of windows with a hot seed one by one, dealt out by
+   their own hash. Copies are put together on the way, first in a batch, then in the bucket: of runs that are the same byte for
+   byte only the smallest row's goes on.
+3. Windows whose hash is unique in the bucket have no equal. The parts of runs that are left are put end to end, seed by seed, and
+   sorted by suffix arrays (gsaca.py). Equal windows are neighbours there: neighbours are compared byte by byte, and every
+   window but those of the smallest row is removed. A seed's parts that make a very long string are sorted in several, whose
+   sorted windows are merged.
+
+Hashes only say where to look; what is removed follows from the order of the suffixes and from bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, byte_ngram_hash, chunks, mix, parts_of, tidy, tidy_group, totals
+from .common import buffers, byte_ngram_hash, chunks, materialize, mix, parts_of, tidy, tidy_group, totals
 from .gsaca import _spans, suffix_arrays
 from .repeats import ELEMENTS, RANGES, bucket_count, by_bucket, deflate, element_batch, hot_items, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
@@ -65,22 +66,25 @@ def eights(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(view[at] & some) + (view[at + np.maximum(size - 8, 0)] & some)
 
 
-def copies(buf: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Mask of the stretches that equal, byte for byte, one with the same key of a smaller row."""
+def first_copies(buf: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each stretch the number of the one with the same key and, byte for byte, the same content that has the smallest row: itself,
+    if it is the first or none is the same."""
     guess = mix(key ^ eights(buf, at, size)) + size.astype(np.uint64)
     order = np.lexsort((row, guess))
     new = np.ones(len(order), bool)
     new[1:] = guess[order][1:] != guess[order][:-1]
     lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    ask, lead = order[row[order] > row[lead]], lead[row[order] > row[lead]]
+    ask = np.flatnonzero(~new)
+    ask, lead = order[ask], lead[ask]
     same = (key[ask] == key[lead]) & (size[ask] == size[lead])
     ask, lead = ask[same], lead[same]
-    out = np.zeros(len(at), bool)
+    out = np.arange(len(at))
     step = 65_536
     for lo in range(0, len(ask), step):
         x, y = ask[lo : lo + step], lead[lo : lo + step]
         differ = buf[_spans(at[x], size[x])] != buf[_spans(at[y], size[y])]
-        out[x] = ~np.logical_or.reduceat(differ, np.cumsum(size[x]) - size[x])
+        equal = ~np.logical_or.reduceat(differ, np.cumsum(size[x]) - size[x])
+        out[x[equal]] = y[equal]
     return out
 
 
@@ -117,11 +121,11 @@ def candidate_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 continue
             key, row, start, n, at = (np.concatenate(c) for c in zip(*parts, strict=True))
             size = n + window - 1
-            lost = copies(buf, at, size, key, row)
+            lost = row > row[first_copies(buf, at, size, key, row)]
             out, go = [], np.flatnonzero(~lost)
-            for k, i in by_bucket(((key[go] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)):
+            for k, i in by_bucket((key[go] % np.uint64(buckets)).astype(np.int64)):
                 i = go[i]
-                out.append((k, key[i].tobytes(), deflate(row[i].astype("<i8")), deflate(start[i].astype("<i4")), deflate(n[i].astype("<i4")), deflate(buf[_spans(at[i], size[i])]), None))
+                out.append((k, (key[i] >> np.uint64(32)).astype(np.uint32).tobytes(), deflate(row[i].astype("<i8")), deflate(start[i].astype("<i4")), deflate(n[i].astype("<i4")), deflate(buf[_spans(at[i], size[i])]), None))
             if lost.any():
                 i = np.flatnonzero(lost)
                 i = i[np.lexsort((start[i], row[i]))]
@@ -169,7 +173,8 @@ def repeated_parts(text: np.ndarray, at: np.ndarray, n: np.ndarray, window: int)
     ends = np.cumsum(size)
     while lo < len(n):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + CHUNK, "right")))
-        hashes.append(byte_ngram_hash(text[at[lo] : at[hi - 1] + size[hi - 1]], window)[_spans(at[lo:hi], n[lo:hi]) - at[lo]])
+        part = text[_spans(at[lo:hi], size[lo:hi])]
+        hashes.append(byte_ngram_hash(part, window)[_spans(np.cumsum(size[lo:hi]) - size[lo:hi], n[lo:hi])])
         lo = hi
     _, inv, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     again = count[inv] > 1
@@ -203,55 +208,71 @@ def _settle_strings(window: int):
             x = inflate(b, np.uint8)
             k = len(x) // 16
             out.append(merge_ranges(*(np.frombuffer(x[i * k : j * k].tobytes(), t) for i, j, t in ((0, 8, "<i8"), (8, 12, "<i4"), (12, 16, "<i4")))))
-        seed = np.frombuffer(b"".join(pdf["seed"]), np.uint64)
+        seed = np.frombuffer(b"".join(pdf["seed"]), np.uint32)
         row = np.concatenate([inflate(b, "<i8") for b in pdf["row"]])
         start, n = (np.concatenate([inflate(b, "<i4") for b in pdf[c]]).astype(np.int64) for c in ("start", "n"))
         text = np.concatenate([inflate(b, np.uint8) for b in pdf["bytes"]])
         at = np.cumsum(n + window - 1) - (n + window - 1)
-        i, inner, n = repeated_parts(text, at, n, window)
-        seed, row, start, at = seed[i], row[i], start[i] + inner, at[i] + inner
-        size = n + window - 1
-        order, string, long = strings_of(seed, size)
-        ends = np.cumsum(size[order])
-        edge = np.flatnonzero(np.append(string[1:] != string[:-1], True)) + 1 if len(order) else order  # where strings end
-        number, rows, starts, many, lo, made = [], [], [], [], 0, 0
-        while lo < len(order):
-            hi = edge[min(len(edge) - 1, max(np.searchsorted(edge, lo, "right"), np.searchsorted(ends[edge - 1], (ends[lo - 1] if lo else 0) + TOGETHER, "right") - 1))]
-            i = order[lo:hi]
-            part = text[_spans(at[i], size[i])]
-            w, same = sorted_windows(part, size[i], string[lo:hi], window)
-            c = np.searchsorted(np.cumsum(size[i]), w, "right")
-            mine = made + np.cumsum(~same) - 1
-            made = mine[-1] + 1
-            lead = np.flatnonzero(~same & long[lo:hi][c])  # to be merged with the other strings of their seed
-            if len(lead):
-                view = np.lib.stride_tricks.sliding_window_view(part, window)
-                many.append((mine[lead], np.ascontiguousarray(view[w[lead]])))
-            number.append(mine)
-            rows.append(row[i[c]])
-            starts.append(start[i[c]] + w - (np.cumsum(size[i]) - size[i])[c])
-            lo = hi
-        if number:
-            number, rows, starts = map(np.concatenate, (number, rows, starts))
-            if many:
-                name, raw = (np.concatenate(x) for x in zip(*many, strict=True))
-                raw = raw.view(f"V{window}").ravel()
-                by = np.argsort(raw, kind="stable")  # a merge of sorted runs
-                new = np.ones(len(by), bool)
-                new[1:] = raw[by][1:] != raw[by][:-1]
-                same_as = np.arange(made)
-                same_as[name[by]] = name[by[np.flatnonzero(new)[np.cumsum(new) - 1]]]
-                number = same_as[number]
-            least = np.full(made, np.iinfo(np.int64).max)
-            np.minimum.at(least, number, rows)
-            lost = np.flatnonzero(rows > least[number])
-            lost = lost[np.lexsort((starts[lost], rows[lost]))]
-            out.append(merge_ranges(rows[lost], starts[lost], np.ones(len(lost), np.int64)))
-        return pd.concat(out, ignore_index=True) if out else merge_ranges(*(np.zeros(0, np.int64) for _ in range(3)))
+        first = first_copies(text, at, n + window - 1, seed.astype(np.uint64), row)
+        alone = first == np.arange(len(first))
+        i = np.flatnonzero(row > row[first])
+        i = i[np.lexsort((start[i], row[i]))]
+        out.append(merge_ranges(row[i], start[i], n[i]))
+        # copies in the first one's own row share its fate
+        twins = np.flatnonzero(~alone & (row == row[first]))
+        twins = twins[np.argsort(first[twins], kind="stable")]
+        different = np.flatnonzero(alone)
+        part, inner, n = repeated_parts(text, at[different], n[different], window)
+        who, inside = lost_windows(text, at[different[part]] + inner, n + window - 1, seed[different[part]], row[different[part]], window)
+        run, inside = different[part[who]], inner[who] + inside
+        a, b = (np.searchsorted(first[twins], run, side) for side in ("left", "right"))
+        run, inside = np.concatenate([run, twins[_spans(a, b - a)]]), np.concatenate([inside, np.repeat(inside, b - a)])
+        o = np.lexsort((start[run] + inside, row[run]))
+        out.append(merge_ranges(row[run][o], (start[run] + inside)[o], np.ones(len(o), np.int64)))
+        return pd.concat(out, ignore_index=True)
 
     return settle
 
 
+def lost_windows(text: np.ndarray, at: np.ndarray, size: np.ndarray, seed: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the parts text[at:at + size], all windows that equal one of a smaller row with the same seed: numbers of the parts, and the
+    windows' places in them. Seed by seed the parts are sorted by their suffix array, whose neighbours are compared."""
+    order, string, long = strings_of(seed, size)
+    ends = np.cumsum(size[order])
+    edge = np.flatnonzero(np.append(string[1:] != string[:-1], True)) + 1 if len(order) else order  # where strings end
+    none = np.zeros(0, np.int64)
+    classes, owners, places, many, lo, made = [none], [none], [none], [], 0, 0
+    while lo < len(order):
+        hi = edge[min(len(edge) - 1, max(np.searchsorted(edge, lo, "right"), np.searchsorted(ends[edge - 1], (ends[lo - 1] if lo else 0) + TOGETHER, "right") - 1))]
+        i = order[lo:hi]
+        part, to = text[_spans(at[i], size[i])], np.cumsum(size[i])
+        w, same = sorted_windows(part, size[i], string[lo:hi], window)
+        mine, c = np.searchsorted(to, w, "right"), made + np.cumsum(~same) - 1
+        made = c[-1] + 1
+        lead = np.flatnonzero(~same & long[lo:hi][mine])  # to be merged with the other strings of their seed
+        if len(lead):
+            view = np.lib.stride_tricks.sliding_window_view(part, window)
+            many.append((c[lead], np.ascontiguousarray(view[w[lead]])))
+        classes.append(c)
+        owners.append(i[mine])
+        places.append(w - (to - size[i])[mine])
+        lo = hi
+    classes, owners, places = map(np.concatenate, (classes, owners, places))
+    if many:
+        c, raw = (np.concatenate(x) for x in zip(*many, strict=True))
+        raw = raw.view(f"V{window}").ravel()
+        by = np.argsort(raw, kind="stable")  # a merge of sorted runs
+        new = np.ones(len(by), bool)
+        new[1:] = raw[by][1:] != raw[by][:-1]
+        same_as = np.arange(made)
+        same_as[c[by]] = c[by[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+        classes = same_as[classes]
+    least = np.full(made, np.iinfo(np.int64).max)
+    np.minimum.at(least, classes, row[owners])
+    lost = row[owners] > least[classes]
+    return owners[lost], places[lost]
+
+
 def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (binary) for each row of docs(doc_id, text, ...).
 
@@ -262,7 +283,7 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
     _, total = totals(docs)
     base = row_ids(docs.select("doc_id", "text"), ordered=True)
     packed = packed_text(base, ["row", "doc_id"])
-    found = repeated(seeds(base, window, bucket_count(total * 0.06)), brief=True)
+    found, _ = materialize(repeated(seeds(base, window, bucket_count(total * 0.06)), brief=True))
     strings = candidate_strings(with_ranges(packed.select("row", "z"), found), window, max(48, total // BUCKET_BYTES))
     ranges = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window)), RANGES)
 
