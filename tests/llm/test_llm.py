@@ -137,17 +137,24 @@ def test_hot_seeds(spark, texts, monkeypatch):
     assert sorted(tuple(r) for r in suffix.remove_seen(frame(spark, rows).repartition(5), 50).collect()) == plain.without_seen(rows, 50)
 
 
-def test_longer_levels_end(spark):
+def test_doubling_goes_to_the_end(spark, texts):
+    """The longest repeat of each document, by doubling until no candidates survive, against plain counts."""
+    from collections import Counter
+
     rng = random.Random(2)
     shared = words(rng, 100, 10**6)
-    rows = [(0, f"x {shared}"), (1, f"y {shared} z"), (2, words(rng, 90))]
-    docs = frame(spark, rows).withColumn("row", F.col("doc_id"))
-    packed = substring.packed_text(docs, ["row"])
-    r, w, n = substring.repeated_windows(docs, packed, 10, 5000), 10, []
-    while r.agg(F.sum("n")).first()[0]:
-        n.append(r.agg(F.sum("n")).first()[0])
-        r, w = substring.longer_windows(packed, r, w, 5000), 2 * w
-    assert n == [2 * (100 - k + 1) for k in (10, 20, 40, 80)]
+    rows = [*texts[-50:], (900, f"x {shared}"), (901, f"y {shared} z"), (902, words(rng, 90)), (903, None)]
+    split = [(i, plain.WORDS.findall(t or "")) for i, t in rows]
+    want, length = dict.fromkeys((i for i, _ in rows), 0), 10
+    while True:
+        count = Counter(tuple(w[p : p + length]) for _, w in split for p in range(len(w) - length + 1))
+        hit = [i for i, w in split if any(count[tuple(w[p : p + length])] > 1 for p in range(len(w) - length + 1))]
+        if not hit:
+            break
+        want |= dict.fromkeys(hit, length)
+        length *= 2
+    got = {r["doc_id"]: r["longest"] for r in substring.longest_repeats(frame(spark, rows), 10).collect()}
+    assert got == want and want[900] == 80 and substring.longest_repeats(frame(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("window", [50, 7])
@@ -163,11 +170,12 @@ def test_suffix_order_decides(monkeypatch):
     from orbitspark.llm.repeats import deflate
 
     rng = np.random.default_rng(3)
-    core = rng.integers(97, 123, 50)
-    runs = [np.concatenate([np.full(a, 40 + k), core, np.full(b, 60 + k)]).astype(np.uint8) for k, (a, b) in enumerate([(3, 0), (0, 4), (2, 2), (5, 1), (1, 6)])]
+    core = rng.integers(97, 123, 80)
+    spans = [(0, 60), (5, 65), (8, 70), (2, 58)]  # stretches of one passage, each between bytes of its own, no two the same
+    runs = [np.concatenate([np.full(2, 40 + k), core[a:b], np.full(3, 60 + k)]).astype(np.uint8) for k, (a, b) in enumerate(spans)]
     n = np.array([len(r) - 49 for r in runs])
-    pdf = pd.DataFrame([(0, np.full(5, 7, np.uint32).tobytes(), deflate(np.arange(5, dtype="<i8")), deflate(np.zeros(5, "<i4")), deflate(n.astype("<i4")), deflate(np.concatenate(runs)), None)], columns=["bucket", "seed", "row", "start", "n", "bytes", "gone"])
-    want = [(row, start, 1) for row, start in ((1, 0), (2, 2), (3, 5), (4, 1))]
+    pdf = pd.DataFrame([(0, np.full(4, 7, np.uint32).tobytes(), deflate(np.arange(4, dtype="<i8")), deflate(np.zeros(4, "<i4")), deflate(n.astype("<i4")), deflate(np.concatenate(runs)), None)], columns=["bucket", "seed", "row", "start", "n", "bytes", "gone"])
+    want = [(1, 2, 6), (2, 2, 8), (3, 2, 7)]
     got = lambda: sorted(suffix._settle_strings(50)(pdf)[["row", "start", "n"]].itertuples(index=False, name=None))
     assert got() == want
     monkeypatch.setattr(suffix, "suffix_arrays", lambda text, bounds: np.arange(len(text)))
@@ -187,6 +195,9 @@ def test_long_groups_of_one_seed(monkeypatch):
     pdf = pd.DataFrame([(0, np.full(40, 7, np.uint32).tobytes(), deflate(np.arange(40, dtype="<i8")), deflate(np.zeros(40, "<i4")), deflate(np.full(40, 7, "<i4")), deflate(np.concatenate(runs)), None)], columns=["bucket", "seed", "row", "start", "n", "bytes", "gone"])
     got = sorted(suffix._settle_strings(50)(pdf)[["row", "start", "n"]].itertuples(index=False, name=None))
     assert got == [(r, 3, 1) for r in range(1, 40)]
+    again = pd.concat([pdf, pdf.assign(start=deflate(np.full(40, 100, "<i4")))])  # each run twice in its row
+    got = sorted(suffix._settle_strings(50)(again)[["row", "start", "n"]].itertuples(index=False, name=None))
+    assert got == [(r, k, 1) for r in range(1, 40) for k in (3, 103)]
 
 
 def test_hashes_of_structured_text(spark):
@@ -283,6 +294,47 @@ def test_quality_learns(spark, sf):
     assert again[0]["score"] == again[1]["score"]
 
 
+def test_quality_equals_a_plain_network():
+    """Scores by table look-up, blocks and chunks against a network written out byte by byte."""
+    rng = np.random.default_rng(9)
+    n = quality.Network(3)
+    n.bias[:] = rng.normal(0, 0.2, quality.FILTERS)
+    for t in (b"", b"a", b"abc" * 40, bytes(rng.integers(32, 127, 64)), bytes(rng.integers(0, 256, 1000)), b"x" * 257):
+        padded = np.frombuffer((t or b"\0") + bytes(quality.WIDTH - 1), np.uint8)
+        size = max(1, len(t))
+        z = np.array([sum(n.table[j, padded[p + j]] for j in range(quality.WIDTH)) for p in range(size)])
+        chunks_, at = [], 0
+        while True:
+            chunks_.append(np.maximum(z[at : at + 4 * quality.BLOCK].max(0) + n.bias, 0))
+            at += 3 * quality.BLOCK
+            if at + quality.BLOCK >= size:
+                break
+        u = np.array(chunks_)
+        want = 1 / (1 + np.exp(-(np.concatenate([u.mean(0), u.max(0)]) @ n.out + n.shift[0])))
+        assert np.isclose(n.score(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], want, atol=1e-5)
+
+
+def test_quality_without_labels(spark):
+    docs = frame(spark, [(1, "a"), (2, None), (3, "b" * 500)]).withColumn("score", F.lit("mine"))
+    for labels in ([], [(7, 1)], [(1, None), (None, 1)]):
+        model = quality.fit(docs, frame(spark, labels, "doc_id long, quality int"))
+        out = quality.score(docs, model, ["doc_id", "score"])
+        assert out.columns == ["doc_id", "score"] and [r["score"] for r in out.collect()] == [0.5] * 3
+    assert quality.score(docs.where("false"), model, ["doc_id"]).count() == 0
+
+
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    """Bounds hold back whole documents, never parts of one."""
+    seen = []
+    monkeypatch.setattr(quality.Network, "fit", lambda self, texts, labels: seen.append(texts) or self)
+    docs = frame(spark, [(i, "w" * (100 * i)) for i in range(1, 40)])
+    labels = frame(spark, [(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    quality.fit(docs, labels, rows=10, size=9_000)
+    assert 0 < len(seen[0]) <= 10 and sum(map(len, seen[0])) <= 9_000 and all(len(t) % 100 == 0 for t in seen[0])
+    quality.fit(docs, labels)
+    assert len(seen[1]) == labels.where(~quality.held_out("doc_id")).count()
+
+
 def test_quality_score_does_not_depend_on_company(spark):
     """A document's score is its own, whatever lies beside it, and covers its end."""
     n = quality.Network()
@@ -499,6 +551,35 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in at.collect()}
 
 
+def test_pipeline_in_odd_cases(spark, sf, tmp_path):
+    """No labels, null and blank texts, repeated rows, and no documents at all."""
+    import corpus_pipeline as cp
+
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    odd_rows = spark.createDataFrame([(900001, None, "en", "s", None), (900002, "", "en", "s", 0), (900003, "  ", None, None, 2), (900004, "one word", "en", "s", 8), (900004, "one word", "en", "s", 8), (None, "no id here", "en", "s", 10)], base.schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd_rows.unionByName(base.limit(20)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = cp.run(spark, str(tmp_path))
+    kept = {r["doc_id"] for r in got.collect()}
+    assert {900001, 900002, 900003, 900004, None} <= kept and got.where("doc_id = 900004").count() == 1
+    empty = tmp_path / "empty"
+    base.where("false").write.parquet(str(empty / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(empty / f"{t}.parquet"))
+    assert cp.run(spark, str(empty)).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    """Text ids: operators keep them as they are."""
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("c", None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs, 4).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    assert {r["doc_id"] for r in packing.pack(docs).collect()} == {"a", "b", "c"}
+    bench = frame(spark, [(1, "one two three four five six")], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()) == ["a", "b"]
+    assert {r["doc_id"]: r["n_removed"] for r in suffix.remove_seen(docs, 10).collect()} == {"a": 0, "b": 27, "c": 0}
+
+
 def test_all_ten_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
 
