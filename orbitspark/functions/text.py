@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import DoubleType
 
 
 @F.pandas_udf(DoubleType())
@@ -28,23 +26,21 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def number_forms(value: float) -> list[str]:
-    """The ways a report may write a number: 525 and 525.0 are one fact."""
-    v = float(value)
-    return [str(int(v)), f"{int(v)}.0"] if v.is_integer() else [str(v)]
+def _alone(token: Column) -> Column:
+    """A pattern for the token between no digits or points."""
+    return F.concat(F.lit(r"(?<![\d.])(?:"), token, F.lit(r")(?![\d.])"))
 
 
-@F.pandas_udf(BooleanType())
-def page_supports_number(page: pd.Series, value: pd.Series) -> pd.Series:
-    """Whether the number stands on the page as a token of its own: 25 is not in 525.0. Null is never supported."""
-    out = []
-    for p, v in zip(page, value, strict=True):
-        ok = p is not None and v is not None and v == v
-        out.append(bool(ok and any(re.search(rf"(?<![\d.]){re.escape(f)}(?![\d.])", p) for f in number_forms(v))))
-    return pd.Series(out)
+def page_supports_number(page: Column | str, value: Column | str) -> Column:
+    """Whether the number stands on the page as a token of its own: 25 is not in 525.0. A whole number may be written with `.0`. Null is
+    never supported."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    whole = F.concat(v.cast("bigint").cast("string"), F.lit(r"(?:\.0)?"))
+    token = F.when(F.isnan(v), None).when(v == F.floor(v), whole).otherwise(F.replace(v.cast("string"), F.lit("."), F.lit(r"\.")))
+    return F.coalesce(F.regexp_like(page, _alone(token)), F.lit(False))
 
 
 def page_supports_text(page: Column, value: Column) -> Column:
     """The same for text, as an expression: the quoted value between no digits or points."""
     quoted = F.regexp_replace(value, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    return F.coalesce(F.regexp_like(page, F.concat(F.lit(r"(?<![\d.])"), quoted, F.lit(r"(?![\d.])"))), F.lit(False))
+    return F.coalesce(F.regexp_like(page, _alone(quoted)), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import latest_per_key
+from .written import written
 
 
 def _once(new: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
@@ -109,10 +110,11 @@ def split_ownership(owners: DataFrame, acquisitions: DataFrame) -> DataFrame:
 def with_ids(existing: DataFrame, new_keys: DataFrame, id_col: str, order: list[Column]) -> DataFrame:
     """new_keys with ids that follow the largest there is, in a total order: the same keys get the same ids in every run.
 
-    The order is global, so numbers are given in two steps: counts per range partition, then offsets.
+    The order is global, so numbers are given in two steps: counts per range partition, then offsets. The ranges are written first:
+    both steps must see the same ones.
     """
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    ranged = new_keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = written(new_keys.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offset = ranged.groupBy("_p").agg(F.max("_i").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .written import written
+
 
 # ------------------------------------------------------------------ latest rows and runs
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -70,10 +73,33 @@ def round_robin(df: DataFrame, group: str, order: list[Column], n: int) -> DataF
 
 
 def group_ids(df: DataFrame, partition: list[str], order: list[str], label: str) -> DataFrame:
-    """df plus group_id: a label that repeats opens a group. The n-th occurrence of a label belongs to the n-th group at least,
-    so the id is the running maximum of the occurrence numbers."""
-    nth = F.row_number().over(Window.partitionBy(*partition, label).orderBy(*order))
-    return df.withColumn("_n", nth).withColumn("group_id", F.max("_n").over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_n")
+    """df plus group_id, from 0: in order, a row whose label the current group has already closes it and opens the next one.
+
+    A fold over the sorted labels of each partition, whose rows are one array while it runs: a report's fields, a conversation's
+    turns. A null label never repeats. Rows alike in order and label are taken in any order.
+    """
+    rest = [c for c in df.columns if c not in partition]
+    rows = df.select(*partition, F.struct(*order, F.col(label).cast("string").alias("_label"), F.struct(*rest).alias("_row")).alias("_r"))
+    lists = rows.groupBy(*partition).agg(F.array_sort(F.collect_list("_r"), lambda a, b: _by(a, b, [*order, "_label"])).alias("_rows"))
+    start = F.struct(F.array().cast("array<string>").alias("has"), F.lit(0).alias("id"), F.array().cast("array<int>").alias("ids"))
+
+    def step(acc: Column, row: Column) -> Column:
+        closes = F.coalesce(F.array_contains(acc["has"], row["_label"]), F.lit(False))
+        has, now = F.when(closes, F.array(row["_label"])).otherwise(F.array_append(acc["has"], row["_label"])), acc["id"] + closes.cast("int")
+        return F.struct(has.alias("has"), now.alias("id"), F.array_append(acc["ids"], now).alias("ids"))
+
+    ids = F.aggregate("_rows", start, step)["ids"]
+    out = lists.select(*partition, F.explode(F.arrays_zip(F.col("_rows"), ids.alias("_ids"))).alias("_z"))
+    return out.select(*partition, "_z._rows._row.*", F.col("_z._ids").alias("group_id"))
+
+
+def _by(a: Column, b: Column, names: list[str]) -> Column:
+    """Comparison of two structs by some of their fields, nulls first."""
+    out = F.lit(0)
+    for n in reversed(names):
+        x, y = a[n], b[n]
+        out = F.when(x.eqNullSafe(y), out).when(x.isNull() | (x < y), -1).otherwise(1)
+    return out
 
 
 def downsample(df: DataFrame, order: str, n: int, mean: list[str], total: list[str]) -> DataFrame:
@@ -117,15 +143,18 @@ def by_precedence(claims: DataFrame, keys: list[str], source: str, order: list[s
 def walk_up(edges: DataFrame, through: DataFrame, depth: int = 10) -> DataFrame:
     """edges(code, parent_code) → leaf, root, path, depth: the chain of parents, only through codes in `through`, no cycles.
 
-    Levels are joins of the frontier, at most `depth` of them; a level without rows is an empty join.
+    A level is the frontier joined with the steps, written down before the next: the walk ends with the first empty one, after `depth`
+    levels at most.
     """
-    step = edges.join(through.withColumnRenamed("code", "parent_code"), "parent_code", "left_semi").select(F.col("code").alias("root"), "parent_code")
+    step = written(edges.join(through.withColumnRenamed("code", "parent_code"), "parent_code", "left_semi").select(F.col("code").alias("root"), "parent_code"))
     level = edges.select(F.col("code").alias("leaf"), F.col("code").alias("root"), F.array("code").alias("path"), F.lit(0).alias("depth"))
-    all_ = level
+    levels = [level]
     for d in range(1, depth + 1):
-        level = level.join(step, "root").where(~F.array_contains("path", F.col("parent_code"))).select("leaf", F.col("parent_code").alias("root"), F.concat("path", F.array("parent_code")).alias("path"), F.lit(d).alias("depth"))
-        all_ = all_.unionByName(level)
-    return latest_per_key(all_, ["leaf"], [F.col("depth").desc()])
+        level = written(level.join(step, "root").where(~F.array_contains("path", F.col("parent_code"))).select("leaf", F.col("parent_code").alias("root"), F.concat("path", F.array("parent_code")).alias("path"), F.lit(d).alias("depth")))
+        if not level.limit(1).count():
+            break
+        levels.append(level)
+    return latest_per_key(reduce(DataFrame.unionByName, levels), ["leaf"], [F.col("depth").desc()])
 
 
 # ------------------------------------------------------------------ shape

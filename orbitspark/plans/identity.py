@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, names
@@ -140,12 +140,22 @@ def credits(products: DataFrame, up: DataFrame | None = None) -> DataFrame:
     return relational.latest_per_key(x, ["satellite_id", "manufacturer_slug"], [F.col("position").asc()]).select("satellite_id", "manufacturer_slug", "position", "arity", "uncertain")
 
 
-def authorisations(grants: DataFrame, entities: DataFrame, patterns: DataFrame, strict: bool = False) -> DataFrame:
+def authorisations(grants: DataFrame, entities: DataFrame, patterns: DataFrame, strict: bool = False, most: int = 10_000) -> DataFrame:
     """grants(call_sign, name, frequency_range) to entities(satellite_id, name): by pattern (grant_like, entity_prefix), then by a
-    normalised name that one entity has; strict asks that one grant has it too."""
-    p = patterns.select(F.lower("grant_like").alias("gl"), F.lower("entity_prefix").alias("ep"))
-    first = grants.join(F.broadcast(p), F.contains(F.lower("name"), F.col("gl"))).join(entities.select("satellite_id", F.lower("name").alias("_en")), F.startswith(F.col("_en"), F.col("ep")))
-    tier1 = first.select("satellite_id", "call_sign", "frequency_range", F.lit("pattern").alias("match_tier"))
+    normalised name that one entity has; strict asks that one grant has it too.
+
+    Patterns are a curated list: more than `most` raise. An entity meets a pattern by equality of its name's head, for each length that
+    a prefix has, so entities are joined by hash whatever their number.
+    """
+    p = patterns.select(F.lower("grant_like").alias("gl"), F.lower("entity_prefix").alias("ep")).where("gl is not null and ep is not null").distinct()
+    listed = p.limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} patterns")
+    lengths = sorted({len(r["ep"]) for r in listed})
+    likely = grants.join(F.broadcast(p), F.contains(F.lower("name"), F.col("gl"))).select("call_sign", "frequency_range", "ep")  # `most` rows at most
+    heads = F.array(*(F.substring("_en", 1, n) for n in lengths)).cast("array<string>")
+    named = entities.select("satellite_id", F.lower("name").alias("_en")).select("satellite_id", F.explode(F.array_distinct(heads)).alias("ep"))
+    tier1 = likely.join(named, "ep").select("satellite_id", "call_sign", "frequency_range", F.lit("pattern").alias("match_tier"))
     e = entities.select("satellite_id", names.name_key(F.col("name")).alias("_k")).where("_k is not null")
     g = grants.withColumn("_k", names.name_key(F.col("name"))).where("_k is not null")
     if strict:
@@ -154,17 +164,27 @@ def authorisations(grants: DataFrame, entities: DataFrame, patterns: DataFrame,
     return relational.first_rule_wins([tier1.distinct(), tier2.distinct()], ["call_sign", "frequency_range"])
 
 
-def enrich_operators(operators: list[dict], orgs: list[dict]) -> list[dict]:
-    """Operators with those that the sorted organisation codes add: a seed of the code wins; a name already taken by another gets the
-    code behind it. Later codes see the operators that earlier ones made, so this runs on the driver over a small list."""
-    out = [dict(o) for o in operators]
-    taken = {o["name"].casefold(): o for o in out}
-    codes = {c for o in out for c in o.get("codes", [])}
-    for org in sorted(orgs, key=lambda o: o["code"]):
-        if org["code"] in codes:
-            continue
-        name = org["name"] if org["name"].casefold() not in taken else f"{org['name']} ({org['code']})"
-        made = {"name": name, "codes": [org["code"]]}
-        out.append(made)
-        taken[name.casefold()] = made
-    return out
+def enrich_operators(seeds: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """seeds(name, code) and orgs(code, name, parent_code) → operators(name, made), aliases(code, name), edges(child, parent).
+
+    A code that a seed has is the seed's. Of the other codes the smallest one takes its organisation's name, unless a seed bears it;
+    a code whose name is taken, in whatever case, gets the name with the code behind it. An edge joins two operators whose
+    codes are parent and child.
+    """
+    fold = lambda c: F.lower(F.trim(c))
+    new = orgs.where("code is not null and name is not null").join(seeds.select("code").where("code is not null").distinct(), "code", "left_anti")
+    new = relational.latest_per_key(new, ["code"], [F.col("name").asc(), F.col("parent_code").asc_nulls_last()]).withColumn("_f", fold(F.col("name")))
+    behind = F.concat("name", F.lit(" ("), "code", F.lit(")"))
+    ranked = new.withColumn("_r", F.row_number().over(Window.partitionBy("_f").orderBy("code")))
+    ranked = ranked.join(seeds.select(fold(F.col("name")).alias("_f"), F.lit(True).alias("_seed")).distinct(), "_f", "left")
+    ranked = ranked.withColumn("_own", (F.col("_r") == 1) & F.col("_seed").isNull())
+    # a name that an earlier code was given in its long form is taken too
+    given = ranked.where(~F.col("_own")).select(fold(behind).alias("_f"), F.col("code").alias("_by"))
+    ranked = ranked.join(given.groupBy("_f").agg(F.min("_by").alias("_by")), "_f", "left")
+    made = ranked.select("code", F.when(F.col("_own") & ~F.coalesce(F.col("_by") < F.col("code"), F.lit(False)), F.col("name")).otherwise(behind).alias("name"))
+    operators = seeds.select("name", F.lit(False).alias("made")).distinct().unionByName(made.select("name", F.lit(True).alias("made")))
+    aliases = seeds.where("code is not null").select("code", "name").unionByName(made)
+    up = orgs.where("parent_code is not null").select("code", "parent_code").distinct()
+    side = lambda code, name: aliases.select(F.col("code").alias(code), F.col("name").alias(name))
+    edges = up.join(side("code", "child"), "code").join(side("parent_code", "parent"), "parent_code").where("child <> parent").select("child", "parent").distinct()
+    return operators, aliases, edges

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import dates, orbit
 from ..operators import compare, relational
 from ..schemas import CheckFailed
 from ..sources.ledger import markdown_table
+from . import metrics
 
 
 def coverage(satellites: DataFrame, owners: DataFrame, status: DataFrame) -> DataFrame:
@@ -67,3 +69,136 @@ def departures(series: DataFrame, key: str, day: str, value: str, base: int = 12
     b = r.where(F.col("_r") <= base).groupBy(key).agg((F.percentile(value, 0.5) - sigmas * F.greatest(F.stddev_pop(value), F.lit(floor))).alias("limit"))
     low = F.sum(F.when(F.col(value) < F.col("limit"), 1).otherwise(0)).over(w.rowsBetween(0, of - 1))
     return r.join(b, key).withColumn("_low", low).where((F.col("_r") > base) & (F.col("_low") >= least) & (F.col(value) < F.col("limit"))).groupBy(key).agg(F.min(day).alias("departed"))
+
+
+# ------------------------------------------------------------------ overview and audit
+def newest_status(status: DataFrame) -> DataFrame:
+    return relational.latest_per_key(status, ["satellite_id"], [F.col("observed_at").desc(), F.col("canonical_status").asc()]).select("satellite_id", "canonical_status")
+
+
+def overview(t: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
+    """One row: six totals, three coverages of the payloads on orbit, three counts of conflicts.
+
+    t: satellite, satellite_identifier, satellite_operator, operator (with closed_on), merge_log, gp_elements, status and
+    source_assertion. A status conflict is an entity whose newest claims of two sources differ; a date conflict one whose claimed
+    decay dates do.
+    """
+    newest = newest_status(t["status"])
+    flag = lambda df, name: df.select("satellite_id").distinct().withColumn(name, F.lit(True))
+    several = t["satellite_identifier"].groupBy("satellite_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    owned = t["satellite_operator"].where("role = 'owner' and valid_to is null")
+    payloads = t["satellite"].where("object_type = 'PAYLOAD'").select("satellite_id").join(newest, "satellite_id", "left").where("coalesce(canonical_status, 'UNKNOWN') <> 'DECAYED'")
+    payloads = payloads.join(flag(owned, "owner"), "satellite_id", "left").join(flag(several, "several"), "satellite_id", "left")
+    n = F.count(F.lit(1))
+    cover = payloads.agg(n.alias("on_orbit_payloads"), orbit.percent_or_zero(F.count("owner"), n).alias("operator_pct"), orbit.percent_or_zero(F.count_if(F.coalesce(F.col("canonical_status") != "UNKNOWN", F.lit(False))), n).alias("status_pct"), orbit.percent_or_zero(F.count("several"), n).alias("multi_source_pct"))
+    claims = t["source_assertion"]
+    said = relational.latest_per_key(claims.where("attribute = 'status' and satellite_id is not null"), ["satellite_id", "source"], [F.col("observed_at").desc(), F.col("value").asc()])
+    counts = [t[k].agg(n.alias(name)) for k, name in (("satellite", "satellites"), ("operator", "operators"), ("satellite_identifier", "identifier_rows"), ("merge_log", "merge_events"), ("gp_elements", "gp_elements"))]
+    counts += [compare.set_conflicts(said, "satellite_id", F.col("value")).agg(n.alias("status_conflicts")), date_conflicts(claims).agg(n.alias("decay_conflicts")), stale_owners(owned, t["operator"], as_of).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("stale_owners"))]
+    out = cover
+    for c in counts:
+        out = out.crossJoin(F.broadcast(c))  # one row each
+    return out
+
+
+def with_children(operators: DataFrame, relationships: DataFrame, names: list[str]) -> DataFrame:
+    """(operator, operator_id): each named operator and those one step below it."""
+    top = operators.where(F.col("canonical_name").isin(*names)).select(F.col("canonical_name").alias("operator"), "operator_id")
+    below = top.join(relationships.select(F.col("parent_id").alias("operator_id"), "child_id"), "operator_id").select("operator", F.col("child_id").alias("operator_id"))
+    return top.union(below).distinct()
+
+
+def fleet_of(t: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """(operator, satellite_id, norad_id, launch_date): payloads that the operators or their children own or owned."""
+    own = t["satellite_operator"].where("role = 'owner'").select("operator_id", "satellite_id")
+    fleet = with_children(t["operator"], t["operator_relationship"], names).join(own, "operator_id").select("operator", "satellite_id").distinct()
+    return fleet.join(t["satellite"].where("object_type = 'PAYLOAD' and norad_id is not null").select("satellite_id", "norad_id", "launch_date"), "satellite_id")
+
+
+def shell_milestone(t: dict[str, DataFrame], operator: str, low: float, high: float, as_of: dt.date) -> DataFrame:
+    """One row: deployed_total, at_shell, raising, deorbited and deployed_last_30d of a fleet. latest: newest element per norad_id;
+    daily: norad_id, day, perigee_min, apogee_max. At the shell stands what is there now and, where days are known, was on average
+    for the last 14."""
+    newest_day = t["daily"].agg(F.max("day").alias("_g"))
+    trail = t["daily"].crossJoin(F.broadcast(newest_day)).where(F.col("day") > F.date_sub("_g", 14)).groupBy("norad_id").agg(F.avg((F.col("perigee_min") + F.col("apogee_max")) / 2).alias("trail"))  # one row
+    now = t["latest"].select("norad_id", ((F.col("perigee_km") + F.col("apogee_km")) / 2).alias("alt"))
+    rows = fleet_of(t, [operator]).join(now, "norad_id", "left").join(trail, "norad_id", "left").join(newest_status(t["status"]), "satellite_id", "left")
+    gone = F.coalesce(F.col("canonical_status") == "DECAYED", F.lit(False))
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rows.agg(
+        F.count(F.lit(1)).alias("deployed_total"), yes(gone).alias("deorbited"), yes(~gone & F.col("alt").between(low, high) & (F.col("trail").isNull() | F.col("trail").between(low, high))).alias("at_shell"),
+        yes(~gone & (F.col("alt") < low)).alias("raising"), yes(F.col("launch_date") > F.date_sub(F.lit(as_of), 30)).alias("deployed_last_30d"),
+    )
+
+
+def lingering_board(t: dict[str, DataFrame], names: list[str], above: float = 500.0, below: float = 2000.0, n: int = 6) -> DataFrame:
+    """operator, n, avg_alt_km: inactive payloads that stand low but not low enough to come down, the n largest first."""
+    now = t["latest"].select("norad_id", "perigee_km", ((F.col("perigee_km") + F.col("apogee_km")) / 2).alias("alt"))
+    idle = newest_status(t["status"]).where("canonical_status = 'INACTIVE'").select("satellite_id")
+    rows = fleet_of(t, names).join(idle, "satellite_id", "left_semi").join(now, "norad_id").where((F.col("perigee_km") > above) & (F.col("alt") < below))
+    return rows.groupBy("operator").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("alt"), 1).alias("avg_alt_km")).orderBy(F.desc("n"), "operator").limit(n)
+
+
+def active_but_decaying(days: DataFrame, satellites: DataFrame, status: DataFrame, value: str = "value_avg", drop: float = 15.0) -> DataFrame:
+    """satellite_id of what is said to be active but has left its first level: the last 14 days lie `drop` below the first 90 and below
+    the 14 before."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("norad_id")
+    m = days.select("norad_id", "day", F.col(value).alias("v"), F.min("day").over(w).alias("d0"), F.max("day").over(w).alias("d1"))
+    mean = lambda c: F.avg(F.when(c, F.col("v")))
+    day = F.col("day")
+    per = m.groupBy("norad_id").agg(mean(day < F.date_add("d0", 90)).alias("first"), mean(day > F.date_sub("d1", 14)).alias("last"), mean((day <= F.date_sub("d1", 14)) & (day > F.date_sub("d1", 28))).alias("before"))
+    low = per.where((F.col("last") <= F.col("first") - drop) & (F.col("last") < F.col("before")))
+    active = newest_status(status).where("canonical_status = 'ACTIVE'").select("satellite_id")
+    return satellites.select("satellite_id", "norad_id").join(low, "norad_id").join(active, "satellite_id", "left_semi").select("satellite_id")
+
+
+# ------------------------------------------------------------------ filings
+def pending_filings(filings: DataFrame, stations: DataFrame, addresses: DataFrame, runs: DataFrame) -> DataFrame:
+    """Satellite filings of the newest finished run on which nothing is decided yet, with the names of their stations and applicant.
+
+    A station is named by the call sign in its brackets, else by its whole name; several names of one key are listed in order.
+    """
+    f, s, a = (relational.rows_of_latest_ok_run(df, runs, source) for df, source in ((filings, "filings"), (stations, "stations"), (addresses, "addresses")))
+    upper = F.upper("us_name")
+    key = F.coalesce(F.nullif(F.regexp_extract(upper, r"\(([A-Z]+[0-9][0-9A-Z-]*)\)", 1), F.lit("")), upper)
+    listed = lambda c, name: F.nullif(F.array_join(F.array_sort(F.collect_set(c)), " / "), F.lit("")).alias(name)
+    names = s.where("us_name is not null").groupBy(key.alias("_k")).agg(listed("us_name", "satellite_name"), listed("itu_name", "itu_name"), listed("orbit_location", "orbit_location"))
+    who = relational.latest_per_key(a.where("address_key is not null"), ["address_key"], [F.col("name").asc_nulls_last(), F.col("frn").asc_nulls_last()]).select("address_key", F.col("name").alias("applicant_name"), F.col("frn").alias("_frn"))
+    open_ = f.where(F.col("subsystem_code") == "SAT").where(metrics.pending(["date_grant", "date_deny", "date_dismiss", "date_surrender"]))
+    j = open_.join(names, F.upper("callsign") == F.col("_k"), "left").join(who, F.col("applicant_address_key") == F.col("address_key"), "left")
+    return j.select("filing_key", "file_number", "callsign", "app_type_code", "status_code", "date_filed", "date_last_update", "satellite_name", "itu_name", "orbit_location", "description", "applicant_name", F.coalesce("_frn", "frn").alias("applicant_frn"))
+
+
+def spec_summary(planes: DataFrame, low: float = 150.0, high: float = 50_000.0) -> DataFrame:
+    """By file_number: planes, range of mean altitudes and inclinations. An apogee outside low to high stands for something else: it is
+    counted and left out of the range."""
+    real = F.col("apogee_km").between(low, high)
+    mean = F.when(real, (F.col("apogee_km") + F.col("perigee_km")) / 2)
+    return planes.where("is_validated").groupBy("file_number").agg(
+        F.count(F.lit(1)).alias("spec_planes_n"), F.round(F.min(mean)).alias("spec_alt_min_km"), F.round(F.max(mean)).alias("spec_alt_max_km"), F.min("inclination_deg").alias("spec_incl_min_deg"),
+        F.max("inclination_deg").alias("spec_incl_max_deg"), F.count_if(F.coalesce(~real, F.lit(False))).alias("spec_implausible_n"),
+    )
+
+
+def pending_page(pending: DataFrame, t: dict[str, DataFrame], q: str | None = None, applicant: str | None = None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of pending filings, newest first, each with its documents, note, specification and docket; and the number of all.
+
+    t: applicant_link(frn, manufacturer_slug), document(file_number), note(file_number, summary), plane and docket. q is looked for in
+    six columns; applicant keeps what one maker's group filed. The page is cut before anything is joined to it.
+    """
+    from ..functions.names import like_literal
+
+    if q and q.strip():
+        found = [F.coalesce(F.col(c).ilike(like_literal(q.strip())), F.lit(False)) for c in ("callsign", "file_number", "satellite_name", "itu_name", "applicant_name", "description")]
+        pending = pending.where(reduce(lambda a, b: a | b, found))
+    link = t["applicant_link"].select(F.col("frn").alias("applicant_frn"), F.col("manufacturer_slug").alias("applicant_slug"))
+    if applicant and applicant.strip():
+        pending = pending.join(link.where(F.col("applicant_slug") == applicant.strip().lower()).select("applicant_frn"), "applicant_frn", "left_semi")
+    page = relational.page(pending, [F.col("date_filed").desc_nulls_last(), F.col("file_number").asc(), F.col("filing_key").asc()], limit, offset)
+    documents = t["document"].groupBy("file_number").agg(F.count(F.lit(1)).alias("documents_n"))
+    docket = t["docket"].select("callsign", *(F.col(c).alias(f"docket_{c}") for c in ("filings_pending", "filings_total", "pending_amendments")))
+    out = page.join(link, "applicant_frn", "left").join(documents, "file_number", "left").join(t["note"].select("file_number", F.col("summary").alias("note_summary")), "file_number", "left")
+    out = out.join(spec_summary(t["plane"]), "file_number", "left").join(docket, "callsign", "left")
+    return out.withColumn("documents_n", F.coalesce("documents_n", F.lit(0))), pending.agg(F.count(F.lit(1)).alias("total"))

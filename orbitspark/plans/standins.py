@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, names, orbit, propagate, text
 from ..functions import sql as sql_functions
 from ..operators import compare, fuzzy, mutations, relational
+from ..operators.written import written
 from ..sources import delimited, documents, ledger
 from ..streaming import rollup
 from . import identity, metrics, reports
@@ -54,8 +55,8 @@ def ownership(spark, d) -> DataFrame:
     return first.unionByName(second).join(nation, "k").drop("k")
 
 
-def owned(spark, d) -> DataFrame:
-    return metrics.daily_with_owner(events_daily(spark, d), ownership(spark, d), "user_id")
+def owned(spark, d, days: DataFrame | None = None) -> DataFrame:
+    return metrics.daily_with_owner(events_daily(spark, d) if days is None else days, ownership(spark, d), "user_id")
 
 
 _DAILY = """daily as (select user_id, cast(ts as date) as "day", avg(value) as value_avg, stddev_samp(value) as value_stddev, min(value) as value_min, max(value) as value_max, count(*)::bigint as n from events group by 1, 2)"""
@@ -140,9 +141,11 @@ first as (select user_id, operator_name, min(run_start) as operational_day from
 tto as (select f.user_id, f.operator_name, launch_day, operational_day, (operational_day - launch_day)::integer as days_to, shell_n::bigint as shell_n from first f join (select user_id, min("day") as launch_day from daily group by 1) using (user_id) join shell s on s.operator_name = f.operator_name)"""
 
 
-def _tto(spark, d) -> DataFrame:
-    o = owned(spark, d)
-    launch = events_daily(spark, d).groupBy("user_id").agg(F.min("day").alias("launch_day"))
+def _tto(spark, d, days: DataFrame | None = None, o: DataFrame | None = None) -> DataFrame:
+    """The rollup and its owners are read several times, so both are written first."""
+    days = written(events_daily(spark, d)) if days is None else days
+    o = written(owned(spark, d, days)) if o is None else o
+    launch = days.groupBy("user_id").agg(F.min("day").alias("launch_day"))
     return metrics.time_to_operational(o, "user_id", "operator_name", launch, F.lit(dt.date(2024, 1, 10)), 25.0, 3)
 
 
@@ -172,9 +175,10 @@ ft as (select * from (select *, row_number() over (partition by user_id order by
 select d.user_id, count(*)::bigint as gp_days, min("day") as first_gp_day, max("day") as last_gp_day, round(any_value(sk.m), 9) as sk_median_km, any_value(ft.days_to) as days_to_operational, any_value(ft.shell_n) as tto_shell_n, (d.user_id % 3 = 0) as disposal_compliant
 from daily d left join sk on sk.user_id = d.user_id left join ft on ft.user_id = d.user_id group by d.user_id""")
 def v12_behaviour(spark, d):
-    days = events_daily(spark, d)
+    days = written(events_daily(spark, d))
+    o = written(owned(spark, d, days))
     disposal = days.select("user_id").distinct().withColumn("compliant", F.col("user_id") % 3 == 0)
-    return r9(metrics.behaviour(days, metrics.station_keeping(owned(spark, d), "user_id"), _tto(spark, d), disposal, "user_id"), "sk_median_km")
+    return r9(metrics.behaviour(days, metrics.station_keeping(o, "user_id"), _tto(spark, d, days, o), disposal, "user_id"), "sk_median_km")
 
 
 def _products(spark, d) -> DataFrame:
@@ -259,17 +263,6 @@ def v20_dockets(spark, d):
     return metrics.dockets(o, metrics.pending(["disposed"]), F.col("o_orderstatus") == "F", F.col("o_orderpriority").startswith("1"))
 
 
-@query("""with p as (select o_orderkey, o_custkey, cast(o_orderdate as date) as filed, o_totalprice from orders where o_orderstatus = 'O' order by filed desc, o_orderkey limit 50 offset 10),
-d as (select o_custkey, count(*)::bigint as docket_n from orders group by 1)
-select p.o_orderkey, p.filed, p.o_totalprice, c_name as applicant, docket_n, (o_totalprice > 400000) as implausible from p left join customer on c_custkey = p.o_custkey left join d using (o_custkey)""")
-def v21_pending_page(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("filed"), "o_totalprice", "o_orderstatus")
-    p = relational.page(o.where("o_orderstatus = 'O'"), [F.desc("filed"), F.asc("o_orderkey")], 50, 10)
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("applicant"))
-    n = o.join(p.select("o_custkey").distinct(), "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("docket_n"))
-    return p.join(c, "o_custkey", "left").join(n, "o_custkey", "left").select("o_orderkey", "filed", "o_totalprice", "applicant", "docket_n", (F.col("o_totalprice") > 400000).alias("implausible"))
-
-
 # ------------------------------------------------------------------ identity programs
 @query("""with t1 as (select c_custkey, s_suppkey, 'exact_key' as rule from customer join supplier on s_suppkey = c_custkey where s_nationkey = c_nationkey),
 lone as (select s_nationkey, min(s_suppkey) as s_suppkey from supplier group by 1 having count(*) = 1 or min(s_suppkey) % 2 = 0),
@@ -311,17 +304,6 @@ def v23_fuzzy_match_edit(spark, d):
     return fuzzy.best_match(scored).select("probe_key", "satellite_id", "score", "decision")
 
 
-@query("""with p as (select c_custkey as k, c_nationkey as n, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')) as nm from customer), a as (select s_suppkey as k, s_nationkey as n from supplier)
-select p.k as provisional_id, min(a.k) as anchored_id, (min(a.k) % 2 = 0) as merged from p join a on a.n = p.n group by p.k having count(distinct a.k) = 1""")
-def v24_promotion(spark, d):
-    """Provisional entities that share a designator with exactly one anchored one, and the gate's decision."""
-    p = table(spark, d, "customer").select(F.col("c_custkey").alias("provisional_id"), F.col("c_nationkey").alias("n"), F.col("c_name").alias("pn"))
-    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("anchored_id"), F.col("s_nationkey").alias("n"))
-    one = p.join(a, "n").groupBy("provisional_id").agg(F.min("anchored_id").alias("anchored_id"), F.count_distinct("anchored_id").alias("c"), F.first("pn").alias("pn")).where("c = 1")
-    placeholder = F.when(F.col("anchored_id") % 2 == 0, F.lit("X OBJECT A")).otherwise(F.lit("other"))
-    return one.select("provisional_id", "anchored_id", names.name_gate(F.col("pn"), placeholder).alias("merged"))
-
-
 _SNAPS = "prev as (select l_orderkey * 10 + l_linenumber as k, l_suppkey as ref from lineitem where l_linenumber <= 4), cur as (select l_orderkey * 10 + l_linenumber as k, case when l_partkey % 9 = 0 then null else l_suppkey + (case when l_partkey % 11 = 0 then 1 else 0 end) end as ref from lineitem where l_linenumber >= 2)"
 
 
@@ -389,15 +371,6 @@ def r1_parent_walk(spark, d):
     return relational.walk_up(edges, n.where("n_nationkey % 5 <> 3").select(F.col("n_nationkey").alias("code"))).select("leaf", "root", "depth")
 
 
-@query("""with x as (select p_partkey, string_split(p_name, ' ') as toks from part), y as (select p_partkey, unnest(toks) as tok, generate_subscripts(toks, 1) as pos, len(toks) as arity from x)
-select p_partkey as satellite_id, slug as manufacturer_slug, min(pos)::integer as position, any_value(arity)::integer as arity from (select *, trim(regexp_replace(lower(tok), '[^a-z0-9]+', '-', 'g'), '-') as slug from y) where slug <> '' group by 1, 2""")
-def v32_credits(spark, d):
-    """Every co-builder of a part, by slug, at its first place."""
-    p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("t"))
-    x = p.select("p_partkey", F.size("t").alias("arity"), F.posexplode("t").alias("pos", "tok")).withColumn("slug", names.slugify(F.col("tok"))).where("slug is not null")
-    return x.groupBy(F.col("p_partkey").alias("satellite_id"), F.col("slug").alias("manufacturer_slug")).agg((F.min("pos") + 1).cast("int").alias("position"), F.first("arity").cast("int").alias("arity"))
-
-
 @query("""select slug, mode() within group (order by p_name) as display, count(*)::bigint as n from (select p_name, trim(regexp_replace(regexp_replace(lower(p_type), '\\+', '-plus', 'g'), '[^a-z0-9]+', '-', 'g'), '-') as slug from part) group by 1""")
 def v31_display_mode(spark, d):
     p = table(spark, d, "part").select("p_name", names.slugify(F.col("p_type"), plus=True).alias("slug"))
@@ -476,9 +449,12 @@ def w8_round_robin(spark, d):
     return relational.round_robin(o, "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")], 25).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("""with n as (select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn) as k from conversations) select conv_id, turn, role, (max(k) over (partition by conv_id order by turn rows unbounded preceding) - 1)::integer as group_id from n""")
+@query("""with recursive n as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn, role) as i from conversations),
+w as (select conv_id, turn, role, i, [role] as has, 0 as g from n where i = 1 union all select n.conv_id, n.turn, n.role, n.i, case when list_contains(w.has, n.role) then [n.role] else list_append(w.has, n.role) end, w.g + list_contains(w.has, n.role)::integer from w join n on n.conv_id = w.conv_id and n.i = w.i + 1)
+select conv_id, turn, role, g::integer as group_id from w""")
 def w9_group_ids(spark, d):
-    return relational.group_ids(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role").withColumn("group_id", F.col("group_id").cast("int"))
+    """A group closes when any of its labels comes again."""
+    return relational.group_ids(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role")
 
 
 @query("""with s as (select "day", avg(value) as v, count(*) as c from (select cast(ts as date) as "day", value from events) group by 1), r as (select *, row_number() over (order by "day") - 1 as r, count(*) over () as n from s),
@@ -678,13 +654,6 @@ def m10_m11_detrend(spark, d):
     return r9(e.groupBy("user_id").agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"), (F.percentile("value", 0.5) - 8 * F.stddev_pop("value")).alias("threshold")), "slope", "intercept", "threshold")
 
 
-@query("select count(*)::bigint as rows_n, count(distinct o_custkey)::bigint as customers, round(100.0 * count(*) filter (where o_orderstatus = 'O')::double / count(*), 1)::double as open_pct, max(cast(o_orderdate as date)) as newest from orders")
-def v44_overview(spark, d):
-    o = table(spark, d, "orders")
-    n = F.count(F.lit(1))
-    return o.agg(n.alias("rows_n"), F.count_distinct("o_custkey").alias("customers"), orbit.percent(F.count_if(F.col("o_orderstatus") == "O"), n).alias("open_pct"), F.max(F.to_date("o_orderdate")).alias("newest"))
-
-
 # ------------------------------------------------------------------ more programs
 @query("""with own as (select o_custkey as satellite_id, min(o_orderkey) as sk from orders group by 1), st as (select o_custkey as satellite_id, o_orderstatus as s from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders) where rn = 1),
 life as (select o_custkey as satellite_id, min(cast(o_orderdate as date)) as l, max(cast(o_orderdate as date)) as d from orders group by 1)
@@ -700,13 +669,6 @@ def v13_entity_products(spark, d):
     return j.select(F.col("k").alias("satellite_id"), "product", "maker", F.coalesce("s", F.lit("UNKNOWN")).alias("canonical_status"), dates.lifetime_days(F.col("s"), F.col("l"), F.col("d")).alias("lifetime_days"), F.col("sk").isNotNull().alias("has_source"))
 
 
-@query("""with e as (select c_custkey as k, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '-', 'g')) as base, c_mktsegment as code from customer), n as (select *, row_number() over (partition by code order by k) as rn from e)
-select code as name, count(*)::bigint as n, min(k) as first_k from n group by 1""")
-def v30_groups(spark, d):
-    c = table(spark, d, "customer")
-    return c.groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_k"))
-
-
 @query("""with p as (select item_id, string_split(text, ' ') as w from benchmark) select item_id, len(w)::integer as words, regexp_matches(' ' || array_to_string(w, ' ') || ' ', '[^0-9.]' || '12' || '[^0-9.]') as supported from p""")
 def v34_support(spark, d):
     """Whether a number stands on a page as a token of its own."""
@@ -714,14 +676,6 @@ def v34_support(spark, d):
     return b.select("item_id", F.size(F.split("text", " ")).alias("words"), text.page_supports_text(F.col("text"), F.lit("12")).alias("supported"))
 
 
-@query(None)
-def v34_form_blocks(spark, d):
-    """Repeated labelled blocks of paged reports, each field with its page: reports made from order lines, three pages each."""
-    line = F.concat(F.lit("Inclination Angle "), F.col("l_discount") * 100, F.lit("\nApogee "), F.col("l_quantity"))
-    pages = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("t")).groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "t"))), lambda s: s["t"]).alias("pages"))
-    return documents.labelled_groups(pages, "l_orderkey", r"(Inclination Angle|Apogee) ([\d.]+)", {"Inclination Angle": "inclination_deg", "Apogee": "apogee_km"})
-
-
 @query("""select stratum, c_custkey, c_acctbal from (select case when c_acctbal < 0 then 'negative' when c_acctbal > 9000 then 'high' else 'plain' end as stratum, c_custkey, c_acctbal, row_number() over (partition by case when c_acctbal < 0 then 'negative' when c_acctbal > 9000 then 'high' else 'plain' end order by c_acctbal, c_custkey) as rn from customer) where rn <= 12""")
 def v35_strata(spark, d):
     """The first cases of each stratum, in a total order."""
@@ -822,12 +776,12 @@ def u9_freeze(spark, d):
     return out.select("month", "kind", "slug", F.get_json_object("payload", "$.n").cast("long").alias("n"))
 
 
-@query("""select l_orderkey as file, l_linenumber::bigint as idx, l_quantity as value from lineitem""")
+@query("""select l_orderkey as file, l_linenumber::bigint as idx, 'quantity' as attribute, l_quantity as value from lineitem union all select l_orderkey, l_linenumber, 'tax', l_tax from lineitem where l_tax > 0.01""")
 def p6_unpivot(spark, d):
-    """Wide rows to long claims and back to one attribute."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    """Wide rows to long claims; a null is no claim."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("l_tax"))
     long = relational.unpivot(li, ["l_orderkey", "l_linenumber"], {"quantity": "l_quantity", "tax": "l_tax"})
-    return long.where("attribute = 'quantity'").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    return long.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("idx"), "attribute", F.col("value").cast("double").alias("value"))
 
 
 @query("select p_partkey, pos::integer as pos, tok from (select p_partkey, unnest(string_split(p_name, ' ')) as tok, generate_subscripts(string_split(p_name, ' '), 1) as pos from part)")
@@ -909,28 +863,20 @@ def f1_latest_run(spark, d):
 
 @query(f"with {_DAILY} select user_id, \"day\", round(value_avg, 9) as value_avg, n from daily")
 def st1_stream_daily(spark, d):
-    """The daily rollup as a stream over the same files, run to its end in complete mode: the batch answer."""
-    import uuid
-
+    """The daily rollup as a stream over the same files, run to its end: each trigger's changed days are upserted into a written table,
+    which then holds the batch answer."""
     e = table(spark, d, "events")
     stream = rollup.timed(spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*"), "ts", "60 days")
-    name = f"st1_{uuid.uuid4().hex}"
-    q = rollup.daily(stream, "user_id", "ts", "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return r9(spark.table(name).select("user_id", "day", "value_avg", "n"), "value_avg")
+    out = rollup.run_into_table(rollup.daily(stream, "user_id", "ts", "value"), ["user_id", "day"])
+    return r9(out.select("user_id", "day", "value_avg", "n"), "value_avg")
 
 
 @query("select user_id, ts, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id) as rn from events) where rn = 1")
 def st4_stream_latest(spark, d):
-    """Latest row per key as a stream, one row of state per key."""
-    import uuid
-
+    """Latest row per key as a stream, one row of state per key, upserted into a written table."""
     e = table(spark, d, "events")
     stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*")
-    name = f"st4_{uuid.uuid4().hex}"
-    q = rollup.latest(stream, "user_id", "ts", "event_id", ["value"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return rollup.run_into_table(rollup.latest(stream, "user_id", "ts", "event_id", ["value"]), ["user_id"])
 
 
 @query("select p_partkey, nullif(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), '') as k from part")

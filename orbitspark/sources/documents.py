@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import group_ids, latest_per_key
+
 
 # ------------------------------------------------------------------ JSON
 def read_elements(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, DataFrame]:
@@ -41,33 +42,50 @@ def is_error_stub(body: Column) -> Column:
     return first.isNotNull()
 
 
-def named_links(node, inherited: str | None = None) -> Iterator[tuple[str, str, str | None]]:
-    """(name, url, date) of every node, at any depth, that has both name and url; the date of the nearest enclosing node holds."""
-    if isinstance(node, dict):
-        date = node.get("date") or inherited
-        if node.get("name") and node.get("url"):
-            yield str(node["name"]), str(node["url"]), date
-        for v in node.values():
-            yield from named_links(v, date)
-    elif isinstance(node, list):
-        for v in node:
-            yield from named_links(v, inherited)
+class _Links(list):
+    """Links found below a node, without a date yet or with one of their own."""
+
+
+def _gathered(value) -> _Links:
+    return value if isinstance(value, _Links) else _Links(x for v in value for x in _gathered(v)) if isinstance(value, list) else _Links()
+
+
+def links_in(body: str, name: str = "name", url: str = "url", date: str = "date") -> list[tuple[str, str, str | None]]:
+    """(name, url, date) of the nodes that have both, at any depth. The decoder hands each node over after what is inside it, so a
+    node's date is given to the links below it that have none: the nearest one holds. A date may be a node with a display value."""
+
+    def node(pairs: list[tuple[str, object]]) -> object:
+        here = dict(pairs)
+        shown = {k: v for k, v in here.items() if k in ("display_value", "value") and isinstance(v, str)}
+        if shown and not any(isinstance(v, _Links) for v in here.values()):
+            return shown.get("display_value") or shown.get("value")
+        when = here.get(date) if isinstance(here.get(date), str) else None
+        below = _Links((n, u, d or when) for v in here.values() for n, u, d in _gathered(v))
+        own = [(str(here[name]), here[url], when)] if here.get(name) and isinstance(here.get(url), str) and here[url] else []
+        return _Links(own + below)
 
+    return list(_gathered(json.loads(body, object_pairs_hook=node)))
 
-def walk_json(df: DataFrame, key: str, body: str) -> DataFrame:
-    """key, name, url, date for every named link in body; one row per (key, url). Malformed JSON gives none."""
+
+def walk_json(df: DataFrame, key: str, body: str, name: str = "name", url: str = "url", date: str = "date") -> DataFrame:
+    """key, id, name, url, date for every named link in body; id is the last part of the url's path. One row per (key, id): the
+    smallest by url, name and date. Malformed JSON gives none; a date is its first ten characters where these are a day."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for k, b in zip(pdf[key], pdf[body], strict=True):
                 try:
-                    out += [(k, *x) for x in named_links(json.loads(b))]
+                    out += [(k, *x) for x in links_in(b, name, url, date)]
                 except (TypeError, ValueError):
                     continue
             yield pd.DataFrame(out, columns=[key, "name", "url", "date"])
 
-    return df.select(key, body).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, name string, url string, date string").dropDuplicates([key, "url"])
+    links = df.select(key, body).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, name string, url string, date string")
+    plain = F.regexp_replace("url", r"\?.*$", "")
+    day = F.regexp_extract("date", r"^\s*(\d{4}-.{5})", 1)
+    links = links.select(key, F.regexp_extract(F.rtrim(plain, F.lit("/")), r"([^/]*)$", 1).alias("id"), F.trim("name").alias("name"), plain.alias("url"), F.nullif(day, F.lit("")).alias("date"))
+    return latest_per_key(links, [key, "id"], [F.col("url").asc(), F.col("name").asc(), F.col("date").asc_nulls_last()])
 
 
 # ------------------------------------------------------------------ HTML
@@ -176,35 +194,15 @@ def labelled_groups(reports: DataFrame, key: str, line: str, fields: dict[str, s
     """Repeated blocks of labelled numbers: a block closes when any of its labels comes again. key, block, source_page, then each
     field and its page.
 
-    line: a pattern with the label and the number as groups. The state that closes a block is no window function's; a report is one
-    row, so it is read in one pass where it lies. Labels not in fields, and numbers that do not parse, are passed over.
+    line: a pattern with the label and the number as groups. Labels not in fields, and numbers that do not parse, are passed over.
+    The matches become rows, relational.group_ids numbers the blocks, and an aggregate puts each block's fields side by side.
     """
-    names = list(fields.values())
-    columns = [key, "block", "source_page", *(c for f in names for c in (f, f"{f}_page"))]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rx = re.compile(line)
-        for pdf in batches:
-            out = []
-            for k, pages in zip(pdf[key], pdf["pages"], strict=True):
-                block, now = 0, {}
-                for n, page in enumerate(pages if pages is not None else [], 1):
-                    for label, value in rx.findall(page or ""):
-                        f = fields.get(label.strip())
-                        try:
-                            v = float(value)
-                        except ValueError:
-                            continue
-                        if f is None:
-                            continue
-                        if f in now:
-                            out.append((k, block, now))
-                            block, now = block + 1, {}
-                        now[f] = (v, n)
-                if now:
-                    out.append((k, block, now))
-            rows = [(k, b, min(p for _, p in g.values()), *(x for f in names for x in g.get(f, (None, None)))) for k, b, g in out]
-            yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in columns if c.endswith("_page")} | {f: "float64" for f in names})
-
-    kinds = ", ".join(f"{f} double, {f}_page int" for f in names)
-    return reports.select(key, "pages").mapInPandas(run, f"{key} {dict(reports.dtypes)[key]}, block int, source_page int, {kinds}")
+    page = reports.select(key, F.posexplode("pages").alias("_page", "_text"))
+    found = F.arrays_zip(F.regexp_extract_all("_text", F.lit(line), F.lit(1)).alias("label"), F.regexp_extract_all("_text", F.lit(line), F.lit(2)).alias("value"))
+    rows = page.select(key, (F.col("_page") + 1).alias("_page"), F.posexplode(found).alias("_at", "_m"))
+    names = F.create_map(*(F.lit(x) for kv in fields.items() for x in kv))
+    rows = rows.select(key, "_page", "_at", F.try_element_at(names, F.trim("_m.label")).alias("_field"), F.col("_m.value").try_cast("double").alias("_value")).where("_field is not null and _value is not null")
+    blocks = group_ids(rows, [key], ["_page", "_at"], "_field")
+    mine = lambda f, c: F.max(F.when(F.col("_field") == f, F.col(c)))
+    columns = [x for f in fields.values() for x in (mine(f, "_value").alias(f), mine(f, "_page").alias(f"{f}_page"))]
+    return blocks.groupBy(key, F.col("group_id").alias("block")).agg(F.min("_page").alias("source_page"), *columns)

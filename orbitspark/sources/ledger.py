@@ -77,8 +77,11 @@ def publish(df: DataFrame, path: str) -> str:
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(Path(f"{path}/current.pointer"), False)
-    fs.rename(new, Path(f"{path}/current.pointer"))
+    # one rename over the old pointer: a reader finds the old or the new one, never none
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    rename = df.sparkSession.sparkContext._gateway.new_array(kind, 1)
+    rename[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, Path(f"{path}/current.pointer"), rename)
     return version
 
 
@@ -105,10 +108,12 @@ def baseline(board: DataFrame, key: str) -> str:
 
 
 def markdown_table(df: DataFrame, order: list[Column], limit: int = 200) -> str:
-    """Rows in a total order as a Markdown table; the same rows give the same bytes."""
-    rows = df.orderBy(*order).limit(limit).collect()
+    """The first `limit` rows in a total order as a Markdown table; the same rows give the same bytes. If there are more, a last line
+    says so."""
+    rows = df.orderBy(*order).limit(limit + 1).collect()
+    more, rows = len(rows) > limit, rows[:limit]
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|")
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), *([f"\nOnly the first {limit} rows are shown."] if more else [])]) + "\n"
 
 
 def serialise(df: DataFrame) -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mutations import upsert
+from ..operators.written import shared_folder
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -60,6 +61,24 @@ def keep_table(path: str, keys: list[str], take: dict[str, str]) -> Callable[[Da
     return write
 
 
+def run_into_table(stream: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
+    """Run the stream to the end of what is there, in update mode, upserting each micro-batch into a table; returns its last version.
+    Nothing of the result passes through the driver. path: a folder that driver and executors share; by default a new one below
+    spark.checkpoint.dir."""
+    spark = stream.sparkSession
+    path = path or shared_folder(spark, "stream")
+    last: list[int] = []
+    sink = keep_table(f"{path}/table", keys, {})
+
+    def write(batch: DataFrame, number: int) -> None:
+        sink(batch, number)
+        last[:] = [number]
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/table/batch={last[0]}") if last else spark.createDataFrame([], stream.schema)
+
+
 def serve(materialised: DataFrame, tail: DataFrame, rollup: Callable[[DataFrame], DataFrame], day: str = "day") -> DataFrame:
     """Days that are written, and those of the live tail computed now: the tail's days win."""
     live = rollup(tail)

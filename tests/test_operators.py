@@ -76,6 +76,14 @@ def test_mutations_are_idempotent(spark):
     assert mutations.freeze_month(frozen, spark.createDataFrame([("t", 2)], "slug string, n int"), "2024-01", "bus").count() == 1
 
 
+def test_groups_close_when_a_label_repeats(spark):
+    got = {}
+    for case, labels in enumerate(["AABB", "ABAB", "ABCA", "AAAA", "", "ABBA"]):
+        df = spark.createDataFrame([(case, i, c, i * 2) for i, c in enumerate(labels)], "k int, i int, label string, more int")
+        got[labels] = [r["group_id"] for r in relational.group_ids(df, ["k"], ["i"], "label").orderBy("i").collect()]
+    assert got == {"AABB": [0, 1, 1, 2], "ABAB": [0, 0, 1, 1], "ABCA": [0, 0, 0, 1], "AAAA": [0, 1, 2, 3], "": [], "ABBA": [0, 0, 1, 1]}
+
+
 def test_parent_walk(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "m"), ("m", None)], "code string, parent_code string")
     b = spark.createDataFrame([("a",), ("b",), ("c",)], "code string")
@@ -126,8 +134,12 @@ def test_products_credits_and_operators(spark):
     assert got[4]["bus_slug"] is None and got[4]["manufacturer_name"] == "Space" and got[4]["join_rule"] == "anchored_cospar"
     c = rows(identity.credits(spark.createDataFrame([(1, "RAYM?/GSFC/ACME?/RAYM")], "satellite_id long, manufacturer_raw string")), "position")
     assert [(x[1], x[2]) for x in c] == [("raym", 1), ("gsfc", 2)]
-    ops = identity.enrich_operators([{"name": "Acme", "codes": ["AC"]}], [{"code": "ZZ", "name": "acme"}, {"code": "AC", "name": "x"}])
-    assert [o["name"] for o in ops] == ["Acme", "acme (ZZ)"]
+    seeds = spark.createDataFrame([("Acme", "AC")], "name string, code string")
+    orgs = spark.createDataFrame([("ZZ", "acme", "AC"), ("AC", "x", None), ("B1", "Bee", "AC"), ("B2", "BEE", "B1"), ("C1", "Bee (b2)", "XX")], "code string, name string, parent_code string")
+    ops, aliases, edges = identity.enrich_operators(seeds, orgs)
+    assert {r["name"] for r in ops.collect()} == {"Acme", "acme (ZZ)", "Bee", "BEE (B2)", "Bee (b2) (C1)"}
+    assert {r["code"]: r["name"] for r in aliases.collect()}["AC"] == "Acme"
+    assert rows(edges) == [("BEE (B2)", "Bee"), ("Bee", "Acme"), ("acme (ZZ)", "Acme")]
 
 
 def test_authorisations(spark):

@@ -65,8 +65,10 @@ def test_html_and_trees(spark):
     with pytest.raises(documents.StructureChanged):
         documents.badges("<p>none</p>", "file=")
     assert documents.code_table("<table><tr><td> AB </td><td><a href='#'>Abbey</a></td></tr></table>") == {"AB": "Abbey"}
-    df = spark.createDataFrame([(1, '{"date":"d","x":[{"name":"n","url":"u"},{"y":{"name":"m","url":"v","date":"e"}}]}'), (2, "{bad")], "k int, body string")
-    assert sorted(tuple(r) for r in documents.walk_json(df, "k", "body").collect()) == [(1, "m", "v", "e"), (1, "n", "u", "d")]
+    tree = '{"date":{"display_value":"2024-01-02 10:00","value":"x"},"x":[[{"name":" n ","url":"h/a/u1?x=1"}],{"y":{"name":"m","url":"h/v","date":"2023-05-06"}},{"name":"again","url":"h/b/v/"},{"name":"none","url":7}]}'
+    df = spark.createDataFrame([(1, tree), (2, "{bad"), (3, None), (4, "[]")], "k int, body string")
+    got = sorted(tuple(r) for r in documents.walk_json(df, "k", "body").collect())
+    assert got == [(1, "u1", "n", "h/a/u1", "2024-01-02"), (1, "v", "again", "h/b/v/", "2024-01-02")]
 
 
 def test_reports(spark):
