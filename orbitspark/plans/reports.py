@@ -154,6 +154,22 @@ def active_but_decaying(days: DataFrame, satellites: DataFrame, status: DataFram
     return satellites.select("satellite_id", "norad_id").join(low, "norad_id").join(active, "satellite_id", "left_semi").select("satellite_id")
 
 
+def evidence(satellites: DataFrame, identifiers: DataFrame, claims: DataFrame, owners: DataFrame, operators: DataFrame) -> DataFrame:
+    """One nested row per entity for a reviewer: its identifiers, claims and owners, each an array of structs without repeats, sorted
+    by the order of their fields. An entity of which nothing is known has empty arrays."""
+
+    def gathered(df: DataFrame, name: str, *fields: str) -> DataFrame:
+        return df.groupBy("satellite_id").agg(F.sort_array(F.collect_set(F.struct(*fields))).alias(name))
+
+    named = owners.join(operators.select("operator_id", F.col("canonical_name").alias("operator")), "operator_id", "left")
+    parts = [gathered(identifiers, "identifiers", "id_type", "id_value"), gathered(claims, "claims", "attribute", "value", "source"), gathered(named, "owners", "valid_from", "valid_to", "operator")]
+    out = satellites.select("satellite_id")
+    for p in parts:
+        name = p.columns[1]
+        out = out.join(p, "satellite_id", "left").withColumn(name, F.coalesce(name, F.array().cast(dict(p.dtypes)[name])))
+    return out
+
+
 # ------------------------------------------------------------------ filings
 def pending_filings(filings: DataFrame, stations: DataFrame, addresses: DataFrame, runs: DataFrame) -> DataFrame:
     """Satellite filings of the newest finished run on which nothing is decided yet, with the names of their stations and applicant.

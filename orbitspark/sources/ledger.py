@@ -29,11 +29,20 @@ def is_fresh(runs: DataFrame, source: str, endpoint: str, now: dt.datetime, inte
     return bool(runs.where((F.col("source") == source) & (F.col("endpoint") == endpoint) & (F.col("status") == "ok") & (F.col("finished_at") >= F.lit(since))).limit(1).count())
 
 
-def recent_activity(runs: DataFrame, n: int = 20) -> DataFrame:
-    """The newest run per source, with the endpoint's label and a status that says whether it is still in flight."""
-    label = F.coalesce(F.nullif(F.regexp_extract("endpoint", "class/([^/]+)", 1), F.lit("")), F.col("endpoint"))
-    status = F.when(F.col("finished_at").isNull() & (F.col("status") != "error"), "in_flight").otherwise(F.col("status"))
-    return latest_per_key(runs, ["source"], [F.col("started_at").desc(), F.col("ingest_run_id").desc()]).select("source", label.alias("label"), status.alias("status"), "started_at", "rows_loaded").orderBy(F.col("started_at").desc(), "source").limit(n)
+def recent_activity(runs: DataFrame, now: dt.datetime, n: int = 20) -> DataFrame:
+    """The newest run of each source, endpoint label and status, of the n most recently active: source, endpoint, status, finished_at,
+    rows_ingested.
+
+    A run without a status is running if it started in the last 24 hours, else stale. An endpoint with a class in its path goes by
+    that class's name.
+    """
+    label = F.coalesce(F.nullif(F.regexp_extract("endpoint", "class/([a-z_]+)", 1), F.lit("")), F.col("endpoint"))
+    started = F.col("started_at") >= F.lit(now - dt.timedelta(hours=24))
+    status = F.coalesce("status", F.when(started, "running").otherwise("stale"))
+    rows = runs.select("source", label.alias("endpoint"), status.alias("status"), "started_at", "finished_at", "rows_ingested")
+    last = latest_per_key(rows, ["source", "endpoint", "status"], [F.col("started_at").desc_nulls_last(), F.col("finished_at").desc_nulls_last(), F.col("rows_ingested").desc_nulls_last()])
+    recent = last.withColumn("_at", F.coalesce("finished_at", "started_at")).orderBy(F.col("_at").desc_nulls_last(), "source", "endpoint", "status").limit(n)
+    return recent.select("source", "endpoint", "status", "finished_at", "rows_ingested").orderBy("source", "endpoint", "status")
 
 
 # ------------------------------------------------------------------ seeds

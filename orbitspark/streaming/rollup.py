@@ -79,6 +79,16 @@ def run_into_table(stream: DataFrame, keys: list[str], path: str | None = None)
     return spark.read.parquet(f"{path}/table/batch={last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
+def run_into_files(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Run the stream to the end of what is there, appending its rows to Parquet files; returns them. For streams whose rows are final
+    once they are given."""
+    spark = stream.sparkSession
+    path = path or shared_folder(spark, "stream")
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def serve(materialised: DataFrame, tail: DataFrame, rollup: Callable[[DataFrame], DataFrame], day: str = "day") -> DataFrame:
     """Days that are written, and those of the live tail computed now: the tail's days win."""
     live = rollup(tail)

@@ -40,13 +40,17 @@ def test_mapped_and_keyword_tables(spark, tmp_path):
 
 
 def test_record_dump(spark, tmp_path):
-    raw = "1|Caf\xe9|a\r\nb|x|tail|^|\r\n2|short|^|\r\n".encode("cp1252")
+    raw = "1|Caf\xe9 €|a\r\nb|x|tail|^|\r\n2|short|^|\r\n".encode("cp1252")
     p = tmp_path / "d.zip"
     with zipfile.ZipFile(p, "w") as z:
         z.writestr("T.dat", raw)
-    spark.dataSource.register(records.RecordSource)
-    got = [tuple(r) for r in spark.read.format("records").schema("a string, b string, c string, d string").load(str(p)).collect()]
-    assert got == [("1", "Café", "a\r\nb", "x"), ("2", "short", None, None)]
+        z.writestr("other/U.dat", b"3|y|^|\r\n")
+    want = [("1", "Café €", "a\r\nb", "x"), ("2", "short", None, None)]
+    names = ["a", "b", "c", "d"]
+    assert [tuple(r) for r in records.read_zipped_records(spark, str(p), names, "T.dat").collect()] == want
+    assert records.read_zipped_records(spark, str(p), names).count() == 3
+    (tmp_path / "d.dat").write_bytes(raw)
+    assert [tuple(r) for r in records.read_records(spark, str(tmp_path / "d.dat"), names).collect()] == want
 
 
 def test_elements_and_api(spark, tmp_path):
