@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, byte_ngram_hash, chunks, materialize, mix, parts_of, tidy, tidy_group, totals
 from .gsaca import _spans, suffix_arrays
-from .repeats import ELEMENTS, RANGES, bucket_count, by_bucket, deflate, element_batch, hot_items, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
+from .repeats import ELEMENTS, RANGES, bucket_count, by_bucket, deflate, element_batch, has_own_ids, hot_items, inflate, merge_ranges, packed_text, range_arrays, repeated, row_ids, runs, spread, unpack_text, with_ranges
 
 #: Bytes hashed or marked at once: a byte takes some dozens of bytes of working memory.
 CHUNK = 384 << 10
@@ -281,10 +281,11 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
     documents of their own; a null id counts as the largest. Other columns are not read; an empty table gives an empty one.
     """
     _, total = totals(docs)
-    base = row_ids(docs.select("doc_id", "text"), ordered=True)
-    packed = packed_text(base, ["row", "doc_id"])
+    own = has_own_ids(docs)
+    base = row_ids(docs.select("doc_id", "text"), ordered=True, own=own)
+    packed = packed_text(base, ["row"]).where("row is not null")  # alike for both joins, which then share one shuffle
     found, _ = materialize(repeated(seeds(base, window, bucket_count(total * 0.06)), brief=True))
-    strings = candidate_strings(with_ranges(packed.select("row", "z"), found), window, max(48, total // BUCKET_BYTES))
+    strings = candidate_strings(with_ranges(packed, found), window, max(48, total // BUCKET_BYTES))
     ranges = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window)), RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,11 +309,14 @@ def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataF
                 parts += mine if texts else []
                 figures.append(np.stack([np.diff(o), np.diff(lost[o]), np.diff(spans[o])]))
             three = np.concatenate(figures, 1) if figures else np.zeros((3, 0), np.int64)
-            cols = [batch.column("doc_id"), *(pa.array(f.astype(np.int64)) for f in three), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(parts, pa.binary())] if texts else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return with_ranges(packed, ranges).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+            cols = [batch.column("row"), *(pa.array(f.astype(np.int64)) for f in three), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(parts, pa.binary())] if texts else [])], ["row", *figures_of])
+
+    kind, figures_of = dict(docs.dtypes)["doc_id"], ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
+    done = with_ranges(packed, ranges).mapInArrow(tidy(run), "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    if not own:
+        return done.join(base.select("row", "doc_id"), "row").select("doc_id", *figures_of)
+    return done.select(F.col("row").cast(kind).alias("doc_id"), *figures_of)
 
 
 def op10_suffix(spark, sf_dir: str) -> DataFrame:
