@@ -42,11 +42,16 @@ def bucket_count(elements: float) -> int:
     return max(BUCKETS, int(elements // BUCKET_ELEMENTS) + 1)
 
 
-def row_ids(docs: DataFrame, key: str = "doc_id", ordered: bool = False) -> DataFrame:
+def has_own_ids(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether the key is a unique whole number and never null."""
+    return dict(docs.dtypes)[key] in WHOLE and not docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count()
+
+
+def row_ids(docs: DataFrame, key: str = "doc_id", ordered: bool = False, own: bool | None = None) -> DataFrame:
     """docs plus `row`, a long that tells rows apart and is the same whenever docs is read: the key where it is a unique whole
-    number and never null, else a running number that is written down with the rows. ordered: it grows with the key, then the text, and
-    null keys come last."""
-    if dict(docs.dtypes)[key] not in WHOLE or docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
+    number and never null (own, asked here unless it is given), else a running number that is written down with the rows. ordered: it
+    grows with the key, then the text, and null keys come last."""
+    if not (has_own_ids(docs, key) if own is None else own):
         if ordered:
             docs = docs.orderBy(F.col(key).asc_nulls_last(), "text")
         return materialize(docs.withColumn("row", F.monotonically_increasing_id()))[0]

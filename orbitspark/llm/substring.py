@@ -80,11 +80,12 @@ def window_elements(docs: DataFrame, window: int, shift: int, buckets: int) -> D
                 parts.append((key, route, ids[a + doc[p]], p - wo[doc[p]], np.ones(len(p), np.int64)))
             yield from element_batch(parts, buckets)
 
-    return docs.where(F.col("ranges").isNotNull()).select("row", "z", "ranges").mapInArrow(tidy(run), ELEMENTS)
+    # whatever else docs holds is read too: the shuffle of the join is then the one that the texts' last reader asks for
+    return docs.where(F.col("ranges").isNotNull()).mapInArrow(tidy(run), ELEMENTS)
 
 
 def repeated_windows(docs: DataFrame, packed: DataFrame, window: int, total_bytes: int) -> DataFrame:
-    """RANGES of the starts of all windows whose word sequence also starts anywhere else. docs(row, text), packed(row, z)."""
+    """RANGES of the starts of all windows whose word sequence also starts anywhere else. docs(row, text), packed(row, z, ...)."""
     seeds = repeated(seed_elements(docs, window, bucket_count(total_bytes * SEEDS_PER_BYTE)), brief=True)
     return repeated(window_elements(with_ranges(packed, seeds), window, 0, bucket_count(total_bytes / 24)), wide=True)
 
@@ -129,8 +130,8 @@ def removed(docs: DataFrame, window: int, texts: bool, keep: list[str]) -> DataF
     """remove_repeats with the columns of keep as one struct, `kept`, so that their names are free."""
     _, total = totals(docs)
     base = row_ids(docs.select(F.struct(*keep).alias("kept"), "doc_id", "text"))
-    packed = packed_text(base, ["row", "kept"])
-    ranges = repeated_windows(base, packed.select("row", "z"), window, total)
+    packed = packed_text(base, ["row", "kept"]).where("row is not null")  # alike for both joins, which then share one shuffle
+    ranges = repeated_windows(base, packed, window, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in parts_of(whole, "z")):
