@@ -21,8 +21,8 @@ from .common import materialize, tidy
 
 #: Vectors that the codebooks are fitted on, at most, and coarse cells, at most: 8 for each square root of the rows up to there.
 SAMPLE, CELLS = 32_768, 4_096
-#: Rows that one task holds, about, and queries that meet them there.
-BLOCK_ROWS, QUERY_ROWS = 8_192, 16_384
+#: Rows of a shelf: a sixteenth of all within these bounds. Queries that meet a shelf in one task, at most.
+SHELF_ROWS, QUERY_ROWS = (2_048, 8_192), 16_384
 #: Rows that are ranked exactly for a query, beside k.
 SHORTLIST = 64
 
@@ -81,17 +81,18 @@ class Model:
         return np.argsort(-self.closeness(x), 1, kind="stable")[:, : self.probes]
 
     def shelves(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By cell its shelf, by shelf its blocks: cells that lie together share a shelf of about BLOCK_ROWS rows, and one that is
-        larger has a shelf of several blocks to itself. Both are as short as the list of cells."""
-        groups = kmeans(self.cells, max(1, min(len(self.cells), int(sizes.sum()) // BLOCK_ROWS + 1)), 4, 3)
+        """By cell its shelf, by shelf its blocks: cells that lie together share a shelf (see SHELF_ROWS), and one that is larger has a
+        shelf of several blocks to itself. Both are as short as the list of cells."""
+        room = int(np.clip(sizes.sum() // 16, *SHELF_ROWS))
+        groups = kmeans(self.cells, max(1, min(len(self.cells), int(sizes.sum()) // room + 1)), 4, 3)
         shelf, blocks, held = np.zeros(len(sizes), np.int64), [1], 0
         for c in np.argsort(_near(self.cells, groups), kind="stable").tolist():
-            if held and held + sizes[c] > BLOCK_ROWS:
+            if held and held + sizes[c] > room:
                 blocks.append(1)
                 held = 0
             shelf[c] = len(blocks) - 1
             held += int(sizes[c])
-            blocks[-1] = -(-max(1, held) // BLOCK_ROWS)
+            blocks[-1] = -(-max(1, held) // room)
         return shelf, np.array(blocks)
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:

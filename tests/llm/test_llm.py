@@ -467,7 +467,7 @@ def test_search(spark, monkeypatch):
     x[100:400] = x[7]  # a crowd of equal vectors, and one of another length
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None] + [1.0] * 15), (9004, (2 * x[7]).tolist()), (9005, [1.0])]
     df = frame(spark, rows, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "SHELF_ROWS", (100, 100))
     monkeypatch.setattr(ann, "QUERY_ROWS", 25)
     got = {}
     for r in ann.search(df, F.col("vec_id") % 50 == 0, 5).collect():
