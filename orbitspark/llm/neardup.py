@@ -28,7 +28,7 @@ from .repeats import WHOLE, packed_text, row_ids, unpack_text
 TREES, DEPTH = 20, 4
 VALUES, AGREE = TREES * DEPTH, 48
 #: Members of a small region, next neighbours taken in a larger one, and rows of a block where regions are compared whole.
-SMALL, NEXT, BLOCK = 8, 3, 512
+SMALL, NEXT, BLOCK = 8, 3, 256
 #: A shingle that at most so many members of large regions have is scarce.
 SCARCE = 16
 
