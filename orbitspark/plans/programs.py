@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import documents
-from . import identity, metrics, reports
+from . import gold, identity, metrics, reports
 from .standins import query, r9, table
 
 
@@ -346,3 +346,140 @@ def v34_number_support(spark, d):
     a = F.concat(F.lit(" "), F.col("p_retailprice").cast("string"), F.lit("a x12.0 "), size, F.lit(".5 "))
     b = F.concat(F.lit(" "), "p_name", F.lit(" 7"), (F.col("p_size") + 0.5).cast("string"), F.lit(" "))
     return table(spark, d, "part").select("p_partkey", text.page_supports_number(a, F.col("p_size")).alias("whole"), text.page_supports_number(b, F.col("p_size") + 0.5).alias("part"))
+
+
+# ------------------------------------------------------------------ gold cases
+def _gold(spark, d) -> dict[str, DataFrame]:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    k = F.col("c_custkey")
+    pick = lambda m, *options: F.element_at(F.array(*(F.lit(o) for o in options)), (k % m + 1).cast("int"))
+    day = F.date_add(F.lit(dt.date(1980, 1, 1)), (k * 37 % 12000).cast("int"))
+    satellite = c.select(k.alias("satellite_id"), F.when(k % 6 != 0, k).alias("norad_id"), F.lower("c_name").alias("canonical_name"), F.when(k % 10 != 0, "PAYLOAD").otherwise("DEBRIS").alias("object_type"), F.when(k % 11 != 0, day).alias("launch_date"))
+    owner = lambda shift: F.concat(F.lit(" N"), ((F.col("c_nationkey") + shift) % 25).cast("string"))
+    said = {
+        "satcat": {"owner": owner(0), "status": pick(3, "+", "-", "?"), "decay_date": F.date_format(day, "yyyy-MM-dd"), "object_type": F.when(k % 7 == 0, "DEB").otherwise("PAY")},
+        "gcat": {"owner": owner(F.when(k % 4 == 0, 1).otherwise(0)), "status": pick(5, "O", "R", "O", "O", "?"), "decay_date": F.when(k % 8 == 0, "?").otherwise(F.date_format(F.date_add(day, F.when(k % 9 == 0, (k % 700).cast("int")).otherwise(0)), "yyyy MMM dd")), "object_type": F.lit("P")},
+    }
+    claims = None
+    for source, attributes in said.items():
+        rows = c.where(k % 12 != 0) if source == "satcat" else c
+        for attribute, value in attributes.items():
+            new = rows.select(k.alias("satellite_id"), F.lit(source).alias("source"), F.lit(attribute).alias("attribute"), value.alias("value"), F.lit(dt.datetime(2024, 1, 2)).alias("observed_at"), F.lit(2).cast("long").alias("ingest_run_id"), k.cast("string").alias("source_key"))
+            old = new.withColumn("value", F.lit("old")).withColumn("observed_at", F.lit(dt.datetime(2024, 1, 1)))
+            claims = new.unionByName(old) if claims is None else claims.unionByName(new).unionByName(old)
+    key = F.col("n_nationkey").cast("long")
+    words = [("satcat", "+", "ACTIVE"), ("satcat", "-", "INACTIVE"), ("satcat", "?", "UNKNOWN"), ("gcat", "O", "ACTIVE"), ("gcat", "R", "DECAYED"), ("gcat", "?", "UNKNOWN")]
+    own = c.select(k.alias("satellite_id"), F.col("c_nationkey").cast("long").alias("operator_id"), F.lit("owner").alias("role"), F.when(k % 3 == 0, F.lit(dt.date(2015, 5, 5))).alias("valid_to"))
+    after = c.where(k % 3 == 0).select(k.alias("satellite_id"), (F.col("c_nationkey") % 10).cast("long").alias("operator_id"), F.lit("owner").alias("role"), F.lit(None).cast("date").alias("valid_to"))
+    return {
+        "satellite": satellite, "source_assertion": claims, "status_mapping": spark.createDataFrame(words, "source string, value string, canonical_status string"), "satellite_operator": own.unionByName(after), "size": c.select(k.alias("norad_id"), (k % 50).cast("double").alias("rcs")),
+        "satellite_identifier": c.select(k.alias("satellite_id"), F.lit("cospar").alias("id_type"), F.concat(F.lit("c"), (k % 1000).cast("string")).alias("id_value")).unionByName(c.where(k % 2 == 0).select(k.alias("satellite_id"), F.lit("jcat").alias("id_type"), F.concat(F.lit("J"), k.cast("string")).alias("id_value"))),
+        "operator": n.select(key.alias("operator_id"), F.col("n_name").alias("canonical_name"), F.when(key % 5 != 0, "commercial").otherwise("state").alias("operator_class")), "operator_alias": n.select(F.concat(F.lit("n"), key.cast("string")).alias("alias"), key.alias("operator_id")),
+        "operator_relationship": n.where("n_nationkey >= 10").select(key.alias("child_id"), (key % 10).alias("parent_id"), F.when(key % 2 == 0, "acquired_by").otherwise("subsidiary_of").alias("relationship")).unionByName(spark.createDataFrame([(7, 6, "subsidiary_of")], "child_id long, parent_id long, relationship string")),
+    }
+
+
+@query("""with s as (select c_custkey as id, case when c_custkey % 6 <> 0 then c_custkey end as norad, lower(c_name) as name, c_custkey % 10 <> 0 as payload, date '1980-01-01' + (c_custkey * 37 % 12000)::integer as day, case when c_custkey % 11 <> 0 then date '1980-01-01' + (c_custkey * 37 % 12000)::integer end as launch, c_nationkey as n1, (c_nationkey + case when c_custkey % 4 = 0 then 1 else 0 end) % 25 as n2, c_custkey % 12 <> 0 as inboth from customer),
+r as (select *, case when norad is not null then 'norad:' || norad when id % 2 = 0 then 'jcat:J' || id else 'sat:' || id end as ref from s),
+rel as (select n_nationkey as c, n_nationkey % 10 as p from nation where n_nationkey >= 10 union all select 7, 6),
+pairs as (select a.id as pid, b.id as cid, round(1 - levenshtein(replace(a.name, '#', ' '), replace(b.name, '#', ' ')) / greatest(length(a.name), length(b.name)), 4) as sim from s a join s b on abs(a.launch - b.launch) <= 30 where a.norad is null and b.norad is not null),
+best as (select * from (select *, row_number() over (partition by pid order by sim desc, cid) as rn from pairs where sim >= 0.75) where rn = 1 order by sim desc, pid limit 30)
+select 'ambiguous_cospar' as case_type, null::bigint as satellite_id, 'cospar:c' || c_custkey % 1000 as subject_ref from customer group by c_custkey % 1000 having count(*) > 1
+union all select 'rideshare_orphan', id, ref from r where norad is null and payload and not inboth
+union all select 'missed_join_candidate', pid, ref from best join r on r.id = pid
+union all select * from (select 'owner_dispute', id, ref from r where inboth and n1 <> n2 and n1 % 5 <> 0 and n2 % 5 <> 0 and not exists (select 1 from rel where (c = n1 and p = n2) or (c = n2 and p = n1)) order by case when norad is not null then id % 50 end desc nulls last, norad nulls last, id limit 30)
+union all select 'status_conflict', id, ref from r where inboth and id % 3 <> 2 and id % 5 <> 4 and (case id % 3 when 0 then 'ACTIVE' else 'INACTIVE' end) <> (case id % 5 when 1 then 'DECAYED' else 'ACTIVE' end)
+union all select * from (select 'decay_conflict', id, ref from r where inboth and id % 8 <> 0 and id % 9 = 0 and id % 700 > 0 order by id % 700 desc, id limit 20)
+union all select * from (select 'type_conflict', id, ref from (select *, coalesce(extract(year from launch) // 10 * 10, -1) as dec, row_number() over (partition by coalesce(extract(year from launch) // 10 * 10, -1) order by norad nulls last, id) as rn from r where inboth and id % 7 = 0) order by rn, dec limit 25)
+union all select * from (select 'stale_owner', id, ref from (select *, row_number() over (partition by n1 order by norad nulls last, id) as rn from r where id % 3 = 0 and n1 >= 10 and n1 % 2 = 0) order by rn, n1 limit 15)""")
+def v35_gold_cases(spark, d):
+    """Hard cases of all eight strata; names are compared by edit distance, which both engines have."""
+    edit = lambda a, b: 1 - F.levenshtein(F.col(a), F.col(b)) / F.greatest(F.length(a), F.length(b))
+    return gold.gold_cases(_gold(spark, d), name_similarity=edit).select("case_type", "satellite_id", "subject_ref")
+
+
+# ------------------------------------------------------------------ behaviour report
+def _behaviour(spark, d) -> dict[str, DataFrame]:
+    """The graph with elements at heights that the report asks about: customers' orders as days of descent."""
+    t = _graph(spark, d)
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    k, p = F.col("c_custkey"), F.col("o_totalprice")
+    sat = c.select(k.alias("satellite_id"), k.alias("norad_id"), F.when(k % 10 != 0, "PAYLOAD").otherwise("DEBRIS").alias("object_type"), F.when(k % 2 == 0, F.date_add(F.lit(dt.date(2001, 1, 1)), (k % 900).cast("int"))).alias("decay_date"))
+    days = o.groupBy(F.col("o_custkey").alias("norad_id"), F.to_date("o_orderdate").alias("day")).agg((F.min(p) / 400).alias("perigee_min"), (F.max(p) / 400 + 20).alias("apogee_max"))
+    return t | {"satellite": sat, "daily": days, "latest": c.select(k.alias("norad_id"), (F.lit(35_000.0) + (k * 7 % 1500)).alias("perigee_km"), (F.lit(35_400.0) + (k * 11 % 1500)).alias("apogee_km"))}
+
+
+_BEHAVIOUR = """with stat as (select o_custkey as id, case when o_orderstatus = 'F' then 'DECAYED' when o_orderpriority like '1%' then 'UNKNOWN' when o_orderstatus = 'O' then 'ACTIVE' else 'INACTIVE' end as s, o_orderdate as t from orders union all select c_custkey, 'INACTIVE', timestamp '2002-01-01' from customer where c_custkey % 4 = 0),
+ls as (select id, s from (select *, row_number() over (partition by id order by t desc, s) as rn from stat) where rn = 1),
+own as (select c_custkey as id, n_name as operator from customer join nation on n_nationkey = c_nationkey where c_custkey % 7 <> 0 and c_custkey % 5 <> 0),
+pay as (select c_custkey as id, case when c_custkey % 2 = 0 then date '2001-01-01' + (c_custkey % 900)::integer end as decay, 35000.0::double + c_custkey * 7 % 1500 as perigee, 35400.0::double + c_custkey * 11 % 1500 as apogee, operator, s from customer join ls on id = c_custkey join own using (id) where c_custkey % 10 <> 0),
+days as (select o_custkey as id, cast(o_orderdate as date) as d, min(o_totalprice) / 400 as lo, (min(o_totalprice) / 400 + max(o_totalprice) / 400 + 20) / 2 as alt from orders group by 1, 2),
+gone as (select days.*, operator, decay from days join pay using (id) where s = 'DECAYED' and decay between date '2001-02-01' and date '2003-01-01'),
+shell as (select id, quantile_cont(alt, 0.9) as shell, arg_max(lo, d) as last_perigee from gone group by 1),
+per as (select id, operator, shell, last_perigee, decay - max(d) as descent from gone join shell using (id) where alt >= shell - 30 group by id, operator, shell, last_perigee, decay) """
+
+
+@query(_BEHAVIOUR + "select operator, count(*)::bigint as reentries, round(quantile_cont(last_perigee, 0.5), 1) as median_final_perigee_km, round(quantile_cont(shell, 0.5)) as median_op_shell_km, round(quantile_cont(descent, 0.5))::double as median_descent_days from per group by 1")
+def v38_reentry_descent(spark, d):
+    """How fast each operator's objects came down from their shell."""
+    return reports.reentry_descent(_behaviour(spark, d), dt.date(2001, 2, 1), dt.date(2003, 1, 1))
+
+
+@query(_BEHAVIOUR + """, g as (select *, (perigee + apogee) / 2 as alt from pay where s = 'INACTIVE' and (perigee + apogee) / 2 between 34000 and 38000 and apogee > 34500)
+select operator, count(*)::bigint as inactive_geo, count(*) filter (where perigee >= 36021)::bigint as graveyard_compliant, count(*) filter (where perigee < 36021 and alt between 35586 and 35986)::bigint as abandoned_in_belt, round(quantile_cont(perigee - 35786, 0.5)) as median_perigee_above_geo_km from g group by 1 having count(*) >= 3""")
+def v38_geo_end_of_life(spark, d):
+    """What became of the inactive objects near the belt."""
+    return reports.geo_end_of_life(_behaviour(spark, d))
+
+
+@query(_BEHAVIOUR + """, i as (select operator, count(*) as n, count(*) filter (where apogee < 36500 and perigee > 35500) as l, round(avg((perigee + apogee) / 2) filter (where apogee < 36500 and perigee > 35500), 1) as a from pay where s = 'INACTIVE' group by 1),
+r as (select operator, count(*)::bigint as n, round(quantile_cont(last_perigee, 0.5), 1) as p, round(quantile_cont(shell, 0.5)) as sh, round(quantile_cont(descent, 0.5))::double as de from per group by 1)
+select n_name as operator, coalesce(i.n, 0)::bigint as inactive_payloads, coalesce(l, 0)::bigint as lingering, a as lingering_avg_alt_km, coalesce(r.n, 0)::bigint as reentries, p as median_final_perigee_km, sh as median_op_shell_km, de as median_descent_days from nation left join i on i.operator = n_name left join r on r.operator = n_name where n_nationkey < 12""")
+def v38_disposal_board(spark, d):
+    """What each operator leaves up and brings down."""
+    names = [r["n_name"] for r in table(spark, d, "nation").where("n_nationkey < 12").collect()]
+    return reports.disposal_board(_behaviour(spark, d), names, dt.date(2001, 2, 1), dt.date(2003, 1, 1), 35_500.0, 36_500.0)
+
+
+@query(_GRAPH + """, said as (select c_custkey as id, 'n' || c_nationkey as v from customer where c_custkey % 12 <> 0)
+select p.n_name as acquirer, c.n_name as catalog_still_names, date '2000-01-01' + c.n_nationkey as acquired_on, count(*)::bigint as attributed_objects, count(*) filter (where coalesce(s, '') <> 'DECAYED')::bigint as on_orbit
+from said join nation c on 'n' || c.n_nationkey = v join nation p on p.n_nationkey = c.n_nationkey % 10 left join ls using (id) where c.n_nationkey >= 10 and c.n_nationkey % 2 = 0 group by 1, 2, 3""")
+def v38_accountability(spark, d):
+    """Objects that a catalogue still gives to operators that were bought."""
+    t, g = _graph(spark, d), _gold(spark, d)
+    deals = g["operator_relationship"].withColumn("valid_from", F.date_add(F.lit(dt.date(2000, 1, 1)), F.col("child_id").cast("int"))).withColumn("valid_to", _none())
+    claims = g["source_assertion"].withColumn("value", F.trim("value"))
+    return reports.stale_attributions(t | {"source_assertion": claims, "operator": g["operator"], "operator_alias": g["operator_alias"], "operator_relationship": deals}, "satcat", dt.date(2001, 1, 1))
+
+
+@query("""with ids as (select case when c_custkey % 3 = 0 then 'norad' else 'cospar' end as t, c_custkey % 8 = 0 as closed from customer)
+select 'identifiers' as figure, t as key, count(*)::bigint as n from ids group by 1, 2 union all select 'closed', t, count(*) from ids where closed group by 1, 2 union all select 'links', 'r' || o_custkey % 3, count(*) from orders group by 1, 2 union all select 'events', o_orderpriority, count(*) from orders group by 1, 2
+union all select 'unmatched', s_nationkey::varchar, count(distinct s_name) from supplier where s_suppkey % 2 = 0 group by 1, 2 union all select 'entities', 'provisional', count(*) from customer where c_custkey % 6 = 0""")
+def v37_identity_figures(spark, d):
+    """The quality report's counts of identifiers, links, events and what is unmatched."""
+    c, o, s = (table(spark, d, x) for x in ("customer", "orders", "supplier"))
+    k = F.col("c_custkey")
+    return reports.identity_figures({
+        "satellite_identifier": c.select(F.when(k % 3 == 0, "norad").otherwise("cospar").alias("id_type"), F.when(k % 8 == 0, F.lit(dt.date(2020, 1, 1))).alias("valid_to")), "merge_log": o.select(F.concat(F.lit("r"), (F.col("o_custkey") % 3).cast("string")).alias("rule")),
+        "identity_event": o.select(F.col("o_orderpriority").alias("event")), "satellite": c.select(F.when(k % 6 == 0, "provisional").otherwise("anchored").alias("anchor_state")),
+        "source_assertion": s.select(F.when(F.col("s_suppkey") % 2 != 0, F.col("s_suppkey")).alias("satellite_id"), F.col("s_nationkey").alias("source"), F.col("s_name").alias("source_key")),
+    })
+
+
+@query("""with st as (select o_custkey as id, case o_orderstatus when 'F' then 'DECAYED' when 'O' then 'ACTIVE' else 'INACTIVE' end as s, o_orderdate as t from orders), ls as (select id, s from (select *, row_number() over (partition by id order by t desc, s) as rn from st) where rn = 1),
+b as (select user_id, count(*)::bigint as gp_days, max(value) as top from events group by 1)
+select c_custkey as satellite_id, norad_id, c_name as canonical_name, coalesce(s, 'UNKNOWN') as canonical_status, 'b' || c_custkey % 9 as bus_slug, 'm' || c_nationkey as manufacturer_slug, 'r' || c_custkey % 3 as join_rule, gp_days, top,
+ case when s = 'DECAYED' and decay >= launch then (decay - launch)::integer end as lifetime_days, c_custkey % 31 = 0 or coalesce(norad_id in (select c_custkey from customer where c_custkey % 17 = 0), false) as key_churn_observed
+from (select *, case when c_custkey % 6 <> 0 then c_custkey end as norad_id, date '2000-01-01' + (c_custkey * 7 % 600)::integer as launch, case when c_custkey % 3 = 0 then date '2001-01-01' + (c_custkey % 500)::integer end as decay from customer where c_custkey % 4 <> 1) left join ls on id = c_custkey left join b on user_id = norad_id""")
+def v13_entity_view(spark, d):
+    """The per-entity product view as a program of the library."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    k = F.col("c_custkey")
+    tag = lambda a, v: F.concat(F.lit(a), v.cast("string"))
+    return reports.entity_products({
+        "satellite": c.select(k.alias("satellite_id"), F.when(k % 6 != 0, k).alias("norad_id"), F.col("c_name").alias("canonical_name"), F.date_add(F.lit(dt.date(2000, 1, 1)), (k * 7 % 600).cast("int")).alias("launch_date"), F.when(k % 3 == 0, F.date_add(F.lit(dt.date(2001, 1, 1)), (k % 500).cast("int"))).alias("decay_date")),
+        "satellite_bus": c.where(k % 4 != 1).select(k.alias("satellite_id"), tag("b", k % 9).alias("bus_slug"), tag("m", F.col("c_nationkey")).alias("manufacturer_slug"), tag("r", k % 3).alias("join_rule")),
+        "status": o.select(F.col("o_custkey").alias("satellite_id"), F.when(F.col("o_orderstatus") == "F", "DECAYED").when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("INACTIVE").alias("canonical_status"), F.col("o_orderdate").alias("observed_at")),
+        "behaviour": table(spark, d, "events").groupBy(F.col("user_id").alias("norad_id")).agg(F.count(F.lit(1)).alias("gp_days"), F.max("value").alias("top")),
+        "churn": c.where((k % 31 == 0) | (k % 17 == 0)).select(F.when(k % 31 == 0, k).alias("satellite_id"), F.when(k % 17 == 0, k).alias("norad_id")),
+    })

@@ -71,6 +71,22 @@ def departures(series: DataFrame, key: str, day: str, value: str, base: int = 12
     return r.join(b, key).withColumn("_low", low).where((F.col("_r") > base) & (F.col("_low") >= least) & (F.col(value) < F.col("limit"))).groupBy(key).agg(F.min(day).alias("departed"))
 
 
+# ------------------------------------------------------------------ entities
+def entity_products(t: dict[str, DataFrame]) -> DataFrame:
+    """One row per entity that a product row names: what it is, its newest status, product and maker, how it was joined, its measures,
+    the days it lived if it has decayed, and whether its key was ever reassigned (churn names the key or the entity).
+
+    t: satellite, satellite_bus, status, behaviour (norad_id and measures) and churn (satellite_id, norad_id).
+    """
+    churned = t["churn"].select(F.explode(F.array(F.struct(F.lit("s").alias("k"), F.col("satellite_id").alias("v")), F.struct(F.lit("n").alias("k"), F.col("norad_id").alias("v")))).alias("x")).select("x.*").where("v is not null").distinct().withColumn("hit", F.lit(True))
+    hit = lambda kind, key, out: churned.where(F.col("k") == kind).select(F.col("v").alias(key), F.col("hit").alias(out))
+    j = t["satellite_bus"].join(t["satellite"], "satellite_id").join(newest_status(t["status"]), "satellite_id", "left").join(t["behaviour"], "norad_id", "left")
+    j = j.join(hit("s", "satellite_id", "_hs"), "satellite_id", "left").join(hit("n", "norad_id", "_hn"), "norad_id", "left")
+    status = F.coalesce("canonical_status", F.lit("UNKNOWN"))
+    measures = [c for c in t["behaviour"].columns if c != "norad_id"]
+    return j.select("satellite_id", "norad_id", "canonical_name", status.alias("canonical_status"), "bus_slug", "manufacturer_slug", "join_rule", *measures, dates.lifetime_days(status, F.col("launch_date"), F.col("decay_date")).alias("lifetime_days"), F.coalesce("_hs", "_hn", F.lit(False)).alias("key_churn_observed"))
+
+
 # ------------------------------------------------------------------ overview and audit
 def newest_status(status: DataFrame) -> DataFrame:
     return relational.latest_per_key(status, ["satellite_id"], [F.col("observed_at").desc(), F.col("canonical_status").asc()]).select("satellite_id", "canonical_status")
@@ -170,6 +186,75 @@ def evidence(satellites: DataFrame, identifiers: DataFrame, claims: DataFrame, o
     return out
 
 
+#: The belt: its altitude, the band around it that counts as near, the least boost out of it, half the protected band. Fixed values.
+GEO_KM, GEO_BAND, GRAVEYARD_KM, PROTECTED_KM = 35786.0, (34_000.0, 38_000.0), 235.0, 200.0
+
+
+def _owned_now(t: dict[str, DataFrame], status: str) -> DataFrame:
+    """Payloads with that newest status and their owner now: the satellite's columns and operator."""
+    now = newest_status(t["status"]).where(F.col("canonical_status") == status).select("satellite_id")
+    own = t["satellite_operator"].where("role = 'owner' and valid_to is null").select("satellite_id", "operator_id")
+    who = t["operator"].select("operator_id", F.col("canonical_name").alias("operator"))
+    return t["satellite"].where("object_type = 'PAYLOAD'").join(now, "satellite_id", "left_semi").join(own, "satellite_id").join(who, "operator_id")
+
+
+def reentry_descent(t: dict[str, DataFrame], start: dt.date, end: dt.date, near: float = 30.0) -> DataFrame:
+    """By operator, of what came down between the days: how many, medians of the last perigee, of the shell (the ninth decile of the
+    daily mean altitudes) and of the days from the last one near the shell to the end."""
+    gone = _owned_now(t, "DECAYED").where(F.col("decay_date").between(start, end)).select("norad_id", "operator", "decay_date")
+    days = t["daily"].join(gone, "norad_id").select("norad_id", "operator", "decay_date", "day", "perigee_min", ((F.col("perigee_min") + F.col("apogee_max")) / 2).alias("alt"))
+    shell = days.groupBy("norad_id").agg(F.percentile("alt", 0.9).alias("shell"), F.max_by("perigee_min", "day").alias("last_perigee"))
+    per = days.join(shell, "norad_id").where(F.col("alt") >= F.col("shell") - near).groupBy("norad_id", "operator", "decay_date", "shell", "last_perigee").agg(F.max("day").alias("left"))
+    per = per.withColumn("descent", F.datediff("decay_date", "left"))
+    mid = lambda c: F.percentile(c, 0.5)
+    return per.groupBy("operator").agg(F.count(F.lit(1)).alias("reentries"), F.round(mid("last_perigee"), 1).alias("median_final_perigee_km"), F.round(mid("shell")).alias("median_op_shell_km"), F.round(mid("descent")).alias("median_descent_days"))
+
+
+def disposal_board(t: dict[str, DataFrame], names: list[str], start: dt.date, end: dt.date, above: float = 500.0, below: float = 2000.0) -> DataFrame:
+    """A row per named operator: inactive payloads, those of them that stand high and stay, and what came down (see reentry_descent);
+    the most lingering first."""
+    now = t["latest"].select("norad_id", "perigee_km", "apogee_km", ((F.col("perigee_km") + F.col("apogee_km")) / 2).alias("alt"))
+    stays = F.coalesce((F.col("apogee_km") < below) & (F.col("perigee_km") > above), F.lit(False))
+    idle = _owned_now(t, "INACTIVE").join(now, "norad_id", "left").groupBy("operator").agg(F.count(F.lit(1)).alias("inactive_payloads"), F.count_if(stays).alias("lingering"), F.round(F.avg(F.when(stays, F.col("alt"))), 1).alias("lingering_avg_alt_km"))
+    out = t["operator"].where(F.col("canonical_name").isin(*names)).select(F.col("canonical_name").alias("operator")).join(idle, "operator", "left").join(reentry_descent(t, start, end), "operator", "left")
+    return out.na.fill(0, ["inactive_payloads", "lingering", "reentries"]).orderBy(F.desc("lingering"), F.desc("reentries"), "operator")
+
+
+def geo_end_of_life(t: dict[str, DataFrame], apogee_above: float = 34_500.0, least: int = 3) -> DataFrame:
+    """By operator, of the inactive payloads near the belt: how many, how many were boosted out of it, how many lie in the protected
+    band, and the median perigee above it."""
+    now = t["latest"].select("norad_id", "perigee_km", "apogee_km", ((F.col("perigee_km") + F.col("apogee_km")) / 2).alias("alt"))
+    near = _owned_now(t, "INACTIVE").join(now, "norad_id").where(F.col("alt").between(*GEO_BAND) & (F.col("apogee_km") > apogee_above))
+    out_of = F.col("perigee_km") >= GEO_KM + GRAVEYARD_KM
+    left = ~out_of & F.col("alt").between(GEO_KM - PROTECTED_KM, GEO_KM + PROTECTED_KM)
+    board = near.groupBy("operator").agg(F.count(F.lit(1)).alias("inactive_geo"), F.count_if(out_of).alias("graveyard_compliant"), F.count_if(left).alias("abandoned_in_belt"), F.round(F.percentile(F.col("perigee_km") - GEO_KM, 0.5)).alias("median_perigee_above_geo_km"))
+    return board.where(F.col("inactive_geo") >= least).orderBy(F.desc("inactive_geo"), "operator")
+
+
+def stale_attributions(t: dict[str, DataFrame], source: str, as_of: dt.date) -> DataFrame:
+    """Objects that a source still gives to an operator that had been bought by as_of, by deal."""
+    said = relational.latest_per_key(t["source_assertion"].where((F.col("attribute") == "owner") & (F.col("source") == source) & F.col("satellite_id").isNotNull()), ["satellite_id"], [F.col("observed_at").desc_nulls_last(), F.col("value").asc()])
+    alias = t["operator_alias"].select(F.lower("alias").alias("_k"), F.col("operator_id").alias("child_id")).distinct()
+    deals = t["operator_relationship"].where("relationship in ('acquired_by', 'merged_into')").where(relational.valid_on(F.lit(as_of))).select("child_id", "parent_id", F.col("valid_from").alias("acquired_on"))
+    name = lambda key, out: t["operator"].select(F.col("operator_id").alias(key), F.col("canonical_name").alias(out))
+    rows = said.join(alias, F.lower("value") == F.col("_k")).join(deals, "child_id").join(name("child_id", "catalog_still_names"), "child_id").join(name("parent_id", "acquirer"), "parent_id").join(newest_status(t["status"]), "satellite_id", "left")
+    flying = F.count_if(F.coalesce(F.col("canonical_status") != "DECAYED", F.lit(True)))
+    return rows.groupBy("acquirer", "catalog_still_names", "acquired_on").agg(F.count(F.lit(1)).alias("attributed_objects"), flying.alias("on_orbit"))
+
+
+def identity_figures(t: dict[str, DataFrame]) -> DataFrame:
+    """(figure, key, n): identifiers by type, links by rule, unmatched objects by source, events by kind, provisional entities, and
+    closed identifiers."""
+    n = F.count(F.lit(1))
+    by = lambda df, figure, key, count=n: df.groupBy(F.col(key).cast("string").alias("key")).agg(count.alias("n")).select(F.lit(figure).alias("figure"), "key", "n")
+    parts = [
+        by(t["satellite_identifier"], "identifiers", "id_type"), by(t["merge_log"], "links", "rule"), by(t["identity_event"], "events", "event"),
+        by(t["source_assertion"].where("satellite_id is null"), "unmatched", "source", F.count_distinct("source_key")),
+        by(t["satellite"].where("anchor_state = 'provisional'"), "entities", "anchor_state"), by(t["satellite_identifier"].where("valid_to is not null"), "closed", "id_type"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ------------------------------------------------------------------ filings
 def pending_filings(filings: DataFrame, stations: DataFrame, addresses: DataFrame, runs: DataFrame) -> DataFrame:
     """Satellite filings of the newest finished run on which nothing is decided yet, with the names of their stations and applicant.
