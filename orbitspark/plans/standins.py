@@ -728,7 +728,7 @@ def _elements(spark, d) -> DataFrame:
     """Element sets made from the newest event of each user."""
     e = metrics.latest_elements(table(spark, d, "events"), "user_id", "ts", "event_id")
     k = F.col("user_id")
-    return e.select(k.alias("norad_id"), F.lit(dt.datetime(2024, 1, 30)).alias("epoch"), (F.lit(15.0) + (k % 10) / 20).alias("mean_motion"), ((k % 7) / 1000.0).alias("eccentricity"), (F.lit(40.0) + k % 60).cast("double").alias("inclination"), (k * 37 % 360).cast("double").alias("ra_of_asc_node"), (k * 11 % 360).cast("double").alias("arg_of_pericenter"), (k * 73 % 360).cast("double").alias("mean_anomaly"))
+    return e.select(k.alias("norad_id"), F.lit(dt.datetime(2024, 1, 30)).alias("epoch"), (F.lit(15.0) + (k % 10) / 20).alias("mean_motion"), ((k % 7) / 1000.0).alias("eccentricity"), (F.lit(40.0) + k % 60).cast("double").alias("inclination"), (k * 37 % 360).cast("double").alias("ra_of_asc_node"), (k * 11 % 360).cast("double").alias("arg_of_pericenter"), (k * 73 % 360).cast("double").alias("mean_anomaly"), (k % 5 / 100000).cast("double").alias("bstar"))
 
 
 @query(None)

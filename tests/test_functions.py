@@ -72,6 +72,21 @@ def test_support_and_similarity(spark):
     assert spark.range(1).select(text.similarity(F.lit(a), F.lit(b))).first()[0] == difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def test_near_earth_model():
+    """The report's own test case, whose figures are of single precision."""
+    import numpy as np
+    import pandas as pd
+
+    from orbitspark.functions import propagate as g
+
+    e = pd.DataFrame({"norad_id": [88888], "mean_motion": [16.05824518], "eccentricity": [0.0086731], "inclination": [72.8435], "ra_of_asc_node": [115.9689], "arg_of_pericenter": [52.6988], "mean_anomaly": [110.5714], "bstar": [0.66816e-4]})
+    want = [[2328.97048951, -5995.22076416, 1719.97067261], [2456.10705566, -6071.93853760, 1222.89727783], [2567.56195068, -6112.50384522, 713.96397400], [2663.09078980, -6115.48229980, 196.39640427], [2742.55133057, -6079.67144775, -326.38095856]]
+    assert np.abs(g.positions(e, np.array([[0.0, 360, 720, 1080, 1440]]))[0] - want).max() < 0.02
+    many = pd.concat([e] * 3, ignore_index=True).assign(eccentricity=[0.0086731, 0.0, 0.7], mean_motion=[16.05824518, 15.0, 2.0], bstar=[0.66816e-4, None, 1e-4])
+    got = g.positions(many, np.array([[0.0, 1440]] * 3))
+    assert np.isfinite(got).all() and np.allclose(got[0, 0], want[0], atol=0.02) and abs(np.linalg.norm(got[1, 0]) - 6945) < 20
+
+
 def test_sky(spark):
     """An object on the equator's geostationary ring stands still, due south of a northern observer on its meridian."""
     import numpy as np
@@ -88,3 +103,5 @@ def test_sky(spark):
     df = spark.createDataFrame(e)
     assert g.visible_now(df, dt.datetime(2024, 3, 20), 45.0, 0.0).count() == 1
     assert g.passes(df, dt.datetime(2024, 3, 20), 1, 45.0, 0.0).first()["duration_s"] == 3600.0
+    with pytest.raises(ValueError):
+        g.passes(df, dt.datetime(2024, 3, 20), 73, 45.0, 0.0)
