@@ -6,15 +6,21 @@ together by many queries is kept for `ttl` seconds.
 
 from __future__ import annotations
 
+import datetime as dt
+import inspect
 import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import orbit
-from ..operators import relational
-from . import metrics
+from ..functions import orbit, propagate
+from ..operators import mutations, relational
+from ..sources import ledger
+from . import metrics, reports
+
+#: What a person may say of a case. Fixed values.
+VERDICTS = ("correct", "incorrect", "partial", "unresolvable")
 
 
 def clamp(value: int | None, low: int, high: int, default: int) -> int:
@@ -40,6 +46,10 @@ class Engine:
         self.tables = tables
         self.kept = {"latest": Kept(lambda: metrics.latest_elements(tables["elements"], "norad_id", "epoch", "source"), ttl)}
 
+    def tools(self) -> dict[str, dict[str, str]]:
+        """Every query with its parameters and their defaults, for callers that choose by name."""
+        return {n: {p.name: "required" if p.default is p.empty else repr(p.default) for p in inspect.signature(getattr(self, f"q_{n}")).parameters.values()} for n in self.names()}
+
     def names(self) -> list[str]:
         return sorted(n[2:] for n in dir(self) if n.startswith("q_"))
 
@@ -123,7 +133,50 @@ class Engine:
         hit = self.tables["slug_alias"].where((F.col("kind") == kind) & (F.col("old_slug") == slug)).select("new_slug").limit(1).collect()
         return hit[0][0] if hit else None
 
+    def q_product(self, slug: str, kind: str = "bus", state: str = "all") -> DataFrame:
+        """The leaderboard row of a slug; one that was renamed is followed."""
+        live = self.resolve_slug(kind, slug)
+        return self._board(state == "anchored").where(F.col("slug") == F.lit(live))
+
+    def q_history(self, slug: str, kind: str = "bus") -> DataFrame:
+        """What was frozen of a slug, month by month."""
+        live = self.resolve_slug(kind, slug)
+        return self.tables["bus_snapshot"].where((F.col("kind") == kind) & F.col("slug").isin(*{slug, live or slug})).select("month", "slug", "payload").orderBy("month", "slug")
+
+    # -------------------------------------------------------------- totals, audit, environment
+    def q_overview(self, as_of: dt.date) -> DataFrame:
+        return reports.overview(self.tables, as_of)
+
+    def q_activity(self, now: dt.datetime) -> DataFrame:
+        return ledger.recent_activity(self.tables["ingest_run"], now)
+
+    def q_milestone(self, operator: str, low: float, high: float, as_of: dt.date) -> DataFrame:
+        return reports.shell_milestone(self.tables | {"latest": self.kept["latest"].get()}, operator, low, high, as_of)
+
+    def q_lingering(self, names: list[str]) -> DataFrame:
+        return reports.lingering_board(self.tables | {"latest": self.kept["latest"].get()}, names)
+
+    def q_decaying(self) -> DataFrame:
+        return reports.active_but_decaying(self.tables["daily"], self.tables["satellite"], self.tables["status"], "sma_avg").agg(F.count(F.lit(1)).alias("n"))
+
+    def q_environment(self, as_of: dt.date, past: int = 90, ahead: int = 0) -> DataFrame:
+        return metrics.drag_selection(self.tables["environment"], F.lit(as_of), past, ahead)["days"]
+
+    def q_visible(self, now: dt.datetime, lat: float, lon: float, min_elevation: float = 10.0) -> DataFrame:
+        """What stands above the horizon of a place now, the highest first."""
+        if not (-90 <= lat <= 90 and -180 <= lon <= 180):
+            raise ValueError("no such place")
+        return propagate.visible_now(self.kept["latest"].get(), now, lat, lon, min_elevation=min_elevation).orderBy(F.desc("elevation"), "norad_id")
+
     # -------------------------------------------------------------- filings, review
+    def q_filing(self, file_number: str) -> DataFrame:
+        """The planes of a filing's specification, those that were checked first."""
+        return self.tables["plane"].where(F.col("file_number") == file_number).orderBy(F.desc("is_validated"), "plane_idx")
+
+    def q_docket(self, callsign: str) -> DataFrame:
+        """All filings under a call sign, the oldest first."""
+        return self.tables["filing"].where(F.upper("callsign") == callsign.upper()).orderBy(F.col("date_filed").asc_nulls_last(), "filing_key")
+
     def q_pending(self, q: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         from ..functions.names import like_literal
 
@@ -139,10 +192,26 @@ class Engine:
         n = clamp(limit, 1, 100, 1)
         return relational.after(cases, ["case_type", "subject_ref"], after, n) if after else cases.orderBy("case_type", "subject_ref").limit(n)
 
+    def record_verdict(self, case_type: str, subject_ref: str, verdict: str, at: dt.datetime) -> DataFrame:
+        """The cases with a person's verdict on one of them; the caller writes them. Of a case only verdict and time change."""
+        if verdict not in VERDICTS:
+            raise ValueError(f"{verdict!r} is not one of {VERDICTS}")
+        cases = self.tables["gold_case"]
+        mine = (F.col("case_type") == case_type) & (F.col("subject_ref") == subject_ref)
+        if not cases.where(mine).limit(1).count():
+            raise ValueError(f"no case {case_type} {subject_ref}")
+        kinds = dict(cases.dtypes)
+        new = cases.where(mine).withColumn("verdict", F.lit(verdict))
+        if "labelled_at" in kinds:
+            new = new.withColumn("labelled_at", F.lit(at).cast(kinds["labelled_at"]))
+        keep = {c: "new" if c in ("verdict", "labelled_at") else "old" for c in cases.columns}
+        self.tables["gold_case"] = mutations.upsert(cases, new, ["case_type", "subject_ref"], keep)
+        return self.tables["gold_case"]
+
     def q_verdicts(self) -> DataFrame:
         """Accuracy by case type, partly right answers counting half, and over all."""
         c = self.tables["gold_case"].where("verdict is not null")
-        gradable = F.count_if(F.col("verdict").isin("correct", "partial", "wrong"))
+        gradable = F.count_if(F.col("verdict").isin("correct", "partial", "incorrect"))
         cols = [F.count(F.lit(1)).alias("labelled"), gradable.alias("gradable"), ((F.count_if(F.col("verdict") == "correct") + 0.5 * F.count_if(F.col("verdict") == "partial")) / F.nullif(gradable, F.lit(0))).alias("accuracy")]
         return c.groupBy("case_type").agg(*cols).unionByName(c.agg(F.lit("all").alias("case_type"), *cols))
 

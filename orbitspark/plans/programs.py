@@ -483,3 +483,71 @@ def v13_entity_view(spark, d):
         "behaviour": table(spark, d, "events").groupBy(F.col("user_id").alias("norad_id")).agg(F.count(F.lit(1)).alias("gp_days"), F.max("value").alias("top")),
         "churn": c.where((k % 31 == 0) | (k % 17 == 0)).select(F.when(k % 31 == 0, k).alias("satellite_id"), F.when(k % 17 == 0, k).alias("norad_id")),
     })
+
+
+# ------------------------------------------------------------------ the query layer
+def _engine(spark, d):
+    from .api import Engine
+
+    t = _graph(spark, d)
+    ids = t["satellite"].withColumn("canonical_name", F.concat(F.lit("SAT "), F.col("satellite_id").cast("string"))).withColumn("cospar", F.lit(None).cast("string"))
+    elements = table(spark, d, "events").select(F.col("user_id").alias("norad_id"), F.col("ts").alias("epoch"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("source"), (F.col("value") * 10).alias("perigee_km"), (F.col("value") * 10 + 10).alias("apogee_km"), (F.col("value") % 90).alias("inclination"))
+    status = t["status"].withColumn("source", F.lit("s"))
+    return Engine(t | {"satellite": ids, "elements": elements, "status": status, "daily": t["daily"].withColumn("sma_avg", F.col("value_avg"))})
+
+
+_NEWEST = """, el as (select user_id as norad, value * 10 as pe, value * 10 + 10 as ap, value % 90 as inc from (select *, row_number() over (partition by user_id order by ts desc, lpad(event_id::varchar, 12, '0')) as rn from events) where rn = 1) """
+
+
+@query(_GRAPH + _NEWEST + "select satellite_id, norad_id, canonical_status, operator_id, perigee_km, regime from (select id as satellite_id, norad as norad_id, s as canonical_status, case when vt is null then op end::bigint as operator_id, pe as perigee_km, case when pe is null or ap is null then 'UNKNOWN' when ap < 2000 then 'LEO' when pe < 2000 then 'HEO' else 'MEO' end as regime from sat left join ls using (id) left join own using (id) left join el using (norad)) where satellite_id = 37")
+def v41_card(spark, d):
+    """One entity with its newest status, owner and elements."""
+    return _engine(spark, d).query("detail", satellite_id=37).select("satellite_id", "norad_id", "canonical_status", "operator_id", "perigee_km", "regime")
+
+
+@query(_GRAPH + _NEWEST + "select cast(floor((pe + ap) / 2 / 50) * 50 as integer) as x_bin, cast(floor(inc / 5) * 5 as integer) as y_bin, count(*)::bigint as object_count from el where (pe + ap) / 2 < 700 group by 1, 2")
+def v7_congestion(spark, d):
+    """Objects by height and inclination, from the newest elements."""
+    return _engine(spark, d).query("congestion", max_km=700.0)
+
+
+@query("""select bucket::bigint as bucket, list_sort(list(d))[len(list(d)) // 2 + 1] as "day", round(avg(v), 9) as sma_avg from (select *, ((r + 1) * least(n, 7) - 1) // n as bucket from (select cast(ts as date) as d, avg(value) as v, row_number() over (order by cast(ts as date)) - 1 as r, count(*) over () as n from events where user_id = 5 group by 1)) group by 1""")
+def v41_track(spark, d):
+    """An object's series in a few points."""
+    e = _engine(spark, d)
+    e.tables["daily"] = e.tables["daily"].withColumn("elset_count", F.lit(1))
+    return r9(e.query("track", norad_id=5, points=7).select("bucket", "day", "sma_avg"), "sma_avg")
+
+
+@query("""with b as (select c_mktsegment as slug, count(*)::bigint as n from customer group by 1) select '2024-01' as "month", slug, n from b where slug = 'BUILDING' union all select '2024-02', slug, n + 1 from b where slug = 'BUILDING'""")
+def v43_history(spark, d):
+    """What was frozen of a product, month by month, by a name it no longer has."""
+    from ..operators import mutations
+    from .api import Engine
+
+    board = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("slug")).agg(F.count(F.lit(1)).alias("n"))
+    none = spark.createDataFrame([], "month string, kind string, slug string, payload string")
+    frozen = mutations.freeze_month(mutations.freeze_month(none, board, "2024-01", "bus"), board.withColumn("n", F.col("n") + 1), "2024-02", "bus")
+    alias = spark.createDataFrame([("bus", "old-building", "BUILDING")], "kind string, old_slug string, new_slug string")
+    got = Engine({"product": board, "slug_alias": alias, "bus_snapshot": frozen, "elements": board}).query("history", slug="old-building")
+    return got.select("month", "slug", F.get_json_object("payload", "$.n").cast("long").alias("n"))
+
+
+@query("select o_orderpriority as case_type, o_orderkey::varchar as subject_ref, case when o_orderkey = (select min(o_orderkey) from orders) then 'partial' when o_orderstatus = 'O' then 'correct' end as verdict from orders")
+def v45_recorded_verdict(spark, d):
+    """A verdict put on one case; all others are as they were."""
+    from .api import Engine
+
+    o = table(spark, d, "orders")
+    cases = o.select(F.col("o_orderpriority").alias("case_type"), F.col("o_orderkey").cast("string").alias("subject_ref"), F.when(F.col("o_orderstatus") == "O", "correct").alias("verdict"))
+    one = o.orderBy("o_orderkey").select("o_orderpriority", "o_orderkey").first()
+    return Engine({"gold_case": cases, "elements": cases}).record_verdict(one[0], str(one[1]), "partial", dt.datetime(2024, 1, 1))
+
+
+@query("with c as (select o_orderpriority as case_type, o_orderkey::varchar as subject_ref from orders where o_orderstatus = 'P') select * from c where (case_type, subject_ref) > ('2-HIGH', '5') order by 1, 2 limit 10")
+def v45_next_cases(spark, d):
+    """The open cases behind a given one."""
+    from .api import Engine
+
+    cases = table(spark, d, "orders").select(F.col("o_orderpriority").alias("case_type"), F.col("o_orderkey").cast("string").alias("subject_ref"), F.when(F.col("o_orderstatus") != "P", "correct").alias("verdict"), F.lit("{}").alias("evidence"))
+    return Engine({"gold_case": cases, "elements": cases}).query("review", after=("2-HIGH", "5"), limit=10).select("case_type", "subject_ref")

@@ -753,11 +753,11 @@ def v42_league(spark, d):
     return Engine({"satellite_operator": own, "status": status, "operator": ops, "elements": own}).query("operators", limit=10).select("operator_id", "canonical_name", "fleet_total", "fleet_on_orbit", "fleet_active")
 
 
-@query("select case_type, count(*)::bigint as labelled, count(*) filter (where verdict in ('correct', 'partial', 'wrong'))::bigint as gradable, round((count(*) filter (where verdict = 'correct') + 0.5 * count(*) filter (where verdict = 'partial'))::double / nullif(count(*) filter (where verdict in ('correct', 'partial', 'wrong')), 0), 9) as accuracy from (select o_orderpriority as case_type, case o_orderstatus when 'O' then 'correct' when 'F' then 'wrong' else 'partial' end as verdict from orders) group by rollup (case_type)".replace("select case_type,", "select coalesce(case_type, 'all') as case_type,"))
+@query("select case_type, count(*)::bigint as labelled, count(*) filter (where verdict in ('correct', 'partial', 'incorrect'))::bigint as gradable, round((count(*) filter (where verdict = 'correct') + 0.5 * count(*) filter (where verdict = 'partial'))::double / nullif(count(*) filter (where verdict in ('correct', 'partial', 'incorrect')), 0), 9) as accuracy from (select o_orderpriority as case_type, case o_orderstatus when 'O' then 'correct' when 'F' then 'incorrect' else 'partial' end as verdict from orders) group by rollup (case_type)".replace("select case_type,", "select coalesce(case_type, 'all') as case_type,"))
 def v45_verdicts(spark, d):
     from .api import Engine
 
-    cases = table(spark, d, "orders").select(F.col("o_orderpriority").alias("case_type"), F.when(F.col("o_orderstatus") == "O", "correct").when(F.col("o_orderstatus") == "F", "wrong").otherwise("partial").alias("verdict"))
+    cases = table(spark, d, "orders").select(F.col("o_orderpriority").alias("case_type"), F.when(F.col("o_orderstatus") == "O", "correct").when(F.col("o_orderstatus") == "F", "incorrect").otherwise("partial").alias("verdict"))
     return r9(Engine({"gold_case": cases, "elements": cases}).query("verdicts"), "accuracy")
 
 

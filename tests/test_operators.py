@@ -152,9 +152,9 @@ def test_authorisations(spark):
 def test_anchors_and_verdicts(spark):
     s = spark.createDataFrame([(1, 5, "provisional"), (2, None, "provisional")], "satellite_id long, norad_id long, anchor_state string")
     assert [r[2] for r in rows(mutations.refresh_anchors(s))] == ["anchored", "provisional"]
-    c = spark.createDataFrame([("a", "x", None), ("a", "y", "wrong")], "case_type string, subject_ref string, verdict string")
+    c = spark.createDataFrame([("a", "x", None), ("a", "y", "incorrect")], "case_type string, subject_ref string, verdict string")
     v = spark.createDataFrame([("a", "x", "correct"), ("a", "y", "correct"), ("a", "z", "correct")], "case_type string, subject_ref string, verdict string")
-    assert rows(mutations.restore_verdicts(c, v)) == [("a", "x", "correct"), ("a", "y", "wrong")]
+    assert rows(mutations.restore_verdicts(c, v)) == [("a", "x", "correct"), ("a", "y", "incorrect")]
 
 
 def test_sql_functions(spark):
