@@ -134,6 +134,14 @@ def unique_matches(left: DataFrame, right: DataFrame, key: str, right_id: str) -
     return left.join(one, key)
 
 
+def pattern_join(df: DataFrame, patterns: DataFrame, condition: Column, most: int = 10_000) -> DataFrame:
+    """df with the patterns that a condition ties to each row: no key, so the patterns go to every task. They are a curated list:
+    more than `most` raise."""
+    if patterns.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} patterns")
+    return df.join(F.broadcast(patterns), condition)  # `most` rows at most
+
+
 def by_precedence(claims: DataFrame, keys: list[str], source: str, order: list[str]) -> DataFrame:
     """One claim per key, by the order of its sources; sources not listed never win."""
     rank = F.array_position(F.array(*(F.lit(s) for s in order)), F.col(source))

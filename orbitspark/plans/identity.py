@@ -148,11 +148,8 @@ def authorisations(grants: DataFrame, entities: DataFrame, patterns: DataFrame,
     a prefix has, so entities are joined by hash whatever their number.
     """
     p = patterns.select(F.lower("grant_like").alias("gl"), F.lower("entity_prefix").alias("ep")).where("gl is not null and ep is not null").distinct()
-    listed = p.limit(most + 1).collect()
-    if len(listed) > most:
-        raise ValueError(f"more than {most} patterns")
-    lengths = sorted({len(r["ep"]) for r in listed})
-    likely = grants.join(F.broadcast(p), F.contains(F.lower("name"), F.col("gl"))).select("call_sign", "frequency_range", "ep")  # `most` rows at most
+    likely = relational.pattern_join(grants, p, F.contains(F.lower("name"), F.col("gl")), most).select("call_sign", "frequency_range", "ep")
+    lengths = sorted(r[0] for r in p.select(F.length("ep")).distinct().collect())  # `most` rows at most
     heads = F.array(*(F.substring("_en", 1, n) for n in lengths)).cast("array<string>")
     named = entities.select("satellite_id", F.lower("name").alias("_en")).select("satellite_id", F.explode(F.array_distinct(heads)).alias("ep"))
     tier1 = likely.join(named, "ep").select("satellite_id", "call_sign", "frequency_range", F.lit("pattern").alias("match_tier"))

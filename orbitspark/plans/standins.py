@@ -428,7 +428,7 @@ def j11_pattern_join(spark, d):
     """A join by pattern, over a handful of patterns."""
     b = table(spark, d, "part").where(F.col("p_brand").like("%1%")).select("p_brand").distinct()
     r = table(spark, d, "region").select("r_name")
-    return r.join(F.broadcast(b), F.col("r_name").ilike("a%") | F.contains(F.lower("r_name"), F.lower(F.substring("p_brand", -1, 1)))).groupBy("r_name", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return relational.pattern_join(r, b, F.col("r_name").ilike("a%") | F.contains(F.lower("r_name"), F.lower(F.substring("p_brand", -1, 1)))).groupBy("r_name", "p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {_DAILY} select user_id, min(\"day\") as run_start, max(\"day\") as run_end, count(*)::bigint as run_length from (select user_id, \"day\", \"day\" - cast(row_number() over (partition by user_id order by \"day\") as integer) as g from daily) group by user_id, g having count(*) >= 3")

@@ -111,9 +111,17 @@ def append_jsonl(rows: list[dict], path: str) -> None:
         f.writelines(json.dumps(r, default=str, sort_keys=True) + "\n" for r in rows)
 
 
-def baseline(board: DataFrame, key: str) -> str:
-    """A leaderboard as JSON text in the key's order, for a later diff: small by nature, rendered on the driver."""
-    return "[" + ",\n ".join(r[0] for r in board.orderBy(key).select(F.to_json(F.struct(*sorted(board.columns)), {"ignoreNullFields": "false"})).collect()) + "]\n"
+def _bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, if it has at most so many rows: what follows brings them to the driver."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    return df
+
+
+def baseline(board: DataFrame, key: str, most: int = 100_000) -> str:
+    """A leaderboard as JSON text in the key's order, for a later diff: small by nature, rendered on the driver; more than `most` rows
+    raise."""
+    return "[" + ",\n ".join(r[0] for r in _bounded(board, most).orderBy(key).select(F.to_json(F.struct(*sorted(board.columns)), {"ignoreNullFields": "false"})).collect()) + "]\n"
 
 
 def markdown_table(df: DataFrame, order: list[Column], limit: int = 200) -> str:
@@ -125,6 +133,6 @@ def markdown_table(df: DataFrame, order: list[Column], limit: int = 200) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), *([f"\nOnly the first {limit} rows are shown."] if more else [])]) + "\n"
 
 
-def serialise(df: DataFrame) -> list[str]:
-    """A page's rows as JSON; decimals and dates as text. For pages: the caller has put the limit on."""
-    return df.toJSON().collect()
+def serialise(df: DataFrame, most: int = 10_000) -> list[str]:
+    """A page's rows as JSON; decimals and dates as text. More than `most` rows raise."""
+    return _bounded(df, most).toJSON().collect()
