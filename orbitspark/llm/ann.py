@@ -2,7 +2,8 @@
 
 The codebooks are fitted on a bounded sample (SAMPLE vectors by hash order) on the driver; every row is indexed, once, and the
 index is written down. A query probes the cells nearest to it. Cells lie on shelves of bounded size, and a query goes once to
-each shelf with cells that it probes; there an asymmetric distance table gives the best SHORTLIST codes in these cells.
+each shelf with cells that it probes; there an asymmetric distance table gives the best SHORTLIST codes in these cells, those below
+what the sample says the shortlist should reach left out.
 Original vectors stay out of that exchange: only the best SHORTLIST of a query over all its shelves meet theirs and are ranked
 in double precision. A large cell has a shelf of several blocks, and queries come in slices, so a cell that holds a third of
 all vectors is searched by many tasks and nothing in it is dropped.
@@ -14,15 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import materialize, mix, tidy
 
 #: Vectors that the codebooks are fitted on, at most, and coarse cells, at most: 8 for each square root of the rows up to there.
-SAMPLE, CELLS = 32_768, 4_096
+SAMPLE, CELLS = 16_384, 4_096
 #: Rows of a shelf: a sixteenth of all within these bounds. Queries that meet a shelf in one task, at most.
 SHELF_ROWS, QUERY_ROWS = (2_048, 8_192), 16_384
+#: A shelf gives up only codes that are as near as those that this many times the shortlist should reach, by the sample; and of the
+#: sample never fewer than so many.
+SLACK, LEAST = 4, 8
 #: Rows that are ranked exactly for a query, beside k.
 SHORTLIST = 64
 
@@ -64,6 +69,8 @@ class Model:
         self.parts = np.array_split(np.arange(d), min(d, max(1, d // 4)))
         residual = fit - self.cells[near[~held] if held.any() else near]
         self.books = [kmeans(residual[:, p], min(256, max(1, len(fit))), 6, seed + 1 + i) for i, p in enumerate(self.parts)]
+        self.rows, self.sampled = rows, len(x)
+        self.seen = self.decoded(near, self.encode(x, near))  # the sample as its codes have it
         # the neighbours of the held-out queries within the sample say in how many cells a query must look
         at = np.flatnonzero(held) if held.any() else np.arange(len(x))
         sims = x[at] @ x.T
@@ -99,6 +106,18 @@ class Model:
         r = x - self.cells[cell]
         return np.stack([_near(r[:, p], b).astype(np.uint8) for p, b in zip(self.parts, self.books, strict=True)], 1)
 
+    def decoded(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        out = self.cells[cell].copy()
+        for i, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
+            out[:, p] += b[code[:, i]]
+        return out
+
+    def floor(self, q: np.ndarray, top: int) -> np.ndarray:
+        """For each query the score that some SLACK * top of all rows should reach: that of the m-th best of the sample."""
+        m = min(self.sampled, max(LEAST, int(np.ceil(SLACK * top * min(1.0, self.sampled / max(1, self.rows))))))
+        scores = q @ self.seen.T
+        return np.partition(scores, self.sampled - m, 1)[:, self.sampled - m] - np.float32(1e-4)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, parts, 256): inner products of each query with every entry of every codebook."""
         out = np.zeros((len(q), len(self.parts), 256), np.float32)
@@ -130,12 +149,13 @@ def build(rows: DataFrame, k: int, target: float, sample: int) -> tuple[Model |
     spark = rows.sparkSession
     rows, _ = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
-    got = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id", "row").select("v").limit(sample).collect()]
-    if not got:
+    got = rows.orderBy(F.xxhash64("id"), "id", "row").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    if not len(got):
         return None, rows
-    lengths = [len(v) for v in got]
-    dim = max(set(lengths), key=lambda d: (lengths.count(d), d))
-    model = Model(_unit(np.array([v for v in got if len(v) == dim])), n, k, target)
+    length = pc.list_value_length(got).to_numpy(zero_copy_only=False)
+    often = np.bincount(length)
+    dim = len(often) - 1 - int(np.argmax(often[::-1]))  # the most common length, the greater of two
+    model = Model(_unit(_matrix(got.filter(pa.array(length == dim)), dim)), n, k, target)
     shared = spark.sparkContext.broadcast(model)  # at most CELLS centroids and 256 entries a subspace, whatever the input
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +171,7 @@ def build(rows: DataFrame, k: int, target: float, sample: int) -> tuple[Model |
     return model, materialize(indexed)[0]
 
 
-def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", target: float = 0.95, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", target: float = 0.97, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows of `vectors`, ties to the smaller id.
 
     queries: a condition on vectors, whose rows then are the queries and do not find themselves; or a frame of others with the same
@@ -171,12 +191,19 @@ def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col:
         asked = index.where("asks").select("row", "id", "v")
     else:
         asked, _ = materialize(valid(queries, id_col, vec_col).where(F.size("v") == model.dim).withColumn("row", -1 - F.monotonically_increasing_id()).select("row", "id", "v"))
-    shared = spark.sparkContext.broadcast(model)
+    shared, top = spark.sparkContext.broadcast(model), k + SHORTLIST
     counts = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per centroid
     shelf, blocks = model.shelves(np.array([counts.get(c, 0) for c in range(len(model.cells))]))
     slices = max(1, -(-asked.count() // QUERY_ROWS))
-    place = lambda values, at: F.element_at(F.array(*(F.lit(int(x)) for x in values)), at + 1)
-    listed = index.select("row", "cell", "code", place(shelf, F.col("cell")).alias("shelf")).withColumn("block", F.pmod(F.xxhash64("row"), place(blocks, F.col("shelf"))).cast("int"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "cell"))
+            on = shelf[cell]
+            block = mix(row.astype(np.uint64)) % blocks[on].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(on, pa.int32()), pa.array(block.astype(np.int32))], ["row", "cell", "code", "shelf", "block"])
+
+    listed = index.select("row", "cell", "code").mapInArrow(tidy(place), "row long, cell int, code binary, shelf int, block int")
     listed = listed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +220,12 @@ def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col:
                 each = blocks[on[cut]]
                 at = np.repeat(np.arange(len(cut)), each)
                 block = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
-                half = [r.tobytes() for r in u.astype("<f4")]
+                half = [np.append(r, x).astype("<f4").tobytes() for r, x in zip(u, m.floor(u, top), strict=True)]
                 to = q[cut][at]
                 cols = [part.column("row").take(pa.array(to)), pa.array([half[i] for i in to.tolist()], pa.binary()), pa.array([lists[i] for i in at.tolist()], pa.binary()), pa.array(on[cut][at], pa.int32()), pa.array(block, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, ["q", "u", "cells", "shelf", "block"])
 
     ways = asked.select("row", "v").mapInArrow(tidy(probe), "q long, u binary, cells binary, shelf int, block int").withColumn("slice", F.pmod(F.xxhash64("q"), F.lit(slices)).cast("int"))
-    top = k + SHORTLIST
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         m, out = shared.value, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
@@ -209,7 +235,8 @@ def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col:
             code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(row), -1)[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             q = right.column("q").to_numpy()
-            u = np.frombuffer(b"".join(right.column("u").to_pylist()), "<f4").reshape(len(q), m.dim)
+            u = np.frombuffer(b"".join(right.column("u").to_pylist()), "<f4").reshape(len(q), m.dim + 1)
+            u, floor = u[:, : m.dim], u[:, m.dim]
             lists = right.column("cells").to_pylist()
             step = max(1, (1 << 22) // max(len(row), len(m.parts) * 256))
             for lo in range(0, len(q), step):
@@ -229,7 +256,7 @@ def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col:
                 n = min(top, len(row))
                 best = np.argpartition(-rough, n - 1, 1)[:, :n] if n < len(row) else np.tile(np.arange(n), (len(mine), 1))
                 near = np.take_along_axis(rough, best, 1)
-                some = np.isfinite(near)
+                some = near >= floor[lo : lo + step, None]
                 out.append((np.repeat(q[lo : lo + step], n)[some.ravel()], row[best][some], near[some]))
         q, row, rough = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table([pa.array(q), pa.array(row), pa.array(rough, pa.float32())], ["q", "row", "rough"])
