@@ -32,3 +32,23 @@ y as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a)
 z as (select doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' order by a) as head, max(b) as last, sum(b - a) as gone, count(*) as spans from y join t using (doc_id) group by doc_id)
 select t.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from t left join z using (doc_id)
 """
+
+OP12 = r"""
+with p as (select row_number() over () as i, coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+g as (select lang, array_to_string(ws[pos:pos + k - 1], ' ') as phrase, k from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as pos from w, range(1, 4) t(k) where len(ws) >= k)),
+f as materialized (select lang, phrase, any_value(k) as size, count(*) as f from g group by 1, 2),
+n as (select lang, sum(f)::bigint as n from f where size = 1 group by 1),
+h as materialized (select * from f where f >= 10),
+c as (select lang, phrase, size, f as a, string_split(phrase, ' ') as ws from h where size > 1),
+q as (select c.*, k, x.f as l, y.f as r, (1000000::hugeint * a * a) // (x.f::hugeint * y.f) as score
+  from (select *, unnest(range(1, size)) as k from c) c
+  join h x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:k], ' ')
+  join h y on y.lang = c.lang and y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+m as (select * from q qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+d as (select distinct s.lang, s.phrase from c s join (select lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as inner_ from c where size = 3) t
+  on t.lang = s.lang and t.inner_ = s.phrase where 100 * t.a >= 50 * s.a),
+o as (select m.*, row_number() over (partition by m.lang order by score desc, a desc, encode(phrase)) as rank from m anti join d using (lang, phrase))
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from o join n using (lang) where rank <= 2000
+"""
