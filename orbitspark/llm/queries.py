@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, collocations, decontaminate, lines, neardup, packing, quality, sharding, sql, substring, suffix, tokens
+from . import alignment, ann, chat, collocations, decontaminate, lines, neardup, packing, quality, sharding, sql, substring, suffix, tokens
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_substring": substring.op9_substring,
     "op11_lines": lines.op11_lines,
     "op12_collocations": collocations.op12_collocations,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 SQL = {"op3_chat": chat.OP3_SQL, "op4_neardup": sql.OP4, "op9_substring": sql.OP9, "op10_suffix": sql.OP10, "op12_collocations": sql.OP12}
