@@ -19,10 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, materialize, tidy, word_hash, word_spans
+from .common import buffers, chunks, materialize, mix, tidy, word_hash, word_spans
 
 #: Words of one automaton, and the most bytes of text that wait for one; both bound a worker's memory, not the result.
 SHARD_WORDS, SHARD_BYTES = 600_000, 4 << 20
+#: Buckets of phrases for each partition of the exchange.
+BUCKETS = 8
 #: Contract.
 LONGEST, LEAST, COVER, BEST = 3, 10, 50, 2_000
 #: Parts of a language that are ranked side by side before its best are put together.
@@ -93,13 +95,13 @@ def _lower(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
 
 
-def shard_counts(buf: np.ndarray, offs: np.ndarray, depth: int = LONGEST) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Phrases and their counts over texts of one language, automaton by automaton; with each, all its words under a null phrase."""
+def shard_counts(buf: np.ndarray, offs: np.ndarray, depth: int = LONGEST) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Phrases, hashes of their words and counts over texts of one language, automaton by automaton and size by size."""
     buf = _lower(buf)
     starts, ends, wo = word_spans(buf, offs, BREAK | BLANK)
     if not len(starts):
         return
-    _, some, ids = np.unique(word_hash(buf, starts, ends), return_index=True, return_inverse=True)
+    hashes, some, ids = np.unique(word_hash(buf, starts, ends), return_index=True, return_inverse=True)
     raw = buf.tobytes()
     names = pa.array([raw[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], pa.binary()).cast(pa.string())
     breaks = np.concatenate([[0], np.cumsum(BREAK[buf])])[starts]
@@ -117,18 +119,34 @@ def shard_counts(buf: np.ndarray, offs: np.ndarray, depth: int = LONGEST) -> Ite
         found = Automaton(ids[head:hi], where, at[head:hi] >= lo, depth)
         for items, n in found.phrases(depth):
             words = [names.take(pa.array(x)) for x in items]
-            yield pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0], n
-        yield pa.nulls(1, pa.string()), np.array([hi - lo])
+            h = hashes[items[0]]
+            for x in items[1:]:
+                h = mix(h) + hashes[x]
+            yield pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0], mix(h), n
         lo = hi
 
 
 def phrase_counts(docs: DataFrame, depth: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, phrase, f: how often each phrase of at most `depth` words occurs within pieces, for each language; all words of a language
-    stand under a null phrase.
+    stand under an empty phrase.
 
     A-Z are lower-cased. A null text is empty, a null language `und`; other columns are not read. Repeated rows count as often as
     they are there. An empty table, or one without words, gives no row.
+
+    A shard's phrases travel together, a row for each bucket that the hash of their words deals them to, so that the exchange
+    carries text and counts and no row for each phrase. Most phrases of a shard are rare and none is there twice: combining rows
+    before the exchange would save nothing. The most frequent phrase has one count a shard.
     """
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows(of: str, phrase: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = (h % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")  # within a bucket phrases stay by their first words, which helps compression
+        found, first = np.unique(bucket[order], return_index=True)
+        ends = pa.array(np.append(first, len(order)), pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(ends, phrase.take(pa.array(order))), "\n")
+        counts = pa.ListArray.from_arrays(ends, pa.array(n[order]))
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array([of] * len(found), pa.string()), joined, counts], ["bucket", "lang", "phrases", "fs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -137,12 +155,15 @@ def phrase_counts(docs: DataFrame, depth: int = LONGEST, text: str = "text", lan
         def flush(of: str) -> Iterator[pa.RecordBatch]:
             buf, offs = buffers(pa.concat_arrays(held.pop(of)))
             waits.pop(of)
+            total = 0
             for a, b in chunks(offs, SHARD_BYTES):
-                for phrase, n in shard_counts(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], depth):
-                    for lo in range(0, len(n), 1 << 16):
-                        part = slice(lo, lo + (1 << 16))
-                        rows = len(n[part])
-                        yield pa.RecordBatch.from_arrays([pa.array([of] * rows, pa.string()), phrase[part], pa.array(n[part])], ["lang", "phrase", "f"])
+                for size, (phrase, h, n) in enumerate(shard_counts(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], depth)):
+                    total += int(n.sum()) if size % depth == 0 else 0
+                    for lo in range(0, len(n), 1 << 19):
+                        part = slice(lo, lo + (1 << 19))
+                        yield rows(of, phrase[part], h[part], n[part])
+            if total:
+                yield rows(of, pa.array([""]), np.zeros(1, np.uint64), np.array([total]))
 
         for batch in batches:
             langs = batch.column(1).to_numpy(zero_copy_only=False)
@@ -160,9 +181,9 @@ def phrase_counts(docs: DataFrame, depth: int = LONGEST, text: str = "text", lan
 
     of = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     found = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), of.alias("l"))
-    found = found.mapInArrow(tidy(run), "lang string, phrase string, f long")
-    # a shard has one row a phrase and most phrases are rare, so combining before the exchange would only hash every row twice
-    return found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    found = found.mapInArrow(tidy(run), "bucket int, lang string, phrases string, fs array<long>").repartition("bucket")
+    found = found.select("bucket", "lang", F.inline(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("fs").alias("f"))))
+    return found.groupBy("bucket", "lang", "phrase").agg(F.sum("f").alias("f")).drop("bucket")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, best: int = BEST, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -174,9 +195,9 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, best:
     frequent as these, so a table of the frequent phrases, written once, holds all that is asked for. Odd rows: see phrase_counts.
     """
     counts = phrase_counts(docs, LONGEST, text, lang)
-    counts, _ = materialize(counts.where((F.col("f") >= least) | F.col("phrase").isNull()).withColumn("size", F.size(F.split("phrase", " "))))
-    total = counts.where("phrase is null").select("lang", F.col("f").alias("n"))
-    f = counts.where("phrase is not null")
+    counts, _ = materialize(counts.where((F.col("f") >= least) | (F.col("phrase") == "")).withColumn("size", F.size(F.split("phrase", " "))))
+    total = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    f = counts.where("phrase <> ''")
 
     ways = F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")
     cut = f.where("size > 1").select("lang", "phrase", F.col("f").alias("a"), "size", ways)
