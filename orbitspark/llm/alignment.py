@@ -14,20 +14,24 @@ every block gets its units' groups back.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, materialize, tidy, tidy_group
+from .common import bound_batches, keep, materialize, note_written, shared_dir, tidy, tidy_group
+from .repeats import deflate, inflate
 
 #: Bytes of text of one block: what a task holds of documents, and of their units' groups, at once. A longer text is a block alone.
 BLOCK_BYTES = 12 << 20
-#: A token is one number: its bytes times this, plus its id.
-SHIFT = 1 << 16
+#: A token is one number: its bytes, shifted by so many bits, and its id in the bits below.
+SHIFT = 16
+MASK = (1 << SHIFT) - 1
 
 _AFTER_VISIBLE, _BLANK_BEFORE = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 
@@ -84,7 +88,7 @@ class Pair:
                 parts = [of[i] for i in ids]
                 if b"".join(parts) != (" " + u).encode():
                     raise ValueError(f"tokens do not give back {u[:80]!r}")
-                to.append(np.array([len(p) * SHIFT + i for p, i in zip(parts, ids, strict=True)], np.int32))
+                to.append(np.array([len(p) << SHIFT | i for p, i in zip(parts, ids, strict=True)], np.int32))
         return out
 
 
@@ -103,7 +107,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def numbered(docs: DataFrame, a: str | None = None, b: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each block: a row for each document (doc_id, units: the numbers of its units in order), and a row for each different unit
+    """Of each block: a row for each document (doc_id, units: the numbers of its units in order, compressed), and a row for each different unit
     (number, unit, n: how often). A document without tokens has no units."""
     kind = dict(docs.dtypes)[doc_id]
 
@@ -120,7 +124,7 @@ def numbered(docs: DataFrame, a: str | None = None, b: str | None = None, doc_id
                 part = units[lo : lo + (1 << 15)]
                 k = len(part)
                 cols = [pa.array(np.full(k, block)), pa.array(np.arange(lo, lo + k), pa.int32()), pa.array(part, pa.string()), pa.array(count[lo : lo + k])]
-                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(k, ids), pa.nulls(k, pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(k, ids), pa.nulls(k, pa.binary())], names)
 
         for batch in batches:
             ids = batch.column(0).type
@@ -136,7 +140,7 @@ def numbered(docs: DataFrame, a: str | None = None, b: str | None = None, doc_id
                 count += np.bincount(np.concatenate(found), minlength=len(count))
                 k = rows.num_rows
                 none = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), *none, rows.column(0), _lists(found)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), *none, rows.column(0), pa.array([deflate(u) for u in found], pa.binary())], names)
                 if held >= BLOCK_BYTES:
                     yield from end()
                     block, held, count = block + 1, 0, np.zeros(0, np.int64)
@@ -144,7 +148,7 @@ def numbered(docs: DataFrame, a: str | None = None, b: str | None = None, doc_id
         if seen:
             yield from end()
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(tidy(run, "pairs"), f"block long, number int, unit string, n long, doc_id {kind}, units array<int>")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(tidy(run, "pairs"), f"block long, number int, unit string, n long, doc_id {kind}, units binary")
 
 
 def unit_tokens(units: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
@@ -159,16 +163,33 @@ def unit_tokens(units: DataFrame, a: str | None = None, b: str | None = None) ->
     return units.select("unit", "n").mapInArrow(tidy(run, "pairs"), "unit string, n long, a array<int>, b array<int>")
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets by the key: what groups or joins by it later needs no exchange."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"orbitspark_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    bound_batches(spark)
+    df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    note_written(path)
+    return spark.table(name)
+
+
 def cuts(tokens: DataFrame) -> DataFrame:
-    """id, a, b (token arrays) and n → for each place where tokens of both end: id, n, g (cuts before it), a_at and b_at (tokens before
-    the two that end there), a_id, b_id. Expressions, windows and one equi-join; all of a unit's rows meet in one partition."""
+    """unit, n, a, b (token arrays) → unit, n, a, b and at: for each place where tokens of both end, in order, g (cuts before it), a_at and
+    b_at (tokens before the two that end there), a_id, b_id. Token arrays are dealt out by unit once; windows, join and groups follow
+    in place."""
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = tokens.repartition(n, "unit")
     side = {}
-    for c, more in (("a", ["n"]), ("b", [])):
-        rows = tokens.select("id", *more, F.posexplode(c).alias(f"{c}_at", "t"))
-        end = F.sum(F.floor(F.col("t") / SHIFT)).over(Window.partitionBy("id").orderBy(f"{c}_at")).alias("end")
-        side[c] = rows.select("id", *more, f"{c}_at", (F.col("t") % SHIFT).alias(f"{c}_id"), end)
-    both = side["a"].join(side["b"], ["id", "end"])
-    return both.withColumn("g", F.row_number().over(Window.partitionBy("id").orderBy("end")) - 1).drop("end")
+    for c in "ab":
+        rows = tokens.select("unit", F.posexplode(c).alias(f"{c}_at", "t"))
+        end = F.sum(F.shiftright("t", SHIFT)).over(Window.partitionBy("unit").orderBy(f"{c}_at")).alias("end")
+        side[c] = rows.select("unit", f"{c}_at", F.col("t").bitwiseAND(MASK).alias(f"{c}_id"), end)
+    both = side["a"].join(side["b"], ["unit", "end"])
+    both = both.withColumn("g", F.row_number().over(Window.partitionBy("unit").orderBy("end")) - 1)
+    at = both.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("g", "a_at", "b_at", "a_id", "b_id"))).alias("at"))
+    return tokens.join(at, "unit")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -181,11 +202,41 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return c.withColumn("best", (F.col("c") == top).cast("long"))
 
 
-def _groups(at: str) -> F.Column:
-    """Text of all groups of a unit from its cuts (g, a_at, b_at), in order, and its token arrays."""
-    before = f"if(i = 0, 0, {at}[i - 1].%s_at + 1)"
-    part = f"array_join(transform(slice(%s, {before} + 1, x.%s_at - {before} + 1), t -> cast(t %% {SHIFT} as string)), ',')"
-    return F.expr(f"array_join(transform({at}, (x, i) -> concat({part % (('a',) * 4)}, '|', {part % (('b',) * 4)})), ';')")
+def _groups() -> F.Column:
+    """Text of all groups of a unit from its cuts, in order, and its token arrays."""
+    before = "if(i = 0, 0, at[i - 1].%s_at + 1)"
+    part = f"array_join(transform(slice(%s, {before} + 1, x.%s_at - {before} + 1), t -> cast(t & {MASK} as string)), ',')"
+    return F.expr(f"array_join(transform(at, (x, i) -> concat({part % (('a',) * 4)}, '|', {part % (('b',) * 4)})), ';')")
+
+
+#: Figures of a unit, and of a document.
+LONGS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
+PACK = "block long, numbers binary, longs binary, groups binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units' figures and groups on their way to their blocks, compressed together: a row for each block among some 10,000s of rows."""
+
+    def out(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(part).sort_by("block")
+        block = t.column("block").to_numpy()
+        found, first = np.unique(block, return_index=True)
+        numbers = t.column("number").to_numpy().astype("<i4")
+        longs = np.stack([t.column(c).to_numpy() for c in LONGS]).astype("<i8")
+        groups = t.column("groups").to_pylist()
+        ends = [*first[1:].tolist(), len(block)]
+        rows = [(deflate(numbers[a:b]), deflate(longs[:, a:b]), deflate("\n".join(groups[a:b]).encode())) for a, b in zip(first.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], ["block", "numbers", "longs", "groups"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= 1 << 17 or sum(b.nbytes for b in held) >= 16 << 20:
+            yield out(held)
+            held = []
+    if held:
+        yield out(held)
 
 
 def align(docs: DataFrame, a: str | None = None, b: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,43 +247,42 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, doc_id: s
     tokenizers' files on the executors.
     """
     table, _ = materialize(numbered(docs, a, b, doc_id, text))
-    units = table.where("unit is not null").select("block", "number", "unit", "n")
-    tokens = unit_tokens(units.groupBy("unit").agg(F.sum("n").alias("n")), a, b)
-    tokens, _ = materialize(tokens.withColumn("id", F.monotonically_increasing_id()))
-    links, _ = materialize(cuts(tokens))
-    links = links.join(F.broadcast(pair_counts(links)), ["a_id", "b_id"])
-    at = F.sort_array(F.collect_list(F.struct("g", "a_at", "b_at"))).alias("at")
-    sums = links.groupBy("id").agg(at, F.sum("c").alias("count_sum"), F.sum("best").alias("n_best"))
-    found = tokens.join(sums, "id").select("unit", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("at").alias("n_groups"), "n_best", "count_sum", _groups("at").alias("groups"))
-    back = units.drop("n").join(found, "unit").drop("unit")
+    units = bucketed(table.where("unit is not null").select("block", "number", "unit", "n"), "unit")
+    tokens, _ = materialize(unit_tokens(units.groupBy("unit").agg(F.sum("n").alias("n")), a, b))
+    links = F.transform("at", lambda x: F.struct(x["a_id"].alias("a_id"), x["b_id"].alias("b_id"))).alias("links")
+    figures = [F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("at").alias("n_groups"), _groups().alias("groups")]
+    aligned = bucketed(cuts(tokens).select("unit", "n", *figures, links), "unit")
+    pairs = F.broadcast(pair_counts(aligned.select("n", F.inline("links"))))
+    sums = aligned.select("unit", F.inline("links")).join(pairs, ["a_id", "b_id"]).groupBy("unit").agg(F.sum("c").alias("count_sum"), F.sum("best").alias("n_best"))
+    found = aligned.drop("n", "links").join(sums, "unit")
+    back = units.drop("n").join(found, "unit").select("block", "number", *LONGS, "groups").mapInArrow(tidy(_packed), PACK)
 
     kind = dict(docs.dtypes)[doc_id]
     longs = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
-    def settle(docs: pa.Table, units: pa.Table) -> pa.Table:
-        units = units.sort_by("number")
-        value = {c: units.column(c).to_numpy().astype(np.int64) for c in longs if c != "n_links"}
+    def settle(docs: pa.Table, packs: pa.Table) -> pa.Table:
+        numbers, figures, groups = [np.zeros(0, np.int32)], [np.zeros((len(LONGS), 0), np.int64)], []
+        for n, v, g in zip(*(packs.column(c).to_pylist() for c in ("numbers", "longs", "groups")), strict=True):
+            numbers.append(inflate(n, "<i4"))
+            figures.append(inflate(v, "<i8").reshape(len(LONGS), -1))
+            groups += zstandard.decompress(g).decode().split("\n")
+        order = np.argsort(np.concatenate(numbers), kind="stable")
+        value = dict(zip(LONGS, np.concatenate(figures, 1)[:, order], strict=True))
         value["n_links"] = value["n_groups"]  # each cut is one pair of tokens, as none is empty
-        groups = units.column("groups").to_pylist()
-        lists = docs.column("units").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        cols = {}
-        for c in longs:
-            run = np.concatenate([[0], np.cumsum(value[c][flat])])
-            cols[c] = run[ends[1:]] - run[ends[:-1]]
-        out, ids = [], docs.column("doc_id").combine_chunks()
+        groups = [groups[i] for i in order.tolist()]
+        ids = docs.column("doc_id").combine_chunks()
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        lists = [inflate(z, "<i4") for z in docs.column("units").to_pylist()]
+        out = []
         for lo in range(0, len(ids), 64):  # a batch for some documents: their groups are several times as long as their texts
-            hi = min(len(ids), lo + 64)
-            texts = [";".join([groups[i] for i in flat[ends[k] : ends[k + 1]].tolist()]) for k in range(lo, hi)]
-            part = ids.slice(lo, hi - lo)
-            part = part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part
-            out.append(pa.RecordBatch.from_arrays([part, *(pa.array(cols[c][lo:hi]) for c in longs), pa.array(texts, pa.string())], ["doc_id", *longs, "groups"]))
+            part = lists[lo : lo + 64]
+            cols = [pa.array([int(value[c][u].sum()) for u in part], pa.int64()) for c in longs]
+            texts = pa.array([";".join([groups[i] for i in u.tolist()]) for u in part], pa.string())
+            out.append(pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), *cols, texts], ["doc_id", *longs, "groups"]))
         return pa.Table.from_batches(out, pa.schema([("doc_id", ids.type), *((c, pa.int64()) for c in longs), ("groups", pa.string())]))
 
     rows = table.where("unit is null").select(F.col("block").alias("block"), "doc_id", "units").groupBy("block")
-    tidied = tidy_pair(settle)
-    return rows.cogroup(back.groupBy("block")).applyInArrow(tidied, f"doc_id {kind}, " + "".join(f"{c} long, " for c in longs) + "groups string")
+    return rows.cogroup(back.groupBy("block")).applyInArrow(tidy_pair(settle), f"doc_id {kind}, " + "".join(f"{c} long, " for c in longs) + "groups string")
 
 
 def tidy_pair(settle):

@@ -56,6 +56,11 @@ def materialize(df: DataFrame) -> tuple[DataFrame, str]:
 _WRITTEN: list[str] = []
 
 
+def note_written(path: str) -> None:
+    """Let drop_since() know of a table that was written otherwise."""
+    _WRITTEN.append(path)
+
+
 def written() -> int:
     """A mark for drop_since()."""
     return len(_WRITTEN)
