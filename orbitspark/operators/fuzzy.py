@@ -1,13 +1,19 @@
-"""Scored matching of probes to candidates behind hard gates.
+"""Scored matching of probes to candidates behind hard gates: a similarity join that loses no pair.
 
-Pairs come from blocks, never from a cross join: a probe whose launch is known meets candidates of its own 30-day bucket and
-the two beside it; where either launch is unknown, a pair needs a token of its names in common. Comparing all would find more:
-this is a stated difference.
+The name signal is 2 M / (|a| + |b|) with M characters in matching blocks, and M is at most the number of characters that two
+names have in common, each as often as both have it. So a pair of ratio r or more has at least r (|a| + |b|) / 2 of its numbered
+characters (`e1`, `e2` for the first and second e) in common, and the longer name is at most (2 - r) / r times as long as the
+shorter one. That is a set overlap: of the characters of each name in a fixed order, rare ones first, the pair shares one among the
+first |a| - ceil(r |a| / (2 - r)) + 1. Postings of these meet in an equi-join, and a pair is taken where its first shared one is.
+
+Launches gate as well: dated pairs meet by the 30-day bucket of the launch and the two beside it, and only pairs that lack a date
+meet across all. Names alike in every signal are one profile, whose smallest id stands for them. A posting that many profiles share
+is dealt out to a grid of cells of about CELL profiles a side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import norm_name
@@ -17,33 +23,143 @@ from .relational import latest_per_key
 #: Fixed values.
 WEIGHTS = {"name": 0.60, "launch": 0.25, "regime": 0.15}
 AUTO_LINK, REVIEW, WINDOW_DAYS = 0.92, 0.75, 30
+#: Profiles of one side that meet in one cell of a posting, about.
+CELL = 4_096
+#: Characters of normalised names, rare ones first; any order is right.
+RARE_FIRST = "qzjxkvwybpgfm98765432udlchsrnoitea01 "
+_SIGNALS = ["norm", "launch", "regime", "country"]
+
+
+def needed_ratio(low: float, weights: dict[str, float], launch: bool, regime: bool) -> float:
+    """The name ratio below which no pair with these signals scores `low`, whatever the signals say."""
+    others = weights["launch"] * launch + weights["regime"] * regime
+    return (low * (weights["name"] + others) - others) / weights["name"]
+
+
+def _characters(norm: Column) -> Column:
+    """Numbered characters of a name, rare ones first; an empty name has one of its own, as it is like empty names alone."""
+    place = F.translate(norm, RARE_FIRST, "".join(chr(0x100 + i) for i in range(len(RARE_FIRST))))
+    signs = F.split(place, "")
+    numbered = F.transform(signs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(signs, 1, i + 1), lambda x: x == c)).cast("string")))
+    return F.when(norm == "", F.array(F.lit(""))).otherwise(F.array_sort(numbered))
+
+
+def _profiles(rows: DataFrame, key: str, window: int) -> DataFrame:
+    """Each combination of signals once, with the smallest key."""
+    p = rows.select(F.col(key), F.coalesce(norm_name(F.col("name")), F.lit("")).alias("norm"), F.col("launch_date").alias("launch"), "regime", "country")
+    bucket = F.floor(F.datediff("launch", F.lit("1950-01-01").cast("date")) / window)
+    return p.groupBy(*_SIGNALS).agg(F.min(key).alias(key)).withColumns({"chars": _characters(F.col("norm")), "bucket": bucket})
+
+
+def _postings(profiles: DataFrame, blocks: Column, ratio: dict[bool, float], side: str) -> DataFrame:
+    """A row for each posting of a profile: block, token, and its signals and characters in columns that begin with the side's letter."""
+    n = F.size("chars")
+    rows = profiles.withColumn("block", F.explode(blocks))
+    dated = ~F.col("block").isin("all", "undated")
+    first = F.when(dated, _prefix(n, ratio[True])).otherwise(_prefix(n, ratio[False]))
+    rows = rows.withColumn("prefix", F.when(first >= n + 1, F.array(F.lit("*"))).otherwise(F.slice("chars", F.lit(1), first)))
+    named = [F.col(c).alias(f"{side}_{c}") for c in [*_SIGNALS, "chars", "prefix", "bucket"]]
+    return rows.select("block", *named, F.explode("prefix").alias("token"))
+
+
+def _prefix(n: Column, ratio: float) -> Column:
+    """How many characters of n to look up; n + 1 where the ratio says nothing, for a posting that all share."""
+    if ratio <= 0:
+        return n + 1
+    share = min(ratio, 1.0) / (2 - min(ratio, 1.0))
+    return (n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1).cast("int")
+
+
+def profile_pairs(probes: DataFrame, entities: DataFrame, window: int = WINDOW_DAYS, low: float | None = REVIEW, weights: dict[str, float] = WEIGHTS, least: float | None = None, cell: int = CELL) -> DataFrame:
+    """Pairs of profiles p_*, c_* that pass the gates and may score `low` (or have the name ratio `least`): every such pair, once.
+    Without either bound, all pairs that pass the gates."""
+    if least is None and low is not None:
+        ratio = {d: min(needed_ratio(low, weights, d, r) for r in (False, True)) for d in (True, False)}
+    else:
+        ratio = dict.fromkeys((True, False), least or 0.0)
+    days, b = F.col("launch").isNotNull(), F.col("bucket")
+    own = [F.when(days, x.cast("string")) for x in (b - 1, b, b + 1)]
+    p = _postings(_profiles(probes, "probe_key", window), F.when(days, F.array(*own, F.lit("undated"))).otherwise(F.array(F.lit("all"))), ratio, "p")
+    c = _postings(_profiles(entities, "satellite_id", window), F.when(days, F.array(own[1], F.lit("all"))).otherwise(F.array(F.lit("undated"), F.lit("all"))), ratio, "c")
+
+    # cells of each posting that both sides have: each profile lies in one row or column of its grid and goes to all its cells
+    at = ["block", "token"]
+    grid = p.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).join(c.groupBy(*at).agg(F.count(F.lit(1)).alias("m")), at)
+    grid = grid.select(*at, F.ceil(F.col("n") / cell).cast("int").alias("rows"), F.ceil(F.col("m") / cell).cast("int").alias("cols"))
+    deal = lambda side, of: F.pmod(F.xxhash64(*(f"{side}_{x}" for x in _SIGNALS)), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    p = p.join(grid, at).withColumn("row", deal("p", "rows")).withColumn("col", each("cols")).drop("rows", "cols")
+    c = c.join(grid, at).withColumn("col", deal("c", "cols")).withColumn("row", each("rows")).drop("rows", "cols")
+    pairs = p.join(c, [*at, "row", "col"])
 
+    first_shared = F.array_intersect("p_prefix", "c_prefix")[0] == F.col("token")
+    near = F.col("p_launch").isNull() | F.col("c_launch").isNull() | (F.abs(F.datediff("p_launch", "c_launch")) <= window)
+    same = lambda x, unknown: F.col(f"p_{x}").isNull() | F.col(f"c_{x}").isNull() | F.col(f"p_{x}").isin(unknown) | F.col(f"c_{x}").isin(unknown) | (F.col(f"p_{x}") == F.col(f"c_{x}"))
+    pairs = pairs.where(first_shared & near & same("regime", "UNKNOWN") & same("country", ""))
+    if least is not None or low is not None:
+        shared = F.size(F.array_intersect("p_chars", "c_chars"))
+        needed = F.lit(least) if least is not None else _needed(low, weights, window)
+        pairs = pairs.where(2 * shared >= (needed - 1e-9) * (F.size("p_chars") + F.size("c_chars")))
+    return pairs.select(*(f"{s}_{x}" for s in "pc" for x in _SIGNALS))
 
-def candidate_pairs(probes: DataFrame, entities: DataFrame, window: int = WINDOW_DAYS) -> DataFrame:
-    """probes(probe_key, name, launch_date, regime, country) and entities(satellite_id, ...) → pairs that pass the gates."""
-    bucket = F.floor(F.datediff("launch_date", F.lit("1950-01-01").cast("date")) / window)
-    p = probes.select("probe_key", norm_name(F.col("name")).alias("p_norm"), F.col("name").alias("probe_name"), F.col("launch_date").alias("p_launch"), F.col("regime").alias("p_regime"), F.col("country").alias("p_country"), bucket.alias("_b"))
-    e = entities.select("satellite_id", norm_name(F.col("name")).alias("c_norm"), F.col("name").alias("candidate_name"), F.col("launch_date").alias("c_launch"), F.col("regime").alias("c_regime"), F.col("country").alias("c_country"), bucket.alias("_b"))
-    near = p.where("p_launch is not null").withColumn("_b", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))).join(e.where("c_launch is not null"), "_b").drop("_b").where(F.abs(F.datediff("p_launch", "c_launch")) <= window)
-    token = lambda df, c: df.drop("_b").withColumn("_t", F.explode(F.array_distinct(F.split(c, " ")))).where("_t <> ''")
-    dated = token(p.where("p_launch is not null"), "p_norm").join(token(e.where("c_launch is null"), "c_norm"), "_t")
-    undated = token(p.where("p_launch is null"), "p_norm").join(token(e, "c_norm"), "_t")
-    pairs = near.unionByName(dated.unionByName(undated).drop("_t").dropDuplicates(["probe_key", "satellite_id"]))
-    same = lambda a, b, unknown: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == unknown) | (F.col(b) == unknown) | (F.col(a) == F.col(b))
-    return pairs.where(same("p_regime", "c_regime", "UNKNOWN") & same("p_country", "c_country", ""))
+
+def _days() -> Column:
+    return F.abs(F.datediff("p_launch", "c_launch"))
+
+
+def _has_regime() -> Column:
+    return F.coalesce((F.col("p_regime") != "UNKNOWN") & (F.col("c_regime") != "UNKNOWN"), F.lit(False))
+
+
+def _signals(weights: dict[str, float], window: int) -> tuple[Column, Column]:
+    """What the signals but the name give, and what all that are there weigh."""
+    launch = F.coalesce(F.lit(weights["launch"]) * (F.lit(1.0) - _days() / window), F.lit(0.0))
+    regime = F.when(_has_regime(), weights["regime"]).otherwise(0.0)
+    return launch + regime, F.lit(weights["name"]) + F.when(_days().isNotNull(), weights["launch"]).otherwise(0.0) + regime
+
+
+def _needed(low: float, weights: dict[str, float], window: int) -> Column:
+    got, total = _signals(weights, window)
+    return (F.lit(low) * total - got) / F.lit(weights["name"])
+
+
+def candidate_pairs(probes: DataFrame, entities: DataFrame, window: int = WINDOW_DAYS, low: float | None = REVIEW, least: float | None = None) -> DataFrame:
+    """probes(probe_key, name, launch_date, regime, country) and entities(satellite_id, ...) → pairs of rows that pass the gates and may
+    score `low`; see profile_pairs. A null name is an empty one."""
+    p, c = (df.select(key, F.coalesce(norm_name(F.col("name")), F.lit("")).alias(f"{s}_norm"), F.col("name").alias(name), F.col("launch_date").alias(f"{s}_launch"), F.col("regime").alias(f"{s}_regime"), F.col("country").alias(f"{s}_country")) for df, key, s, name in ((probes, "probe_key", "p", "probe_name"), (entities, "satellite_id", "c", "candidate_name")))
+    pairs = profile_pairs(probes, entities, window, low, least=least)
+    return _joined(_joined(pairs, p, "p"), c, "c")
+
+
+def _joined(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
+    """pairs with the rows of one side's profiles; nulls of signals are values like others."""
+    names = [f"{side}_{x}" for x in _SIGNALS]
+    rows = rows.withColumnsRenamed({x: f"_{x}" for x in names})
+    on = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in names]
+    return pairs.join(rows, on).drop(*(f"_{x}" for x in names))
 
 
 def score(pairs: DataFrame, weights: dict[str, float] = WEIGHTS, window: int = WINDOW_DAYS, name_similarity=similarity) -> DataFrame:
     """pairs plus name_sim, launch_days and score: the weighted mean of the signals that are there."""
-    days = F.abs(F.datediff("p_launch", "c_launch"))
-    known = (F.col("p_regime") != "UNKNOWN") & (F.col("c_regime") != "UNKNOWN")
-    has_regime = F.coalesce(known, F.lit(False))
-    total = F.lit(weights["name"]) + F.when(days.isNotNull(), weights["launch"]).otherwise(0.0) + F.when(has_regime, weights["regime"]).otherwise(0.0)
-    got = F.lit(weights["name"]) * F.col("name_sim") + F.coalesce(F.lit(weights["launch"]) * (F.lit(1.0) - days / window), F.lit(0.0)) + F.when(has_regime, weights["regime"]).otherwise(0.0)
-    return pairs.withColumn("name_sim", name_similarity("p_norm", "c_norm")).withColumn("launch_days", days).withColumn("score", got / total)
+    got, total = _signals(weights, window)
+    return pairs.withColumn("name_sim", name_similarity("p_norm", "c_norm")).withColumn("launch_days", _days()).withColumn("score", (F.lit(weights["name"]) * F.col("name_sim") + got) / total)
 
 
 def best_match(scored: DataFrame, auto: float = AUTO_LINK, low: float = REVIEW) -> DataFrame:
     """Each probe's best candidate, ties to the smallest id, with decision auto, review or unmatched."""
     best = latest_per_key(scored, ["probe_key"], [F.col("score").desc(), F.col("satellite_id").asc()])
     return best.withColumn("decision", F.when(F.col("score") >= auto, "auto").when(F.col("score") >= low, "review").otherwise("unmatched"))
+
+
+def link(probes: DataFrame, entities: DataFrame, weights: dict[str, float] = WEIGHTS, auto: float = AUTO_LINK, low: float = REVIEW, window: int = WINDOW_DAYS, cell: int = CELL) -> DataFrame:
+    """probe_key, satellite_id, name_sim, launch_days, score, decision for every probe: the best of all candidates that score `low`, or
+    unmatched. The whole program runs over profiles; only its result meets the rows again. Equal to comparing all pairs."""
+    scored = score(profile_pairs(probes, entities, window, low, weights, cell=cell), weights, window).where(F.col("score") >= low)
+    smallest = _profiles(entities, "satellite_id", window).select("satellite_id", *(F.col(x).alias(f"c_{x}") for x in _SIGNALS))
+    scored = _joined(scored, smallest, "c")
+    best = latest_per_key(scored, [f"p_{x}" for x in _SIGNALS], [F.col("score").desc(), F.col("satellite_id").asc()])
+    rows = probes.select("probe_key", F.coalesce(norm_name(F.col("name")), F.lit("")).alias("_n"), F.col("launch_date").alias("_l"), F.col("regime").alias("_r"), F.col("country").alias("_c"))
+    on = [F.col(f"p_{x}").eqNullSafe(F.col(y)) for x, y in zip(_SIGNALS, ("_n", "_l", "_r", "_c"), strict=True)]
+    decision = F.when(F.col("score") >= auto, "auto").when(F.col("score") >= low, "review").otherwise("unmatched")
+    return rows.join(best, on, "left").select("probe_key", "satellite_id", "name_sim", "launch_days", "score", decision.alias("decision"))
+

@@ -57,7 +57,7 @@ def missed_joins(t: dict[str, DataFrame], name_similarity=similarity) -> DataFra
     """Each dated entity without a catalogue id, and the catalogued one of its launch window whose name is most like its own."""
     s = t["satellite"].where("launch_date is not null")
     side = lambda df, key: df.select(F.col("satellite_id").alias(key), F.col("canonical_name").alias("name"), "launch_date", F.lit("UNKNOWN").alias("regime"), F.lit(None).cast("string").alias("country"))
-    pairs = fuzzy.candidate_pairs(side(s.where("norad_id is null"), "probe_key"), side(s.where("norad_id is not null"), "satellite_id")).where("p_norm <> ''")
+    pairs = fuzzy.candidate_pairs(side(s.where("norad_id is null"), "probe_key"), side(s.where("norad_id is not null"), "satellite_id"), least=LIKELY - 1e-4).where("p_norm <> ''")
     like = pairs.withColumn("sim", F.round(name_similarity("p_norm", "c_norm"), 4)).where(F.col("sim") >= LIKELY)
     best = relational.latest_per_key(like, ["probe_key"], [F.col("sim").desc(), F.col("satellite_id").asc()]).orderBy(F.desc("sim"), "probe_key").limit(TARGETS["missed_join_candidate"])
     rows = best.select(F.col("probe_key").alias("satellite_id"), F.lit(None).cast("long").alias("norad_id"), F.col("satellite_id").alias("candidate"), "sim")

@@ -283,12 +283,77 @@ def _launched(df: DataFrame, key: str, name: str, step: int) -> DataFrame:
     return df.select(F.col(key), F.lower(name).alias("name"), day.alias("launch_date"), F.lit("UNKNOWN").alias("regime"), F.lit(None).cast("string").alias("country"))
 
 
-@query(None)
+#: Blocks of characters that match in two names, longest first, then leftmost, and so on to both sides of each: the gestalt measure.
+#: step holds, for pairs (a, b), what is still to be compared (x, y) and how many characters each comparison matched.
+_GESTALT = """
+step(a, b, x, y, n) as (
+    select distinct a, b, a, b, 0 from pairs
+    union all
+    select a, b, u.x, u.y, u.n from (
+        select a, b, x, y, list_max(flatten(list_transform(range(1, length(x) + 1), lambda i:
+            list_transform(range(1, length(x) - i + 2), lambda k: case when contains(y, x[i:i + k - 1]) then {'k': k, 'i': -i} end)))) as m
+        from step where x <> '' and y <> '') s,
+    lateral (select unnest([
+        {'x': x[1:-m.i - 1], 'y': y[1:strpos(y, x[-m.i:-m.i + m.k - 1]) - 1], 'n': m.k},
+        {'x': x[-m.i + m.k:], 'y': y[strpos(y, x[-m.i:-m.i + m.k - 1]) + m.k:], 'n': 0}]) as u)
+    where m.k is not null),
+sims as (select a, b, case when a = '' and b = '' then 1.0::double else 2.0::double * sum(n) / (length(a) + length(b)) end as sim from step group by a, b)"""
+
+#: All pairs that pass the gates, scored by the signals that are there; each probe's best, or none.
+_LINK = (
+    """with recursive {sides},
+j as (select p.k as probe_key, c.k as satellite_id, p.n as a, c.n as b, abs(p.l - c.l) as dd, p.r <> 'UNKNOWN' and c.r <> 'UNKNOWN' as both_r
+    from p join c on (p.l is null or c.l is null or abs(p.l - c.l) <= 30) and (p.r = 'UNKNOWN' or c.r = 'UNKNOWN' or p.r = c.r) and (p.o is null or c.o is null or p.o = c.o)),
+pairs as (select distinct a, b from j),"""
+    + _GESTALT
+    + """,
+s as (select probe_key, satellite_id, sim, dd, round((0.6::double * sim + coalesce(0.25::double * (1.0::double - dd / 30), 0) + case when both_r then 0.15::double else 0 end)
+    / (0.6::double + case when dd is not null then 0.25::double else 0 end + case when both_r then 0.15::double else 0 end), 9) as score from j join sims using (a, b)),
+m as (select * from s where score >= 0.75 qualify row_number() over (partition by probe_key order by score desc, satellite_id) = 1)
+select p.k as probe_key, satellite_id, round(sim, 9) as name_sim, dd::integer as launch_days, score,
+    case when score >= 0.92 then 'auto' when score >= 0.75 then 'review' else 'unmatched' end as decision from p left join m on m.probe_key = p.k"""
+)
+_PLAIN_SIDES = """
+p as (select c_custkey as k, regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g') as n, date '2000-01-01' + cast(c_custkey * 7 % 3000 as integer) as l, 'UNKNOWN' as r, null::integer as o from customer),
+c as (select s_suppkey as k, regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g') as n, date '2000-01-01' + cast(s_suppkey * 31 % 3000 as integer) as l, 'UNKNOWN' as r, null::integer as o from supplier)"""
+_SPARSE_SIDES = """
+p as (select c_custkey as k, regexp_replace(lower(c_mktsegment || ' ' || c_custkey % 97), '[^a-z0-9]+', ' ', 'g') as n,
+    case when c_custkey % 3 > 0 then date '2000-01-01' + cast(c_custkey * 7 % 3000 as integer) end as l, ['LEO', 'GEO', 'UNKNOWN'][c_nationkey % 3 + 1] as r, case when c_nationkey % 2 = 0 then c_nationkey end as o from customer),
+c as (select s_suppkey as k, regexp_replace(lower(['machinery', 'Household', 'furnture', 'auto-mobile', 'buildings'][s_nationkey % 5 + 1] || ' ' || s_suppkey % 89), '[^a-z0-9]+', ' ', 'g') as n,
+    case when s_suppkey % 4 > 0 then date '2000-01-01' + cast(s_suppkey * 31 % 3000 as integer) end as l, ['LEO', 'GEO', 'UNKNOWN'][s_nationkey % 3 + 1] as r, case when s_nationkey % 3 = 0 then s_nationkey end as o from supplier)"""
+
+
+def _linked(probes: DataFrame, cands: DataFrame) -> DataFrame:
+    found = fuzzy.link(probes, cands)
+    return found.withColumns({c: F.round(c, 9) for c in ("name_sim", "score")})
+
+
+@query(_LINK.replace("{sides}", _PLAIN_SIDES))
 def v23_fuzzy_match(spark, d):
-    """Customers as probes of suppliers, launched on made-up days: scored, gated, decided. Gestalt similarity has no SQL."""
+    """Customers as probes of suppliers, launched on made-up days: gated, scored by the gestalt measure, decided."""
     probes = _launched(table(spark, d, "customer"), "c_custkey", "c_name", 7).withColumnRenamed("c_custkey", "probe_key")
     cands = _launched(table(spark, d, "supplier"), "s_suppkey", "s_name", 31).withColumnRenamed("s_suppkey", "satellite_id")
-    return fuzzy.best_match(fuzzy.score(fuzzy.candidate_pairs(probes, cands))).select("probe_key", "satellite_id", "name_sim", "launch_days", "score", "decision")
+    return _linked(probes, cands)
+
+
+@query(_LINK.replace("{sides}", _SPARSE_SIDES))
+def j15_sparse_match(spark, d):
+    """The same where launches, regimes and countries are often unknown and names are misspelt: undated pairs meet across all dates."""
+    day = lambda key, step: F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col(key) * step % 3000).cast("int"))
+    regime = lambda key: F.element_at(F.array(*map(F.lit, ("LEO", "GEO", "UNKNOWN"))), (F.col(key) % 3 + 1).cast("int"))
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    kinds = F.array(*map(F.lit, ("machinery", "Household", "furnture", "auto-mobile", "buildings")))
+    country = lambda key, n: F.when(F.col(key) % n == 0, F.col(key).cast("string"))
+    probes = c.select(
+        F.col("c_custkey").alias("probe_key"), F.concat_ws(" ", "c_mktsegment", F.col("c_custkey") % 97).alias("name"),
+        F.when(F.col("c_custkey") % 3 > 0, day("c_custkey", 7)).alias("launch_date"), regime("c_nationkey").alias("regime"), country("c_nationkey", 2).alias("country"),
+    )
+    kind = F.element_at(kinds, (F.col("s_nationkey") % 5 + 1).cast("int"))
+    cands = s.select(
+        F.col("s_suppkey").alias("satellite_id"), F.concat_ws(" ", kind, F.col("s_suppkey") % 89).alias("name"),
+        F.when(F.col("s_suppkey") % 4 > 0, day("s_suppkey", 31)).alias("launch_date"), regime("s_nationkey").alias("regime"), country("s_nationkey", 3).alias("country"),
+    )
+    return _linked(probes, cands)
 
 
 @query("""with a as (select c_custkey as k, lower(c_name) as n, date '2000-01-01' + cast(c_custkey * 7 % 3000 as integer) as l from customer), b as (select s_suppkey as k, lower(s_name) as n, date '2000-01-01' + cast(s_suppkey * 31 % 3000 as integer) as l from supplier),
@@ -300,7 +365,7 @@ def v23_fuzzy_match_edit(spark, d):
     probes = _launched(table(spark, d, "customer"), "c_custkey", "c_name", 7).withColumnRenamed("c_custkey", "probe_key")
     cands = _launched(table(spark, d, "supplier"), "s_suppkey", "s_name", 31).withColumnRenamed("s_suppkey", "satellite_id")
     edit = lambda a, b: 1 - F.levenshtein(F.col("probe_name"), F.col("candidate_name")) / F.greatest(F.length("probe_name"), F.length("candidate_name"))
-    scored = fuzzy.score(fuzzy.candidate_pairs(probes, cands), name_similarity=edit).withColumn("score", F.round("score", 9))
+    scored = fuzzy.score(fuzzy.candidate_pairs(probes, cands, low=None), name_similarity=edit).withColumn("score", F.round("score", 9))
     return fuzzy.best_match(scored).select("probe_key", "satellite_id", "score", "decision")
 
 
