@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 from .common import buffers, chunks, materialize, mix, tidy, word_hash, word_spans
 
 #: Words of one automaton, and the most bytes of text that wait for one; both bound a worker's memory, not the result.
-SHARD_WORDS, SHARD_BYTES = 600_000, 4 << 20
-#: Buckets of phrases for each partition of the exchange.
-BUCKETS = 8
+SHARD_WORDS, SHARD_BYTES = 450_000, 3 << 20
 #: Contract.
 LONGEST, LEAST, COVER, BEST = 3, 10, 50, 2_000
 #: Parts of a language that are ranked side by side before its best are put together.
@@ -95,8 +93,8 @@ def _lower(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
 
 
-def shard_counts(buf: np.ndarray, offs: np.ndarray, depth: int = LONGEST) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Phrases, hashes of their words and counts over texts of one language, automaton by automaton and size by size."""
+def shard_counts(buf: np.ndarray, offs: np.ndarray, depth: int = LONGEST) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
+    """Phrases, hashes of their words and counts, and how many words were counted, automaton by automaton, over texts of one language."""
     buf = _lower(buf)
     starts, ends, wo = word_spans(buf, offs, BREAK | BLANK)
     if not len(starts):
@@ -117,12 +115,15 @@ def shard_counts(buf: np.ndarray, offs: np.ndarray, depth: int = LONGEST) -> Ite
         head = lo - min(int(place[lo]), depth - 1)
         where = np.minimum(place[head:hi], at[head:hi] - head)
         found = Automaton(ids[head:hi], where, at[head:hi] >= lo, depth)
+        parts = []
         for items, n in found.phrases(depth):
             words = [names.take(pa.array(x)) for x in items]
             h = hashes[items[0]]
             for x in items[1:]:
                 h = mix(h) + hashes[x]
-            yield pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0], mix(h), n
+            parts.append((pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0], mix(h), n))
+        phrases, keys, counts = zip(*parts, strict=True)
+        yield pa.concat_arrays(phrases), np.concatenate(keys), np.concatenate(counts), hi - lo
         lo = hi
 
 
@@ -133,11 +134,11 @@ def phrase_counts(docs: DataFrame, depth: int = LONGEST, text: str = "text", lan
     A-Z are lower-cased. A null text is empty, a null language `und`; other columns are not read. Repeated rows count as often as
     they are there. An empty table, or one without words, gives no row.
 
-    A shard's phrases travel together, a row for each bucket that the hash of their words deals them to, so that the exchange
+    A shard's phrases travel together, a row for each partition that the hash of their words deals them to, so that the exchange
     carries text and counts and no row for each phrase. Most phrases of a shard are rare and none is there twice: combining rows
     before the exchange would save nothing. The most frequent phrase has one count a shard.
     """
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(of: str, phrase: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         bucket = (h % np.uint64(buckets)).astype(np.int32)
@@ -157,11 +158,9 @@ def phrase_counts(docs: DataFrame, depth: int = LONGEST, text: str = "text", lan
             waits.pop(of)
             total = 0
             for a, b in chunks(offs, SHARD_BYTES):
-                for size, (phrase, h, n) in enumerate(shard_counts(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], depth)):
-                    total += int(n.sum()) if size % depth == 0 else 0
-                    for lo in range(0, len(n), 1 << 19):
-                        part = slice(lo, lo + (1 << 19))
-                        yield rows(of, phrase[part], h[part], n[part])
+                for phrase, h, n, words in shard_counts(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], depth):
+                    total += words
+                    yield rows(of, phrase, h, n)
             if total:
                 yield rows(of, pa.array([""]), np.zeros(1, np.uint64), np.array([total]))
 
@@ -181,7 +180,8 @@ def phrase_counts(docs: DataFrame, depth: int = LONGEST, text: str = "text", lan
 
     of = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     found = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), of.alias("l"))
-    found = found.mapInArrow(tidy(run), "bucket int, lang string, phrases string, fs array<long>").repartition("bucket")
+    found = found.mapInArrow(tidy(run), "bucket int, lang string, phrases string, fs array<long>")
+    found = found.repartitionById(buckets, F.col("bucket"))
     found = found.select("bucket", "lang", F.inline(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("fs").alias("f"))))
     return found.groupBy("bucket", "lang", "phrase").agg(F.sum("f").alias("f")).drop("bucket")
 
