@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +164,19 @@ def unit_tokens(units: DataFrame, a: str | None = None, b: str | None = None) ->
     return units.select("unit", "n").mapInArrow(tidy(run, "pairs"), "unit string, n long, a array<int>, b array<int>")
 
 
+@contextmanager
+def in_place(spark):
+    """Let joins on more columns than both sides are dealt out by stay where they are: sound for any keys, and even where each key of
+    the dealing has few rows."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """df as a table in the shared folder, in buckets by the key: what groups or joins by it later needs no exchange."""
     spark = df.sparkSession
@@ -184,7 +198,8 @@ def cuts(tokens: DataFrame) -> DataFrame:
     side = {}
     for c in "ab":
         rows = tokens.select("unit", F.posexplode(c).alias(f"{c}_at", "t"))
-        end = F.sum(F.shiftright("t", SHIFT)).over(Window.partitionBy("unit").orderBy(f"{c}_at")).alias("end")
+        so_far = Window.partitionBy("unit").orderBy(f"{c}_at").rowsBetween(Window.unboundedPreceding, 0)
+        end = F.sum(F.shiftright("t", SHIFT)).over(so_far).alias("end")
         side[c] = rows.select("unit", f"{c}_at", F.col("t").bitwiseAND(MASK).alias(f"{c}_id"), end)
     both = side["a"].join(side["b"], ["unit", "end"])
     both = both.withColumn("g", F.row_number().over(Window.partitionBy("unit").orderBy("end")) - 1)
@@ -251,7 +266,8 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, doc_id: s
     tokens, _ = materialize(unit_tokens(units.groupBy("unit").agg(F.sum("n").alias("n")), a, b))
     links = F.transform("at", lambda x: F.struct(x["a_id"].alias("a_id"), x["b_id"].alias("b_id"))).alias("links")
     figures = [F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("at").alias("n_groups"), _groups().alias("groups")]
-    aligned = bucketed(cuts(tokens).select("unit", "n", *figures, links), "unit")
+    with in_place(docs.sparkSession):
+        aligned = bucketed(cuts(tokens).select("unit", "n", *figures, links), "unit")
     pairs = F.broadcast(pair_counts(aligned.select("n", F.inline("links"))))
     sums = aligned.select("unit", F.inline("links")).join(pairs, ["a_id", "b_id"]).groupBy("unit").agg(F.sum("c").alias("count_sum"), F.sum("best").alias("n_best"))
     found = aligned.drop("n", "links").join(sums, "unit")
