@@ -7,7 +7,7 @@ products and makers, customer and supplier for entities. Doubles are rounded to
 
 from __future__ import annotations
 
-from . import landing, programs, standins  # noqa: F401  landing and programs register their queries with standins
+from . import landing, programs, standins, upkeep  # noqa: F401  landing, programs and upkeep register their queries with standins
 
 _ALL = standins.collect()
 
