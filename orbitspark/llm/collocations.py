@@ -44,7 +44,7 @@ class Automaton:
     def __init__(self, words: np.ndarray, place: np.ndarray, counted: np.ndarray, depth: int):
         """words: numbers from 0, piece after piece; place: of each word in its piece; counted: whether what ends there counts."""
         size = int(words.max()) + 1 if len(words) else 1
-        node, source, link, item, own = [], [], [], [], []
+        node, source, link, item, own, ends = [], [], [], [], [], []
         base, before = 1, np.zeros(len(words), np.int64)  # node 0 is the root
         for d in range(1, depth + 1):
             at = np.flatnonzero(place >= d - 1)
@@ -57,17 +57,19 @@ class Automaton:
             source.append(prefix[first])
             item.append(words[head])
             link.append(before[head] if d > 1 else np.zeros(n, np.int64))
-            longest = counted[at] & ((place[at] == d - 1) | (d == depth))
-            own.append(np.bincount(new[longest], minlength=n))
+            longest = (place[at] == d - 1) | (d == depth)
+            ends.append(np.bincount(new[longest], minlength=n))
+            own.append(np.bincount(new[longest & counted[at]], minlength=n))
             before = np.zeros(len(words), np.int64)
             before[at] = new + base
             base += n
-        self.count = np.concatenate([[0], *own]).astype(np.int64)
+        self.count, ends = (np.concatenate([[0], *x]).astype(np.int64) for x in (own, ends))
         state = np.arange(base)
         for (a, b), to in zip(reversed(node[1:]), reversed(link[1:]), strict=True):
             np.add.at(self.count, to, self.count[a:b])
+            np.add.at(ends, to, ends[a:b])
         for (a, b), to in zip(reversed(node[1:]), reversed(link[1:]), strict=True):
-            same = self.count[a:b] == self.count[to]
+            same = ends[a:b] == ends[to]  # all places, those of context as well, decide what is one state
             state[to[same]] = state[a:b][same]
         self.link = np.zeros(base, np.int64)  # of states; the deepest of a state's phrases comes last and so decides nothing
         source, item, link = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (source, item, link))
