@@ -19,6 +19,8 @@ from .common import buffers, chunks, tidy
 WIDTH, FILTERS, BLOCK = 5, 16, 64
 #: Labelled documents that the network is fitted on, at most, and bytes of text that they have together. Each is learnt from whole.
 TRAIN_ROWS, TRAIN_BYTES = 3_000, 16 << 20
+#: Bytes of a text that is learnt from, at most, as a share of these: a longer one is passed over, and no other for its sake.
+LONGEST_SHARE = 64
 EPOCHS, BATCH, RATE = 8, 48, 0.02
 
 
@@ -130,7 +132,8 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
     """A network fitted on labelled documents outside the held-out third: by a hash of the id, at most `rows` of them, and of these as
-    many as have `size` bytes of text together. A document that is learnt from is learnt from whole.
+    many as have `size` bytes of text together. A document that is learnt from is learnt from whole; one longer than
+    size / LONGEST_SHARE bytes is passed over.
 
     Rows with a null id or label are left out; of repeated ids the smallest text and the largest label count. Without any labelled
     document every score is 0.5, so nothing is rejected.
@@ -139,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int =
     got = docs.select(doc_id, text).join(F.broadcast(picked), doc_id)  # a broadcast of `rows` pairs of numbers at most
     got = got.groupBy(doc_id).agg(F.min(text).alias("t"), F.max("y").alias("y"))
     before = Window.orderBy(F.xxhash64(doc_id), doc_id).rowsBetween(Window.unboundedPreceding, 0)  # over `rows` rows at most
-    ids = got.select(doc_id, F.coalesce(F.octet_length("t"), F.lit(0)).alias("b")).withColumn("b", F.sum("b").over(before)).where(F.col("b") <= size)
+    ids = got.select(doc_id, F.coalesce(F.octet_length("t"), F.lit(0)).alias("b")).where(F.col("b") <= max(1, size // LONGEST_SHARE)).withColumn("b", F.sum("b").over(before)).where(F.col("b") <= size)
     t = got.join(F.broadcast(ids), doc_id).orderBy(doc_id).select("t", "y").toArrow()
     y = t.column("y").to_numpy().astype(np.float32)
     texts = [x or b"" for x in t.column("t").cast(pa.large_binary()).to_pylist()]
