@@ -20,10 +20,13 @@ def global_shuffle(df: DataFrame, key: list[str], text: str = "text", columns: l
     """`columns` of df (all by default) plus bucket and position (gapless from 0 over everything, in random order).
 
     key: columns that tell records apart; they alone decide the bucket. Nulls are values like others. Rows alike in
-    every column share a bucket. An empty table gives an empty one. Columns named bucket or position are replaced.
+    every column share a bucket. An empty table gives an empty one. Columns named bucket or position are replaced. A map, which has no
+    order, travels as its entries.
     The shuffled buckets are written before they are used, so a lost executor cannot change an order that was handed out.
     """
     columns = [c for c in (columns or df.columns) if c not in ("bucket", "position")]
+    maps = [c for c, kind in df.dtypes if kind.startswith("map<") and c in columns]
+    df = df.withColumns({c: F.map_entries(f"`{c}`") for c in maps})
     _, total = totals(df, text)
     size = bucket_bytes or min(max(total // 4096, BUCKET_BYTES[0]), BUCKET_BYTES[1])
     buckets = max(1, -(-total // size))
@@ -33,11 +36,13 @@ def global_shuffle(df: DataFrame, key: list[str], text: str = "text", columns: l
     shuffled, _ = materialize(lists.select("bucket", F.shuffle("records", F.lit(seed)).alias("records")).select("bucket", F.posexplode("records").alias("at", "record")))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return shuffled.join(offsets, "bucket").select("record.*", "bucket", (F.col("first") + F.col("at")).alias("position"))
+    out = shuffled.join(offsets, "bucket").select("record.*", "bucket", (F.col("first") + F.col("at")).alias("position"))
+    return out.withColumns({c: F.map_from_entries(f"`{c}`") for c in maps})
 
 
 def assign_shards(df: DataFrame, key: list[str], shards: int = 16, **kw) -> DataFrame:
-    """global_shuffle plus shard and slot: the record at position p lies in shard p mod `shards`, slot p div `shards`."""
+    """global_shuffle plus shard and slot: the record at position p lies in shard p mod `shards`, slot p div `shards`. Columns of these
+    names are replaced."""
     out = global_shuffle(df, key, **kw)
     return out.withColumns({"shard": (F.col("position") % shards).cast("int"), "slot": F.floor(F.col("position") / shards).cast("long")}).drop("position")
 
