@@ -24,8 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import buffers, chunks, materialize, mix, ngram_hash, tidy, word_hash, word_spans
+from .repeats import WHOLE
 
 SHINGLE, BITS, BLOCKS, RADIUS, MARGIN = 5, 128, 16, 40, 4
 #: Bytes of benchmark text that go to the executors at once; a larger benchmark is taken in slices, a pass for each.
@@ -35,7 +37,7 @@ SLICE_BYTES = 16 << 20
 BREAK = np.zeros(256, bool)
 BREAK[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
-HITS = "item_id long, similarity double, distance int, start_word int, n_words int"
+HITS = "similarity double, distance int, start_word int, n_words int"
 
 
 def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ class Benchmark:
     least: the similarity from which an item is found. whole: of a benchmark in slices the number of items, and the shingles
     that more than one item holds, sorted, with the number of these; weights are those of the whole benchmark."""
 
-    def __init__(self, ids: np.ndarray, col: pa.Array, least: float, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, ids: list, col: pa.Array, least: float, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.size, per = shingles_of(col)
         self.ids, self.least = ids, least
         self.shingles, df = np.unique(np.concatenate([np.unique(p) for p in per if len(p)] or [np.zeros(0, np.uint64)]), return_counts=True)
@@ -215,7 +217,7 @@ class Benchmark:
                     sim = min(1.0, sum(self.weights[x] * min(y, mine[x]) for x, y in zip(k.tolist(), c.tolist(), strict=True) if x in mine) / self.total[item])
                     if sim >= self.least and (item not in best or (sim, -dist) > (best[item][0], -best[item][1])):
                         best[item] = (sim, dist, w)
-                out += [(int(self.ids[i]), float(s), int(x), w, int(min(n, len(h)))) for i, (s, x, w) in best.items()]
+                out += [(self.ids[i], float(s), int(x), w, int(min(n, len(h)))) for i, (s, x, w) in best.items()]
         return out
 
 
@@ -233,7 +235,8 @@ def shared_shingles(items: DataFrame) -> DataFrame:
 
 def slices(benchmark: DataFrame, item: str, text: str, least: float) -> Iterator:
     """The benchmark as broadcasts of about SLICE_BYTES of text each; weights are those of the whole benchmark."""
-    items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("i").isNotNull())
+    whole_numbers = dict(benchmark.dtypes)[item] in WHOLE
+    items = benchmark.select((F.col(item).cast("long") if whole_numbers else F.col(item)).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("i").isNotNull())
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // SLICE_BYTES)
     items = items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, n))).cast("long")).distinct()
@@ -247,7 +250,7 @@ def slices(benchmark: DataFrame, item: str, text: str, least: float) -> Iterator
             order = np.argsort(h)
             whole = total, h[order], c[order]
         if got.num_rows:
-            yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(got.column("i").to_numpy(), got.column("t").combine_chunks(), least, whole))
+            yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(got.column("i").to_pylist(), got.column("t").combine_chunks(), least, whole))
 
 
 def found(bench: Benchmark, texts: pa.Array) -> Iterator[tuple]:
@@ -270,17 +273,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, item
     """A row per document and benchmark item found in it: doc_id, item_id, similarity, distance, start_word, n_words.
 
     Words are lower-cased runs without blanks or ASCII punctuation. An item of fewer than five words is one shingle; one
-    without words, or without an id, is never found. Null and empty texts hold nothing. Repeated rows each count; an empty
+    without words, or without an id, is never found. Ids may be of any type; whole numbers come back as longs. Null and empty texts hold nothing. Repeated rows each count; an empty
     table on either side gives an empty result. Other columns are not read.
     """
-    passes, kind = [], f"doc_id {dict(docs.dtypes)['doc_id']}, "
+    of = dict(benchmark.dtypes)[item]
+    of = "bigint" if of in WHOLE else of
+    passes, kind = [], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {of}, "
+    item_type = pa.int64() if of == "bigint" else to_arrow_type(benchmark.schema[item].dataType)
     for shared in slices(benchmark, item, text, least):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at, *cols = list(zip(*found(shared.value, batch.column(1)), strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *(x.split()[0] for x in HITS.split(", "))])
+                kinds = [item_type, pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "item_id", *(x.split()[0] for x in HITS.split(", "))])
 
         passes.append(docs.select("doc_id", text).mapInArrow(tidy(run), kind + HITS))
     return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], kind + HITS)
