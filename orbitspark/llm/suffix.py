@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, byte_ngram_hash, chunks, materialize, mix, parts_of, tidy, tidy_group, totals
@@ -88,7 +88,7 @@ def first_copies(buf: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndar
     return out
 
 
-def candidate_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+def candidate_strings(docs: DataFrame, window: int, buckets: int, bits: int = 0) -> DataFrame:
     """docs(row, z, ranges) → STRINGS: the bytes of each run of windows in the ranges, in the bucket of its seed, or of each window
     by itself where the seed is hot. Runs that equal one of a smaller row in their batch are settled (gone)."""
 
@@ -121,7 +121,7 @@ def candidate_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 continue
             key, row, start, n, at = (np.concatenate(c) for c in zip(*parts, strict=True))
             size = n + window - 1
-            lost = row > row[first_copies(buf, at, size, key, row)]
+            lost = row >> bits > row[first_copies(buf, at, size, key, row)] >> bits
             out, go = [], np.flatnonzero(~lost)
             for k, i in by_bucket((key[go] % np.uint64(buckets)).astype(np.int64)):
                 i = go[i]
@@ -201,7 +201,7 @@ def strings_of(seed: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.where(long, (1 << 50) + start // LONG, group // STRING), long
 
 
-def _settle_strings(window: int):
+def _settle_strings(window: int, bits: int = 0):
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for b in pdf["gone"].dropna():
@@ -215,15 +215,16 @@ def _settle_strings(window: int):
         at = np.cumsum(n + window - 1) - (n + window - 1)
         first = first_copies(text, at, n + window - 1, seed.astype(np.uint64), row)
         alone = first == np.arange(len(first))
-        i = np.flatnonzero(row > row[first])
+        rank = row >> bits
+        i = np.flatnonzero(rank > rank[first])
         i = i[np.lexsort((start[i], row[i]))]
         out.append(merge_ranges(row[i], start[i], n[i]))
-        # copies in the first one's own row share its fate
-        twins = np.flatnonzero(~alone & (row == row[first]))
+        # copies in the first one's own row, or in one of the same id, share its fate
+        twins = np.flatnonzero(~alone & (rank == rank[first]))
         twins = twins[np.argsort(first[twins], kind="stable")]
         different = np.flatnonzero(alone)
         part, inner, n = repeated_parts(text, at[different], n[different], window)
-        who, inside = lost_windows(text, at[different[part]] + inner, n + window - 1, seed[different[part]], row[different[part]], window)
+        who, inside = lost_windows(text, at[different[part]] + inner, n + window - 1, seed[different[part]], rank[different[part]], window)
         run, inside = different[part[who]], inner[who] + inside
         a, b = (np.searchsorted(first[twins], run, side) for side in ("left", "right"))
         run, inside = np.concatenate([run, twins[_spans(a, b - a)]]), np.concatenate([inside, np.repeat(inside, b - a)])
@@ -273,20 +274,45 @@ def lost_windows(text: np.ndarray, at: np.ndarray, size: np.ndarray, seed: np.nd
     return owners[lost], places[lost]
 
 
+def ranked_rows(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs plus `row`, a number of its own for each row, and how many of its low bits tell rows of one id apart: without them it is the
+    id's rank. Null ids come last, each with a rank of its own. Numbers are given range by range and then offset, so that no
+    id, however often it is there, meets in one task."""
+    placed = docs.repartitionByRange(F.col("doc_id").asc_nulls_last(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    placed, _ = materialize(placed.withColumns({"p": F.spark_partition_id(), "i": F.monotonically_increasing_id()}))
+    runs = placed.groupBy("p", "doc_id").agg(F.min("i").alias("i0"), F.count(F.lit(1)).alias("m"))  # an id's rows of a range lie together
+    before = Window.partitionBy("doc_id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("k0", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    ids = runs.where("doc_id is not null").groupBy("doc_id").agg(F.min("p").alias("p"), F.sum("m").alias("m"))
+    local = ids.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("doc_id")) - 1)
+    first = local.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("r0", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = local.join(first, "p").select("doc_id", (F.col("r") + F.col("r0")).alias("rank"))
+    n, most = ids.agg(F.count(F.lit(1)), F.max("m")).first()
+    bits = max(0, int(most or 1) - 1).bit_length()
+    if int(n).bit_length() + bits > 62:
+        raise ValueError("too many ids that are repeated too often")
+    runs, _ = materialize(runs.join(ranks, "doc_id", "left"))
+    rows = placed.alias("x").join(runs.alias("y"), (F.col("x.p") == F.col("y.p")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")))
+    k = F.col("x.i") - F.col("y.i0") + F.col("y.k0")
+    row = F.when(F.col("y.rank").isNull(), F.shiftleft(F.lit(n) + k, bits)).otherwise(F.shiftleft("y.rank", bits) + k)
+    return materialize(rows.select("x.doc_id", "x.text", row.alias("row")))[0], bits
+
+
 def remove_seen(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (binary) for each row of docs(doc_id, text, ...).
 
     A byte goes if a `window`-byte string over it also starts in a document with a smaller id. A null text is empty; one
-    shorter than the window keeps all. Repeated rows, and rows that share an id, are ordered by their text and count as
-    documents of their own; a null id counts as the largest. Other columns are not read; an empty table gives an empty one.
+    shorter than the window keeps all. Rows that share an id are documents of
+    their own, and as none has the smaller id, none of them loses a byte to another. Rows with a null id come after all others, each
+    with a larger id than those of smaller text. Other columns are not read; an empty table gives an empty one.
     """
     _, total = totals(docs)
     own = has_own_ids(docs)
-    base = row_ids(docs.select("doc_id", "text"), ordered=True, own=own)
+    base, bits = (row_ids(docs.select("doc_id", "text"), own=True), 0) if own else ranked_rows(docs.select("doc_id", "text"))
     packed = packed_text(base, ["row"]).where("row is not null")  # alike for both joins, which then share one shuffle
     found, _ = materialize(repeated(seeds(base, window, bucket_count(total * 0.06)), brief=True))
-    strings = candidate_strings(with_ranges(packed, found), window, max(48, total // BUCKET_BYTES))
-    ranges = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window)), RANGES)
+    strings = candidate_strings(with_ranges(packed, found), window, max(48, total // BUCKET_BYTES), bits)
+    ranges = strings.groupBy("bucket").applyInPandas(tidy_group(_settle_strings(window, bits)), RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in parts_of(whole, "z", 4 << 20)):
