@@ -517,7 +517,7 @@ def test_odd_cases(spark):
     assert kept.columns == d.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id is null").count() == 1
     s = substring.remove_repeats(d, 35, texts=True, keep=d.columns)
     assert s.where("doc_id is null and n_removed = 80").count() == 2 and s.where("doc_id = 3").first()["kept_text"] == "a b c d e f"
-    assert suffix.remove_seen(d, 5).where("doc_id = 3").agg(F.sum("n_removed")).first()[0] == 11
+    assert suffix.remove_seen(d, 5).where("doc_id = 3").agg(F.sum("n_removed")).first()[0] == 0  # neither has the smaller id
     assert sharding.assign_shards(d, ["doc_id", "text"]).count() == packing.pack(d).count() == 7
     assert decontaminate.drop_contaminated(d, frame(spark, [(1, "other words here now")], "item_id long, text string")).count() == 6
     assert tokens.token_counts(d).count() == 7
