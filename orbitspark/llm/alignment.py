@@ -17,6 +17,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,22 +76,27 @@ class Pair:
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of the vocabulary runs over the start of a word")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_codes, self.b_codes = (np.array([len(x) << SHIFT | i for i, x in enumerate(of)], np.int64) for of in (self.a_bytes, self.b_bytes))
 
     def whole(self, text: str) -> bool:
         """Whether B's pieces give back a blank and the text; A's always do."""
         return "▁" not in text and self.b.normalize(text).replace("▁", " ") == " " + text
 
-    def cut(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Tokens of each unit with the blank before it, by A and by B."""
-        out: tuple[list, list] = ([], [])
+    def cut(self, units: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Tokens of each unit with the blank before it, by A and by B: lists of numbers that hold a token's bytes and its id."""
+        texts = [(" " + u).encode() for u in units]
+        size = np.array([len(t) for t in texts], np.int64)
         left = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        for u, a, b in zip(units, left, self.b.encode(units, num_threads=1), strict=True):
-            for ids, of, to in ((a, self.a_bytes, out[0]), (b, self.b_bytes, out[1])):
-                parts = [of[i] for i in ids]
-                if b"".join(parts) != (" " + u).encode():
-                    raise ValueError(f"tokens do not give back {u[:80]!r}")
-                to.append(np.array([len(p) << SHIFT | i for p, i in zip(parts, ids, strict=True)], np.int32))
-        return out
+        out = []
+        for lists, of, codes in ((left, self.a_bytes, self.a_codes), (self.b.encode(units, num_threads=1), self.b_bytes, self.b_codes)):
+            ends = np.cumsum([0, *map(len, lists)])
+            flat = list(chain.from_iterable(lists))
+            tokens = codes[np.array(flat, np.int64)]
+            to = np.concatenate([[0], np.cumsum(tokens >> SHIFT)])[ends]
+            if not np.array_equal(np.diff(to), size) or b"".join([of[i] for i in flat]) != b"".join(texts):
+                raise ValueError("the tokens of a unit do not give it back")
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32())))
+        return out[0], out[1]
 
 
 _PAIRS: dict[tuple, Pair] = keep("pairs", {})
@@ -102,11 +108,6 @@ def _pair(a: str | None, b: str | None) -> Pair:
     return _PAIRS[a, b]
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *(len(p) for p in parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
-
-
 def numbered(docs: DataFrame, a: str | None = None, b: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each block: a row for each document (doc_id, units: the numbers of its units in order, compressed), and a row for each different unit
     (number, unit, n: how often). A document without tokens has no units."""
@@ -159,7 +160,7 @@ def unit_tokens(units: DataFrame, a: str | None = None, b: str | None = None) ->
         pair = _pair(a, b)
         for batch in batches:
             left, right = pair.cut(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(left), _lists(right)], ["unit", "n", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), left, right], ["unit", "n", "a", "b"])
 
     return units.select("unit", "n").mapInArrow(tidy(run, "pairs"), "unit string, n long, a array<int>, b array<int>")
 
