@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,12 +59,51 @@ def update_from(target: DataFrame, source: DataFrame, keys: list[str], columns:
     return out.select(*(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns))
 
 
-def resolve_chains(pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """pairs(merged_id, surviving_id) with every survivor followed to the end of its chain (up to 2**rounds links)."""
-    for _ in range(rounds):
-        nxt = pairs.select(F.col("merged_id").alias("surviving_id"), F.col("surviving_id").alias("_to"))
-        pairs = pairs.join(nxt, "surviving_id", "left").select("merged_id", F.coalesce("_to", "surviving_id").alias("surviving_id"))
-    return pairs
+def chain_ends(pairs: DataFrame) -> DataFrame:
+    """pairs(merged_id, surviving_id) → merged_id, surviving_id, cyclic: every survivor followed to the end of its chain, however long.
+
+    Pointers jump: each round doubles the links that a row has followed, and its result is written before the next one reads it, so
+    a chain of n takes about log2(n) short rounds. A chain without an end runs into a cycle: its entities survive as the smallest
+    of the cycle, which is not merged itself, and are marked. Of several survivors of one entity the smallest counts; an entity merged
+    into itself is left out.
+    """
+    at = pairs.where("merged_id <> surviving_id").groupBy("merged_id").agg(F.min("surviving_id").alias("to"))
+    at = written(at.select("merged_id", "to", F.least("merged_id", "to").alias("low"), F.lit(True).alias("open")))
+    longest = at.count()
+    for _ in range(longest.bit_length() + 1):
+        following = at.select(F.col("merged_id").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        jumped = at.join(following, "to", "left")
+        at = written(jumped.select("merged_id", F.coalesce("_to", "to").alias("to"), F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("_to").isNotNull().alias("open")))
+        if not at.where("open").limit(1).count():
+            break
+    # what is still open after as many links as there are rows lies on a cycle, or leads to one that its pointer has reached
+    cycle = at.where("open").select(F.col("merged_id").alias("to"), F.col("low").alias("_low"))
+    ends = at.join(cycle, "to", "left").select("merged_id", F.coalesce("_low", "to").alias("surviving_id"), F.col("open").alias("cyclic"))
+    return ends.where("merged_id <> surviving_id")
+
+
+def resolve_chains(pairs: DataFrame) -> DataFrame:
+    """chain_ends without the mark."""
+    return chain_ends(pairs).drop("cyclic")
+
+
+def merge_all(children: dict[str, tuple[DataFrame, list[str] | None]], pairs: DataFrame, id_col: str = "satellite_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables that refer to entities, repointed along the whole chains of pairs; and the log: merged_id, surviving_id, rule (`merge`, or
+    `cycle` where the chain had no end), child, moved (rows that were repointed). Chains are resolved once and written.
+
+    children: name → (rows, natural key); with a key, of rows that collide the survivor's own stays, without one every row moves."""
+    ends = written(chain_ends(pairs))
+    out, log = {}, []
+    for name, (rows, key) in children.items():
+        if key:
+            out[name] = merge_entities(rows, ends, key, id_col)
+        else:
+            to = ends.select(F.col("merged_id").alias(id_col), "surviving_id")
+            out[name] = rows.join(to, id_col, "left").withColumn(id_col, F.coalesce("surviving_id", id_col)).select(*rows.columns)
+        moved = rows.groupBy(F.col(id_col).alias("merged_id")).agg(F.count(F.lit(1)).alias("moved"))
+        rule = F.when(F.col("cyclic"), "cycle").otherwise("merge").alias("rule")
+        log.append(ends.join(moved, "merged_id", "left").select("merged_id", "surviving_id", rule, F.lit(name).alias("child"), F.coalesce("moved", F.lit(0)).alias("moved")))
+    return out, reduce(DataFrame.unionByName, log)
 
 
 def merge_entities(child: DataFrame, pairs: DataFrame, natural_key: list[str], id_col: str = "satellite_id") -> DataFrame:

@@ -673,7 +673,7 @@ def u6_merge(spark, d):
     child = table(spark, d, "events").select(F.col("user_id").alias("satellite_id"), F.col("event_type").alias("id_type")).distinct()
     ids = child.select("satellite_id").distinct().where("satellite_id % 10 = 9")
     pairs = ids.select(F.col("satellite_id").alias("merged_id"), (F.col("satellite_id") - 9).alias("surviving_id"))
-    return mutations.merge_entities(child, mutations.resolve_chains(pairs, 2), ["satellite_id", "id_type"])
+    return mutations.merge_entities(child, mutations.resolve_chains(pairs), ["satellite_id", "id_type"])
 
 
 @query(f"with {_HALVES} select k, price, ref, case when k not in (select k from new) then date '2001-08-01' end as valid_to from old")
