@@ -28,6 +28,8 @@ SHELF_ROWS, QUERY_ROWS = (2_048, 8_192), 16_384
 #: A shelf gives up only codes that are as near as those that this many times the shortlist should reach, by the sample; and of the
 #: sample never fewer than so many.
 SLACK, LEAST = 4, 8
+#: A query looks on until its cells hold so many times the shortlist.
+ENOUGH = 4
 #: Rows that are ranked exactly for a query, beside k.
 SHORTLIST = 64
 
@@ -64,8 +66,9 @@ class Model:
         held = np.zeros(len(x), bool)
         held[:: max(2, len(x) // 512)] = len(x) >= 64
         fit = x[~held] if held.any() else x
-        self.cells = kmeans(fit, int(np.clip(round(8 * rows**0.5), 1, min(CELLS, max(1, len(fit) // 4)))), 6, seed)
-        near = _near(x, self.cells)
+        # equal centroids, as many copies make them, are one cell
+        self.cells = np.unique(kmeans(fit, int(np.clip(round(8 * rows**0.5), 1, min(CELLS, max(1, len(fit) // 4)))), 6, seed), axis=0)
+        near = self.near = _near(x, self.cells)
         self.parts = np.array_split(np.arange(d), min(d, max(1, d // 4)))
         residual = fit - self.cells[near[~held] if held.any() else near]
         self.books = [kmeans(residual[:, p], min(256, max(1, len(fit))), 6, seed + 1 + i) for i, p in enumerate(self.parts)]
@@ -84,9 +87,17 @@ class Model:
         return x @ self.cells.T - (self.cells**2).sum(1) / 2
 
     def probed(self, x: np.ndarray) -> np.ndarray:
-        """Cells that each row looks in, nearest first."""
+        """Cells that each row looks in at least, nearest first: as many as most queries need."""
         return np.argsort(-self.closeness(x), 1, kind="stable")[:, : self.probes]
 
+    def reached(self, x: np.ndarray, sizes: np.ndarray, top: int) -> list[np.ndarray]:
+        """Cells that each query looks in, nearest first: those of probed(), and on until they hold ENOUGH * top rows, which a query unlike
+        the others may have to go far for. sizes: rows of each cell."""
+        order = np.argsort(-self.closeness(x), 1, kind="stable")
+        held = np.cumsum(sizes[order], 1)
+        enough = (held < min(ENOUGH * top, held[0, -1])).sum(1) + 1
+        return [o[: max(self.probes, n)] for o, n in zip(order, enough.tolist(), strict=True)]
+
     def shelves(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By cell its shelf, by shelf its blocks: cells that lie together share a shelf (see SHELF_ROWS), and one that is larger has a
         shelf of several blocks to itself. Both are as short as the list of cells."""
@@ -112,10 +123,16 @@ class Model:
             out[:, p] += b[code[:, i]]
         return out
 
-    def floor(self, q: np.ndarray, top: int) -> np.ndarray:
-        """For each query the score that some SLACK * top of all rows should reach: that of the m-th best of the sample."""
-        m = min(self.sampled, max(LEAST, int(np.ceil(SLACK * top * min(1.0, self.sampled / max(1, self.rows))))))
+    def floor(self, q: np.ndarray, probed: list[np.ndarray], top: int) -> np.ndarray:
+        """For each query the score that some SLACK * top of the rows in its cells should reach: that of the m-th best of the sample there.
+        The sample is part of the index and m exceeds LEAST, so no query is left with fewer codes; where its cells hold fewer of the
+        sample, there is no floor."""
+        m = min(self.sampled, max(LEAST, top - SHORTLIST + 1, int(np.ceil(SLACK * top * min(1.0, self.sampled / max(1, self.rows))))))
         scores = q @ self.seen.T
+        for i, cells in enumerate(probed):
+            mine = np.zeros(len(self.cells), bool)
+            mine[cells] = True
+            scores[i, ~mine[self.near]] = -np.inf
         return np.partition(scores, self.sampled - m, 1)[:, self.sampled - m] - np.float32(1e-4)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -193,7 +210,8 @@ def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col:
         asked, _ = materialize(valid(queries, id_col, vec_col).where(F.size("v") == model.dim).withColumn("row", -1 - F.monotonically_increasing_id()).select("row", "id", "v"))
     shared, top = spark.sparkContext.broadcast(model), k + SHORTLIST
     counts = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per centroid
-    shelf, blocks = model.shelves(np.array([counts.get(c, 0) for c in range(len(model.cells))]))
+    sizes = np.array([counts.get(c, 0) for c in range(len(model.cells))])
+    shelf, blocks = model.shelves(sizes)
     slices = max(1, -(-asked.count() // QUERY_ROWS))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +230,8 @@ def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 u = _unit(_matrix(part.column("v"), m.dim))
-                cell, q = m.probed(u).ravel().astype("<i4"), np.repeat(np.arange(len(u)), m.probes)
+                probed = m.reached(u, sizes, top)
+                cell, q = np.concatenate(probed).astype("<i4"), np.repeat(np.arange(len(u)), [len(c) for c in probed])
                 order = np.lexsort((shelf[cell], q))
                 cell, q, on = cell[order], q[order], shelf[cell[order]]
                 cut = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (on[1:] != on[:-1])]))
@@ -220,7 +239,7 @@ def search(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col:
                 each = blocks[on[cut]]
                 at = np.repeat(np.arange(len(cut)), each)
                 block = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
-                half = [np.append(r, x).astype("<f4").tobytes() for r, x in zip(u, m.floor(u, top), strict=True)]
+                half = [np.append(r, x).astype("<f4").tobytes() for r, x in zip(u, m.floor(u, probed, top), strict=True)]
                 to = q[cut][at]
                 cols = [part.column("row").take(pa.array(to)), pa.array([half[i] for i in to.tolist()], pa.binary()), pa.array([lists[i] for i in at.tolist()], pa.binary()), pa.array(on[cut][at], pa.int32()), pa.array(block, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, ["q", "u", "cells", "shelf", "block"])
