@@ -1,15 +1,21 @@
-"""Queries over what keeps tables up to date: incremental rollups, state that ends, committed runs, merges to the end of their chains."""
+"""Queries over what keeps tables up to date: incremental rollups, state that ends, committed runs, workbooks, merges to the end of
+their chains."""
 
 from __future__ import annotations
 
+import io
+import zipfile
 from functools import reduce
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import mutations
 from ..operators.relational import latest_per_key
 from ..operators.written import shared_folder
+from ..sources import workbook
 from ..sources.runs import Runs
 from ..streaming import rollup, state
 from ..streaming.materialise import Materialised
@@ -95,3 +101,31 @@ def u6_merge_closure(spark, d):
     sums = [df.groupBy("satellite_id").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys")).select(F.lit(name).alias("child"), "satellite_id", "n", "keys") for name, df in moved.items()]
     logged = log.where("child = 'facts'").groupBy(F.concat(F.lit("log "), "rule").alias("child"), F.col("surviving_id").alias("satellite_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("moved").alias("keys"))
     return reduce(DataFrame.unionByName, [*sums, logged])
+
+
+def _workbook(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A workbook of one nation's suppliers: a title, a header, a row each; names inline, balances as numbers, days as serial dates."""
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    text = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    rows = [text("A1", "Suppliers & others"), "".join(text(f"{c}3", v) for c, v in zip("ABD", ("Call Sign", "Satellite Name", "In-orbit date"), strict=True)) + text("E3", "Balance")]
+    lines = [(1, rows[0]), (3, rows[1])]
+    for i, r in enumerate(pdf.sort_values("s_suppkey").itertuples(), 4):
+        name = text(f"B{i}", r.s_name) if r.s_suppkey % 3 else ""
+        lines.append((i, f'<c r="A{i}"><v>{r.s_suppkey}</v></c>{name}<c r="D{i}" s="1"><v>{36526 + r.s_suppkey % 400}</v></c><c r="E{i}"><v>{r.s_acctbal!r}</v></c>'))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {space}><sheets><sheet name="list" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/list.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {space}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/list.xml", f"<worksheet {space}><sheetData>" + "".join(f'<row r="{i}">{x}</row>' for i, x in lines) + "</sheetData></worksheet>")
+    return pd.DataFrame({"path": [f"nation-{pdf.s_nationkey.iloc[0]}.xlsx"], "content": [out.getvalue()]})
+
+
+@query("""select 'nation-' || s_nationkey || '.xlsx' as path, s_suppkey::varchar as call_sign, case when s_suppkey % 3 > 0 then s_name end as name,
+strftime(date '2000-01-01' + (s_suppkey % 400)::integer, '%Y-%m-%d') as since, s_acctbal as balance from supplier""")
+def s12_workbooks(spark, d):
+    """A workbook for each nation, read cell by cell; the rows below each header, columns by place."""
+    files = table(spark, d, "supplier").groupBy("s_nationkey").applyInPandas(_workbook, "path string, content binary")
+    rows = workbook.sheet_rows(files, "list").where("row > 3")
+    cell = lambda i: F.get("cells", F.lit(i))
+    return rows.select("path", cell(0).alias("call_sign"), cell(1).alias("name"), cell(3).alias("since"), cell(4).cast("double").alias("balance"))
