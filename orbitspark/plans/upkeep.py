@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import mutations
+from ..operators import mutations, selection
 from ..operators.relational import latest_per_key
 from ..operators.written import shared_folder
 from ..sources import workbook
@@ -129,3 +129,11 @@ def s12_workbooks(spark, d):
     rows = workbook.sheet_rows(files, "list").where("row > 3")
     cell = lambda i: F.get("cells", F.lit(i))
     return rows.select("path", cell(0).alias("call_sign"), cell(1).alias("name"), cell(3).alias("since"), cell(4).cast("double").alias("balance"))
+
+
+@query("""select l_returnflag, count(*) as n, round(quantile_cont(l_extendedprice, 0.5), 6) as p50, round(quantile_cont(l_extendedprice, 0.9), 6) as p90, round(quantile_cont(l_extendedprice, 0.999), 6) as p999
+from lineitem group by 1""")
+def a4_large_groups(spark, d):
+    """Percentiles of groups that are sorted across tasks, as they are beyond a million values; here from 500 on."""
+    found = selection.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p999": 0.999}, 500)
+    return found.withColumns({c: F.round(c, 6) for c in ("p50", "p90", "p999")})
