@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, names
-from ..functions.text import similarity
 from ..operators import fuzzy, relational
 
 #: Cases of a stratum, at most; strata that are not named here take every case. Fixed values.
@@ -53,13 +52,13 @@ def orphans(t: dict[str, DataFrame], a: str) -> DataFrame:
     return _cases(t, "rideshare_orphan", t["satellite"].where("norad_id is null and object_type = 'PAYLOAD'").join(known, "satellite_id", "left_anti"), name=F.col("canonical_name"))
 
 
-def missed_joins(t: dict[str, DataFrame], name_similarity=similarity) -> DataFrame:
+def missed_joins(t: dict[str, DataFrame], measure: str = "gestalt") -> DataFrame:
     """Each dated entity without a catalogue id, and the catalogued one of its launch window whose name is most like its own."""
     s = t["satellite"].where("launch_date is not null")
     side = lambda df, key: df.select(F.col("satellite_id").alias(key), F.col("canonical_name").alias("name"), "launch_date", F.lit("UNKNOWN").alias("regime"), F.lit(None).cast("string").alias("country"))
-    pairs = fuzzy.candidate_pairs(side(s.where("norad_id is null"), "probe_key"), side(s.where("norad_id is not null"), "satellite_id"), least=LIKELY - 1e-4).where("p_norm <> ''")
-    like = pairs.withColumn("sim", F.round(name_similarity("p_norm", "c_norm"), 4)).where(F.col("sim") >= LIKELY)
-    best = relational.latest_per_key(like, ["probe_key"], [F.col("sim").desc(), F.col("satellite_id").asc()]).orderBy(F.desc("sim"), "probe_key").limit(TARGETS["missed_join_candidate"])
+    probes = side(s.where("norad_id is null"), "probe_key").where(names.norm_name(F.col("name")) != "")
+    best = fuzzy.link(probes, side(s.where("norad_id is not null"), "satellite_id"), {"name": 1.0, "launch": 0.0, "regime": 0.0}, low=LIKELY, measure=measure, places=4)
+    best = best.where("satellite_id is not null").withColumn("sim", F.round("score", 4)).orderBy(F.desc("sim"), "probe_key").limit(TARGETS["missed_join_candidate"])
     rows = best.select(F.col("probe_key").alias("satellite_id"), F.lit(None).cast("long").alias("norad_id"), F.col("satellite_id").alias("candidate"), "sim")
     return _cases(t, "missed_join_candidate", rows, candidate=F.col("candidate"), similarity=F.col("sim"))
 
@@ -103,7 +102,7 @@ def stale_owners(t: dict[str, DataFrame]) -> DataFrame:
     return _cases(t, "stale_owner", relational.round_robin(rows, "deal", [F.col("norad_id").asc_nulls_last(), F.col("satellite_id").asc()], TARGETS["stale_owner"]), child=F.col("child_id"), until=F.col("until"))
 
 
-def gold_cases(t: dict[str, DataFrame], a: str = "satcat", b: str = "gcat", name_similarity=similarity) -> DataFrame:
-    """All eight strata."""
-    strata = [ambiguous_designators(t), orphans(t, a), missed_joins(t, name_similarity), owner_disputes(t, a, b), status_conflicts(t, a, b), decay_conflicts(t, a, b), type_conflicts(t, a, b), stale_owners(t)]
+def gold_cases(t: dict[str, DataFrame], a: str = "satcat", b: str = "gcat", measure: str = "gestalt") -> DataFrame:
+    """All eight strata; names are compared by a measure of fuzzy.link."""
+    strata = [ambiguous_designators(t), orphans(t, a), missed_joins(t, measure), owner_disputes(t, a, b), status_conflicts(t, a, b), decay_conflicts(t, a, b), type_conflicts(t, a, b), stale_owners(t)]
     return reduce(DataFrame.unionByName, strata)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbitspark.operators import closest, fuzzy
+from orbitspark.plans import gold
 
 SIDE = "name string, launch_date date, regime string, country string"
 
@@ -107,3 +108,13 @@ def test_best_by_edit_distance_of_all(spark):
                 s = 0.6 * similarity("edit", a[1], b[1])
                 scores.append((-round((s + 0.25 * (1 - days / 30)) / 0.85 if days is not None else s / 0.6, 9), b[0], days))
         assert got[a[0]] == (min(scores)[1], -min(scores)[0], min(scores)[2])
+
+
+def test_missed_joins_keep_the_best_of_each(spark):
+    """v35_gold_cases: candidates as like to four places go to the smallest id; an empty name finds nothing."""
+    day = dt.date(2020, 1, 1)
+    rows = [(1, None, "abcdefgh"), (2, None, "()"), (3, 30, "abcdefgx"), (4, 40, "xbcdefgh"), (5, 50, "()"), (6, None, "ijklmnop"), (7, 70, "ijkl"), (8, 80, "abcdefgh")]
+    rows = [(*r, "PAYLOAD", day + dt.timedelta(31 if r[0] == 8 else 0)) for r in rows]
+    t = {"satellite": spark.createDataFrame(rows, "satellite_id long, norad_id long, canonical_name string, object_type string, launch_date date"), "satellite_identifier": spark.createDataFrame([], "satellite_id long, id_type string, id_value string")}
+    for measure in ("edit", "gestalt"):
+        assert [(r["satellite_id"], r["facts"]) for r in gold.missed_joins(t, measure).collect()] == [(1, '{"candidate":3,"similarity":0.875}')]
